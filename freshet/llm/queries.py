@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import topk, url_rules
+from . import topk, toxicity, url_rules
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op6_url_filters": url_rules.op6_url_filters,
 }
 
