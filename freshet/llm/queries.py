@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import topk, toxicity, url_rules
+from . import topk, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op5_warc": warc.op5_warc,
     "op6_url_filters": url_rules.op6_url_filters,
 }
 
 ORACLE_SQL = {
     "op1_exact_top_k": topk.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op6_url_filters": url_rules.OP6_SQL,
 }
