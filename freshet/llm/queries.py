@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import tokens, topk, toxicity, url_rules, warc
+from . import simhash, tokens, topk, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_simhash": simhash.op3_simhash,
     "op4_token_files": tokens.op4_token_files,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_rules.op6_url_filters,
