@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, tokens, topk, toxicity, url_rules, warc
+from . import decontaminate, secrets, simhash, tokens, topk, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": tokens.op4_token_files,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_rules.op6_url_filters,
+    "op7_secrets": secrets.op7_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op1_exact_top_k": topk.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_url_filters": url_rules.OP6_SQL,
+    "op7_secrets": secrets.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
