@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that survive the loss of any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._freshet_path = path
     return out
@@ -56,6 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for a shuffle made by hand."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

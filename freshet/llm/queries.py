@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, tokens, topk, toxicity, url_rules, warc
+from . import decontaminate, secrets, simhash, suffixes, tokens, topk, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filters": url_rules.op6_url_filters,
     "op7_secrets": secrets.op7_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
 }
 
 ORACLE_SQL = {
