@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, suffixes, tokens, topk, toxicity, url_rules, warc
+from . import decontaminate, pieces, secrets, simhash, suffixes, tokens, topk, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
