@@ -113,6 +113,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs in which no window of an item occurs. An id is judged by all its rows;
+    rows without an id are kept."""
+    bad = contaminated(docs, items, id=id, text=text, **how).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.col(id) == F.col("_bad"), "left_anti")
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Words of documents that windows of 10 words of benchmark items hit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -152,6 +152,25 @@ def scan(docs: DataFrame, scope: int = 400, id: str = "doc_id", text: str = "tex
     return joined.select("doc_id", "row", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
 
 
+def redact(docs: DataFrame, scope: int = 400, mask: str = "[REDACTED]", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with every finding in the text replaced by the mask; findings that overlap or touch
+    are one. Rows, ids and all other columns stay; a null text stays null."""
+    found = scan(docs, scope, id, text).withColumn("spans", F.array_sort(F.concat("base", "added"))).where("size(spans) > 0")
+    found = found.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.first("spans").alias("_spans"))
+    joined = docs.join(found, F.col(id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_r")), "left")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        here = F.greatest(a["at"], s["start"])
+        between = F.substring(F.col(text), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+        new = (s["start"] > a["at"]) | (a["at"] == 0)
+        out = F.concat(a["out"], F.when(new, F.concat(between, F.lit(mask))).otherwise(F.lit("")))
+        return F.struct(F.greatest(here, s["end"]).alias("at"), out.alias("out"))
+
+    masked = F.aggregate("_spans", start, add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2**31 - 1))))
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
+
+
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
     """Findings of every document."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -277,6 +277,11 @@ def fitted(spark, sf_dir: str) -> Chain:
     return fit_chain(labelled_documents(spark, sf_dir), CATEGORIES)
 
 
+def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs that the last category of the chain doesn't reach."""
+    return score(docs, chain, text).where(F.col(f"p_{chain.categories[-1]}") < threshold).select(*docs.columns)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """Probabilities of the chain's categories for every document, and the decision."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
