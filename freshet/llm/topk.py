@@ -52,6 +52,11 @@ def quantized(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, n
     return out
 
 
+def _long(x: int) -> int:
+    """Cut to a long's range."""
+    return max(-_LONG - 1, min(_LONG, x))
+
+
 def _top(scores, ids, k: int):
     """The k best distinct ids: highest score, ties to the smaller id; a repeated id counts
     with its best score."""
@@ -114,13 +119,13 @@ class BlockSearch:
         wide = [[int(v) for v in column] for column in x.T]
         for j in range(len(self.ids)):
             q = [int(v) for v in self.q[:, j]]
-            scores = np.array([sum(a * b for a, b in zip(q, w, strict=True)) for w in wide], dtype=object)
+            scores = np.array([_long(sum(a * b for a, b in zip(q, w, strict=True))) for w in wide], dtype=object)
             self._add(j, scores, ids)
 
     def hits(self) -> Iterator[tuple[int, int, int]]:
         for j, (scores, ids) in enumerate(self.best):
             for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                yield int(self.ids[j]), i, max(-_LONG - 1, min(_LONG, int(s)))
+                yield int(self.ids[j]), i, _long(int(s))
 
 
 def suffix_norms(x: np.ndarray, width: int) -> np.ndarray:
@@ -166,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
     A row is no candidate for its own id. Null ids, null vectors and vectors with null or
     non-finite components take no part, vectors meet only vectors of their own length,
     repeated ids count once with their best score, and scores beyond a long are cut to its
-    range. Fewer candidates than k give fewer rows; empty tables give none.
+    range before they are ranked. Fewer candidates than k give fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
     finite = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
