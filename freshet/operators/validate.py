@@ -42,20 +42,30 @@ class Rule:
         return F.when(F.col("event_type").isin(*self.applies_to), out)
 
 
+def decode_rule() -> Rule:
+    """What didn't decode (see sources.events.decode_json); goes before all other rules."""
+    e = F.col("decode_error")
+    return Rule("AvroEventConsumer", lambda: [(e == c, c, None, "the message doesn't decode") for c in ("SCHEMA_MISMATCH", "DESERIALIZE_FAILURE")])
+
+
 def model_rule() -> Rule:
-    """What the event model itself refuses, in the order of its fields."""
+    """What the event model itself refuses: the payload is built before the event around it, and
+    each checks its fields in their order."""
     purchase = F.col("event_type") == PURCHASE
     null = "NULL_REQUIRED_FIELD"
     return Rule("PydanticAdapter", lambda: [
-        (F.coalesce(F.col("user_id"), F.lit("")) == "", null, "user_id", "user_id is empty"),
-        (F.coalesce(F.col("session_id"), F.lit("")) == "", null, "session_id", "session_id is empty"),
         (purchase & (F.coalesce(F.col("product_id"), F.lit("")) == ""), null, "product_id", "product_id is empty"),
         (purchase & (F.coalesce(F.col("quantity"), F.lit(0)) < 1), null, "quantity", "quantity is under 1"),
         (purchase & (F.coalesce(F.col("price_cents"), F.lit(-1)) < 0), null, "price_cents", "price_cents is negative"),
         (purchase & ~F.coalesce(F.col("currency"), F.lit("")).rlike("^[A-Z]{3}$"), null, "currency", "currency is no code of three letters"),
+        (F.coalesce(F.col("user_id"), F.lit("")) == "", null, "user_id", "user_id is empty"),
+        (F.coalesce(F.col("session_id"), F.lit("")) == "", null, "session_id", "session_id is empty"),
     ])
 
 
+# The names of the rules below, the classes and paths of their errors.
+
+
 def required_fields() -> Rule:
     return Rule("RequiredFieldsValidator", lambda: [(F.coalesce(F.col(c), F.lit("")) == "", "NULL_REQUIRED_FIELD", c, f"{c} is empty") for c in ("user_id", "session_id")])
 
@@ -88,6 +98,11 @@ def timestamp_range(now_us: int, ahead_us: int = HOUR_US, behind_us: int = WEEK_
     return Rule("TimestampRangeValidator", lambda: [(t > F.lit(now_us + ahead_us), "OUT_OF_RANGE", "event_timestamp", "event is in the future"), (t < F.lit(now_us - behind_us), "OUT_OF_RANGE", "event_timestamp", "event is too old")])
 
 
+def wire_rules(now_us: int, **bounds) -> list[Rule]:
+    """For decoded messages: decoding, the model, then the six rules."""
+    return [decode_rule(), model_rule(), *default_rules(now_us, **bounds)]
+
+
 def default_rules(now_us: int, **bounds) -> list[Rule]:
     """The six rules in their order."""
     return [required_fields(), event_type_allowlist(bounds.get("allowed", ())), user_id_shape(bounds.get("longest", 256)), price_range(bounds.get("max_price_cents", 1_000_000_000)), quantity_range(1, bounds.get("max_quantity", 10_000)), timestamp_range(now_us)]

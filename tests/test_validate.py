@@ -50,6 +50,19 @@ def test_what_the_model_refuses(spark):
     assert [got[i] for i in range(len(cases))] == [p for _, p in cases]
 
 
+def test_the_payload_is_refused_before_the_event(spark):
+    df = spark.createDataFrame([row(user_id="", price_cents=-1)], SCHEMA)
+    assert validate.tag(df, [validate.model_rule()]).first()["error"]["error_field_path"] == "price_cents"
+
+
+def test_what_does_not_decode_goes_first(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([row(user_id="")], SCHEMA).withColumn("decode_error", F.lit("SCHEMA_MISMATCH"))
+    got = validate.tag(df, validate.wire_rules(NOW)).first()["error"]
+    assert (got["error_class"], got["validator_name"], got["error_field_path"]) == ("SCHEMA_MISMATCH", "AvroEventConsumer", None)
+
+
 def test_an_empty_allowlist_means_all_known(spark):
     df = spark.createDataFrame([row()], SCHEMA)
     assert validate.valid(validate.tag(df, [validate.event_type_allowlist([])])).count() == 1
