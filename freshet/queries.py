@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars
 from .operators import metrics, offline, online, validate, windows
 from .schema import EVENTS_SQL, R1H, R5M, R24H, RESOLUTIONS, events_from_table, online_fields
+from .sources import sinks
 
 #: 2024-01-31 00:00:00 UTC: "now" for the rule on time stamps; a price bound that rejects some.
 NOW_US = 1_706_659_200_000_000
@@ -229,6 +231,39 @@ def total_lag(spark, d):
     return metrics.total_lag(e)
 
 
+def window_ends(spark, d):
+    """The five-minute windows that hold each event."""
+    e = events_from_table(spark, d)
+    return e.select("event_id", windows.pane_index(60).alias("pane"), F.explode(windows.window_ends(R5M)).alias("end_s"))
+
+
+def retention(spark, d):
+    """Dead letters of the last seven days."""
+    t = _tagged(spark, d).where("error is not null").withColumn("at_ms", scalars.epoch_ms(F.col("event_us")))
+    return sinks.retained(t, "at_ms", NOW_US // 1000, 7).select("event_id", "at_ms")
+
+
+def consume_counters(spark, d):
+    """Events per partition as received a constant second after they were made, errors failing."""
+    e = events_from_table(spark, d)
+    late = F.when(F.col("quantity") == 1, F.lit(-1.0)).otherwise(F.col("quantity") * 250.0)
+    p = metrics.percentiles(e.select(late.alias("ms")), "ms")
+    return p.crossJoin(e.agg(F.count("*").alias("consumed"), F.count_if(F.col("event_type") == "ERROR").alias("failed")))  # one row each
+
+
+def message_keys(spark, d):
+    """Keys of dead letters and canonical ids."""
+    e = events_from_table(spark, d)
+    raw = F.upper(F.md5("event_id"))
+    return e.select("event_id", scalars.dlq_key(F.lit("t"), F.substring("user_id", 3, 6).cast("int") % 12, F.col("event_id")).alias("dlq_key"), scalars.canonical_uuid(raw).alias("uuid"), scalars.is_currency(F.col("currency")).alias("currency_ok"))
+
+
+def emission_history(spark, d):
+    """emission_seq of repeated deliveries of records: how often the key came before."""
+    own = emission_keys(spark, d).where("emission_seq = 0").select("idempotency_key").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return metrics.running(own, "idempotency_key", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -236,6 +271,7 @@ QUERIES = {
         validate_tagged, validated_events, dlq_events, invalid_by_class, invalid_by_validator, invalid_by_field_top10, invalid_rate,
         raw_events_dedup, raw_insert_counts, online_vector, online_lookup_zero_fill, online_ttl, online_strings, pit_join, online_offline_diff, freshness,
         partition_skew, latency_percentiles, batch_histogram, lag_ramp, delivery_counters, sink_counters, mp_merge, total_lag,
+        window_ends, retention, consume_counters, message_keys, emission_history,
     )
 }
 
@@ -284,5 +320,10 @@ ORACLE_SQL = {
     "delivery_counters": _with("SELECT count(*) AS produced, count(*) FILTER (event_type NOT IN ('ERROR', 'SIGNUP')) AS acked, count(*) FILTER (event_type = 'ERROR') AS failed, count(*) FILTER (event_type = 'SIGNUP') AS in_flight FROM ev"),
     "sink_counters": _with("SELECT CAST(sum(i) AS BIGINT) AS inserted, CAST(sum(s) AS BIGINT) AS skipped, count(*) AS batches, round(quantile_cont(b, 0.5), 6) AS batch_p50, round(quantile_cont(b, 0.99), 6) AS batch_p99, round(quantile_cont(l, 0.5), 6) AS flush_p50, round(quantile_cont(l, 0.95), 6) AS flush_p95 FROM (SELECT count(*) FILTER (event_type <> 'ERROR') AS i, count(*) FILTER (event_type = 'ERROR') AS s, CAST(count(*) AS DOUBLE) AS b, CAST(max(quantity) AS DOUBLE) AS l FROM ev GROUP BY event_us // 3600000000)"),
     "mp_merge": _with("SELECT CAST(sum(c) AS BIGINT) AS consumed, CAST(sum(f) AS BIGINT) AS failed, max(s) AS seconds, CAST(sum(l) AS BIGINT) AS lag, bool_or(c > 1000000) AS ramped, round(sum(c) / max(s), 6) AS rate, NOT bool_or(c > 1000000) AND sum(f) = 0 AND round(sum(c) / max(s), 6) >= 0.001 AS passes FROM p", f"p AS (SELECT count(*) AS c, count(*) FILTER (event_type = 'ERROR') AS f, (max(event_us) - min(event_us)) / 1e6::DOUBLE AS s, sum(quantity) AS l FROM ev GROUP BY {_PART})"),
+    "window_ends": _with("SELECT event_id, CAST(floor(event_us / 60000000) AS BIGINT) AS pane, unnest([(CAST(floor(event_us / 60000000) AS BIGINT) + k) * 60 FOR k IN range(1, 6)]) AS end_s FROM ev"),
+    "retention": _with(f"SELECT event_id, event_us // 1000 AS at_ms FROM tagged WHERE error_class IS NOT NULL AND event_us // 1000 >= {NOW_US // 1000} - 604800000", _TAGGED),
+    "consume_counters": _with("SELECT round(quantile_cont(quantity * 250.0::DOUBLE, 0.5) FILTER (quantity > 1), 6) AS p50, round(quantile_cont(quantity * 250.0::DOUBLE, 0.95) FILTER (quantity > 1), 6) AS p95, round(quantile_cont(quantity * 250.0::DOUBLE, 0.99) FILTER (quantity > 1), 6) AS p99, count(*) AS consumed, count(*) FILTER (event_type = 'ERROR') AS failed FROM ev"),
+    "message_keys": _with(f"SELECT event_id, 't:' || ({_PART}) || ':' || event_id AS dlq_key, regexp_replace(md5(event_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS uuid, true AS currency_ok FROM ev"),
+    "emission_history": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS emission_seq FROM r, (SELECT unnest([1, 2, 3]) AS n)", f"r AS ({_raw(R1H)})"),
     "total_lag": _with("SELECT CAST(count(*) FILTER (quantity <= 1) AS BIGINT) AS lag FROM ev"),
 }
