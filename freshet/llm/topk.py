@@ -177,7 +177,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
     finite = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     ask = queries.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.col("i").isNotNull() & F.col("v").isNotNull()).where(finite)
     pool = vectors.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    parts = []
+    parts, folder = [], None
     for found in _blocks(ask.orderBy("i", "v"), block):
         seeds = {d: (ids, q, _floors(ids, q, k)) for d, (ids, q) in found.items() if len(ids)}
 
@@ -191,12 +191,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
             yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], pa.int64()) for c in range(3)], names=HITS.names)
 
         parts.append(pool.mapInArrow(search, HITS))
-        if len(parts) >= 8:  # many blocks: what is done goes to files, so that plans stay small
-            path = scratch_path(spark, "topk") if len(parts) == 8 else path  # noqa: F821
+        if len(parts) == 8:  # many blocks: what is done goes to files, so that plans stay small
+            folder = folder or scratch_path(spark, "topk")
             for p in parts:
-                p.write.mode("append").parquet(path)
-            parts = [spark.read.schema(HITS).parquet(path)] + [None] * 7
-            parts = [p for p in parts if p is not None]
+                p.write.mode("append").parquet(folder)
+            parts = []
+    if folder:
+        parts.append(spark.read.schema(HITS).parquet(folder))
     if not parts:
         parts = [spark.createDataFrame([], HITS)]
     hits = parts[0]

@@ -46,6 +46,12 @@ def test_ties_nulls_repeats_and_other_lengths(spark):
     assert got == brute(rows, 10, 100)
 
 
+def test_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i * 50, [float(x) for x in np.float32(rng.normal(size=5))]) for i in range(36)]
+    assert search(spark, [(*r, "x") for r in rows], block=2) == brute(rows, 10, 100)
+
+
 def test_huge_components_are_exact(spark):
     rows = [(i, [float(np.float32(3e30 * (i + 1))), -1.0, 0.5]) for i in range(5)]
     assert search(spark, [(*r, "x") for r in rows]) == brute(rows, 10, 100)
