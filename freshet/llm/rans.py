@@ -67,11 +67,11 @@ class Table:
         self.start = start[:-1]
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
-    def encode(self, symbols: np.ndarray, lanes: int = 512, every: int = 256) -> bytes:
+    def encode(self, symbols: np.ndarray, lanes: int = 2048, every: int = 256) -> bytes:
         """The block as bytes. Every symbol must have a frequency."""
         n = len(symbols)
         crc = zlib.crc32(symbols.astype("<u4").tobytes())
-        lanes = max(1, min(lanes, n))
+        lanes = max(1, min(lanes, n // 64))  # short blocks: few states to store
         if n and not self.freq[symbols].all():
             raise ValueError("a symbol that the table lacks")
         rows = -(-n // lanes) if n else 0
@@ -91,7 +91,8 @@ class Table:
                 words.append(w[::-1])
                 emitted += len(w)
                 x = np.where(out, x >> np.uint64(32), x)
-            state[: len(own)] = ((x // f) << shift) + (x % f) + c
+            q = x // f
+            state[: len(own)] = (q << shift) + (x - q * f) + c
             if r and r % every == 0:
                 marks.append((emitted, state.copy()))
         stream = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)

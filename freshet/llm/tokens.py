@@ -11,9 +11,9 @@ files in ascending order of document id. A data file is a run of blocks and a fo
 The directory is a compressed Arrow stream of document ids and token counts. Blocks hold whole
 documents and are coded independently, so they are decoded in parallel, each by one range read.
 
-Frequencies are counted over all documents. Tokenising is by words: the tokenizer drops white
-space and no token spans it, so each distinct run between ASCII spaces, tabs and line ends is
-tokenised once and then looked up while it is in use (see Recent).
+Frequencies are counted over all documents. Where the tokenizer
+drops white space and no token spans it, each distinct run between ASCII spaces, tabs and line
+ends is tokenised once and then looked up while it is in use (see Words and Recent).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import io
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, scratch_path, spread, struct_of
+from .common import discard, materialize, scratch_path, slices, spread, struct_of
 from .files import RangeReader, locate, written
+from .memo import TOGETHER, Recent
 from .rans import Table, bits_for, normalise
 
-MEMO = 300_000
-LONGEST_MEMO = 64
+MEMO = 400_000
+MARKS = ".,;:!?"
+#: Fixed value: the pre-tokenizer pattern of which the shortcuts of Words are known to be right.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = struct.Struct("<II4s")
 MAGIC = b"FTOK"
 
@@ -45,78 +49,96 @@ FILES = struct_of(("file", T.StringType()), ("part", T.IntegerType()), ("n", T.I
 BLOCKS = struct_of(("file", T.StringType()), ("offset", T.LongType()), ("length", T.LongType()), ("start", T.LongType()))
 
 
-class Recent:
-    """A map that keeps what was looked up lately: up to twice ``MEMO`` entries."""
-
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def find(self, key: str) -> bytes | None:
-        value = self.now.get(key)
-        if value is None and (value := self.older.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.now) >= MEMO:
-            self.now, self.older = {}, self.now
-        self.now[key] = value
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others, in order, for
+    the characters from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(prints)))}
 
 
 class Words:
-    """Ids of texts by way of their runs of non-space text and the pre-tokens in these."""
+    """Ids of texts, by way of their runs of non-space text where the tokenizer allows that.
+
+    It does if it drops white space and parts text by WORD_PATTERN; then a run's ids don't
+    depend on its neighbours, one mark at the end of a word is a token of its own, and, if the
+    tokenizer lower-cases, neither do they on the case of A-Z. Texts of any other tokenizer are
+    tokenised as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs, self.pieces = Recent(), Recent()
-
-    def _whole(self, run: str) -> bytes:
-        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.find(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
-            self.pieces.put(piece, ids)
-        return ids
-
-    def _learn(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of new runs: all go through the tokenizer's normalizer and pre-tokenizer at once."""
-        joined = " ".join(runs)
-        normal = self.tokenizer.normalizer.normalize_str(joined) if self.tokenizer.normalizer else joined
-        parts = normal.split(" ")
-        if len(parts) != len(runs) or any(t in joined for t in self.special):
-            return {r: self._whole(r) for r in runs}
-        out, k, end = [b""] * len(runs), 0, len(parts[0])
-        for piece, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-            while start > end:
-                k += 1
-                end += 1 + len(parts[k])
-            out[k] += self._piece(piece)
-        return dict(zip(runs, out, strict=True))
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        runs = [r for r in (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if r]
-        distinct, get = set(runs), self.runs.now.get
-        own = {r: ids for r in distinct if (ids := get(r)) is not None}
-        new = []
-        for r in distinct - own.keys():
-            ids = self.runs.find(r)
-            if ids is None:
-                new.append(r)
-            else:
-                own[r] = ids
-        for r, ids in self._learn(new).items() if new else ():
-            own[r] = ids
-            if len(r) <= LONGEST_MEMO:
-                self.runs.put(r, ids)
-        return b"".join(map(own.__getitem__, runs))
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        config = json.loads(self.tokenizer.to_str())
+        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [config.get("pre_tokenizer") or {}]
+        self.by_runs = steps[0].get("pattern") == {"Regex": WORD_PATTERN} and steps[0].get("behavior") == "Removed"
+        normal = config.get("normalizer") or {}
+        self.folds = any(n.get("type") == "Lowercase" for n in normal.get("normalizers", [normal]))
+        byte_level = any(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in steps[1:])
+        self.letters = byte_letters() if self.by_runs and normal and len(steps) == 2 and byte_level else None
+        self.runs, self.words = Recent(MEMO), Recent(MEMO)
+        self.marks = dict(zip(MARKS, self._learn(list(MARKS)), strict=True)) if self.by_runs else {}
+
+    def _parts(self, run: str) -> tuple[str, str]:
+        """What to look up for a run: a word, folded, and the mark after it."""
+        word, mark = (run[:-1], run[-1]) if len(run) > 1 and run[-1] in MARKS and run[-2].isalnum() else (run, "")
+        return (word.lower() if self.folds and word.isascii() and word.isalnum() else word), mark
+
+    def _learn(self, runs: list[str]) -> list[bytes]:
+        """Ids of new runs. Words of letters are one pre-token each and go to the model at once;
+        the others are tokenised in one go and dealt out by where each token starts."""
+        out: dict[int, bytes] = {}
+        rest = list(range(len(runs)))
+        if self.letters:
+            words = [i for i in rest if runs[i].isalpha()]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join([runs[i] for i in words])).split(" ") if words else []
+            if len(normal) == len(words) and all(map(str.isalpha, normal)):
+                tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, {2: "H", 4: "I"}[self.dtype.itemsize]
+                for i, word in zip(words, normal, strict=True):
+                    piece = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                    out[i] = array(code, [t.id for t in tokenize(piece)]).tobytes()
+                rest = [i for i in rest if i not in out]
+        if rest:
+            encoded = self.tokenizer.encode(" ".join([runs[i] for i in rest]), add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype=self.dtype)
+            begins = np.fromiter((o[0] for o in encoded.offsets), dtype=np.int64, count=len(ids))
+            ends = np.cumsum(np.fromiter((len(runs[i]) + 1 for i in rest), dtype=np.int64, count=len(rest)))
+            cuts = [0, *(np.searchsorted(begins, ends) * self.dtype.itemsize).tolist()]
+            raw = ids.tobytes()
+            out.update(zip(rest, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        return [out[i] for i in range(len(runs))]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers of as many bytes as the
+        vocabulary needs."""
+        if not self.by_runs:
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            out += self._some(texts[at : at + TOGETHER])
+        return out
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        runs = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        distinct = set().union(*runs)
+        distinct.discard("")
+        own = self.runs.known(distinct)
+        own[""] = b""
+        if len(own) <= len(distinct):
+            left = distinct.difference(own)
+            parts = list(map(self._parts, left))
+            wanted = {w for w, _ in parts}
+            known = self.words.known(wanted)
+            new = sorted(wanted.difference(known))
+            if new:
+                learnt = dict(zip(new, self._learn(new), strict=True))
+                known.update(learnt)
+                self.words.add(learnt)
+            whole = {r: known[w] + self.marks[m] if m else known[w] for r, (w, m) in zip(left, parts, strict=True)}
+            own.update(whole)
+            self.runs.add(whole)
+        return [b"".join(map(own.__getitem__, r)) for r in runs]
 
 
 @lru_cache(maxsize=1)
@@ -126,15 +148,16 @@ def words_of(path: str) -> Words:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and its ids as little-endian unsigned 32-bit integers, end_id last; a null or
-    empty text has the end id only."""
-    schema = struct_of(("doc_id", T.LongType()), ("ids", T.BinaryType()))
+    """doc_id, its ids as little-endian unsigned integers, end_id last, and the bytes an id takes;
+    a null or empty text has the end id only."""
+    schema = struct_of(("doc_id", T.LongType()), ("ids", T.BinaryType()), ("width", T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = words_of(tokenizer), struct.pack("<I", end_id)
-        for batch in batches:
-            ids = [words.ids(s) + end for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=schema.names)
+        words = words_of(tokenizer)
+        end, width = np.array([end_id], dtype=words.dtype).tobytes(), words.dtype.itemsize
+        for batch in slices(batches):
+            ids = [x + end for x in words.ids(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], names=schema.names)
 
     return docs.select(F.col(id).cast("long"), text).mapInArrow(run, schema)
 
@@ -145,9 +168,11 @@ def count_ids(tokens: DataFrame, most: int = 1 << 20) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+        for batch in slices(batches):
+            widths = batch.column(1).to_pylist()
+            for width in set(widths):
+                raw = b"".join([x for x, w in zip(batch.column(0).to_pylist(), widths, strict=True) if w == width])
+                own = np.bincount(np.frombuffer(raw, f"<u{width}"))
                 if len(own) > most:
                     raise ValueError(f"an id beyond {most}")
                 if len(own) > len(n):
@@ -156,7 +181,7 @@ def count_ids(tokens: DataFrame, most: int = 1 << 20) -> np.ndarray:
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, struct_of(("id", T.LongType()), ("n", T.LongType()))).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids", "width").mapInArrow(run, struct_of(("id", T.LongType()), ("n", T.LongType()))).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, dtype=np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -255,7 +280,7 @@ def read_footer(files: RangeReader, uri: str) -> dict:
     return json.loads(footer)
 
 
-def write_files(tokens: DataFrame, folder: str, block: int = 1 << 18, most: int = 128 << 20) -> DataFrame:
+def write_files(tokens: DataFrame, folder: str, block: int = 1 << 20, most: int = 128 << 20) -> DataFrame:
     """Write tokens (doc_id, ids) in ascending order of doc_id (nulls first, repeated ids by
     their ids) and return the files, one row each."""
     spark = tokens.sparkSession
@@ -264,9 +289,9 @@ def write_files(tokens: DataFrame, folder: str, block: int = 1 << 18, most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, crc = load_table(folder)
         writer = FileWriter(folder, TaskContext.get().partitionId(), table, crc, block, most)
-        for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer.add(name, np.frombuffer(ids, "<u4"))
+        for batch in slices(batches):
+            for name, ids, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                writer.add(name, np.frombuffer(ids, f"<u{width}").astype(np.uint32))
         done = writer.end()
         types = (pa.string(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names=FILES.names)
