@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spread, struct_of
+from .common import materialize, slices, spread, struct_of
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 PREFIXES = (3, 4, 5, 6)
-MEMO = 500_000
+MEMO = 200_000
 
 
 def token_features(token: str) -> list[str]:
@@ -251,7 +251,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = chain.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             p = [scorer.probabilities(s) for s in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in p], pa.float64()) for i in range(len(names)))], names=schema.names)
 
