@@ -11,7 +11,9 @@ all that can be equal:
    that hold its run; together these span its *context*.
 2. Anchors with equal hash and equal context are copies: all but the earliest are decided
    (copies in the same batch before anything is shuffled, the others where their hash meets).
-   Anchors whose hash occurs with one context only need nothing more.
+   Anchors whose hash occurs with one context only need nothing more. A hash that has a crowd of
+   contexts in a batch is dealt out by context; a marker goes to where the hash's other anchors
+   meet, and opens them.
 3. What is left, the earliest copies of differing contexts, is split in two halves: strings
    reaching far to the left of the run and strings reaching far to the right, keyed by the run
    and the bytes on that side, so that a frequent run with ever other neighbours falls apart.
@@ -42,6 +44,8 @@ U = np.uint64
 PART = 4 << 20
 #: Contexts of one hash in a batch from which on they are dealt out by context too.
 CROWD = 64
+#: Flags of anchors; a marker is no anchor but tells the part of a hash that there are crowds of it.
+CROWDED, MARKER = 1, 2
 RUNS = struct_of(("doc", T.LongType()), ("row", T.LongType()), ("first", T.IntegerType()), ("last", T.IntegerType()))
 
 
@@ -278,7 +282,12 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, parts: int) -> DataFra
             for part in range(parts):
                 some = order[bounds[part] : bounds[part + 1]]
                 if len(some):
-                    rows.append((0, part, _pack(doc[some], row[some], at[some], size[some], h[some].view(np.int64), c[some].view(np.int64), crowd[some])))
+                    rows.append((0, part, _pack(doc[some], row[some], at[some], size[some], h[some].view(np.int64), c[some].view(np.int64), crowd[some] * CROWDED)))
+            crowds = np.unique(h[crowd])
+            for part in np.unique(crowds % U(parts)).tolist():
+                some = crowds[crowds % U(parts) == part]
+                no = np.zeros(len(some), np.int64)
+                rows.append((0, part, _pack(no, no, no, no, some.view(np.int64), no, no + MARKER)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -295,7 +304,7 @@ def _unpack(blob: bytes, full: bool):
     columns = 4 if full else 2
     wide = np.frombuffer(blob, "<i8", n * columns, 8).reshape(columns, n)
     narrow = np.frombuffer(blob, "<i4", 2 * n, 8 + wide.nbytes).reshape(2, n)
-    flags = np.frombuffer(blob, np.uint8, n, 8 + wide.nbytes + narrow.nbytes).astype(bool) if full else None
+    flags = np.frombuffer(blob, np.uint8, n, 8 + wide.nbytes + narrow.nbytes) if full else None
     return wide, narrow, flags
 
 
@@ -329,7 +338,13 @@ def _meet(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
         if not held:
             return
         wide, narrow, flags = zip(*(_unpack(b, True) for b in held), strict=True)
-        wide, narrow, crowd = np.concatenate(wide, axis=1), np.concatenate(narrow, axis=1).astype(np.int64), np.concatenate(flags)
+        wide, narrow, flags = np.concatenate(wide, axis=1), np.concatenate(narrow, axis=1).astype(np.int64), np.concatenate(flags)
+        crowded = np.unique(wide[2, flags == MARKER]).view(U)
+        if len(crowded):
+            wide, narrow, flags = (x[..., flags != MARKER] for x in (wide, narrow, flags))
+        if not len(flags):
+            return
+        crowd = flags == CROWDED
         doc, row, (h, c) = wide[0], wide[1], wide[2:].view(U)
         at, size = narrow
         if len(held) > 1:
@@ -343,7 +358,7 @@ def _meet(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
         high = np.maximum.reduceat(cs, np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]))
         several = np.zeros(len(h), bool)
         several[part] = (low != high)[group]
-        open_ = (several | crowd) & ~copy
+        open_ = (several | crowd | np.isin(h, crowded)) & ~copy
         first, last = _strings(at[copy], size[copy], length, gram)
         n, m = int(copy.sum()), int(open_.sum())
         yield pa.RecordBatch.from_arrays(

@@ -299,6 +299,24 @@ def test_suffix_dedup_equals_brute_force(spark, part):
     assert got == slow_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("lone", [1, 900])
+def test_suffix_dedup_finds_a_lone_copy_of_a_crowd(spark, lone):
+    """One batch has many contexts of a line, another batch a single one, before or after."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    lines = [noise(int(n)) for n in rng.integers(100, 160, 12)]
+    rows = [(100 + i, "".join(noise(180) + x for x in lines) + noise(180)) for i in range(70)]
+    alone = [(lone, "".join(noise(180) + x for x in lines) + noise(180))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([rows, alone], 2).flatMap(list), "doc_id long, text string")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.repeated(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == slow_repeats(rows + alone, 100)
+
+
 def test_suffix_dedup_of_documents_and_of_nothing(spark):
     rows = documents(spark)
     df = spark.createDataFrame(rows, "doc_id long, text string")
