@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, spread, struct_of
+from .common import discard, materialize, slices, spread, struct_of
 from .components import components
 
 SEED = 42
@@ -312,20 +312,152 @@ def bits_apart(similarity: float, bits: int = 128, deviations: float = 0.6) -> i
     return int(np.floor(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
 
 
+def shingle_sets(docs: DataFrame, words: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, hashes: the sorted distinct XXH3-64 of the shingles; none for a wordless text."""
+    schema = struct_of(("doc_id", T.LongType()), ("hashes", T.ArrayType(T.LongType())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(s.as_py(), words)), dtype=np.uint64).view(np.int64)) for s in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
+
+    return docs.select(F.col(id).cast("long"), text).mapInArrow(run, schema)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the hashes that fall on it: two sets' differ in no more bits
+    than the sets have elements that the other lacks."""
+    return np.packbits(np.bincount(hashes.view(np.uint64) >> np.uint64(55), minlength=512).astype(np.uint8) & 1)
+
+
+def _prefixes(nodes: DataFrame, similarity: float, common: list[int]) -> DataFrame:
+    """token, node for the first hashes of each set, the common ones being last in order: sets
+    of that similarity share one of these. Tokens of one node only are dropped."""
+    schema = struct_of(("token", T.LongType()), ("node", T.LongType()))
+    last = np.array(sorted(common), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = []
+            for hashes in batch.column(1):
+                h = hashes.values.to_numpy()
+                own.append(h[np.argsort(np.isin(h, last), kind="stable")][: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1])
+            node = np.repeat(batch.column(0).to_numpy(), list(map(len, own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node)], names=schema.names)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last row, of which it isn't known yet whether its token goes on
+        same = False  # whether its token is that of the row before it
+        for batch in batches:
+            token, node = (c.to_numpy() for c in batch.columns)
+            if rest is not None:
+                token, node = np.r_[rest[0], token], np.r_[rest[1], node]
+            if not len(token):
+                continue
+            equal = token[1:] == token[:-1]
+            keep = np.r_[same, equal][:-1] | equal
+            yield pa.RecordBatch.from_arrays([pa.array(token[:-1][keep], pa.int64()), pa.array(node[:-1][keep], pa.int64())], names=schema.names)
+            rest, same = (token[-1:], node[-1:]), bool(np.r_[same, equal][-1])
+        if same:
+            yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1])], names=schema.names)
+
+    sent = nodes.where("size(hashes) > 0").select("node", "hashes").mapInArrow(run, schema)
+    return sent.repartition(spread(nodes.sparkSession), "token").sortWithinPartitions("token").mapInArrow(shared, schema)
+
+
+def _sketches(nodes: DataFrame) -> DataFrame:
+    """node, n, bits: the size and the parity bits of each set."""
+    schema = struct_of(("node", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [h.values.to_numpy() for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(h).tobytes() for h in sets], pa.binary())], names=schema.names)
+
+    return nodes.select("node", "hashes").mapInArrow(run, schema)
+
+
+def may_be_similar(n: np.ndarray, bits: np.ndarray, i: int, similarity: float) -> np.ndarray:
+    """Whether sets may be as similar as that to set i; false for none that is."""
+    low, high = np.minimum(n, n[i]), np.maximum(n, n[i])
+    apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+    return (low >= similarity * high - 1e-6) & (apart <= (n + n[i]) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
+def _pairs(posts: DataFrame, similarity: float, hub: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes that share a token, may be similar and aren't in one component yet:
+    with one member of each token (picked by the number hub), or all of them."""
+    schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
+
+    def ready(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, n, root = (np.array([r[i] for r in held], dtype=np.int64) for i in (1, 2, 4))
+        bits = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(-1, 8)
+        if (root == root[0]).all():
+            return
+        one = [int(np.argmin((node * 2 + 1) * (0x9E3779B97F4A7C15 >> (hub + 1) | 1)))] if hub is not None else range(len(node))
+        for i in one:
+            there = np.flatnonzero((root != root[i]) & ((node > node[i]) | (hub is not None)))
+            there = there[may_be_similar(np.r_[n[there], n[i]], np.r_[bits[there], bits[i : i + 1]], -1, similarity)[:-1]]
+            if len(there):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[there], node[i])), pa.array(np.maximum(node[there], node[i]))], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in slices(batches, 4096):
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and r[0] != held[0][0]:
+                    if len(held) > 1:
+                        yield from ready(held)
+                    held = []
+                held.append(r)
+        if len(held) > 1:
+            yield from ready(held)
+
+    dealt = posts.select("token", "node", "n", "bits", "root").repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "node")
+    return dealt.mapInArrow(run, schema).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have that Jaccard similarity or more."""
+    left, right = (nodes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("n"))
+    return both.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id for every row: groups of documents whose shingles of ``words`` words
-    are similar by ``similarity`` or more.
+    have a Jaccard similarity of ``similarity`` or more, or that such documents connect.
 
-    So similar texts differ in far more bits than balls of 64 bits can span. So the signature
-    has 128 bits, cut into four keys of 32; documents meet whose keys differ by at most 4 bits
-    in one of them (96 of 100 pairs at a similarity of 0.8, all but a few in 10,000 at 0.9), and
-    are linked by the whole signature (see bits_apart). Equal signatures are one class.
+    Equal sets are one class. Sets so similar share one of the first few hashes in any common
+    order; of the pairs that do, those whose sizes or parity bits rule it out are left out, and
+    the others are verified by their sets. Each hash's nodes are first compared with one of them,
+    twice, then with all that they aren't connected to yet, so that no pair is missed. The order
+    puts hashes last that are common in a sample, which changes the work, not the result.
     """
-    prints = materialize(signatures(docs, words, id, text), "signatures")
-    prints = prints.withColumn("key", F.xxhash64("s0", "s1"))
-    nodes = materialize(prints.select(F.col("key").alias("node"), "s0", "s1").distinct(), "signature-classes")
-    edges = ball_edges(nodes, 4, 32, 2, bits_apart(similarity))
-    out = with_components(prints.select("doc_id", "key"), "key", edges)
+    spark = docs.sparkSession
+    sets = materialize(shingle_sets(docs, words, id, text).withColumn("key", F.xxhash64("hashes")), "sets")
+    nodes = materialize(sets.groupBy(F.col("key").alias("node")).agg(F.first("hashes").alias("hashes")), "set-classes")
+    every = max(1, nodes.count() // 10_000)
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("hashes").alias("h"))
+    common = [r["h"] for r in sample.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(100_000).collect()]
+    keys = materialize(sets.select("doc_id", "key"), "keys")
+    discard(sets, spark)
+    posts = materialize(_prefixes(nodes, similarity, common), "prefixes")
+    near = materialize(nodes.join(posts.select("node").distinct(), "node", "left_semi"), "near-classes")
+    discard(nodes, spark)
+    sketches = materialize(_sketches(near), "sketches")
+    edges = None
+    roots = sketches.withColumn("root", F.col("node"))
+    for hub in (0, 1, None):
+        rooted = posts.join(roots, "node")
+        found = materialize(_verified(_pairs(rooted, similarity, hub), near, similarity), "links")
+        edges = found if edges is None else edges.union(found)
+        if hub is not None:
+            roots = sketches.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = with_components(keys, "key", edges)
+    discard(posts, spark)
+    discard(near, spark)
     return out.select("doc_id", "component_id")
 
 

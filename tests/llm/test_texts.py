@@ -127,6 +127,27 @@ def test_similar_groups_find_edited_copies_and_leave_others(spark):
     assert sum(got[1000 + i] == i for i in range(40)) >= 39 and all(got[i] == i for i in range(40))
 
 
+def test_similar_groups_equal_all_pairs(spark):
+    """Copies edited so that similarities lie on both sides of 0.8."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.integers(5000)}" for _ in range(120)]
+        rows.append((10 * i, " ".join(w)))
+        for j in range(1, 4):
+            at = rng.choice(120, int(rng.integers(1, 8)), replace=False)
+            rows.append((10 * i + j, " ".join("edited" if k in at else x for k, x in enumerate(w))))
+    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: rows[r][0] for (d, _), r in zip(rows, root)}
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd, simhash.similar_groups(odd))
     assert kept.columns == odd.columns
