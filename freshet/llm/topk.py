@@ -5,8 +5,8 @@ each block is matched against all rows in one parallel pass. A task holds its ca
 vertical layout, one row of the matrix per dimension, and adds up scores one block of
 dimensions after another. After each block the candidates whose score so far plus the bound
 on the remaining dimensions (product of the remaining norms, Cauchy-Schwarz) stays below the
-query's k-th best score are compacted away. That k-th best score starts from the block's own
-rows, which are candidates too, and rises while the task goes on.
+query's k-th best score are compacted away. That k-th best score rises while the task goes on;
+where the queries are known to be rows of the table, it starts from the block's own rows.
 
 Scores are integers held in doubles; they are exact below 2**53. Where components are too
 large for that, Python integers do the same work.
@@ -165,13 +165,15 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[dict[int, tuple[np.ndarr
         yield ready()
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = 4096, width: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = 4096, width: int = 8, within: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of highest integer inner product.
 
     A row is no candidate for its own id. Null ids, null vectors and vectors with null or
     non-finite components take no part, vectors meet only vectors of their own length,
     repeated ids count once with their best score, and scores beyond a long are cut to its
     range before they are ranked. Fewer candidates than k give fewer rows; empty tables give none.
+
+    within: all queries are rows of vectors, so that their own scores are bounds to start from.
     """
     spark = vectors.sparkSession
     finite = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -179,7 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
     pool = vectors.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
     parts, folder = [], None
     for found in _blocks(ask.orderBy("i", "v"), block):
-        seeds = {d: (ids, q, _floors(ids, q, k)) for d, (ids, q) in found.items() if len(ids)}
+        seeds = {d: (ids, q, _floors(ids, q, k) if within else np.full(len(ids), -np.inf)) for d, (ids, q) in found.items() if len(ids)}
 
         def search(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             states = {d: BlockSearch(ids, q, k, floor, width) for d, (ids, q, floor) in seeds.items()}
@@ -211,7 +213,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
 def op1_exact_top_k(spark, sf_dir: str) -> DataFrame:
     """The 10 best partners of every vector whose id is divisible by 100, among all rows."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+    return top_k(rows, rows.where(F.col("vec_id") % 100 == 0), within=True)
 
 
 OP1_SQL = """

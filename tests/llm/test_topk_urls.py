@@ -46,6 +46,14 @@ def test_ties_nulls_repeats_and_other_lengths(spark):
     assert got == brute(rows, 10, 100)
 
 
+def test_queries_of_another_table(spark):
+    """The queries score higher with each other than with any row."""
+    rows = spark.createDataFrame([(i, [0.01 * i, 0.5]) for i in range(30)], "vec_id long, embedding array<double>")
+    ask = spark.createDataFrame([(1000 + i, [9.0, 9.0 + i]) for i in range(20)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(rows, ask, k=3).collect()}
+    assert got == {(1000 + i, j + 1, 29 - j) for i in range(20) for j in range(3)}
+
+
 def test_many_blocks(spark):
     rng = np.random.default_rng(8)
     rows = [(i * 50, [float(x) for x in np.float32(rng.normal(size=5))]) for i in range(36)]
