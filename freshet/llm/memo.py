@@ -6,13 +6,17 @@ from __future__ import annotations
 TOGETHER = 8
 #: Longer keys aren't kept.
 LONGEST_MEMO = 64
+#: Bytes that an entry takes besides its characters, about: two object heads and a place in the map.
+ENTRY = 180
 
 
 class Recent:
-    """A map that keeps what was looked up lately: up to twice ``most`` entries."""
+    """A map that keeps what was looked up lately, in about ``most`` bytes: half of it new, half
+    of it what was new before."""
 
     def __init__(self, most: int):
-        self.most = most
+        self.most = most // 2
+        self.held = 0
         self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -27,6 +31,10 @@ class Recent:
         return found
 
     def add(self, entries: dict[str, bytes]) -> None:
-        if len(self.now) + len(entries) > self.most:
-            self.now, self.older = {}, self.now
-        self.now.update(entries if max(map(len, entries), default=0) <= LONGEST_MEMO else {k: v for k, v in entries.items() if len(k) <= LONGEST_MEMO})
+        if max(map(len, entries), default=0) > LONGEST_MEMO:
+            entries = {k: v for k, v in entries.items() if len(k) <= LONGEST_MEMO}
+        size = len(entries) * ENTRY + sum(map(len, entries)) + sum(map(len, entries.values()))
+        if self.held + size > self.most:
+            self.now, self.older, self.held = {}, self.now, 0
+        self.now.update(entries)
+        self.held += size

@@ -34,7 +34,8 @@ from .common import slices, struct_of
 from .memo import TOGETHER, Recent
 
 SPACE = "▁"
-MEMO, PAIRS = 200_000, 400_000
+#: Bytes of each of the two memos of a worker, about; pairs of pieces that are remembered.
+MEMO, PAIRS = 40 << 20, 200_000
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 UNKNOWN_SURFACE = " ⁇ "
@@ -332,17 +333,26 @@ def _array(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """Adds the ids of every row's text; null and empty texts have none. A column of docs with
-    the name of ids is replaced; repeated rows are encoded alike."""
-    docs = docs.drop(*[c for c in (ids,) if c in docs.columns])
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    the name of ids is replaced; repeated rows are encoded alike.
+
+    round_trip: a column, if named, that says whether decoding the ids gives the text again
+    (a null text counts as empty). It is found out where the ids are made, by the same codec, so
+    that a task needs one worker with one model.
+    """
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
+    docs = docs.drop(*[f.name for f in more if f.name in docs.columns])
+    schema = T.StructType([*docs.schema.fields, *more])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, _array(codec.encode(batch.column(at).to_pylist()))], names=schema.names)
+            texts = batch.column(at).to_pylist()
+            rows = codec.encode(texts)
+            same = [pa.array([codec.decode(x) == (s or "") for x, s in zip(rows, texts, strict=True)], pa.bool_())] if round_trip else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, _array(rows), *same], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

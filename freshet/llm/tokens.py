@@ -38,7 +38,7 @@ from .files import RangeReader, locate, written
 from .memo import TOGETHER, Recent
 from .rans import Table, bits_for, normalise
 
-MEMO = 400_000
+MEMO = 128 << 20
 MARKS = ".,;:!?"
 #: Fixed value: the pre-tokenizer pattern of which the shortcuts of Words are known to be right.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
