@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -15,13 +16,17 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local mode) a temporary folder of this machine is chosen and set.
+    The cluster names it in ``spark.checkpoint.dir``; only in local mode, where that is unset, a
+    temporary folder of this machine is chosen and set. On a cluster that would be seen by one
+    machine alone, so there it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = getattr(spark.sparkContext, "_freshet_shared", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.sparkContext.setCheckpointDir(where)
         spark.sparkContext._freshet_shared = where
@@ -69,6 +74,33 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Shares of a group that are looked at on their own.
+SALTS = 64
+
+
+def with_minimum(rows: DataFrame, by: str, value: str, name: str, salt: Sequence[str]) -> DataFrame:
+    """rows with the least value of their group, null where all are null; rows with a null group
+    are dropped.
+
+    A group may hold a large share of all rows: it is dealt out over SALTS tasks by a hash of
+    the columns of salt, both for its minimum and for handing that back, and what meets under the
+    group alone is at most SALTS rows.
+    """
+    dealt = rows.where(F.col(by).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+    shares = dealt.groupBy(by, "_salt").agg(F.min(value).alias("_least"))
+    groups = shares.groupBy(by).agg(F.min("_least").alias(name))
+    back = shares.select(by, "_salt").join(groups, by)
+    return dealt.join(back, [by, "_salt"]).drop("_salt")
+
+
+def free_name(taken: Sequence[str], name: str) -> str:
+    """name, or that with underscores in front, so that it isn't one of taken (whatever case)."""
+    own = {c.lower() for c in taken}
+    while name.lower() in own:
+        name = "_" + name
+    return name
+
+
 def struct_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 

@@ -1,9 +1,10 @@
 """Connected components of a graph given as a table of edges.
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in
-MapReduce and Beyond"): every step is a grouped minimum and one join on a node, so that no
-component ever meets in one task, however large it is; the number of rounds grows with the
-logarithm of the size. Each round ends in files in the shared folder.
+MapReduce and Beyond"): every step is a grouped minimum that is handed to the rows of its group.
+Neither a component nor the neighbours of one node ever meet in one task, however many they
+are: a node's edges are dealt out over many tasks (see with_minimum). The number of rounds grows
+with the logarithm of the size. Each round ends in files in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, with_minimum
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -34,12 +35,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         if not before[0]:
             break
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = F.least("m", "a")
+        large = with_minimum(both, "a", "b", "m", ["b"]).where("b > a").select(F.col("b").alias("a"), least.alias("b")).where("a <> b").distinct()
         # of the node's smaller neighbours all but the smallest, and the node, go to the smallest
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        done = materialize(small.union(least).distinct(), "edges")
+        small = with_minimum(large, "a", "b", "m", ["b"])
+        small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        done = materialize(small.distinct(), "edges")
         after = _mark(done)
         discard(edges, spark)
         edges, same = done, after == before

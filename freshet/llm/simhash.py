@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, slices, spread, struct_of
+from .common import discard, free_name, materialize, slices, spread, struct_of, with_minimum
 from .components import components
 
 SEED = 42
@@ -270,9 +270,11 @@ def with_components(prints: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """Adds component_id, the smallest doc_id of the classes that the links between the values of
     key connect; null ids have no part in that minimum."""
     classes = prints.groupBy(key).agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(components(edges).withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select(key, "root").join(least, "root").select(key, "component_id"), key)
+    linked = classes.join(components(edges).withColumnRenamed("node", key), key, "left")
+    alone = linked.where("root is null").select(key, F.col("least").alias("component_id"))
+    together = with_minimum(linked.where("root is not null"), "root", "least", "component_id", [key]).select(key, "component_id")
+    # the classes are a table of their own: then only documents of a large class are split
+    return prints.join(materialize(alone.union(together), "classes"), key)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -461,15 +463,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     return out.select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those whose id isn't the smallest of their group; rows without an
-    id stay, and of rows that repeat an id one does."""
+    id stay, and of rows alike in id and text one does.
+
+    Rows that share an id but not the text are documents of their own. Where they are in
+    different groups, the id goes only if it is the smallest of none of them.
+    """
     groups = materialize(groups, "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
-    if repeated:
-        kept = kept.where(F.col(id).isNotNull()).dropDuplicates([id]).unionByName(kept.where(F.col(id).isNull()))
+    own = groups.where("doc_id is not null").groupBy("doc_id")
+    ids = materialize(own.agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "ids")
+    gone = free_name(docs.columns, "_gone")
+    kept = docs.join(ids.where("not stays").select(F.col("doc_id").alias(gone)), F.col(id) == F.col(gone), "left_anti")
+    if ids.where("n > 1").limit(1).count():
+        kept = kept.where(F.col(id).isNotNull()).dropDuplicates([id, text]).unionByName(kept.where(F.col(id).isNull()))
     return kept
 
 
