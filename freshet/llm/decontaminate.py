@@ -1,15 +1,18 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-Words of documents and of benchmark items are hashed, runs of ``k`` words (k-grams) get one
-hash each, and of every ``window - k + 1`` k-grams in a row the least hash is kept: the
-fingerprint of that window of ``window`` words. Windows with equal words have equal
-fingerprints, so every shared span of at least ``window`` words shares one. Fingerprints are
-joined first (few match), then each match is extended to the words of its whole window, which
-are compared word by word with the item's, by a join on the words themselves. An item shorter
-than ``window`` words is one window of its own length with one fingerprint.
-
-The benchmark's fingerprints and windows are broadcast only if there are at most
-``most_broadcast`` of them; otherwise the same joins shuffle.
+Words of documents and of benchmark items are hashed, and runs of ``k`` words (k-grams) get one
+hash each. Of the k-grams of every ``window`` words in a row the least hash is picked, the last
+one of equal ones; a fingerprint is emitted only where the pick changes, so that several windows
+in a row share one. Windows with equal words pick equal k-grams at equal offsets, so every shared
+span of at least ``window`` words shares a fingerprint.
+
+Fingerprints of documents are joined with those of the items (few match). A match is extended
+to all windows that may share its pick, and their words are compared with the items' windows, by
+a join on the words themselves. An item shorter than ``window`` words is one window of its own
+length, its fingerprint the hash of all its words.
+
+The items' fingerprints and windows are broadcast only if they take at most ``most_broadcast``
+bytes; otherwise the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import free_name, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All that parts words, given that A-Z count as letters: everything in ASCII but 0-9, A-Z, a-z.
@@ -30,76 +33,95 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), lambda w: w != ""), lowered)
 
 
-def winnow(h: Column, at: Column, window: int, k: int) -> Column:
-    """The fingerprint of the ``window`` words from position at on; h: hashes of the words.
+def grams(h: Column, k: int) -> Column:
+    """The hash of every run of k words; h: hashes of the words. None if there are fewer."""
+    each = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+    return F.when(F.size(h) >= k, each).otherwise(F.array().cast("array<bigint>"))
 
-    Written out per window (its k-grams are hashed anew in each), as this compiles to plain
-    code over the array, unlike lambdas over arrays of k-grams.
-    """
-    grams = [F.xxhash64(*(F.get(h, at + (j + i)) for i in range(k))) for j in range(window - k + 1)]
-    return F.least(*grams) if len(grams) > 1 else grams[0]
+
+def picked(g: Column, at: Column, n: int) -> Column:
+    """The least of the n k-grams from ``at`` on, as one number: its hash, but in the last bits
+    how many of the n come after it (so that the last of equal ones is least)."""
+    keep = F.lit(-1 << _bits(n)).cast("long")
+    own = [F.get(g, at + j).bitwiseAND(keep).bitwiseOR(F.lit(n - 1 - j).cast("long")) for j in range(n)]
+    return F.least(*own) if n > 1 else own[0]
+
+
+def _bits(n: int) -> int:
+    return (n - 1).bit_length()
+
+
+def _key(pick: Column, n: int) -> Column:
+    return pick.bitwiseAND(F.lit(-1 << _bits(n)).cast("long"))
 
 
-def keys_of(h: Column, at: Column, n: Column, window: int, k: int, lengths: list[int]) -> Column:
-    """The fingerprint by the length of the window; that of a shorter one is one k-gram."""
-    out = None
-    for m in lengths:
-        own = winnow(h, at, m, k if m == window else m)
-        out = F.when(n == m, own) if out is None else out.when(n == m, own)
-    return F.lit(None).cast("long") if out is None else out
+def _place(pick: Column, at: Column, n: int) -> Column:
+    """Where the picked k-gram of the window at ``at`` lies."""
+    return at + (n - 1) - pick.bitwiseAND(F.lit((1 << _bits(n)) - 1).cast("long")).cast("int")
 
 
 def item_windows(items: DataFrame, id: str, text: str, window: int, k: int) -> DataFrame:
-    """n, key, words, items: the distinct windows of all items with the ids they occur in."""
+    """n, key, span, items: the distinct windows of all items (span: the words, space-joined), the
+    fingerprint of each and the ids of the items it occurs in."""
     w = items.select(F.col(id).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(window)))
     at = w.select("item", "w", "n", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("at"))
     own = at.select("item", "n", F.slice("w", F.col("at") + 1, F.col("n")).alias("w"))  # n >= 1
-    return own.groupBy("n", "w").agg(F.collect_set("item").alias("items"))
+    whole = own.groupBy("n", "w").agg(F.collect_set("item").alias("items"))
+    slots = window - k + 1
+    key = F.when(F.col("n") == window, _key(picked(F.col("g"), F.lit(0), slots), slots))
+    for m in range(1, window):
+        key = key.when(F.col("n") == m, F.xxhash64(*(F.get("h", F.lit(j)) for j in range(m))))
+    hashed = whole.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("g", grams(F.col("h"), k))
+    return hashed.select("n", key.alias("key"), F.array_join("w", " ").alias("span"), "items")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = 32 << 20) -> DataFrame:
     """For every row of docs: id, n_words, n_hit, n_items, items (sorted as strings), hits.
 
     A word is hit if a window of an item occurs at it; hits are the spans of words (from, to),
     ascending. Null texts have no words, items without words have no windows; null ids and
-    repeated rows are kept as they are, rows of one id being looked at by their own texts.
+    repeated rows are kept as they are, rows of one id being looked at by their own texts. An
+    item without an id hits words but isn't counted.
     """
     windows = materialize(item_windows(items, item_id, item_text, window, k), "windows")
-    stats = windows.groupBy("n").count().collect()  # at most ``window`` rows
+    stats = windows.groupBy("n").agg(F.sum(F.octet_length("span") + 16 * F.size("items") + 64).alias("bytes")).collect()  # at most ``window`` rows
     lengths = sorted((r["n"] for r in stats), reverse=True)
-    hash_all = F.transform("w", lambda x: F.xxhash64(x))
-    keyed = windows.select("n", let(hash_all, lambda h: keys_of(h, F.lit(0), F.col("n"), window, k, lengths)).alias("key"), F.array_join("w", " ").alias("span"), "items")
-    known = keyed.select(F.col("key").alias("_key")).distinct()
+    small = sum(r["bytes"] for r in stats) <= most_broadcast
+    maybe = F.broadcast if small else lambda df: df
+    known = maybe(windows.select("n", "key").distinct())
 
     split = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), words(F.col(text)).alias("w"))
-    # a row for each window, and one of length 0 that carries the document
-    spread_out = split.select("doc_id", "_row", "w", hash_all.alias("h"), F.explode(F.array(*map(F.lit, [*lengths, 0]))).alias("n"))
-    there = F.when(F.col("n") == 0, F.array(F.lit(-1))).when(F.size("h") >= F.col("n"), F.sequence(F.lit(0), F.size("h") - F.col("n"))).otherwise(F.array().cast("array<int>"))
-    rows = spread_out.select("doc_id", "_row", "w", "h", "n", F.explode(there).alias("at"))
-    rows = rows.withColumn("key", keys_of(F.col("h"), F.col("at"), F.col("n"), window, k, lengths))
-    span = F.when(F.col("n") > 0, F.array_join(F.slice("w", F.col("at") + 1, F.greatest("n", F.lit(1))), " "))
-    n_words = F.when(F.col("n") == 0, F.size("w").cast("long")).alias("n_words")
-    if sum(r["count"] for r in stats) <= most_broadcast:
-        met = rows.join(F.broadcast(known), F.col("key") == F.col("_key"), "left").where("n = 0 or _key is not null")
-        met = met.select("doc_id", "_row", "n", "at", n_words, span.alias("span"))
-        keyed = F.broadcast(keyed.select("n", "span", "items"))
+    rows = split.select("doc_id", "_row", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    rows = rows.select("doc_id", "_row", "w", "h", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).where(F.size("h") >= F.col("n"))
+    slots, n, at = window - k + 1, F.col("n"), F.col("at")
+    g = F.when(n == window, grams(F.col("h"), k))
+    for m in (x for x in lengths if x < window):
+        g = g.when(n == m, grams(F.col("h"), m))
+    rows = rows.select("doc_id", "_row", "w", "n", g.alias("g"))  # in a step before: a generator's other columns are worked out per row
+    rows = rows.select("doc_id", "_row", "w", "n", "g", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
+    now, before = picked(F.col("g"), at, slots), picked(F.col("g"), at - 1, slots)
+    rows = rows.where((n < window) | (at == 0) | (_place(now, at, slots) != _place(before, at - 1, slots)))
+    rows = rows.withColumn("key", F.when(n == window, _key(now, slots)).otherwise(F.get("g", at)))
+    if small:
+        met = rows.join(known, ["n", "key"]).select("doc_id", "_row", "w", "n", "at")
     else:  # the words travel only for documents that have a match
-        light = rows.where("n > 0").select("doc_id", "_row", "n", "at", "key").join(known, F.col("key") == F.col("_key"), "left_semi")
+        light = rows.select("doc_id", "_row", "n", "at", "key").join(known, ["n", "key"], "left_semi")
         places = light.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_set(F.struct("n", "at")).alias("places"))
-        back = split.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-        carrier = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at")))
-        met = back.select("doc_id", "_row", "w", F.inline(F.concat(carrier, F.coalesce("places", F.array().cast("array<struct<n:int,at:int>>")))))
-        met = met.select("doc_id", "_row", "n", "at", n_words, span.alias("span"))
-        keyed = keyed.select("n", "span", "items")
-    hits = met.join(keyed, ["n", "span"], "left").where("n = 0 or items is not null")
-    joined = hits.groupBy("doc_id", "_row").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum(F.when(F.col("n") == 0, 1)).alias("copies"),
-        F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to"))))).alias("spans"),
+        back = split.dropDuplicates(["doc_id", "_row"]).join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
+        met = back.select("doc_id", "_row", "w", F.inline("places"))
+    # the windows that may share the pick
+    last = F.when(n == window, F.least(at + (slots - 1), F.size("w") - n)).otherwise(at)
+    met = met.select("doc_id", "_row", "w", "n", F.explode(F.sequence(at, last)).alias("at"))
+    met = met.select("doc_id", "_row", "n", "at", F.array_join(F.slice("w", at + 1, n), " ").alias("span"))
+    hits = met.join(maybe(windows.select("n", "span", "items")), ["n", "span"])
+    found = hits.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(
+        F.sort_array(F.collect_set(F.struct(at.alias("from"), (at + n).alias("to")))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))  # repeated rows
+    # documents without a hit never travel but for their id and number of words
+    total = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    joined = total.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     hit = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(s["from"], a["end"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -116,8 +138,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6
 def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs in which no window of an item occurs. An id is judged by all its rows;
     rows without an id are kept."""
-    bad = contaminated(docs, items, id=id, text=text, **how).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id) == F.col("_bad"), "left_anti")
+    name = free_name(docs.columns, "_bad")
+    bad = contaminated(docs, items, id=id, text=text, **how).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(id) == F.col(name), "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
