@@ -18,10 +18,10 @@ meets at most three rows a role, however many parts a text has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import free_name, let, materialize
 
 #: The patterns, the group that holds the value and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,20 +45,23 @@ def positions(text: Column, regex: str, fits=None) -> Column:
     """Spans (start, end in code points) of the leftmost non-overlapping matches.
 
     The text between the matches and the matches themselves give the positions as running
-    sums, summed in chunks so that a text full of matches doesn't copy ever longer arrays.
+    sums, summed in chunks so that a text full of matches doesn't copy ever longer arrays; a
+    chunk starts from the sums of the chunks before it.
     fits(match): which matches count.
     """
 
     def sums(steps: Column) -> Column:
         width = lambda a, s: a + s["gap"] + s["size"]
 
-        def chunk(c: Column) -> Column:
-            base = F.aggregate(F.slice(steps, F.lit(1), c * _CHUNK), F.lit(0), width)
+        def chunk(before: Column, c: Column) -> Column:
+            base = F.aggregate(F.slice(before, F.lit(1), c), F.lit(0), lambda a, n: a + n)
             start = F.struct(base.alias("at"), _no_spans().alias("out"))
             add = lambda a, s: F.struct(width(a["at"], s).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), width(a["at"], s).alias("end")))).alias("out"))
             return F.aggregate(F.slice(steps, c * _CHUNK + 1, _CHUNK), start, add, lambda a: a["out"])
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), chunk))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int"))
+        sizes = F.transform(chunks, lambda c: F.aggregate(F.slice(steps, c * _CHUNK + 1, _CHUNK), F.lit(0), width))
+        return F.flatten(let(sizes, lambda before: F.transform(chunks, lambda c: chunk(before, c))))
 
     def located(matches: Column) -> Column:
         gaps = lambda pieces: F.transform(matches, lambda m, i: F.struct(F.char_length(F.get(pieces, i)).alias("gap"), F.char_length(m).alias("size")))
@@ -152,23 +155,41 @@ def scan(docs: DataFrame, scope: int = 400, id: str = "doc_id", text: str = "tex
     return joined.select("doc_id", "row", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
 
 
-def redact(docs: DataFrame, scope: int = 400, mask: str = "[REDACTED]", id: str = "doc_id", text: str = "text") -> DataFrame:
+def stretches(found: DataFrame) -> DataFrame:
+    """doc_id, row and the stretches (from, to) that the spans of each text cover, ascending; spans
+    that overlap or touch are one. A span begins a stretch if it starts behind all ends so far."""
+    spans = found.select("doc_id", "row", F.array_distinct(F.concat("base", "added")).alias("spans")).where("size(spans) > 0")
+    each = spans.groupBy("doc_id", "row").agg(F.first("spans").alias("spans")).select("doc_id", "row", F.inline("spans"))
+    in_order = Window.partitionBy("doc_id", "row").orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = each.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    numbered = fresh.withColumn("n", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = numbered.groupBy("doc_id", "row", "n").agg(F.min("start").alias("from"), F.max("end").alias("to"))
+    return whole.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("stretches"))
+
+
+def redact(docs: DataFrame, scope: int = 400, mask: str = "[REDACTED]", id: str = "doc_id", text: str = "text", few: int = 64) -> DataFrame:
     """docs with every finding in the text replaced by the mask; findings that overlap or touch
-    are one. Rows, ids and all other columns stay; a null text stays null."""
-    found = scan(docs, scope, id, text).withColumn("spans", F.array_sort(F.concat("base", "added"))).where("size(spans) > 0")
-    found = found.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.first("spans").alias("_spans"))
-    joined = docs.join(found, F.col(id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_r")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(a: Column, s: Column) -> Column:
-        here = F.greatest(a["at"], s["start"])
-        between = F.substring(F.col(text), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        new = (s["start"] > a["at"]) | (a["at"] == 0)
-        out = F.concat(a["out"], F.when(new, F.concat(between, F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(here, s["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate("_spans", start, add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2**31 - 1))))
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
+    are one. Rows, ids and all other columns stay; a null text stays null.
+
+    A text with up to ``few`` stretches is cut by substrings, each of which walks from the text's
+    start; one with more by its characters, so that a text full of findings takes linear time.
+    """
+    d, r, cuts = (free_name(docs.columns, c) for c in ("_d", "_r", "_cuts"))
+    found = stretches(scan(docs, scope, id, text)).select(F.col("doc_id").alias(d), F.col("row").alias(r), F.col("stretches").alias(cuts))
+    joined = docs.join(found, F.col(id).eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(r)), "left")
+    whole = F.col(text)
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["to"])
+    end = F.element_at(cuts, -1)["to"]
+    short = F.concat(F.array_join(F.transform(cuts, lambda s, i: F.substring(whole, begin(i) + 1, s["from"] - begin(i))), mask), F.lit(mask), F.substring(whole, end + 1, F.lit(2**31 - 1)))
+
+    def by_characters(c: Column) -> Column:
+        kept = F.transform(cuts, lambda s, i: F.array_join(F.slice(c, begin(i) + 1, s["from"] - begin(i)), ""))
+        return F.concat(F.array_join(kept, mask), F.lit(mask), F.array_join(F.slice(c, end + 1, F.size(c)), ""))
+
+    long = let(F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0)), by_characters)
+    masked = F.when(F.col(cuts).isNull(), whole).when(F.size(cuts) <= few, short).otherwise(long)
+    return joined.withColumn(text, masked).select(*docs.columns)
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
