@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch_path, spread, struct_of
+from .common import materialize, scratch_path, spread, struct_of, with_minimum
 from .files import RangeReader, written
 
 #: Fixed values of the ZIP format: signatures and the sizes of its fixed parts.
@@ -234,13 +234,18 @@ def write_packages(pages: DataFrame, folder: str, id: str = "page_id", url: str
 
     A null body is the empty payload. A repeated row whose id is the smallest of its payload is
     a response each time. A null id takes part in nothing but its own response record.
+
+    Which pages are revisits is decided on ids and digests alone, those of one payload dealt out
+    over many tasks; payloads then meet that decision by their page's id and digest, or, if the
+    revisits are few enough for Spark to broadcast them, stay where they are.
     """
     payload = F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long = F.octet_length("payload") >= least
-    first = rows.where(long & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    marked = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).select("page_id", "url", "payload", "digest", "refers_to")
+    known = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", F.unhex("digest").alias("key"))
+    first = with_minimum(known, "key", "page_id", "refers_to", ["page_id"]).where("refers_to < page_id").distinct()
+    first = materialize(first.select("page_id", F.lower(F.hex("key")).alias("digest"), "refers_to"), "revisits")
+    marked = rows.join(first, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = PackageWriter(folder, f"part-{TaskContext.get().partitionId():06d}", most)
