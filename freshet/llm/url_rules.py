@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import struct_of
+from .common import free_name, struct_of
 
 TOKEN = "[A-Za-z0-9%]+"
 _TOKEN = re.compile(TOKEN)
+#: Where rules are joined: shares of a token's URLs, and rules that may be tried on all URLs.
+SHARES, MOST_LOOSE = 16, 10_000
 
 
 @dataclass(frozen=True)
@@ -51,16 +53,17 @@ def site_rule(verdict: str, host: str, path: str, tier: int = 1) -> Rule:
     return Rule(host + path, verdict, f"||{host}{path}", tier)
 
 
-def to_regex(pattern: str) -> str:
-    """The pattern as a regular expression that Python and Java read alike."""
+def to_regex(pattern: str, end: str = r"\Z") -> str:
+    """The pattern as a regular expression; ``end`` is how its dialect writes the very end of a
+    text (a ``$`` would also match before a final line break)."""
     body, head, tail = pattern, "", ""
     if body.startswith("||"):
         head, body = r"^(?:[^/]*\.)?", body[2:]
     elif body.startswith("|"):
         head, body = "^", body[1:]
     if body.endswith("|"):
-        tail, body = "$", body[:-1]
-    parts = {"*": r"[\s\S]*", "^": r"(?:[^A-Za-z0-9%_.-]|$)"}
+        tail, body = end, body[:-1]
+    parts = {"*": r"[\s\S]*", "^": rf"(?:[^A-Za-z0-9%_.-]|{end})"}
     return head + "".join(parts.get(c) or (c if c.isalnum() and c.isascii() else re.escape(c)) for c in body) + tail
 
 
@@ -82,14 +85,8 @@ def with_subject(urls: DataFrame, url: str = "url") -> DataFrame:
     u = F.coalesce(F.col(url), F.lit(""))
     rest = F.when(F.instr(u, "://") > 0, F.regexp_replace(u, r"^[\s\S]*?://", "")).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    after = F.expr("substring(_rest, length(_rawhost) + 1)")
-    return (
-        urls.withColumn("_rest", rest)
-        .withColumn("_rawhost", host)
-        .withColumn("path", F.regexp_extract(after, r"^([^?#]*)", 1))
-        .withColumn("host", F.translate("_rawhost", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-        .drop("_rest", "_rawhost")
-    )
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return urls.withColumns({"path": path, "host": F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")})
 
 
 def token_counts(subjects: DataFrame, wanted: Iterable[str]) -> dict[str, int]:
@@ -172,23 +169,28 @@ def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", default: str
 def _judge_by_join(subjects: DataFrame, index: dict[str, list[Rule]], rest: list[Rule], default: str) -> DataFrame:
     """As judge(), for rule sets too large to travel with a task."""
     spark = subjects.sparkSession
-    filed = [(t, r) for t, rules in index.items() for r in rules] + [(None, r) for r in rest]
-    # the rank as one sortable string: tier, length, block first, then the smaller name
-    rows = [(t, to_regex(r.pattern), r.name, r.verdict, r.tier, len(r.name), int(r.verdict == "block")) for t, r in filed]
-    table = spark.createDataFrame(rows, "token string, regex string, rule string, verdict string, tier int, size int, blocks int")
-    keyed = subjects.withColumn("_row", F.struct(*subjects.columns))
-    subject = F.concat("_row.host", "_row.path")
-    looked = keyed.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(F.concat("host", "path"), F.lit(TOKEN), F.lit(0)))).alias("token"))
-    found = looked.join(table.where("token is not null"), "token").where(F.expr("concat(_row.host, _row.path) rlike regex"))
-    for regex, rule, verdict, tier, n, blocks in ((to_regex(r.pattern), r.name, r.verdict, r.tier, len(r.name), int(r.verdict == "block")) for r in rest):
-        more = keyed.select("_row", F.lit(None).cast("string").alias("token"), F.lit(regex).alias("regex"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(tier).alias("tier"), F.lit(n).alias("size"), F.lit(blocks).alias("blocks"))
-        found = found.unionByName(more.where(subject.rlike(regex)))
-    order = F.struct(F.col("tier"), F.col("size"), F.col("blocks"))
-    best = found.groupBy("_row").agg(F.max(order).alias("_top"), F.collect_set(F.struct(order.alias("o"), "rule", "verdict")).alias("_all"))
-    best = best.withColumn("_win", F.array_min(F.transform(F.filter("_all", lambda x: x["o"] == F.col("_top")), lambda x: F.struct(x["rule"], x["verdict"]))))
-    best = best.select(F.col("_row").alias("_k"), F.col("_win.rule").alias("rule"), F.col("_top.tier").alias("tier"), F.col("_win.verdict").alias("verdict"))
-    out = keyed.select("_row").join(best, F.col("_row").eqNullSafe(F.col("_k")), "left")
-    return out.select("_row.*", "rule", "tier", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    java = lambda r: to_regex(r.pattern, r"\z")
+    listed = [(t, java(r), r.name, r.verdict, r.tier, len(r.name), int(r.verdict == "block")) for t, rules in index.items() for r in rules]
+    listed += [(None, java(r), r.name, r.verdict, r.tier, len(r.name), int(r.verdict == "block")) for r in rest]
+    table = spark.createDataFrame(listed, "token string, regex string, rule string, verdict string, tier int, size int, blocks int")
+    # equal subjects are judged once; a frequent token's subjects are dealt out, its rules go to all shares
+    subject = subjects.select(F.concat("host", "path").alias("s")).distinct()
+    tokens = F.array_distinct(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0)))
+    looked = subject.select("s", F.pmod(F.xxhash64("s"), F.lit(SHARES)).cast("int").alias("share"), F.explode(tokens).alias("token"))
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    filed = table.where("token is not null").select("*", shares)
+    found = looked.join(filed, ["token", "share"]).where(F.expr("s rlike regex")).drop("token", "share")
+    loose = table.where("token is null").drop("token")
+    if rest:  # rules without a token are few (they are tried on every subject) and checked to be
+        if len(rest) > MOST_LOOSE:
+            raise ValueError(f"{len(rest)} rules have no usable token; {MOST_LOOSE} at most can be tried on every URL")
+        found = found.unionByName(subject.join(F.broadcast(loose), F.expr("s rlike regex")))
+    # tier, then the longer name, block first, then the smaller name
+    order = F.struct(-F.col("tier"), -F.col("size"), -F.col("blocks"), F.col("rule"))
+    best = found.groupBy("s").agg(F.min_by(F.struct("rule", "tier", "verdict"), order).alias("won"))
+    won = free_name(subjects.columns, "_won")
+    out = subjects.join(best.select(F.col("s").alias(won + "s"), F.col("won").alias(won)), F.concat("host", "path") == F.col(won + "s"), "left")
+    return out.select(*subjects.columns, F.col(f"{won}.rule").alias("rule"), F.col(f"{won}.tier").alias("tier"), F.coalesce(F.col(f"{won}.verdict"), F.lit(default)).alias("verdict"))
 
 
 #: The site rules of the op6 query (verdict, host, path).
