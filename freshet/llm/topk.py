@@ -1,15 +1,15 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-Queries are taken in blocks of ``block`` rows (the only vectors that ever reach the driver);
-each block is matched against all rows in one parallel pass. A task holds its candidates in
+Queries are taken in blocks of ``block`` rows (the only vectors that ever reach the driver), up
+to eight of which share a job; each is matched against all rows in one parallel pass. A task holds its candidates in
 vertical layout, one row of the matrix per dimension, and adds up scores one block of
 dimensions after another. After each block the candidates whose score so far plus the bound
 on the remaining dimensions (product of the remaining norms, Cauchy-Schwarz) stays below the
 query's k-th best score are compacted away. That k-th best score rises while the task goes on;
 where the queries are known to be rows of the table, it starts from the block's own rows.
 
-Scores are integers held in doubles; they are exact below 2**53. Where components are too
-large for that, Python integers do the same work.
+Scores are integers held in doubles; they are exact below 2**53. Those vectors whose components
+are too large for that are scored by Python integers; the others of their batch aren't.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from pyspark.sql import types as T
 from .common import scratch_path, struct_of
 
 SCALE = 1024
+#: Queries whose first block of dimensions is scored together; larger components go apart.
+TILE, LARGE = 128, 2.0**20
+#: Components of a block of queries.
+MOST_VALUES = 1 << 20
 _LONG = 2**63 - 1
 HITS = struct_of(("query_id", T.LongType()), ("vec_id", T.LongType()), ("score", T.LongType()))
 
@@ -67,8 +71,9 @@ def _top(scores, ids, k: int):
     return scores[first[:k]], ids[first[:k]]
 
 
-def _safe(q: np.ndarray, x: np.ndarray) -> bool:
-    return not q.size or not x.size or float(np.abs(q).max()) * float(np.abs(x).max()) * len(q) < 2.0**52
+def _safe(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each column of x whether doubles hold its scores with all of q exactly."""
+    return np.abs(x).max(axis=0, initial=0.0) * (float(np.abs(q).max(initial=0.0)) * max(1, len(q))) < 2.0**52
 
 
 class BlockSearch:
@@ -82,15 +87,19 @@ class BlockSearch:
         self.touched = 0
 
     def feed(self, ids: np.ndarray, x: np.ndarray) -> None:
+        safe = _safe(self.q, x)
+        if not safe.all():
+            self._feed_big(ids[~safe], x[:, ~safe])
+            ids, x = ids[safe], np.ascontiguousarray(x[:, safe])
         if not len(ids):
             return
-        if not _safe(self.q, x):
-            return self._feed_big(ids, x)
         cuts = list(range(0, max(1, len(x)), self.width))
         rest = suffix_norms(x, self.width)
-        first = self.q[: self.width].T @ x[: self.width]
+        first = np.zeros((0, len(ids)))
         for j in range(len(self.ids)):
-            score, alive = first[j], None
+            if j % TILE == 0:  # the first block is scored for some queries at a time
+                first = self.q[: self.width, j : j + TILE].T @ x[: self.width]
+            score, alive = first[j % TILE], None
             for b, cut in enumerate(cuts):
                 if b:
                     block = x[cut : cut + self.width]
@@ -137,19 +146,20 @@ def suffix_norms(x: np.ndarray, width: int) -> np.ndarray:
 def _floors(ids: np.ndarray, q: np.ndarray, k: int, of: int = 1024) -> np.ndarray:
     """A k-th best score that each query is sure to reach: among up to ``of`` of the block."""
     floor = np.full(len(ids), -np.inf)
-    if len(np.unique(ids)) == len(ids) and _safe(q, q):
-        scores = q.T @ q[:, :of]
-        scores[np.arange(min(of, len(ids))), np.arange(min(of, len(ids)))] = -np.inf
-        if scores.shape[1] > k:
-            floor = np.partition(scores, -k, axis=1)[:, -k]
+    if len(ids) > k and len(np.unique(ids)) == len(ids) and _safe(q, q).all():
+        for at in range(0, len(ids), of):
+            scores = q[:, at : at + of].T @ q[:, :of]
+            if at == 0:
+                np.fill_diagonal(scores, -np.inf)
+            floor[at : at + of] = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else -np.inf
     return floor
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Blocks of queries in id order; the driver holds one at a time. Of rows that repeat a
-    query id the smallest vector asks."""
+    """Blocks of queries in id order, of ``block`` rows or, if wide, MOST_VALUES components; the
+    driver holds one at a time. Of rows that repeat a query id the smallest vector asks."""
     rows: list = []
-    last = None
+    last, held = None, 0
 
     def ready():
         return quantized(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())))
@@ -157,21 +167,22 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[dict[int, tuple[np.ndarr
     for r in queries.toLocalIterator(prefetchPartitions=False):
         if r[0] != last:
             rows.append(r)
-            last = r[0]
-        if len(rows) == block:
+            last, held = r[0], held + len(r[1])
+        if len(rows) == block or held >= MOST_VALUES:
             yield ready()
-            rows = []
+            rows, held = [], 0
     if rows:
         yield ready()
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = 4096, width: int = 8, within: bool = False) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", block: int = 8192, width: int = 8, within: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of highest integer inner product.
 
     A row is no candidate for its own id. Null ids, null vectors and vectors with null or
     non-finite components take no part, vectors meet only vectors of their own length,
     repeated ids count once with their best score, and scores beyond a long are cut to its
-    range before they are ranked. Fewer candidates than k give fewer rows; empty tables give none.
+    range before they are ranked. Finite components beyond 2**1013, which no double holds times
+    1024, count as non-finite. Fewer candidates than k give fewer rows; empty tables give none.
 
     within: all queries are rows of vectors, so that their own scores are bounds to start from.
     """
@@ -181,15 +192,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
     pool = vectors.select(F.col(id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
     parts, folder = [], None
     for found in _blocks(ask.orderBy("i", "v"), block):
-        seeds = {d: (ids, q, _floors(ids, q, k) if within else np.full(len(ids), -np.inf)) for d, (ids, q) in found.items() if len(ids)}
+        seeds = []
+        for d, (ids, q) in found.items():
+            large = np.abs(q).max(axis=0, initial=0.0) > LARGE
+            for some in (~large, large):
+                if some.any():
+                    own = np.ascontiguousarray(q[:, some])
+                    seeds.append((d, ids[some], own, _floors(ids[some], own, k) if within else np.full(int(some.sum()), -np.inf)))
 
         def search(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            states = {d: BlockSearch(ids, q, k, floor, width) for d, (ids, q, floor) in seeds.items()}
+            states = [(d, BlockSearch(ids, q, k, floor, width)) for d, ids, q, floor in seeds]
             for batch in batches:
                 for d, (ids, x) in quantized(batch.column(0), batch.column(1)).items():
-                    if d in states:
-                        states[d].feed(ids, x)
-            hits = [h for s in states.values() for h in s.hits()]
+                    for wide, state in states:
+                        if wide == d:
+                            state.feed(ids, x)
+            hits = [h for _, s in states for h in s.hits()]
             yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], pa.int64()) for c in range(3)], names=HITS.names)
 
         parts.append(pool.mapInArrow(search, HITS))
