@@ -12,6 +12,10 @@ that the labelled rows lack; and a few shapes of the whole text. Only features w
 differs between the classes by at least ``min_z`` standard errors are kept, at most
 ``max_features`` a category, which bounds the model. Texts are always read whole.
 
+Out-of-fold means that nothing of a fold is used for its predictions: neither for the weights
+nor for the choice of features. Folds are dealt out by a hash of the text, so that exact copies
+are in one fold.
+
 The models are fitted on at most ``sample`` labelled rows (the documented bound), chosen by a
 hash of their id; everything else covers all rows.
 """
@@ -24,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,55 +147,69 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, l2: float, folds: int) -> np.ndarray:
-    """For each row the prediction of a model that hasn't seen its fold."""
-    fold = np.arange(len(y)) % folds
+def out_of_fold(x: np.ndarray, y: np.ndarray, l2: float, fold: np.ndarray, columns=None) -> np.ndarray:
+    """For each row the prediction of a model that hasn't seen its fold; columns(fold): the inputs
+    that may be used for that fold (all, if not given)."""
     p = np.zeros(len(y))
-    for k in range(folds):
+    for k in np.unique(fold).tolist():
+        own = x if columns is None else x[:, columns(k)]
         seen = fold != k
-        if (~seen).any():
-            p[~seen] = _predict(x[~seen], fit_logistic(x[seen], y[seen], l2))
+        if seen.any():
+            p[~seen] = _predict(own[~seen], fit_logistic(own[seen].astype(float), y[seen], l2))
+        else:
+            p[~seen] = y.mean()
     return p
 
 
-def select_features(labelled: DataFrame, text: str, categories: Sequence[str], max_features: int, min_z: float) -> dict[str, list[str]]:
-    """For each category the features whose presence tells its classes apart best.
+def select_features(labelled: DataFrame, text: str, categories: Sequence[str], max_features: int, min_z: float, folds: int = 0) -> dict[tuple[str, int | None], list[str]]:
+    """For each category the features whose presence tells its classes apart best: by all rows
+    (category, None) and, but for the last category, without each of the folds (category, fold),
+    given by the column ``_fold``.
 
-    Counted over all rows of labelled, in a distributed way; only the chosen ones, at most
-    max_features a category, come to the driver.
+    Counted over all rows of labelled in one pass, in a distributed way; only the chosen ones, at
+    most max_features a choice, come to the driver.
     """
     k = len(categories)
-    schema = struct_of(("feature", T.StringType()), *((f"n{i}_{v}", T.LongType()) for i in range(k) for v in (0, 1)))
+    counts = [f"n{i}_{v}" for i in range(k) for v in (0, 1)]
+    schema = struct_of(("feature", T.StringType()), ("fold", T.IntegerType()), *((c, T.LongType()) for c in counts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, list[int]] = {}
-        for batch in batches:
-            labels = [batch.column(c).to_pylist() for c in range(1, k + 1)]
-            for r, s in enumerate(batch.column(0).to_pylist()):
+        n: dict[tuple[str, int], list[int]] = {}
+        for batch in slices(batches):
+            labels = [batch.column(c).to_pylist() for c in range(2, k + 2)]
+            for r, (s, fold) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 hit = [2 * i + int(labels[i][r]) for i in range(k) if labels[i][r] is not None]
-                for f in text_features(s):
-                    row = n.get(f)
+                for f in text_features(s) if hit else ():
+                    row = n.get((f, fold))
                     if row is None:
-                        row = n[f] = [0] * (2 * k)
+                        row = n[f, fold] = [0] * (2 * k)
                     for h in hit:
                         row[h] += 1
-        names = [f for f, row in n.items() if any(row)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([n[f][c] for f in names], pa.int64()) for c in range(2 * k))], names=schema.names)
-
-    totals = labelled.agg(*(F.sum(F.when(F.col(c) == v, 1).otherwise(0)).alias(f"t{i}_{v}") for i, c in enumerate(categories) for v in (0, 1))).first()
-    sums = [F.sum(c).alias(c) for c in schema.names[1:]]
-    seen = labelled.select(text, *categories).mapInArrow(count, schema).groupBy("feature").agg(*sums)
-    out = {}
-    for i, c in enumerate(categories):
-        none, some = totals[f"t{i}_0"] or 0, totals[f"t{i}_1"] or 0
-        if not none or not some:
-            out[c] = []
-            continue
-        a, b = F.col(f"n{i}_1") / F.lit(float(some)), F.col(f"n{i}_0") / F.lit(float(none))
-        pooled = (F.col(f"n{i}_1") + F.col(f"n{i}_0") + 1) / F.lit(float(some + none + 2))
-        z = (a - b) / F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1 / some + 1 / none))
-        best = seen.withColumn("z", z).where(F.abs("z") >= min_z).orderBy(F.desc(F.abs("z")), F.length("feature"), "feature").limit(max_features)
-        out[c] = [r["feature"] for r in best.select("feature").collect()]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in n], pa.string()), pa.array([x for _, x in n], pa.int32()), *(pa.array([row[c] for row in n.values()], pa.int64()) for c in range(2 * k))], names=schema.names)
+
+    label = lambda i, v: F.sum(F.when(F.col(categories[i]) == v, 1).otherwise(0))
+    of_fold = {r["_fold"]: r for r in labelled.groupBy("_fold").agg(*(label(i, v).alias(f"n{i}_{v}") for i in range(k) for v in (0, 1))).collect()}
+    total = {c: sum(r[c] for r in of_fold.values()) for c in counts}
+    without = lambda c, f: total[c] - (of_fold[f][c] if f in of_fold else 0)
+    choices = [(i, f) for i in range(k) for f in (None, *(range(folds) if i < k - 1 else ()))]
+    choices = [(i, f) for i, f in choices if without(f"n{i}_0", f) and without(f"n{i}_1", f)]
+    sums = [F.sum(c).alias(c) for c in counts] + [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(folds) for c in counts]
+    seen = labelled.select(text, "_fold", *categories).mapInArrow(count, schema).groupBy("feature").agg(*sums)
+
+    def z(i: int, f: int | None):
+        none, some = without(f"n{i}_0", f), without(f"n{i}_1", f)
+        of = lambda c: F.col(c) if f is None else F.col(c) - F.col(f"{c}_{f}")
+        a, b = of(f"n{i}_1"), of(f"n{i}_0")
+        pooled = (a + b + 1) / F.lit(float(some + none + 2))
+        return (a / F.lit(float(some)) - b / F.lit(float(none))) / F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1 / some + 1 / none))
+
+    out: dict[tuple[str, int | None], list[str]] = {(c, f): [] for c in categories for f in (None, *range(folds))}
+    if choices:
+        scored = seen.select("feature", F.posexplode(F.array(*(F.abs(z(i, f)) for i, f in choices))).alias("choice", "z")).where(F.col("z") >= min_z)
+        rank = F.row_number().over(Window.partitionBy("choice").orderBy(F.desc("z"), F.length("feature"), "feature"))
+        for r in scored.withColumn("rank", rank).where(F.col("rank") <= max_features).orderBy("choice", "rank").collect():
+            i, f = choices[r["choice"]]
+            out[categories[i], f].append(r["feature"])
     return out
 
 
@@ -201,31 +219,32 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], text: str = "text"
     Null texts count as empty; a row whose label is null is left out of that category's model
     only. Without rows of both classes a category gets probability 0 (or 1) throughout.
     """
-    labelled = labelled.select(id, text, *categories)
+    labelled = labelled.select(id, text, *categories).withColumn("_fold", F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int"))
     if labelled.count() > sample:
         some = labelled.select(id).distinct().orderBy(F.xxhash64(id), id).limit(sample)
         labelled = labelled.join(F.broadcast(some), id, "left_semi")
-    chosen = select_features(labelled, text, categories, max_features, min_z)
+    chosen = select_features(labelled, text, categories, max_features, min_z, folds)
     names = sorted({f for fs in chosen.values() for f in fs})
     ids = {f: i for i, f in enumerate(names)}
     stub = Chain([Link("", dict.fromkeys(names, 0.0), [], 0.0)])
+    k = len(categories)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = stub.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             active = [sorted(scorer.active(s)) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i + 2).cast(pa.int32()) for i in range(len(categories))), pa.array(active, pa.list_(pa.int32()))], names=["id", *categories, "active"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i + 2).cast(pa.int32()) for i in range(k + 1)), pa.array(active, pa.list_(pa.int32()))], names=["id", *categories, "_fold", "active"])
 
-    schema = struct_of(("id", labelled.schema[id].dataType), *((c, T.IntegerType()) for c in categories), ("active", T.ArrayType(T.IntegerType())))
+    schema = struct_of(("id", labelled.schema[id].dataType), *((c, T.IntegerType()) for c in (*categories, "_fold")), ("active", T.ArrayType(T.IntegerType())))
     rows = labelled.mapInArrow(encode, schema).collect()  # at most sample rows of a few ids each
     rows.sort(key=lambda r: (r["id"] is None, r["id"], r["active"]))
-    x = np.zeros((len(rows), len(names)))
+    x = np.zeros((len(rows), len(names)), dtype=np.uint8)
     for r, row in enumerate(rows):
         x[r, row["active"]] = 1
+    fold = np.array([row["_fold"] for row in rows], dtype=np.int64)
     chain, earlier = Chain(), np.zeros((len(rows), 0))
     for c in categories:
-        own = [ids[f] for f in chosen[c]]
-        inputs = np.hstack([x[:, own], earlier])
+        own = [ids[f] for f in chosen[c, None]]
         there = np.array([row[c] is not None for row in rows], dtype=bool)
         y = np.array([row[c] or 0 for row in rows], dtype=float)
         if len(set(y[there])) < 2:
@@ -233,11 +252,14 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], text: str = "text"
             chain.links.append(Link(c, {}, [0.0] * earlier.shape[1], 40.0 if sure else -40.0))
             earlier = np.hstack([earlier, np.full((len(rows), 1), float(sure))])
             continue
+        inputs = np.hstack([x[:, own], earlier])
         w = fit_logistic(inputs[there], y[there], l2)
-        chain.links.append(Link(c, {f: float(v) for f, v in zip(chosen[c], w, strict=False)}, [float(v) for v in w[len(own) : -1]], float(w[-1])))
-        p = _predict(inputs, w)
-        p[there] = out_of_fold(inputs[there], y[there], l2, folds)
-        earlier = np.hstack([earlier, p[:, None]])
+        chain.links.append(Link(c, {f: float(v) for f, v in zip(chosen[c, None], w, strict=False)}, [float(v) for v in w[len(own) : -1]], float(w[-1])))
+        if len(chain.links) < k:  # a later model needs inputs as unreliable as those it will get
+            p = _predict(inputs, w)
+            last = list(range(len(names), len(names) + earlier.shape[1]))
+            p[there] = out_of_fold(np.hstack([x, earlier])[there], y[there], l2, fold[there], lambda f, c=c: [ids[n] for n in chosen[c, f]] + last)  # noqa: B023
+            earlier = np.hstack([earlier, p[:, None]])
     return chain
 
 
