@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op6_url_filters": url_rules.OP6_SQL,
     "op7_secrets": secrets.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op9_suffix_dedup": suffixes.OP9_SQL,
 }

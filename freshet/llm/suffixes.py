@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 from .common import materialize, slices, spread, struct_of
 
 U = np.uint64
-#: Bytes of text in a suffix array, about.
-PART = 4 << 20
+#: Bytes of text in a suffix array, about: its arrays take some hundred times as many bytes.
+PART = 1 << 20
 #: Contexts of one hash in a batch from which on they are dealt out by context too.
 CROWD = 64
 #: Flags of anchors; a marker is no anchor but tells the part of a hash that there are crowds of it.
@@ -538,3 +538,19 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Bytes of documents covered by strings of 100 bytes that start earlier too."""
     found = repeated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: The strings themselves, sorted: for tables that fit one machine.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, p, b[p + 1:p + 100] AS k FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+l AS (SELECT doc_id, p FROM (SELECT doc_id, p, rank() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM s) WHERE r > 1),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM l)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, i),
+e AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM r),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z, string_agg(hex(b[y + 1:a]), '' ORDER BY a) AS h FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(h, '') || hex(b[coalesce(z, 0) + 1:n]))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
