@@ -12,9 +12,11 @@ sequence is the merges' result exactly if that holds for every two neighbours, a
 prefix of a text there is one such sequence; neighbours are judged by merging just the two
 (remembered per pair). Characters that no piece has become byte pieces, or the unknown id.
 
-Between two characters that stand side by side in no piece all paths meet. Texts are cut there
-and the ids of a part remembered while it is in use: first at spaces and line ends, if the
-model lets them part everything, and parts met for the first time wherever else it holds.
+Between two characters that stand side by side in no piece all paths meet, whatever else the
+text holds. These boundaries need no search: a whole text is committed at each of them, at spaces
+and line ends first, if the model lets them part everything, and inside of parts met for the first
+time wherever else it holds. Between two such boundaries the search runs as described, and its ids
+are remembered while the part is in use.
 """
 
 from __future__ import annotations
@@ -160,6 +162,7 @@ class Stream:
         self.best: list[tuple[float, int, str] | None] = [(0.0, -1, "")]  # score, from, piece
         self.before = ""  # the last committed piece
         self.widest = 1  # characters held at most so far
+        self.commits = 0  # boundaries up to which ids were committed while reading
 
     def feed(self, text: str) -> Iterator[str]:
         """Pieces committed while reading text."""
@@ -230,6 +233,7 @@ class Stream:
                 i = self.best[i][1]
             meet = min(meet, i)
         if meet > 0:
+            self.commits += 1
             yield from self._take(meet)
 
     def _take(self, end: int) -> Iterator[str]:
