@@ -1,8 +1,14 @@
 """Sliding windows by shared panes.
 
-Events are aggregated once per user and pane (one slide long); a pane's partial aggregate is
-then copied to the ends of the windows it lies in. So what is multiplied is panes, not events,
-and a hot user shrinks to its panes by partial aggregation before any shuffle.
+Events are aggregated once per user, product and pane (one slide long), so that a hot user
+shrinks by partial aggregation before anything is shuffled. These partial aggregates are then
+dealt out by user and *chunk*, a stretch of time that a window's end lies in; each goes to the
+one or two chunks that hold windows it counts in. From there on nothing is shuffled any more: all
+resolutions, the merge of panes and the windows themselves are worked out where the chunk is, and
+no user's history is ever in one task.
+
+Distinct products are counted, not gathered: of a product's panes in a window only the last one
+counts, and a pane is the last one in the windows that end before the product's next pane does.
 
 A window ``[end - size, end)`` has a record if any event, of whatever type, lies in it.
 """
@@ -12,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CLICK, FEATURES, PAGE_VIEW, PURCHASE, R1H, R5M, R24H, RESOLUTIONS, Resolution
+from ..schema import CLICK, FEATURES, PAGE_VIEW, PURCHASE, RESOLUTIONS, Resolution
 
 SECOND_US = 1_000_000
+#: Seconds of window ends that are worked out together: four times the longest window, so that a
+#: pane goes to 1.25 chunks on average.
+CHUNK_S = 4 * 86_400
 
 
 def pane_index(slide: int, us: str = "event_us") -> Column:
@@ -48,47 +57,61 @@ def merge_panes(parts: DataFrame, *by: str | Column) -> DataFrame:
     return parts.groupBy(*by).agg(*sums, *sets)
 
 
-def coarser(parts: DataFrame, slide: int, to: int) -> DataFrame:
-    """Panes of a longer slide out of shorter ones."""
-    n = to // slide
-    return merge_panes(parts, "user_id", F.expr(f"(pane - pmod(pane, {n}L)) div {n}L").alias("pane"))
+def _product_panes(events: DataFrame, slide: int) -> DataFrame:
+    """user_id, pane, product (null for all but purchases) and the sums of their events."""
+    bought = F.col("event_type") == PURCHASE
+    return events.groupBy("user_id", pane_index(slide).alias("pane"), F.when(bought, F.col("product_id")).alias("product")).agg(
+        F.count_if(F.col("event_type") == CLICK).alias("click_count"),
+        F.count_if(F.col("event_type") == PAGE_VIEW).alias("page_view_count"),
+        F.count_if(bought).alias("purchase_count"),
+        F.coalesce(F.sum(F.when(bought, F.col("price_cents") * F.col("quantity"))), F.lit(0)).alias("cents"),
+    )
 
 
-def features_of(parts: DataFrame, r: Resolution) -> DataFrame:
-    """Feature records of a resolution out of its panes; features it doesn't publish are null."""
-    ends = F.explode(F.sequence(F.lit(1), F.lit(r.panes)))
-    keep = [c for c in parts.columns if c not in ("user_id", "pane")]
-    spread = parts.select("user_id", "pane", ends.alias("k"), *keep).withColumn("end_s", (F.col("pane") + F.col("k")) * F.lit(r.slide))
-    merged = merge_panes(spread, "user_id", "end_s")
+_SUMS = ("click_count", "page_view_count", "purchase_count", "cents")
+
+
+def _records(events: DataFrame, resolutions: tuple[Resolution, ...]) -> DataFrame:
+    slide = min(r.slide for r in resolutions)
+    parts = _product_panes(events, slide)
+    begin = F.col("pane") * slide
+    ends = [(begin - F.pmod(begin, F.lit(r.slide)) + F.lit(r.slide), begin - F.pmod(begin, F.lit(r.slide)) + F.lit(r.size)) for r in resolutions]
+    first, last = [e[0] for e in ends], [e[1] for e in ends]
+    of = lambda x: F.floor(x / CHUNK_S)
+    low, high = (F.least(*first), F.greatest(*last)) if len(ends) > 1 else (first[0], last[0])
+    dealt = parts.select("*", F.explode(F.sequence(of(low), of(high))).alias("chunk")).repartition("user_id", "chunk")
+    # panes of each resolution; its number stands for it
+    own = F.explode(F.array(*(F.struct(F.lit(i).alias("res"), F.floor(begin / r.slide).alias("own")) for i, r in enumerate(resolutions)))).alias("x")
+    each = dealt.select("user_id", "chunk", "product", *_SUMS, own).select("user_id", "chunk", "product", *_SUMS, "x.res", "x.own")
+    panes_ = each.groupBy("user_id", "chunk", "res", "own", "product").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    number = lambda f: F.element_at(F.array(*(F.lit(f(r)) for r in resolutions)), F.col("res") + 1)
+    following = F.lead("own").over(Window.partitionBy("user_id", "chunk", "res", "product").orderBy("own"))
+    reach = F.when(F.col("product").isNotNull(), F.coalesce(following - F.col("own"), F.lit(2**31))).otherwise(F.lit(0))
+    spread = panes_.withColumn("reach", reach).select("user_id", "chunk", "res", "own", "reach", *_SUMS, F.explode(F.sequence(F.lit(1), number(lambda r: r.panes))).alias("k"))
+    spread = spread.withColumn("end_s", (F.col("own") + F.col("k")) * number(lambda r: r.slide)).where(of(F.col("end_s")) == F.col("chunk"))
+    distinct = F.sum(F.when(F.col("reach") >= F.col("k"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")).alias("distinct_products")
+    merged = spread.groupBy("user_id", "chunk", "res", "end_s").agg(*(F.sum(c).alias(c) for c in _SUMS), distinct)
     revenue = F.col("cents") / F.lit(100.0)
-    value = {
-        "click_count": F.col("click_count"),
-        "page_view_count": F.col("page_view_count"),
-        "purchase_count": F.col("purchase_count"),
-        "revenue": revenue,
-        "distinct_products": F.size("products").cast("bigint") if "products" in parts.columns else F.lit(None),
-        "avg_purchase_amount": F.when(F.col("purchase_count") > 0, revenue / F.col("purchase_count")),
-    }
+    value = {f: F.col(f) for f in ("click_count", "page_view_count", "purchase_count", "distinct_products")}
+    value |= {"revenue": revenue, "avg_purchase_amount": F.when(F.col("purchase_count") > 0, revenue / F.col("purchase_count"))}
+    published = lambda f: F.col("res").isin(*(i for i, r in enumerate(resolutions) if f in r.features))
     return merged.select(
         "user_id",
-        F.lit(r.value).alias("window_resolution"),
-        ((F.col("end_s") - r.size) * 1000).alias("window_start_ms"),
+        number(lambda r: r.value).alias("window_resolution"),
+        ((F.col("end_s") - number(lambda r: r.size)) * 1000).alias("window_start_ms"),
         (F.col("end_s") * 1000).alias("window_end_ms"),
-        *((value[f] if f in r.features else F.lit(None)).cast(kind).alias(f) for f, kind in FEATURES.items()),
+        *(F.when(published(f), value[f]).cast(kind).alias(f) for f, kind in FEATURES.items()),
     )
 
 
 def sliding(events: DataFrame, r: Resolution) -> DataFrame:
-    return features_of(panes(events, r.slide, "distinct_products" in r.features), r)
+    """Feature records of one resolution; features it doesn't publish are null."""
+    return _records(events, (r,))
 
 
 def sliding_all(events: DataFrame) -> DataFrame:
-    """All three resolutions: one scan and one shuffle of events into the panes of one minute,
-    which add up to those of five minutes, and these to those of an hour."""
-    minute = panes(events, R5M.slide)
-    five = coarser(minute, R5M.slide, R1H.slide)
-    hour = coarser(five, R1H.slide, R24H.slide)
-    return features_of(minute.drop("products"), R5M).unionByName(features_of(five, R1H)).unionByName(features_of(hour, R24H))
+    """All three resolutions by one scan and one shuffle of events, and one shuffle of panes."""
+    return _records(events, RESOLUTIONS)
 
 
 def emission_keys(features: DataFrame, seq: Column | None = None) -> DataFrame:
@@ -104,13 +127,31 @@ def emission_keys(features: DataFrame, seq: Column | None = None) -> DataFrame:
     )
 
 
-def late_split(events: DataFrame, order: str = "arrival", by: str = "process", skew_s: float = 5, lateness_s: float = 30) -> DataFrame:
+def fired(features: DataFrame, first_watermark_ms: int, last_watermark_ms: int) -> DataFrame:
+    """The records a run emits whose watermark goes from the first to the last: it begins with the
+    boundary at or before the first one, and ends with the last window that closed."""
+    slide = F.element_at(F.create_map(*(x for r in RESOLUTIONS for x in (F.lit(r.value), F.lit(r.slide * 1000)))), F.col("window_resolution"))
+    first = F.lit(first_watermark_ms) - F.pmod(F.lit(first_watermark_ms), slide)
+    return features.where((F.col("window_end_ms") >= first) & (F.col("window_end_ms") <= last_watermark_ms))
+
+
+def late_split(events: DataFrame, order: str = "arrival", by: str = "process", skew_s: float = 5, lateness_s: float = 30, width: int = 10**9) -> DataFrame:
     """Adds watermark_us and is_late in order of arrival per process: the watermark is the
     greatest event time so far, the event's own included, less the skew; an event before it by
-    more than the lateness is very late (at exactly that it isn't)."""
-    so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.max("event_us").over(so_far) - F.lit(int(skew_s * SECOND_US))
-    return events.withColumn("watermark_us", mark).withColumn("is_late", F.col("event_us") < F.col("watermark_us") - F.lit(int(lateness_s * SECOND_US)))
+    more than the lateness is very late (at exactly that it isn't).
+
+    Arrivals (a whole number) are cut into slices of ``width``; the maxima of a process's slices
+    are carried forward, so that what is sorted in one task is a slice, not a process.
+    """
+    rows = events.withColumn("_slice", F.expr(f"(`{order}` - pmod(`{order}`, {width}L)) div {width}L"))
+    slices = rows.groupBy(F.col(by).alias("_by"), "_slice").agg(F.max("event_us").alias("_most"))
+    earlier = Window.partitionBy("_by").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select("_by", F.col("_slice").alias("_of"), F.max("_most").over(earlier).alias("_carried"))
+    met = rows.join(carried, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_of")), "left")
+    so_far = Window.partitionBy(by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = F.greatest(F.col("_carried"), F.max("event_us").over(so_far)) - F.lit(int(skew_s * SECOND_US))
+    timed = met.withColumn("watermark_us", mark).drop("_slice", "_by", "_of", "_carried")
+    return timed.withColumn("is_late", F.col("event_us") < F.col("watermark_us") - F.lit(int(lateness_s * SECOND_US)))
 
 
 def sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:
