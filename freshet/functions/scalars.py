@@ -41,6 +41,29 @@ def tagged_value(kind: Column, *members: tuple[str, Column]) -> Column:
     return out
 
 
+def float_text(x: Column) -> Column:
+    """A double as text: plain from 0.0001 to under 1e16, else with an exponent of two digits at
+    least (1e-05, 1.5e+16). The digits are the JVM's; some releases don't give the fewest that tell
+    a value far from 1 (1.2499999999999999e+22)."""
+    s = x.cast("string")
+    e = F.try_to_number(F.regexp_extract(s, "E(-?[0-9]+)$", 1), F.lit("S999")).cast("int")
+    sign, lead = F.when(s.startswith("-"), "-").otherwise(""), F.regexp_extract(s, r"^-?([0-9])\.([0-9]+)E", 1)
+    rest = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9])\.([0-9]+)E", 2), "^0$", "")
+    whole = F.concat(lead, F.rpad(F.substring(rest, F.lit(1), e), e, "0"))
+    after = F.when(F.length(rest) > e, F.substring(rest, e + 1, F.lit(400))).otherwise("0")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), lead, rest)
+    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
+    far = F.concat(lead, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), power)
+    return F.when(~s.contains("E"), s).when((e >= 0) & (e < 16), F.concat(sign, whole, F.lit("."), after)).when((e < 0) & (e >= -4), F.concat(sign, small)).otherwise(F.concat(sign, far))
+
+
+def json_text(*columns: str) -> Column:
+    """Columns as one JSON object with sorted keys, ``", "`` and ``": "`` between; nulls are there."""
+    value = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    own = [F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(columns)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *own), F.lit("}"))
+
+
 def valid_user_id(text: str) -> bool:
     """As a path segment of the read interface."""
     return USER_ID.fullmatch(text) is not None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import float_text
 from ..schema import RESOLUTIONS, online_fields
 
 
@@ -47,7 +48,8 @@ def lookup(requests: DataFrame, online: DataFrame) -> DataFrame:
 
 def as_strings(online: DataFrame) -> DataFrame:
     """user_id, field, value as text: what a hash store keeps; nulls aren't written."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f, *_ in online_fields()))
+    text = lambda f, kind: float_text(F.col(f)) if kind == "double" else F.col(f).cast("string")
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), text(f, kind).alias("value")) for f, _, _, kind in online_fields()))
     return online.select("user_id", F.inline(pairs)).where("value is not null")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 CLICK, PURCHASE, PAGE_VIEW = "CLICK", "PURCHASE", "PAGE_VIEW"
 EVENT_TYPES = (CLICK, PURCHASE, PAGE_VIEW)
 ERROR_CLASSES = (
-    "NULL_REQUIRED_FIELD", "UNKNOWN_EVENT_TYPE", "MALFORMED_RECORD", "OUT_OF_RANGE",
-    "SCHEMA_MISMATCH", "DESERIALIZE_FAILURE", "PIPELINE_INTERNAL_ERROR",
+    "DESERIALIZE_FAILURE", "SCHEMA_MISMATCH", "NULL_REQUIRED_FIELD", "OUT_OF_RANGE",
+    "MALFORMED_RECORD", "UNKNOWN_EVENT_TYPE", "PIPELINE_INTERNAL_ERROR",
 )
 
 PAYLOAD = T.StructType([
@@ -33,6 +33,19 @@ DLQ = T.StructType([
     T.StructField("validator_version", T.StringType()),
 ])
 
+# The wire schemas of events, feature records and dead letters, version 1.
+_SPACE = "ecommerce.v1"
+_TEXT = lambda *names: [{"name": n, "type": "string"} for n in names]
+EVENT_AVRO = {"type": "record", "name": "EcommerceEvent", "namespace": _SPACE, "fields": [
+    {"name": "event_id", "type": {"type": "string", "logicalType": "uuid"}}, {"name": "event_type", "type": {"type": "enum", "name": "EventType", "symbols": list(EVENT_TYPES)}},
+    *_TEXT("user_id", "session_id"), {"name": "event_timestamp", "type": {"type": "long", "logicalType": "timestamp-micros"}},
+    {"name": "payload", "type": [
+        {"type": "record", "name": "ClickPayload", "fields": _TEXT("element_id", "page_url")},
+        {"type": "record", "name": "PurchasePayload", "fields": [*_TEXT("product_id"), {"name": "quantity", "type": "int"}, {"name": "price_cents", "type": "long"}, {"name": "currency", "type": "string", "default": "USD"}]},
+        {"type": "record", "name": "PageViewPayload", "fields": [*_TEXT("page_url"), {"name": "referrer", "type": ["null", "string"], "default": None}]},
+    ]},
+]}
+
 
 @dataclass(frozen=True)
 class Resolution:
@@ -67,6 +80,19 @@ ONLINE_PREFIX = {
     "distinct_products": "distinct_products", "avg_purchase_amount": "avg_purchase_amount",
 }
 
+_LONGS = lambda *names: [{"name": n, "type": "long"} for n in names]
+FEATURE_AVRO = {"type": "record", "name": "SlidingFeatureRecord", "namespace": "sliding.v1", "fields": [
+    *_TEXT("user_id"), {"name": "window_resolution", "type": {"type": "enum", "name": "WindowResolution", "symbols": [r.symbol for r in RESOLUTIONS]}},
+    *_LONGS("window_start_ms", "window_end_ms"), {"name": "emission_seq", "type": "int", "default": 0},
+    *({"name": f, "type": ["null", {"bigint": "long"}.get(k, k)], "default": None} for f, k in FEATURES.items()),
+]}
+DLQ_AVRO = {"type": "record", "name": "DlqRecord", "namespace": "dlq.v1", "fields": [
+    {"name": "schema_version", "type": "int", "default": 1}, *_TEXT("original_topic"), {"name": "original_partition", "type": "int"}, *_LONGS("original_offset", "original_timestamp_ms"),
+    {"name": "original_key_bytes", "type": ["null", "bytes"], "default": None}, {"name": "original_value_bytes", "type": "bytes"}, *_LONGS("rejected_at_ms"),
+    {"name": "error_class", "type": {"type": "enum", "name": "ErrorClass", "symbols": list(ERROR_CLASSES)}}, *_TEXT("validator_name"), {"name": "error_field_path", "type": ["null", "string"], "default": None},
+    *_TEXT("error_message"), {"name": "validator_version", "type": "string", "default": "1.0.0"},
+]}
+
 
 def online_fields() -> list[tuple[str, str, str, str]]:
     """(field, resolution, feature, type) of the 13 fields of the online vector."""
@@ -80,7 +106,8 @@ def epoch_us(ts: Column) -> Column:
 
 
 def events_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events as flat e-commerce events: ids, type, times, product, price, quantity."""
+    """The driver's events as flat e-commerce events: ids, type, times and the fields of all
+    payloads (product, quantity, price, currency; element, page; referrer)."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "click", CLICK).when(F.col("event_type") == "view", PAGE_VIEW).when(F.col("event_type") == "purchase", PURCHASE).otherwise(F.upper("event_type"))
@@ -96,6 +123,9 @@ def events_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("price_cents"),
         (k % 4 + 1).cast("int").alias("quantity"),
         F.lit("USD").alias("currency"),
+        F.concat(F.lit("el-"), k.cast("string")).alias("element_id"),
+        F.concat(F.lit("https://shop.example/p/"), k.cast("string")).alias("page_url"),
+        F.when(k % 2 == 0, F.concat(F.lit("https://search.example/?q="), k.cast("string"))).alias("referrer"),
     )
 
 
@@ -105,4 +135,6 @@ EVENTS_SQL = """ev AS (SELECT CAST(event_id AS VARCHAR) AS event_id,
   'u-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS user_id,
   's-' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
   epoch_us(ts) AS event_us, 'sku-' || lpad(CAST(json_extract_string(props, '$.k') AS VARCHAR), 5, '0') AS product_id,
-  CAST(round(value * 100) AS BIGINT) AS price_cents, CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 + 1 AS quantity, 'USD' AS currency FROM events)"""
+  CAST(round(value * 100) AS BIGINT) AS price_cents, CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 + 1 AS quantity, 'USD' AS currency,
+  'el-' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS element_id, 'https://shop.example/p/' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS page_url,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'https://search.example/?q=' || CAST(json_extract_string(props, '$.k') AS INTEGER) END AS referrer FROM events)"""
