@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -17,6 +17,7 @@ class WindowConfig:
     lateness: float = 30.0
     workers: int = 1
     ttl_multiplier: float = 1.5
+    first_watermark_ms: int | None = None  # a run's first; windows that end before its slide never fire
 
     def __post_init__(self):
         if len({self.source, self.sink, self.late}) < 3:
@@ -54,10 +55,24 @@ class KafkaConfig:
     isolation: str = "read_uncommitted"
     max_per_trigger: int | None = None
 
-    def source_options(self, topic: str) -> dict[str, str]:
+    def source_options(self, topic: str, since_ms: int | None = None) -> dict[str, str]:
+        """since_ms: a cold start reads from the first message of that time on (warm-up); where a
+        partition has none, from its end."""
         out = {"kafka.bootstrap.servers": self.bootstrap, "subscribe": topic, "startingOffsets": self.starting, "kafka.isolation.level": self.isolation}
+        if since_ms is not None:
+            out |= {"startingTimestamp": str(since_ms), "startingOffsetsByTimestampStrategy": "latest"}
         return out | ({"maxOffsetsPerTrigger": str(self.max_per_trigger)} if self.max_per_trigger else {})
 
+    def sliding_source(self, config: WindowConfig, now_ms: int, warm_up_s: int = 3600) -> dict[str, str]:
+        """Of the sliding-window job: only what was committed, rewound by the warm-up, in batches of
+        at most 500 messages unless told otherwise."""
+        own = replace(self, starting="latest", isolation="read_committed", max_per_trigger=self.max_per_trigger or 500)
+        return own.source_options(config.source, now_ms - warm_up_s * 1000)
+
+    def validator_source(self, config: ValidatorConfig) -> dict[str, str]:
+        """Of the validation job: its batch bounds what a trigger takes."""
+        return replace(self, max_per_trigger=self.max_per_trigger or config.batch).source_options(config.source)
+
     def sink_options(self, topic: str, exactly_once: bool = False) -> dict[str, str]:
         """Producer settings; the exactly-once profile forces full acknowledgement."""
         tuned = {"kafka.linger.ms": "20", "kafka.batch.size": "2000000", "kafka.compression.type": "lz4"}

@@ -7,7 +7,8 @@ watermark W of a batch:
 * any other event is folded into its pane of each resolution; closed windows that hold it and
   have fired become dirty;
 * then every window that ends at or before W and has a pane fires, if it hasn't (sequence 0),
-  and every dirty one again, with the next sequence number;
+  and every dirty one again, with the next sequence number; with ``first_watermark_ms`` set, a run
+  begins with the boundary at or before that, and windows that end earlier never fire;
 * panes and counters that no window can need any more go; users without panes go.
 
 The watermark is Spark's: it never goes back, and moves per batch.
@@ -77,7 +78,8 @@ class UserWindows:
         for r in RESOLUTIONS:
             done = self.fired.setdefault(r.value, {})
             ends = {(i + k) * r.slide * 1000 for i in self.panes.get(r.value, {}) for k in range(1, r.panes + 1)}
-            for end in sorted(e for e in ends if e <= watermark_ms and e not in done):
+            first = self._first(r)
+            for end in sorted(e for e in ends if first <= e <= watermark_ms and e not in done):
                 self.dirty.discard((r.value, end))
                 out.append(self._record(r, end, 0))
                 done[end] = 1
@@ -89,6 +91,11 @@ class UserWindows:
         self._drop(watermark_ms)
         return out
 
+    def _first(self, r) -> float:
+        """The first end that fires."""
+        start, slide = self.config.first_watermark_ms, r.slide * 1000
+        return float("-inf") if start is None else start // slide * slide
+
     def _record(self, r, end: int, seq: int) -> dict:
         slide = r.slide * 1000
         held = self.panes.get(r.value, {})
@@ -113,7 +120,7 @@ class UserWindows:
 
     def next_end(self) -> int | None:
         """When the next window closes."""
-        ends = [min((e for i in self.panes.get(r.value, {}) for k in range(1, r.panes + 1) if (e := (i + k) * r.slide * 1000) not in self.fired.get(r.value, {})), default=None) for r in RESOLUTIONS]
+        ends = [min((e for i in self.panes.get(r.value, {}) for k in range(1, r.panes + 1) if (e := (i + k) * r.slide * 1000) not in self.fired.get(r.value, {}) and e >= self._first(r)), default=None) for r in RESOLUTIONS]
         return min((e for e in ends if e is not None), default=None)
 
     def empty(self) -> bool:
