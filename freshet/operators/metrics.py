@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +40,64 @@ def partition_skew(counts: DataFrame, n: str = "n", limit: float = 2.0) -> DataF
     return counts.agg(F.round(F.coalesce(skew, F.lit(0.0)), 6).alias("skew")).withColumn("passes", F.col("skew") < limit)
 
 
+#: Samples up to which one task may hold all distinct values; bins of a pass beyond that.
+HELD, BINS = 1_000_000, 4096
+
+
 def percentiles(samples: DataFrame, value: str, points=(0.5, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles with linear interpolation, 0 if there is no sample; negative values are
-    unsampled ones."""
-    own = F.percentile(F.when(F.col(value) >= 0, F.col(value)), F.array(*map(F.lit, points)))
-    return samples.agg(own.alias("p")).select(*(F.round(F.coalesce(F.col("p")[i], F.lit(0.0)), 6).alias(f"p{round(x * 100)}") for i, x in enumerate(points)))
+    unsampled ones. NaN counts as unsampled, too.
+
+    Up to HELD samples Spark's own aggregate does it, which holds all distinct values in a task.
+    Beyond, the values at the wanted ranks are narrowed down by histograms of BINS bins, a few
+    passes over the samples whatever their number.
+    """
+    own = samples.select(F.col(value).cast("double").alias("v")).where((F.col("v") >= 0) & ~F.isnan("v"))
+    names = [f"p{round(x * 100)}" for x in points]
+    n = own.count()
+    if n <= HELD:
+        got = F.percentile("v", F.array(*map(F.lit, points)))
+        return own.agg(got.alias("p")).select(*(F.round(F.coalesce(F.col("p")[i], F.lit(0.0)), 6).alias(c) for i, c in enumerate(names)))
+    at = [x * (n - 1) for x in points]
+    value_at = order_statistics(own, "v", sorted({f(x) for x in at for f in (math.floor, math.ceil)}))
+    got = [value_at[math.floor(x)] + (value_at[math.ceil(x)] - value_at[math.floor(x)]) * (x - math.floor(x)) for x in at]
+    return samples.sparkSession.range(1).select(*(F.round(F.lit(v), 6).alias(c) for v, c in zip(got, names, strict=True)))
+
+
+def order_statistics(samples: DataFrame, value: str, ranks: Sequence[int], held: int = 100_000) -> dict[int, float]:
+    """The value at each rank (from 0) among finite doubles. Each pass counts the values of the
+    bins of the ranges that are left, and keeps the bin that holds the rank; a range of few
+    distinct values is then counted value by value."""
+    v = F.col(value)
+    low, high = samples.agg(F.min(v), F.max(v)).first()
+    open_ = {r: (low, high, 0) for r in ranks}  # rank -> its range, and how many values lie below it
+    found: dict[int, float] = {}
+    while open_:
+        spans = sorted({(a, b) for a, b, _ in open_.values()})
+        which = F.array(*(F.struct(F.lit(i).alias("i"), F.least(F.lit(BINS - 1), F.floor((v - a) / (b - a) * BINS) if b > a else F.lit(0)).cast("int").alias("bin"), v.between(a, b).alias("there")) for i, (a, b) in enumerate(spans)))
+        bins = samples.select(v.alias("v"), F.inline(which)).where("there").groupBy("i", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        rows = sorted(map(tuple, bins.collect()))  # at most BINS a range
+        for r, (a, b, below) in list(open_.items()):
+            for i, _, n, x, y in rows:
+                if spans[i] != (a, b):
+                    continue
+                if r < below + n:
+                    if x == y:
+                        found[r] = x
+                        del open_[r]
+                    elif n <= held:
+                        values = samples.where(v.between(x, y)).groupBy(v.alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()  # at most ``held``
+                        for q in values:
+                            if r < below + q["n"]:
+                                found[r] = q["v"]
+                                break
+                            below += q["n"]
+                        del open_[r]
+                    else:
+                        open_[r] = (x, y, below)
+                    break
+                below += n
+    return found
 
 
 def batch_bucket(size: Column) -> Column:
@@ -60,7 +116,7 @@ def lag_ramp(samples: DataFrame, lag: str = "lag", seq: str = "seq") -> DataFram
 
 
 def delivery(outcomes: DataFrame) -> DataFrame:
-    """Counters of a producer: outcomes (status acked / failed / pending, error)."""
+    """Counters of a producer: outcomes (status acked / failed / pending)."""
     return outcomes.agg(
         F.count("*").alias("produced"),
         F.count_if(F.col("status") == "acked").alias("acked"),
@@ -69,10 +125,35 @@ def delivery(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def delivery_errors(outcomes: DataFrame) -> DataFrame:
+    """Failed deliveries by class of error, the most frequent first."""
+    return in_order(histogram(outcomes.where("status = 'failed'"), F.coalesce("error", F.lit("unknown"))))
+
+
+def in_order(counts: DataFrame, name: str = "key") -> DataFrame:
+    """A histogram as reports print it: by falling count, then by key."""
+    return counts.orderBy(F.desc("n"), name)
+
+
+def latency_ms(received_ms: Column, broker_ms: Column) -> Column:
+    """End-to-end latency; -1 (unsampled) for a message without a broker's time or from the future."""
+    return F.when((broker_ms > 0) & (received_ms >= broker_ms), (received_ms - broker_ms).cast("double")).otherwise(F.lit(-1.0))
+
+
+def consume_counts(messages: DataFrame, lag: DataFrame) -> DataFrame:
+    """Counters of a consumer: messages (decode_error), lag samples (seq, lag); the greatest lag and
+    that of the last sample, 0 without samples."""
+    counts = messages.agg(F.count("*").alias("polled"), F.count("decode_error").alias("deserialize_failures")).withColumn("consumed", F.col("polled") - F.col("deserialize_failures"))
+    ends = lag.agg(F.coalesce(F.max("lag"), F.lit(0)).alias("max_lag"), F.coalesce(F.max_by("lag", "seq"), F.lit(0)).alias("end_lag"))
+    return counts.crossJoin(ends)  # one row each
+
+
 def sink_counts(flushes: DataFrame) -> DataFrame:
-    """Counters of a sink: flushes (inserted, skipped, batch_size, latency_ms)."""
+    """Counters of a sink: flushes (inserted, skipped, batch_size, latency_ms, and, if there, failed:
+    rows of flushes that were given up)."""
     p = lambda c, x: F.round(F.coalesce(F.percentile(c, F.lit(x)), F.lit(0.0)), 6)
-    return flushes.agg(F.sum("inserted").alias("inserted"), F.sum("skipped").alias("skipped"), F.count("*").alias("batches"), p("batch_size", 0.5).alias("batch_p50"), p("batch_size", 0.99).alias("batch_p99"), p("latency_ms", 0.5).alias("flush_p50"), p("latency_ms", 0.95).alias("flush_p95"))
+    failed = [F.coalesce(F.sum("failed"), F.lit(0)).alias("failed")] if "failed" in flushes.columns else []
+    return flushes.agg(F.sum("inserted").alias("inserted"), F.sum("skipped").alias("skipped"), *failed, F.count("*").alias("batches"), p("batch_size", 0.5).alias("batch_p50"), p("batch_size", 0.99).alias("batch_p99"), p("latency_ms", 0.5).alias("flush_p50"), p("latency_ms", 0.95).alias("flush_p95"))
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -94,9 +175,20 @@ def consume_verdict(rate: Column, failed: Column, ramped: Column, floor: float)
     return ~ramped & (failed == 0) & (rate >= floor)
 
 
-def reservoir(samples: DataFrame, size: int = 4096, seed: int = 42) -> DataFrame:
-    """A uniform sample of fixed size."""
-    return samples.orderBy(F.rand(seed)).limit(size)
+def reservoir(samples: DataFrame, key: str, size: int = 4096, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """A uniform sample of fixed size, of each group of ``by`` if given: the rows of the least
+    hashes of seed and key. It doesn't depend on how the samples are partitioned, and partial
+    samples are cut to size before they are shuffled."""
+    order = [F.md5(F.concat_ws(":", F.lit(seed), key)), F.col(key)]
+    if not by:
+        return samples.orderBy(*order).limit(size)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return samples.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
+
+
+def merged_percentiles(samples: DataFrame, value: str, key: str, by: str, size: int = 4096) -> DataFrame:
+    """Percentiles over the union of the processes' reservoirs: bounded by their number."""
+    return percentiles(reservoir(samples.where(F.col(value) >= 0), key, size, by=[by]), value)
 
 
 def total_lag(partitions: DataFrame) -> DataFrame:

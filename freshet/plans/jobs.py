@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..config import ValidatorConfig
-from ..operators import metrics, online, validate, windows
+from ..operators import online, validate, windows
 
 
 def validate_and_route(events: DataFrame, now_us: int, config: ValidatorConfig | None = None, **bounds) -> tuple[DataFrame, DataFrame]:
@@ -32,15 +32,3 @@ def user_features(table: DataFrame, user_id: str) -> dict:
     asked = table.sparkSession.createDataFrame([(user_id,)], "user_id string")
     row = online.lookup(asked, table.where(table["user_id"] == user_id)).first().asDict()
     return {"user_id": row.pop("user_id"), "key_present": row.pop("key_present"), "features": row}
-
-
-def markdown(title: str, table: DataFrame, limit: int = 100) -> str:
-    """A report of a small table."""
-    rows = table.limit(limit).collect()
-    lines = [f"# {title}", "", "| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)]) + "\n"
-
-
-def validation_report(tagged: DataFrame) -> str:
-    parts = [("Validation", metrics.invalid_rate(tagged)), ("By class", metrics.histogram(tagged, "error.error_class").orderBy("key")), ("Top fields", metrics.top(metrics.histogram(tagged, "error.error_field_path")))]
-    return "\n".join(markdown(t, df) for t, df in parts)
