@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalars
+from .functions import evolution, scalars
 from .operators import metrics, offline, online, validate, windows
-from .schema import EVENTS_SQL, R1H, R5M, R24H, RESOLUTIONS, events_from_table, online_fields
-from .sources import sinks
+from .schema import EVENT_AVRO, EVENTS_SQL, R1H, R5M, R24H, RESOLUTIONS, events_from_table, online_fields
+from .sources import avro, sinks
+from .sources import events as sources
 
 #: 2024-01-31 00:00:00 UTC: "now" for the rule on time stamps; a price bound that rejects some.
 NOW_US = 1_706_659_200_000_000
 MAX_CENTS = 20_000
+RUN_MS = (1_704_890_096_000, 1_705_708_800_000)
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +46,7 @@ def panes_1m(spark, d):
 
 
 def emission_keys(spark, d):
-    own = windows.emission_keys(sliding_1h(spark, d))
+    own = windows.emission_keys(sliding_all(spark, d))
     return own.select("idempotency_key", "kafka_key", "symbol", "emission_seq")
 
 
@@ -52,6 +54,11 @@ def emission_counts(spark, d):
     return sliding_all(spark, d).groupBy("window_resolution").agg(F.count("*").alias("emitted"))
 
 
+def fired_windows(spark, d):
+    """What a run emits whose watermark goes from the 10th of the month, 12:34:56, to the 20th."""
+    return windows.fired(sliding_all(spark, d), *RUN_MS).select("user_id", "window_resolution", "window_end_ms", "purchase_count")
+
+
 def late_split(spark, d):
     """Arrival order shuffled by a rule: every 7th event arrives 40 places later, every 11th 400."""
     e = events_from_table(spark, d).withColumn("id", F.col("event_id").cast("bigint"))
@@ -99,9 +106,54 @@ def validated_events(spark, d):
 
 
 def dlq_events(spark, d):
-    t = _tagged(spark, d).withColumn("offset", F.col("event_id").cast("bigint")).withColumn("partition", F.substring("user_id", 3, 6).cast("int") % 12)
+    """All 13 fields of the envelope, bytes as text, and the message key."""
+    t = _tagged(spark, d).withColumn("offset", F.col("event_id").cast("bigint")).withColumn("partition", F.substring("user_id", 3, 6).cast("int") % 12).withColumn("timestamp_ms", F.expr("event_us div 1000"))
     own = validate.dead_letters(t, "e-commerce-events", NOW_US // 1000)
-    return own.select("original_topic", "original_partition", "original_offset", F.col("original_key_bytes").cast("string").alias("key"), "rejected_at_ms", "error_class", "validator_name", "error_field_path", "validator_version", F.concat_ws(":", "original_topic", "original_partition", "original_offset").alias("dlq_key"))
+    text = [F.col(c).cast("string").alias(c) for c in ("original_key_bytes", "original_value_bytes")]
+    return own.select(*(c for c in own.columns if not c.endswith("_bytes")), *text, F.concat_ws(":", "original_topic", "original_partition", "original_offset").alias("dlq_key"))
+
+
+def _hard(spark: SparkSession, d: str) -> DataFrame:
+    """Events changed so that every rule rejects some: each by the remainder of its id."""
+    e = events_from_table(spark, d)
+    n = F.col("event_id").cast("bigint")
+    return e.withColumns({
+        "user_id": F.when(n % 97 == 0, "").when(n % 89 == 0, F.repeat(F.lit("x"), F.lit(257))).when(n % 83 == 0, F.concat("user_id", F.lit("\n"))).otherwise(F.col("user_id")),
+        "session_id": F.when(n % 79 == 0, "").otherwise(F.col("session_id")),
+        "quantity": F.when(n % 7 == 0, 0).when(n % 11 == 0, 20_000).otherwise(F.col("quantity")).cast("int"),
+        "price_cents": F.when(n % 13 == 0, 0).otherwise(F.col("price_cents")),
+        "event_us": F.when(n % 17 == 0, NOW_US + 7_200_000_000).when(n % 19 == 0, NOW_US - 691_200_000_000).otherwise(NOW_US - n % 500_000 * 1_000_000),
+    })
+
+
+def every_rule(spark, d):
+    """Each rule and each of its ways to fail."""
+    t = validate.tag(_hard(spark, d), validate.default_rules(NOW_US, max_price_cents=MAX_CENTS))
+    return t.select("event_id", "error.error_class", "error.validator_name", "error.error_field_path", "error.error_message")
+
+
+def model_violations(spark, d):
+    """What the event model refuses, of payloads whose fields are emptied or unknown."""
+    n = F.col("event_id").cast("bigint")
+    e = _hard(spark, d).withColumns({
+        "element_id": F.when(n % 5 == 0, "").otherwise(F.col("element_id")), "page_url": F.when(n % 6 == 0, "").otherwise(F.col("page_url")),
+        "currency": F.when(n % 8 == 0, "usd").otherwise(F.col("currency")), "price_cents": F.when(n % 9 == 0, -1).otherwise(F.col("price_cents")),
+        "extra_fields": F.when(n % 10 == 0, F.array(F.lit("coupon"))).otherwise(F.array().cast("array<string>")),
+    })
+    t = validate.tag(e, [validate.model_rule(e.columns)])
+    return t.select("event_id", "error.error_class", "error.validator_name", "error.error_field_path")
+
+
+def _shares(fields: dict) -> None:
+    return None if 100 // (fields["quantity"] - 3) < 10**9 else ("OUT_OF_RANGE", "quantity", "too many")
+
+
+def internal_errors(spark, d):
+    """A rule that raises for purchases of three pieces: these become dead letters, no event stops the job."""
+    rule = validate.python_rule("SharesValidator", _shares, ["quantity"], ("PURCHASE",))
+    t = validate.tag(events_from_table(spark, d), [validate.required_fields(), rule])
+    raised = F.col("error.error_message").startswith("Traceback") & F.col("error.error_message").contains("ZeroDivisionError")
+    return t.select("event_id", "error.error_class", "error.validator_name", "error.error_field_path", raised.alias("raised"))
 
 
 def invalid_by_class(spark, d):
@@ -120,22 +172,56 @@ def invalid_rate(spark, d):
     return metrics.invalid_rate(_tagged(spark, d)).withColumn("rate", F.round("rate", 9))
 
 
-_TAGGED = f"""tagged AS (SELECT *, CASE WHEN user_id = '' OR session_id = '' THEN 'NULL_REQUIRED_FIELD' WHEN event_type NOT IN ('CLICK', 'PURCHASE', 'PAGE_VIEW') THEN 'UNKNOWN_EVENT_TYPE'
-  WHEN length(user_id) > 256 THEN 'MALFORMED_RECORD' WHEN event_type = 'PURCHASE' AND (price_cents <= 0 OR price_cents > {MAX_CENTS}) THEN 'OUT_OF_RANGE'
-  WHEN event_type = 'PURCHASE' AND (quantity < 1 OR quantity > 10000) THEN 'OUT_OF_RANGE' WHEN event_us > {NOW_US} + 3600000000 OR event_us < {NOW_US} - 604800000000 THEN 'OUT_OF_RANGE' END AS error_class,
-  CASE WHEN event_type NOT IN ('CLICK', 'PURCHASE', 'PAGE_VIEW') THEN 'EventTypeAllowlistValidator' WHEN event_type = 'PURCHASE' AND (price_cents <= 0 OR price_cents > {MAX_CENTS}) THEN 'PriceRangeValidator'
-  WHEN event_us > {NOW_US} + 3600000000 OR event_us < {NOW_US} - 604800000000 THEN 'TimestampRangeValidator' END AS validator_name,
-  CASE WHEN event_type NOT IN ('CLICK', 'PURCHASE', 'PAGE_VIEW') THEN 'event_type' WHEN event_type = 'PURCHASE' AND (price_cents <= 0 OR price_cents > {MAX_CENTS}) THEN 'payload.price_cents'
-  WHEN event_us > {NOW_US} + 3600000000 OR event_us < {NOW_US} - 604800000000 THEN 'event_timestamp' END AS error_field_path FROM ev)"""
+#: The rules in SQL: condition, class, validator, field, message.
+_RULES = [
+    ("user_id = ''", "NULL_REQUIRED_FIELD", "RequiredFieldsValidator", "user_id", "user_id is empty"),
+    ("session_id = ''", "NULL_REQUIRED_FIELD", "RequiredFieldsValidator", "session_id", "session_id is empty"),
+    ("event_type NOT IN ('CLICK', 'PURCHASE', 'PAGE_VIEW')", "UNKNOWN_EVENT_TYPE", "EventTypeAllowlistValidator", "event_type", "event type isn''t allowed"),
+    ("length(user_id) > 256", "MALFORMED_RECORD", "UserIdShapeValidator", "user_id", "user_id is too long"),
+    ("contains(user_id, chr(10))", "MALFORMED_RECORD", "UserIdShapeValidator", "user_id", "user_id holds a line break or NUL"),
+    ("event_type = 'PURCHASE' AND price_cents <= 0", "OUT_OF_RANGE", "PriceRangeValidator", "payload.price_cents", "price isn''t positive"),
+    (f"event_type = 'PURCHASE' AND price_cents > {MAX_CENTS}", "OUT_OF_RANGE", "PriceRangeValidator", "payload.price_cents", "price is too high"),
+    ("event_type = 'PURCHASE' AND (quantity < 1 OR quantity > 10000)", "OUT_OF_RANGE", "QuantityRangeValidator", "payload.quantity", "quantity out of range"),
+    (f"event_us > {NOW_US} + 3600000000", "OUT_OF_RANGE", "TimestampRangeValidator", "event_timestamp", "event is in the future"),
+    (f"event_us < {NOW_US} - 604800000000", "OUT_OF_RANGE", "TimestampRangeValidator", "event_timestamp", "event is too old"),
+]
+
+
+def _tagged_sql(name: str, source: str) -> str:
+    case = lambda i: "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[i]}'" for r in _RULES) + " END"
+    return f"{name} AS (SELECT *, {case(1)} AS error_class, {case(2)} AS validator_name, {case(3)} AS error_field_path, {case(4)} AS error_message FROM {source})"
+
+
+_TAGGED = _tagged_sql("tagged", "ev")
+_HARD = f"""hard AS (SELECT * REPLACE (
+  CASE WHEN n % 97 = 0 THEN '' WHEN n % 89 = 0 THEN repeat('x', 257) WHEN n % 83 = 0 THEN user_id || chr(10) ELSE user_id END AS user_id,
+  CASE WHEN n % 79 = 0 THEN '' ELSE session_id END AS session_id, CASE WHEN n % 7 = 0 THEN 0 WHEN n % 11 = 0 THEN 20000 ELSE quantity END AS quantity,
+  CASE WHEN n % 13 = 0 THEN 0 ELSE price_cents END AS price_cents,
+  CASE WHEN n % 17 = 0 THEN {NOW_US} + 7200000000 WHEN n % 19 = 0 THEN {NOW_US} - 691200000000 ELSE {NOW_US} - n % 500000 * 1000000 END AS event_us)
+  FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev))"""
+_MODEL = """hm AS (SELECT *, CASE WHEN event_type = 'CLICK' AND n % 5 = 0 THEN 'element_id' WHEN event_type = 'CLICK' AND n % 6 = 0 THEN 'page_url'
+  WHEN event_type = 'PURCHASE' AND quantity < 1 THEN 'quantity' WHEN event_type = 'PURCHASE' AND n % 9 = 0 THEN 'price_cents' WHEN event_type = 'PURCHASE' AND n % 8 = 0 THEN 'currency'
+  WHEN event_type = 'PAGE_VIEW' AND n % 6 = 0 THEN 'page_url' WHEN user_id = '' THEN 'user_id' WHEN session_id = '' THEN 'session_id' WHEN n % 10 = 0 THEN 'coupon' END AS error_field_path FROM hard)"""
 
 # -- offline and online ----------------------------------------------------------------------
 
 
 def raw_events_dedup(spark, d):
     """Two overlapping deliveries of the events; the first arrival of an id counts."""
-    e = offline.raw_rows(events_from_table(spark, d)).drop("properties").withColumn("n", F.col("event_id").cast("bigint"))
+    e = offline.raw_rows(events_from_table(spark, d)).withColumn("n", F.col("event_id").cast("bigint"))
     again = e.where("n % 3 = 0").withColumn("arrival", F.col("n") + 10_000_000).withColumn("session_id", F.lit("late"))
-    return offline.first_arrivals(e.withColumn("arrival", F.col("n")).unionByName(again)).select("event_id", "event_type", "user_id", "session_id", "event_us", "arrival")
+    return offline.first_arrivals(e.withColumn("arrival", F.col("n")).unionByName(again)).select("event_id", "event_type", "user_id", "session_id", "event_us", "properties", "arrival")
+
+
+def avro_round_trip(spark, d):
+    """Events as framed Avro messages of version 1, read back by version 1.1, every 50th message
+    cut short and every 70th of an unknown schema."""
+    n = F.col("event_id").cast("bigint")
+    kinds = events_from_table(spark, d).where(F.col("event_type").isin("CLICK", "PURCHASE", "PAGE_VIEW")).withColumn("n", n).withColumn("event_id", F.md5("event_id"))
+    sent = avro.to_avro(sources.nested(kinds, ["n"]), EVENT_AVRO, schema_id=7, keep=["n"])
+    value = F.when(F.col("n") % 50 == 0, F.substring("value", F.lit(1), F.length("value") - 1)).when(F.col("n") % 70 == 0, F.concat(F.lit(b"\0\0\0\0\x09"), F.substring("value", F.lit(6), F.lit(10**6)))).otherwise(F.col("value"))
+    got = sources.decode_avro(sent.withColumn("value", value), evolution.add_optional(EVENT_AVRO, "EcommerceEvent", "device_type", "string"), {7: EVENT_AVRO})
+    return got.drop("value")
 
 
 def raw_insert_counts(spark, d):
@@ -149,9 +235,9 @@ def online_vector(spark, d):
 
 
 def online_lookup_zero_fill(spark, d):
-    have = online.vector(sliding_all(spark, d)).where("user_id < 'u-000050'")
-    asked = events_from_table(spark, d).select("user_id").distinct()
-    return online.lookup(asked, have)
+    """All users, and as many that no event has."""
+    users = events_from_table(spark, d).select("user_id").distinct()
+    return online.lookup(users.union(users.select(F.concat("user_id", F.lit("-new")))), online.vector(sliding_all(spark, d)))
 
 
 def online_ttl(spark, d):
@@ -159,8 +245,7 @@ def online_ttl(spark, d):
 
 
 def online_strings(spark, d):
-    own = online.vector(sliding_all(spark, d))
-    return online.as_strings(own).where("field in ('clicks_5m', 'purchases_24h', 'distinct_products_1h')")
+    return online.as_strings(online.vector(sliding_all(spark, d)))
 
 
 _VECTOR = "vec AS (SELECT user_id, " + ", ".join(f"CAST(arg_max({f}, window_end_ms) FILTER (window_resolution = '{r}' AND {f} IS NOT NULL) AS {k.upper()}) AS \"{n}\"" for n, r, f, k in online_fields()) + ", max({'e': window_end_ms, 't': CASE window_resolution WHEN '5m' THEN 450000 WHEN '1h' THEN 5400000 ELSE 129600000 END}) AS m FROM alls GROUP BY user_id)"
@@ -215,8 +300,21 @@ def delivery_counters(spark, d):
     return metrics.delivery(events_from_table(spark, d).select(status.alias("status")))
 
 
+def delivery_errors(spark, d):
+    """Failed deliveries by class of error; every fourth has none."""
+    status = F.when(F.col("event_type") == "ERROR", "failed").otherwise("acked")
+    error = F.element_at(F.array(F.lit("TIMED_OUT"), F.lit("QUEUE_FULL"), F.lit("FENCED"), F.lit(None)), F.col("quantity"))
+    return metrics.delivery_errors(events_from_table(spark, d).select(status.alias("status"), error.alias("error")))
+
+
+def merged_percentiles(spark, d):
+    """Latencies of twelve processes, each with a reservoir of 50 samples."""
+    e = events_from_table(spark, d).select("event_id", (F.substring("user_id", 3, 6).cast("int") % 12).alias("process"), (F.col("price_cents") - 500).alias("ms"))
+    return metrics.merged_percentiles(e, "ms", "event_id", "process", 50)
+
+
 def sink_counters(spark, d):
-    e = events_from_table(spark, d).groupBy(F.expr("event_us div 3600000000").alias("h")).agg(F.count_if(F.col("event_type") != "ERROR").alias("inserted"), F.count_if(F.col("event_type") == "ERROR").alias("skipped"), F.count("*").alias("batch_size"), F.max("quantity").cast("double").alias("latency_ms"))
+    e = events_from_table(spark, d).groupBy(F.expr("event_us div 3600000000").alias("h")).agg(F.count_if(F.col("event_type") != "ERROR").alias("inserted"), F.count_if(F.col("event_type") == "ERROR").alias("skipped"), F.count("*").alias("batch_size"), F.max("quantity").cast("double").alias("latency_ms"), F.count_if(F.col("event_type") == "SIGNUP").alias("failed"))
     return metrics.sink_counts(e)
 
 
@@ -227,8 +325,10 @@ def mp_merge(spark, d):
 
 
 def total_lag(spark, d):
-    e = events_from_table(spark, d).groupBy((F.substring("user_id", 3, 6).cast("int") % 12).alias("p")).agg(F.count("*").alias("high"), F.when(F.first("user_id") != "", F.count_if(F.col("quantity") > 1)).alias("position"))
-    return metrics.total_lag(e)
+    e = events_from_table(spark, d).groupBy((F.substring("user_id", 3, 6).cast("int") % 12).alias("p")).agg(F.count("*").alias("high"), F.count_if(F.col("quantity") > 1).alias("position"))
+    # of one partition the position isn't known, of another it is invalid, of a third beyond the end
+    position = F.when(F.col("p") == 3, F.lit(None)).when(F.col("p") == 5, -1001).when(F.col("p") == 7, F.col("high") + 10).otherwise(F.col("position"))
+    return metrics.total_lag(e.withColumn("position", position))
 
 
 def window_ends(spark, d):
@@ -244,11 +344,13 @@ def retention(spark, d):
 
 
 def consume_counters(spark, d):
-    """Events per partition as received a constant second after they were made, errors failing."""
-    e = events_from_table(spark, d)
-    late = F.when(F.col("quantity") == 1, F.lit(-1.0)).otherwise(F.col("quantity") * 250.0)
-    p = metrics.percentiles(e.select(late.alias("ms")), "ms")
-    return p.crossJoin(e.agg(F.count("*").alias("consumed"), F.count_if(F.col("event_type") == "ERROR").alias("failed")))  # one row each
+    """Events as received a quarter second per piece after the broker had them (without its time
+    for those of one piece), errors failing; lag is the events of each hour."""
+    e = events_from_table(spark, d).withColumn("broker_ms", F.when(F.col("quantity") == 1, F.lit(0)).otherwise(F.expr("event_us div 1000")))
+    ms = metrics.latency_ms(F.expr("event_us div 1000") + F.col("quantity") * 250, F.col("broker_ms"))
+    lag = e.groupBy(F.expr("event_us div 3600000000").alias("seq")).agg(F.count("*").alias("lag"))
+    failed = F.when(F.col("event_type") == "ERROR", "SCHEMA_MISMATCH").alias("decode_error")
+    return metrics.percentiles(e.select(ms.alias("ms")), "ms").crossJoin(metrics.consume_counts(e.select(failed), lag))  # one row each
 
 
 def message_keys(spark, d):
@@ -259,18 +361,20 @@ def message_keys(spark, d):
 
 
 def emission_history(spark, d):
-    """emission_seq of repeated deliveries of records: how often the key came before."""
-    own = emission_keys(spark, d).where("emission_seq = 0").select("idempotency_key").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return metrics.running(own, "idempotency_key", "n")
+    """emission_seq of repeated deliveries of records: how often the key came before. A record
+    is delivered once to three times, by its window."""
+    own = windows.emission_keys(sliding_1h(spark, d))
+    times = F.sequence(F.lit(1), (F.col("window_end_ms") / 300_000 % 3 + 1).cast("int"))
+    return metrics.running(own.select("idempotency_key", F.explode(times).alias("n")), "idempotency_key", "n")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_5m, sliding_1h, sliding_24h, sliding_all, panes_1m, emission_keys, emission_counts, late_split, session_features,
+        sliding_5m, sliding_1h, sliding_24h, sliding_all, panes_1m, emission_keys, emission_counts, fired_windows, late_split, session_features,
         validate_tagged, validated_events, dlq_events, invalid_by_class, invalid_by_validator, invalid_by_field_top10, invalid_rate,
-        raw_events_dedup, raw_insert_counts, online_vector, online_lookup_zero_fill, online_ttl, online_strings, pit_join, online_offline_diff, freshness,
-        partition_skew, latency_percentiles, batch_histogram, lag_ramp, delivery_counters, sink_counters, mp_merge, total_lag,
+        every_rule, model_violations, internal_errors, raw_events_dedup, avro_round_trip, raw_insert_counts, online_vector, online_lookup_zero_fill, online_ttl, online_strings, pit_join, online_offline_diff, freshness,
+        partition_skew, latency_percentiles, batch_histogram, lag_ramp, delivery_counters, delivery_errors, merged_percentiles, sink_counters, mp_merge, total_lag,
         window_ends, retention, consume_counters, message_keys, emission_history,
     )
 }
@@ -282,7 +386,8 @@ ORACLE_SQL = {
     "sliding_24h": _with(_raw(R24H)),
     "sliding_all": _with(_ALL),
     "panes_1m": _with("SELECT user_id, CAST(floor(event_us / 60000000) AS BIGINT) AS pane, count(*) FILTER (event_type = 'CLICK') AS click_count, count(*) FILTER (event_type = 'PAGE_VIEW') AS page_view_count, count(*) FILTER (event_type = 'PURCHASE') AS purchase_count, CAST(coalesce(sum(price_cents * quantity) FILTER (event_type = 'PURCHASE'), 0) AS BIGINT) AS cents, count(DISTINCT product_id) FILTER (event_type = 'PURCHASE') AS products FROM ev GROUP BY 1, 2"),
-    "emission_keys": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, user_id || ':1h' AS kafka_key, 'W_1H_SLIDE_5M' AS symbol, CAST(0 AS INTEGER) AS emission_seq FROM r", f"r AS ({_raw(R1H)})"),
+    "emission_keys": _with("SELECT user_id || ':' || window_resolution || ':' || window_end_ms || ':0' AS idempotency_key, user_id || ':' || window_resolution AS kafka_key, CASE window_resolution WHEN '5m' THEN 'W_5M_SLIDE_1M' WHEN '1h' THEN 'W_1H_SLIDE_5M' ELSE 'W_24H_SLIDE_1H' END AS symbol, CAST(0 AS INTEGER) AS emission_seq FROM alls", f"alls AS ({_ALL})"),
+    "fired_windows": _with(f"SELECT user_id, window_resolution, window_end_ms, purchase_count FROM alls WHERE window_end_ms <= {RUN_MS[1]} AND window_end_ms >= {RUN_MS[0]} - {RUN_MS[0]} % CASE window_resolution WHEN '5m' THEN 60000 WHEN '1h' THEN 300000 ELSE 3600000 END", f"alls AS ({_ALL})"),
     "emission_counts": _with("SELECT window_resolution, count(*) AS emitted FROM alls GROUP BY 1", f"alls AS ({_ALL})"),
     "late_split": _with(
         "SELECT event_id, process, watermark_us, event_us < watermark_us - 30000000 AS is_late FROM w",
@@ -295,18 +400,35 @@ ORACLE_SQL = {
         "n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)",
     ),
     "validate_tagged": _with("SELECT event_id, error_class, validator_name, error_field_path FROM tagged", _TAGGED),
-    "validated_events": _with("SELECT event_id, event_type, user_id, session_id, event_us, product_id, price_cents, quantity, currency FROM tagged WHERE error_class IS NULL", _TAGGED),
-    "dlq_events": _with(f"SELECT 'e-commerce-events' AS original_topic, {_PART} AS original_partition, CAST(event_id AS BIGINT) AS original_offset, user_id AS key, CAST({NOW_US // 1000} AS BIGINT) AS rejected_at_ms, error_class, validator_name, error_field_path, '1.0.0' AS validator_version, 'e-commerce-events:' || ({_PART}) || ':' || event_id AS dlq_key FROM tagged WHERE error_class IS NOT NULL", _TAGGED),
+    "validated_events": _with("SELECT event_id, event_type, user_id, session_id, event_us, product_id, price_cents, quantity, currency, element_id, page_url, referrer FROM tagged WHERE error_class IS NULL", _TAGGED),
+    "dlq_events": _with(
+        f"SELECT CAST(1 AS INTEGER) AS schema_version, 'e-commerce-events' AS original_topic, {_PART} AS original_partition, CAST(event_id AS BIGINT) AS original_offset, event_us // 1000 AS original_timestamp_ms, user_id AS original_key_bytes, "
+        """'{"currency": "' || currency || '", "element_id": "' || element_id || '", "event_id": "' || event_id || '", "event_type": "' || event_type || '", "event_us": ' || event_us || ', "page_url": "' || page_url || '", "price_cents": ' || price_cents"""
+        """ || ', "product_id": "' || product_id || '", "quantity": ' || quantity || ', "referrer": ' || coalesce('"' || referrer || '"', 'null') || ', "session_id": "' || session_id || '", "user_id": "' || user_id || '"}' AS original_value_bytes, """
+        f"CAST({NOW_US // 1000} AS BIGINT) AS rejected_at_ms, error_class, validator_name, error_field_path, error_message, '1.0.0' AS validator_version, 'e-commerce-events:' || ({_PART}) || ':' || event_id AS dlq_key FROM tagged WHERE error_class IS NOT NULL",
+        _TAGGED,
+    ),
+    "every_rule": _with("SELECT event_id, error_class, validator_name, error_field_path, error_message FROM ht", _HARD, _tagged_sql("ht", "hard")),
+    "model_violations": _with("SELECT event_id, CASE WHEN error_field_path IS NOT NULL THEN 'NULL_REQUIRED_FIELD' END AS error_class, CASE WHEN error_field_path IS NOT NULL THEN 'PydanticAdapter' END AS validator_name, error_field_path FROM hm", _HARD, _MODEL),
+    "internal_errors": _with("SELECT event_id, CASE WHEN b THEN 'PIPELINE_INTERNAL_ERROR' END AS error_class, CASE WHEN b THEN 'SharesValidator' END AS validator_name, CAST(NULL AS VARCHAR) AS error_field_path, CASE WHEN b THEN true END AS raised FROM (SELECT *, event_type = 'PURCHASE' AND quantity = 3 AS b FROM ev)"),
     "invalid_by_class": _with("SELECT error_class AS key, count(*) AS n FROM tagged WHERE error_class IS NOT NULL GROUP BY 1", _TAGGED),
     "invalid_by_validator": _with("SELECT validator_name AS key, count(*) AS n FROM tagged WHERE error_class IS NOT NULL GROUP BY 1", _TAGGED),
     "invalid_by_field_top10": _with("SELECT error_field_path AS key, count(*) AS n FROM tagged WHERE error_field_path IS NOT NULL GROUP BY 1 ORDER BY n DESC, key LIMIT 10", _TAGGED),
     "invalid_rate": _with("SELECT count(*) AS consumed, count(error_class) AS invalid, round(CAST(count(error_class) AS DOUBLE) / count(*), 9) AS rate, CAST(count(error_class) AS DOUBLE) / count(*) > 0.05 AS elevated FROM tagged", _TAGGED),
-    "raw_events_dedup": _with("SELECT event_id, event_type, user_id, session_id, event_us, CAST(event_id AS BIGINT) AS arrival FROM ev"),
+    "raw_events_dedup": _with("""SELECT event_id, event_type, user_id, session_id, event_us, CAST(event_id AS BIGINT) AS arrival, CASE event_type
+  WHEN 'PURCHASE' THEN '{"product_id":"' || product_id || '","quantity":' || quantity || ',"price_cents":' || price_cents || ',"currency":"' || currency || '"}'
+  WHEN 'CLICK' THEN '{"element_id":"' || element_id || '","page_url":"' || page_url || '"}'
+  WHEN 'PAGE_VIEW' THEN '{"page_url":"' || page_url || '","referrer":' || coalesce('"' || referrer || '"', 'null') || '}' ELSE '{}' END AS properties FROM ev"""),
+    "avro_round_trip": _with("""SELECT n, CASE WHEN ok THEN md5(event_id) END AS event_id, CASE WHEN ok THEN event_type END AS event_type, CASE WHEN ok THEN user_id END AS user_id, CASE WHEN ok THEN session_id END AS session_id,
+  CASE WHEN ok THEN event_us END AS event_us, CASE WHEN ok AND event_type = 'PURCHASE' THEN product_id END AS product_id, CASE WHEN ok AND event_type = 'PURCHASE' THEN price_cents END AS price_cents,
+  CASE WHEN ok AND event_type = 'PURCHASE' THEN quantity END AS quantity, CASE WHEN ok AND event_type = 'PURCHASE' THEN currency END AS currency, CASE WHEN ok AND event_type = 'CLICK' THEN element_id END AS element_id,
+  CASE WHEN ok AND event_type <> 'PURCHASE' THEN page_url END AS page_url, CASE WHEN ok AND event_type = 'PAGE_VIEW' THEN referrer END AS referrer, CASE WHEN NOT ok THEN 'SCHEMA_MISMATCH' END AS decode_error
+FROM (SELECT *, CAST(event_id AS BIGINT) AS n, CAST(event_id AS BIGINT) % 50 <> 0 AND CAST(event_id AS BIGINT) % 70 <> 0 AS ok FROM ev WHERE event_type IN ('CLICK', 'PURCHASE', 'PAGE_VIEW'))"""),
     "raw_insert_counts": _with("SELECT count(*) FILTER (id % 5 <> 0) AS inserted, count(*) + count(*) FILTER (id % 4 = 0) - count(*) FILTER (id % 5 <> 0) AS skipped FROM (SELECT CAST(event_id AS BIGINT) AS id FROM ev)"),
     "online_vector": _with(f"SELECT user_id, {_FIELDS}, m.e + m.t AS expires_at_ms FROM vec", f"alls AS ({_ALL})", _VECTOR),
-    "online_lookup_zero_fill": _with("SELECT u.user_id, v.user_id IS NOT NULL AS key_present, " + ", ".join(f'CAST(coalesce("{n}", 0) AS {k.upper()}) AS "{n}"' for n, _, _, k in online_fields()) + " FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN (SELECT * FROM vec WHERE user_id < 'u-000050') v USING (user_id)", f"alls AS ({_ALL})", _VECTOR),
+    "online_lookup_zero_fill": _with("SELECT u.user_id, v.user_id IS NOT NULL AS key_present, " + ", ".join(f'CAST(coalesce("{n}", 0) AS {k.upper()}) AS "{n}"' for n, _, _, k in online_fields()) + " FROM (SELECT DISTINCT user_id FROM ev UNION ALL SELECT DISTINCT user_id || '-new' FROM ev) u LEFT JOIN vec v USING (user_id)", f"alls AS ({_ALL})", _VECTOR),
     "online_ttl": _with(f"SELECT user_id, m.e + m.t AS expires_at_ms FROM vec WHERE m.e + m.t > {NOW_US // 1000}", f"alls AS ({_ALL})", _VECTOR),
-    "online_strings": _with("SELECT * FROM (SELECT user_id, 'clicks_5m' AS field, CAST(\"clicks_5m\" AS VARCHAR) AS value FROM vec UNION ALL SELECT user_id, 'purchases_24h', CAST(\"purchases_24h\" AS VARCHAR) FROM vec UNION ALL SELECT user_id, 'distinct_products_1h', CAST(\"distinct_products_1h\" AS VARCHAR) FROM vec) WHERE value IS NOT NULL", f"alls AS ({_ALL})", _VECTOR),
+    "online_strings": _with("SELECT * FROM (" + " UNION ALL ".join(f"SELECT user_id, '{n}' AS field, CAST(\"{n}\" AS VARCHAR) AS value FROM vec" for n, *_ in online_fields()) + ") WHERE value IS NOT NULL", f"alls AS ({_ALL})", _VECTOR),
     "pit_join": _with("SELECT e.event_id, e.user_id, e.at_ms, s.window_end_ms, s.click_count, s.revenue FROM (SELECT event_id, user_id, event_us // 1000 AS at_ms FROM ev WHERE event_type = 'PURCHASE') e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.at_ms >= s.window_end_ms", f"s AS ({_raw(R5M)})"),
     "online_offline_diff": _with(
         "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.window_end_ms, b.window_end_ms) AS window_end_ms, CASE WHEN a.user_id IS NULL THEN 'missing_online' WHEN b.user_id IS NULL THEN 'missing_offline' ELSE 'different' END AS status FROM a FULL JOIN b ON a.user_id = b.user_id AND a.window_end_ms = b.window_end_ms WHERE a.user_id IS NULL OR b.user_id IS NULL OR a.click_count <> b.click_count OR a.page_view_count <> b.page_view_count OR a.purchase_count <> b.purchase_count",
@@ -318,12 +440,14 @@ ORACLE_SQL = {
     "batch_histogram": _with("SELECT coalesce((SELECT min(x) FROM unnest([1, 10, 50, 100, 250, 500, 1000, 2500, 5000, 10000]) t(x) WHERE x >= size), 10000) AS edge, count(*) AS n FROM (SELECT count(*) AS size FROM ev GROUP BY user_id, event_us // 86400000000) GROUP BY 1"),
     "lag_ramp": _with("SELECT count(*) AS n, max(lag) AS max_lag, arg_max(lag, seq) AS end_lag, round(regr_slope(lag, seq), 6) AS slope, count(*) >= 3 AND max(lag) > 0 AND regr_slope(lag, seq) > 0 AND regr_slope(lag, seq) * (count(*) - 1) >= max(lag) * 0.1 AS ramped FROM (SELECT event_us // 3600000000 AS seq, count(*) AS lag FROM ev GROUP BY 1)"),
     "delivery_counters": _with("SELECT count(*) AS produced, count(*) FILTER (event_type NOT IN ('ERROR', 'SIGNUP')) AS acked, count(*) FILTER (event_type = 'ERROR') AS failed, count(*) FILTER (event_type = 'SIGNUP') AS in_flight FROM ev"),
-    "sink_counters": _with("SELECT CAST(sum(i) AS BIGINT) AS inserted, CAST(sum(s) AS BIGINT) AS skipped, count(*) AS batches, round(quantile_cont(b, 0.5), 6) AS batch_p50, round(quantile_cont(b, 0.99), 6) AS batch_p99, round(quantile_cont(l, 0.5), 6) AS flush_p50, round(quantile_cont(l, 0.95), 6) AS flush_p95 FROM (SELECT count(*) FILTER (event_type <> 'ERROR') AS i, count(*) FILTER (event_type = 'ERROR') AS s, CAST(count(*) AS DOUBLE) AS b, CAST(max(quantity) AS DOUBLE) AS l FROM ev GROUP BY event_us // 3600000000)"),
+    "delivery_errors": _with("SELECT coalesce(CASE quantity WHEN 1 THEN 'TIMED_OUT' WHEN 2 THEN 'QUEUE_FULL' WHEN 3 THEN 'FENCED' END, 'unknown') AS key, count(*) AS n FROM ev WHERE event_type = 'ERROR' GROUP BY 1"),
+    "merged_percentiles": _with("SELECT round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99 FROM (SELECT CAST(ms AS DOUBLE) AS ms, row_number() OVER (PARTITION BY process ORDER BY md5('42:' || event_id), event_id) AS r FROM l WHERE ms >= 0) WHERE r <= 50", f"l AS (SELECT event_id, {_PART} AS process, price_cents - 500 AS ms FROM ev)"),
+    "sink_counters": _with("SELECT CAST(sum(i) AS BIGINT) AS inserted, CAST(sum(s) AS BIGINT) AS skipped, CAST(sum(f) AS BIGINT) AS failed, count(*) AS batches, round(quantile_cont(b, 0.5), 6) AS batch_p50, round(quantile_cont(b, 0.99), 6) AS batch_p99, round(quantile_cont(l, 0.5), 6) AS flush_p50, round(quantile_cont(l, 0.95), 6) AS flush_p95 FROM (SELECT count(*) FILTER (event_type <> 'ERROR') AS i, count(*) FILTER (event_type = 'ERROR') AS s, count(*) FILTER (event_type = 'SIGNUP') AS f, CAST(count(*) AS DOUBLE) AS b, CAST(max(quantity) AS DOUBLE) AS l FROM ev GROUP BY event_us // 3600000000)"),
     "mp_merge": _with("SELECT CAST(sum(c) AS BIGINT) AS consumed, CAST(sum(f) AS BIGINT) AS failed, max(s) AS seconds, CAST(sum(l) AS BIGINT) AS lag, bool_or(c > 1000000) AS ramped, round(sum(c) / max(s), 6) AS rate, NOT bool_or(c > 1000000) AND sum(f) = 0 AND round(sum(c) / max(s), 6) >= 0.001 AS passes FROM p", f"p AS (SELECT count(*) AS c, count(*) FILTER (event_type = 'ERROR') AS f, (max(event_us) - min(event_us)) / 1e6::DOUBLE AS s, sum(quantity) AS l FROM ev GROUP BY {_PART})"),
     "window_ends": _with("SELECT event_id, CAST(floor(event_us / 60000000) AS BIGINT) AS pane, unnest([(CAST(floor(event_us / 60000000) AS BIGINT) + k) * 60 FOR k IN range(1, 6)]) AS end_s FROM ev"),
     "retention": _with(f"SELECT event_id, event_us // 1000 AS at_ms FROM tagged WHERE error_class IS NOT NULL AND event_us // 1000 >= {NOW_US // 1000} - 604800000", _TAGGED),
-    "consume_counters": _with("SELECT round(quantile_cont(quantity * 250.0::DOUBLE, 0.5) FILTER (quantity > 1), 6) AS p50, round(quantile_cont(quantity * 250.0::DOUBLE, 0.95) FILTER (quantity > 1), 6) AS p95, round(quantile_cont(quantity * 250.0::DOUBLE, 0.99) FILTER (quantity > 1), 6) AS p99, count(*) AS consumed, count(*) FILTER (event_type = 'ERROR') AS failed FROM ev"),
+    "consume_counters": _with("SELECT * FROM (SELECT round(quantile_cont(quantity * 250.0::DOUBLE, 0.5) FILTER (quantity > 1), 6) AS p50, round(quantile_cont(quantity * 250.0::DOUBLE, 0.95) FILTER (quantity > 1), 6) AS p95, round(quantile_cont(quantity * 250.0::DOUBLE, 0.99) FILTER (quantity > 1), 6) AS p99, count(*) AS polled, count(*) FILTER (event_type = 'ERROR') AS deserialize_failures, count(*) FILTER (event_type <> 'ERROR') AS consumed FROM ev), (SELECT max(lag) AS max_lag, arg_max(lag, seq) AS end_lag FROM (SELECT event_us // 3600000000 AS seq, count(*) AS lag FROM ev GROUP BY 1))"),
     "message_keys": _with(f"SELECT event_id, 't:' || ({_PART}) || ':' || event_id AS dlq_key, regexp_replace(md5(event_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS uuid, true AS currency_ok FROM ev"),
-    "emission_history": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS emission_seq FROM r, (SELECT unnest([1, 2, 3]) AS n)", f"r AS ({_raw(R1H)})"),
-    "total_lag": _with("SELECT CAST(count(*) FILTER (quantity <= 1) AS BIGINT) AS lag FROM ev"),
+    "emission_history": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS emission_seq FROM (SELECT *, unnest(range(1, CAST(window_end_ms / 300000 % 3 + 2 AS BIGINT))) AS n FROM r)", f"r AS ({_raw(R1H)})"),
+    "total_lag": _with(f"SELECT CAST(count(*) FILTER (quantity <= 1) AS BIGINT) AS lag FROM ev WHERE ({_PART}) NOT IN (3, 5, 7)"),
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from freshet.config import KafkaConfig
 from freshet.functions import evolution, scalars
 from freshet.operators import metrics, offline, online
-from freshet.plans import jobs, sizing
+from freshet.plans import jobs, reports, sizing
 from freshet.schema import FEATURES, events_from_table, online_fields
 from freshet.sources import events, sinks
 from freshet.streaming import append, stateful
@@ -157,5 +157,6 @@ def test_streaming_paths(spark, tmp_path):
 
 
 def test_reports(spark):
-    text = jobs.markdown("T", spark.createDataFrame([(1, None)], "a int, b string"))
+    text = reports.markdown("T", spark.createDataFrame([(1, None)], "a int, b string"))
     assert text.startswith("# T") and "| 1 | None |" in text
+    assert "3 more rows are left out" in reports.markdown("T", spark.range(5), most=2)
