@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ from .components import components
 SEED = 42
 #: Variants that a task holds at a time, about.
 SLICE = 1 << 22
+#: Texts to be looked at again that are told to all tasks; 16 bytes each.
+MOST_WANTED = 1_000_000
 _ROW = ("bucket", "key", "node", "s0", "s1")
 
 
@@ -64,15 +66,6 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(majority(h.view(np.uint8).reshape(-1, 8)).view(np.uint64)[0]) if len(h) else 0
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, int]:
-    """128 bits, likewise of the XXH3-128; (low, high) half."""
-    raw = b"".join(map(xxhash.xxh3_128_digest, shingles(text, words)))
-    if not raw:
-        return 0, 0
-    low, high = majority(np.frombuffer(raw, np.uint8).reshape(-1, 16)).view(np.uint64)
-    return int(low), int(high)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -294,137 +287,180 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def signatures(docs: DataFrame, words: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, s0, s1: the halves of a 128-bit signature; those of a wordless text are 0."""
-    schema = struct_of(("doc_id", T.LongType()), ("s0", T.LongType()), ("s1", T.LongType()))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH3-64 of the shingles, sorted; none for a wordless text."""
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(text, words)), dtype=np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [signature(s.as_py(), words) for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([_signed(x[i]) for x in both], pa.int64()) for i in (0, 1))], names=schema.names)
 
-    return docs.select(F.col(id).cast("long"), text).mapInArrow(run, schema)
+def _set_key(hashes: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
-def bits_apart(similarity: float, bits: int = 128, deviations: float = 0.6) -> int:
-    """Differing bits up to which two signatures count as ``similarity`` or more (Jaccard, of
-    texts of like length): what is expected there, and some standard deviations."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(min(1.0, cosine)) / np.pi)
-    return int(np.floor(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the hashes that fall on it: two sets' differ in no more bits
+    than the sets have elements that the other lacks."""
+    return np.packbits(np.bincount(hashes.view(np.uint64) >> np.uint64(55), minlength=512).astype(np.uint8) & 1)
 
 
-def shingle_sets(docs: DataFrame, words: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, hashes: the sorted distinct XXH3-64 of the shingles; none for a wordless text."""
-    schema = struct_of(("doc_id", T.LongType()), ("hashes", T.ArrayType(T.LongType())))
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set, those marked common being last in order: sets of that similarity
+    share one of them."""
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1 if len(hashes) else 0
+    return np.concatenate([hashes[~common], hashes[common]])[:n]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(s.as_py(), words)), dtype=np.uint64).view(np.int64)) for s in batch.column(1)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
 
-    return docs.select(F.col(id).cast("long"), text).mapInArrow(run, schema)
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the hashes that fall on it: two sets' differ in no more bits
-    than the sets have elements that the other lacks."""
-    return np.packbits(np.bincount(hashes.view(np.uint64) >> np.uint64(55), minlength=512).astype(np.uint8) & 1)
+def _sketches(texts: DataFrame, words: int, similarity: float, common: list[int]) -> DataFrame:
+    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, bits and tokens, the
+    set's prefix. The sets themselves aren't kept."""
+    schema = struct_of(("doc_id", T.LongType()), ("row", T.LongType()), ("node", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()), ("tokens", T.ArrayType(T.LongType())))
+    last = np.array(sorted(common) or [0], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(s.as_py(), words) for s in batch.column(2)]
+            flat = np.concatenate(sets)
+            marks = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(common), np.cumsum([len(h) for h in sets])[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([_set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h).tobytes() for h in sets], pa.binary()), _lists([prefix(h, c, similarity) for h, c in zip(sets, marks, strict=True)])],
+                names=schema.names,
+            )
+
+    return texts.mapInArrow(run, schema)
 
 
-def _prefixes(nodes: DataFrame, similarity: float, common: list[int]) -> DataFrame:
-    """token, node for the first hashes of each set, the common ones being last in order: sets
-    of that similarity share one of these. Tokens of one node only are dropped."""
-    schema = struct_of(("token", T.LongType()), ("node", T.LongType()))
-    last = np.array(sorted(common), dtype=np.int64)
+def _meetings(nodes: DataFrame, similarity: float) -> DataFrame:
+    """token, a, b, n: for each token that several nodes have, a row per node (b null, n its size),
+    and rows (token null) for the pairs (a, b) that its nodes in order of size make with the first
+    one of their size class and with the one before."""
+    schema = struct_of(("token", T.LongType()), ("a", T.LongType()), ("b", T.LongType()), ("n", T.LongType()))
+    step = -np.log(similarity) if similarity < 1 else 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = []
-            for hashes in batch.column(1):
-                h = hashes.values.to_numpy()
-                own.append(h[np.argsort(np.isin(h, last), kind="stable")][: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1])
-            node = np.repeat(batch.column(0).to_numpy(), list(map(len, own)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node)], names=schema.names)
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the last row, of which it isn't known yet whether its token goes on
-        same = False  # whether its token is that of the row before it
+        hub = np.zeros(4, dtype=np.int64)  # the run's first row: token, node, n, class
+        rest, same = None, False  # the row that came last, and whether its token is that of the row before it
         for batch in batches:
-            token, node = (c.to_numpy() for c in batch.columns)
-            if rest is not None:
-                token, node = np.r_[rest[0], token], np.r_[rest[1], node]
+            token, node, n = (c.to_numpy() for c in batch.columns)
             if not len(token):
                 continue
+            first = rest is None
+            if not first:
+                token, node, n = np.r_[rest[0], token], np.r_[rest[1], node], np.r_[rest[2], n]
+            kind = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int64)
+            if first:
+                hub[:] = token[0], node[0], n[0], kind[0]
             equal = token[1:] == token[:-1]
+            # the first row of each run of one token and size class
+            fresh = np.r_[(token[0] != hub[0]) | (kind[0] != hub[3]), ~equal | (kind[1:] != kind[:-1])]
+            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), -1))
+            head = np.where(lead >= 0, node[np.maximum(lead, 0)], hub[1])
+            size = np.where(lead >= 0, n[np.maximum(lead, 0)], hub[2])
+            x, y = np.r_[head[1:], node[:-1][equal]], np.r_[node[1:], node[1:][equal]]
+            nx, ny = np.r_[size[1:], n[:-1][equal]], np.r_[n[1:], n[1:][equal]]
+            fits = (x != y) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny) - 1e-6)
+            pairs = np.unique(np.stack([np.minimum(x, y)[fits], np.maximum(x, y)[fits]], axis=1), axis=0)
             keep = np.r_[same, equal][:-1] | equal
-            yield pa.RecordBatch.from_arrays([pa.array(token[:-1][keep], pa.int64()), pa.array(node[:-1][keep], pa.int64())], names=schema.names)
-            rest, same = (token[-1:], node[-1:]), bool(np.r_[same, equal][-1])
+            none = np.zeros(len(pairs), dtype=bool)
+            there = np.ones(int(keep.sum()), dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[token[:-1][keep], pairs[:, 0]], mask=np.r_[~there, ~none]), pa.array(np.r_[node[:-1][keep], pairs[:, 0]]),
+                    pa.array(np.r_[node[:-1][keep], pairs[:, 1]], mask=np.r_[there, none]), pa.array(np.r_[n[:-1][keep], 0 * pairs[:, 0]]),
+                ],
+                names=schema.names,
+            )
+            hub[:] = token[-1], head[-1], size[-1], kind[-1]
+            rest, same = (token[-1:], node[-1:], n[-1:]), bool(np.r_[same, equal][-1])
         if same:
-            yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1]), pa.array([None], pa.int64()), pa.array(rest[2])], names=schema.names)
 
-    sent = nodes.where("size(hashes) > 0").select("node", "hashes").mapInArrow(run, schema)
-    return sent.repartition(spread(nodes.sparkSession), "token").sortWithinPartitions("token").mapInArrow(shared, schema)
+    posts = nodes.select(F.explode("tokens").alias("token"), "node", "n")
+    return posts.repartition(spread(nodes.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema)
 
 
-def _sketches(nodes: DataFrame) -> DataFrame:
-    """node, n, bits: the size and the parity bits of each set."""
-    schema = struct_of(("node", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()))
+def may_be_similar(n: np.ndarray, bits: np.ndarray, m: np.ndarray, own: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n elements may be as similar as that to sets of m elements, row by row;
+    false for none that is. bits, own: their parity bits."""
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    apart = np.bitwise_count(bits ^ own).sum(axis=-1, dtype=np.int64)
+    return (low >= similarity * high - 1e-6) & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [h.values.to_numpy() for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(h).tobytes() for h in sets], pa.binary())], names=schema.names)
 
-    return nodes.select("node", "hashes").mapInArrow(run, schema)
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits don't rule out."""
+    schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 4))
+            bits, own = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (3, 5))
+            yield batch.filter(pa.array(may_be_similar(n, bits, m, own, similarity))).select(["a", "b"])
 
-def may_be_similar(n: np.ndarray, bits: np.ndarray, i: int, similarity: float) -> np.ndarray:
-    """Whether sets may be as similar as that to set i; false for none that is."""
-    low, high = np.minimum(n, n[i]), np.maximum(n, n[i])
-    apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-    return (low >= similarity * high - 1e-6) & (apart <= (n + n[i]) * (1 - similarity) / (1 + similarity) + 1e-6)
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, schema)
 
 
-def _pairs(posts: DataFrame, similarity: float, hub: int | None) -> DataFrame:
-    """Pairs (a, b) of nodes that share a token, may be similar and aren't in one component yet:
-    with one member of each token (picked by the number hub), or all of them."""
+def _left_pairs(posts: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that share a token, may be similar and aren't in one component yet. Tokens whose
+    nodes all are in one component are left out first; a node meets those of its token that are in
+    reach by size, block by block."""
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
-
-    def ready(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        node, n, root = (np.array([r[i] for r in held], dtype=np.int64) for i in (1, 2, 4))
-        bits = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(-1, 8)
-        if (root == root[0]).all():
-            return
-        one = [int(np.argmin((node * 2 + 1) * (0x9E3779B97F4A7C15 >> (hub + 1) | 1)))] if hub is not None else range(len(node))
-        for i in one:
-            there = np.flatnonzero((root != root[i]) & ((node > node[i]) | (hub is not None)))
-            there = there[may_be_similar(np.r_[n[there], n[i]], np.r_[bits[there], bits[i : i + 1]], -1, similarity)[:-1]]
-            if len(there):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[there], node[i])), pa.array(np.maximum(node[there], node[i]))], names=schema.names)
+    of = Window.partitionBy("token")
+    rooted = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low <> high").select("token", "node", "root")
+    open_ = materialize(open_, "open-prefixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in slices(batches, 4096):
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and r[0] != held[0][0]:
-                    if len(held) > 1:
-                        yield from ready(held)
-                    held = []
-                held.append(r)
-        if len(held) > 1:
-            yield from ready(held)
-
-    dealt = posts.select("token", "node", "n", "bits", "root").repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "node")
-    return dealt.mapInArrow(run, schema).distinct()
+        held: list[tuple] = []  # blocks of one token that rows to come may still be similar to
+        for batch in slices(batches, 1024):
+            token, node, root, n = (batch.column(i).to_numpy() for i in range(4))
+            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, 8)
+            cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                block = tuple(x[lo:hi] for x in (token, node, root, n, bits))
+                held = [h for h in held if h[0][0] == token[lo] and h[3][-1] >= similarity * n[lo] - 1e-6]
+                held.append(block)
+                for other in held:
+                    for i in range(hi - lo):
+                        near = np.flatnonzero((other[2] != block[2][i]) & (other[3] >= similarity * block[3][i] - 1e-6))
+                        if other is block:
+                            near = near[near < i]
+                        if len(near):
+                            near = near[may_be_similar(other[3][near], other[4][near], block[3][i], block[4][i], similarity)]
+                        if len(near):
+                            a, b = other[1][near], np.full(len(near), block[1][i])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=schema.names)
+
+    known = open_.join(sketches.select("node", "n", "bits"), "node").select("token", "node", "root", "n", "bits")
+    return known.repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets have that Jaccard similarity or more. Only the sets of nodes that are in
+    a pair are made again from their texts; which texts these are is broadcast up to MOST_WANTED
+    of them, and joined beyond."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row"), "node")
+    wanted = materialize(wanted.select(F.col("node").alias("of"), F.col("row").alias("text_row")), "wanted")
+    some = F.broadcast(wanted) if wanted.count() <= MOST_WANTED else wanted
+    schema = struct_of(("node", T.LongType()), ("hashes", T.ArrayType(T.LongType())))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(s.as_py(), words) for s in batch.column(1)])], names=schema.names)
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have that Jaccard similarity or more."""
-    left, right = (nodes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    found = texts.join(some, F.col("row") == F.col("text_row")).groupBy("of").agg(F.first("text").alias("text"))
+    sets = materialize(found.mapInArrow(run, schema), "sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("n"))
-    return both.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b")
+    out = materialize(both.where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= similarity).select("a", "b"), "links")
+    for done in (pairs, wanted, sets):
+        discard(done, texts.sparkSession)
+    return out
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -432,34 +468,33 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     have a Jaccard similarity of ``similarity`` or more, or that such documents connect.
 
     Equal sets are one class. Sets so similar share one of the first few hashes in any common
-    order; of the pairs that do, those whose sizes or parity bits rule it out are left out, and
-    the others are verified by their sets. Each hash's nodes are first compared with one of them,
-    twice, then with all that they aren't connected to yet, so that no pair is missed. The order
-    puts hashes last that are common in a sample, which changes the work, not the result.
+    order, the prefix; of the pairs that do, those whose sizes or parity bits rule it out are left
+    out, and the others are verified by their sets. Each hash's nodes are first compared with a few
+    of each other, in order of size, then with all that they aren't connected to yet, so that no
+    pair is missed. The order puts hashes last that are common in a sample, which changes the
+    work, not the result. A set is never stored but for pairs that have to be verified.
     """
     spark = docs.sparkSession
-    sets = materialize(shingle_sets(docs, words, id, text).withColumn("key", F.xxhash64("hashes")), "sets")
-    nodes = materialize(sets.groupBy(F.col("key").alias("node")).agg(F.first("hashes").alias("hashes")), "set-classes")
-    every = max(1, nodes.count() // 10_000)
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("hashes").alias("h"))
-    common = [r["h"] for r in sample.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(100_000).collect()]
-    keys = materialize(sets.select("doc_id", "key"), "keys")
-    discard(sets, spark)
-    posts = materialize(_prefixes(nodes, similarity, common), "prefixes")
-    near = materialize(nodes.join(posts.select("node").distinct(), "node", "left_semi"), "near-classes")
-    discard(nodes, spark)
-    sketches = materialize(_sketches(near), "sketches")
-    edges = None
-    roots = sketches.withColumn("root", F.col("node"))
-    for hub in (0, 1, None):
-        rooted = posts.join(roots, "node")
-        found = materialize(_verified(_pairs(rooted, similarity, hub), near, similarity), "links")
-        edges = found if edges is None else edges.union(found)
-        if hub is not None:
-            roots = sketches.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = with_components(keys, "key", edges)
-    discard(posts, spark)
-    discard(near, spark)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("row"), whole.alias("text"))
+    every = max(1, docs.count() // 10_000)
+    sample = texts.where(F.pmod("row", F.lit(every)) == 0).groupBy("row").agg(F.first("text").alias("text")).select(F.lit(0).cast("long").alias("doc_id"), "row", "text")
+    seen = _sketches(sample, words, 1e-9, []).select(F.explode("tokens").alias("h"))  # of so low a similarity the prefix is the set
+    common = [r["h"] for r in seen.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(100_000).collect()]
+    sketches = materialize(_sketches(texts, words, similarity, common), "sketches")
+    keys = materialize(sketches.select("doc_id", "node"), "keys")
+    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "bits", "tokens"), "row").alias("s"))
+    nodes = materialize(one.select("node", "s.*"), "set-classes")
+    discard(sketches, spark)
+    met = materialize(_meetings(nodes.where("n > 0"), similarity), "meetings")
+    posts = met.where("token is not null").select("token", F.col("a").alias("node"))
+    pairs = met.where("token is null").select("a", "b").distinct()
+    edges = _verified(_possible(pairs, nodes, similarity), nodes, texts, words, similarity)
+    roots = materialize(components(edges), "roots")
+    more = _verified(_left_pairs(posts, roots, nodes, similarity), nodes, texts, words, similarity)
+    out = with_components(keys, "node", edges.union(more))
+    for done in (nodes, met, roots):
+        discard(done, spark)
     return out.select("doc_id", "component_id")
 
 

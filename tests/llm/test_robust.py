@@ -121,6 +121,34 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept.collect()) == [("1", "a"), ("1", "b"), ("4", "c"), ("None", "a")]
 
 
+def test_similar_groups_among_shared_passages(spark):
+    """Short texts of a few common passages and words of their own: every pair against its sets."""
+    rng = np.random.default_rng(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(4)]
+    rows = []
+    for i in range(260):
+        own = [f"w{rng.integers(10**6)}" for _ in range(int(rng.integers(0, 40)))]
+        text = " ".join([*own, passages[rng.integers(4)], passages[rng.integers(4)]])
+        rows.append((i, text))
+        if i % 3 == 0:  # a copy with one word changed, or as it is
+            w = text.split()
+            w[rng.integers(len(w))] += "x" * int(rng.integers(0, 2))
+            rows.append((1000 + i, " ".join(w)))
+    sets = [set(simhash.shingles(t, 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root):
+        least[r] = min(d, least.get(r, d))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = with_partitions(spark, 9, lambda: {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()})
+    assert got == {d: least[r] for (d, _), r in zip(rows, root)} and len(set(got.values())) < 300
+
+
 # -- op5 --
 
 
