@@ -35,7 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/freshet/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/freshet/{name}-{uuid.uuid4().hex}"
+    scratch(spark).append(path)
+    return path
+
+
+def scratch(spark: SparkSession) -> list[str]:
+    """The paths that this session made below the shared folder and that weren't discarded yet."""
+    context = spark.sparkContext
+    if not hasattr(context, "_freshet_scratch"):
+        context._freshet_scratch = []
+    return context._freshet_scratch
+
+
+def discard_scratch(spark: SparkSession, but: DataFrame | None = None, since: int = 0) -> None:
+    """Delete what was made (from the since-th path on), for when results have been written and
+    nothing lazy reads scratch any more; ``but``: a materialized table that stays."""
+    kept = getattr(but, "_freshet_path", None)
+    for path in scratch(spark)[since:]:
+        if path != kept:
+            discard(path, spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +72,8 @@ def discard(df_or_path: DataFrame | str, spark: SparkSession) -> None:
     """Delete a scratch table that nothing reads any more."""
     path = df_or_path if isinstance(df_or_path, str) else getattr(df_or_path, "_freshet_path", None)
     if path:
+        if path in scratch(spark):
+            scratch(spark).remove(path)
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

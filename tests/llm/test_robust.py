@@ -63,22 +63,22 @@ def test_many_blocks_of_wide_vectors(spark):
 # -- op2 --
 
 
+def plain_chain(chain, text):
+    found, p = toxicity.text_features(text), []
+    for link in chain.links:
+        z = link.bias + sum(w for f, w in link.weights.items() if f in found) + sum(a * b for a, b in zip(link.earlier, p))
+        p.append(1 / (1 + np.exp(-z)))
+    return p
+
+
 def test_the_query_equals_a_plain_chain(spark):
     """Every document's probabilities, summed feature by feature over its whole text."""
     chain = toxicity.fitted(spark, SF)
-
-    def plain(text):
-        found, p = toxicity.text_features(text), []
-        for link in chain.links:
-            z = link.bias + sum(w for f, w in link.weights.items() if f in found) + sum(a * b for a, b in zip(link.earlier, p))
-            p.append(1 / (1 + np.exp(-z)))
-        return p
-
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = toxicity.op2_toxicity(spark, SF).collect()
     assert len(got) == len(texts)
     for r in got:
-        junk, toxic = plain(texts[r["doc_id"]])
+        junk, toxic = plain_chain(chain, texts[r["doc_id"]])
         assert abs(r["p_junk"] - junk) < 1e-9 and abs(r["p_toxic"] - toxic) < 1e-9 and r["toxic"] == (r["p_toxic"] >= 0.5)
 
 
@@ -288,3 +288,50 @@ def test_masked_texts_keep_everything_else(spark):
         g = got[r["doc_id"]]
         assert (g["lang"], g["source"], g["n_chars"]) == (r["lang"], r["source"], None if g["text"] is None else len(g["text"]))
         assert (g["text"] == r["text"]) == (not spans)
+
+
+# -- the pipeline --
+
+
+def all_pairs(rows, words=5, similarity=0.8):
+    """The smallest id of the group of each (id, text)."""
+    sets = [frozenset(simhash.shingles(t, words)) for _, t in rows]
+    least = [d for d, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                x, y = sorted((least[i], least[j]))
+                least = [x if r == y else r for r in least]
+    return least
+
+
+def test_the_pipeline_equals_plain_code(spark):
+    """The whole run against plain Python, stage by stage, and what it leaves behind."""
+    chain, model = toxicity.fitted(spark, SF), pieces.PieceModel(pieces.public_model()).library
+    docs = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    kept = [r for r in docs if plain_chain(chain, r[1])[-1] < 0.5]
+    kept = [r for r, least in zip(kept, all_pairs([r[:2] for r in kept])) if r[0] == least]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    windows = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r["text"])
+        n = min(10, len(w))
+        windows.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0))
+    leaks = lambda w: any(tuple(w[i : i + n]) in found for n, found in windows.items() for i in range(len(w) - n + 1))
+    kept = [r for r in kept if not leaks(words(r[1]))]
+
+    def masked(t):
+        out, at = "", 0
+        for s, _, e in sorted(sum(slow_spans(t), [])):
+            if s > at or at == 0:
+                out += t[at:s] + "[REDACTED]"
+            at = max(at, e)
+        return (t or "")[:0] + out + (t or "")[at:]
+
+    want = {r[0]: (r[2], r[3], model.encode(masked(r[1]))) for r in kept}
+    before = len(common.scratch(spark))
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: (r["lang"], r["source"], list(r["ids"])) for r in got} == want and all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in got)
+    assert 0 < len(want) < len(docs) and len(common.scratch(spark)) == before + 1
+    common.discard_scratch(spark, since=before)
+    assert len(common.scratch(spark)) == before
