@@ -396,6 +396,8 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             n, m = (batch.column(i).to_numpy() for i in (2, 4))
             bits, own = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (3, 5))
             yield batch.filter(pa.array(may_be_similar(n, bits, m, own, similarity))).select(["a", "b"])
