@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,41 +68,61 @@ def _record(schema: dict, name: str) -> dict:
     return found[0]
 
 
-def add_optional(schema: dict, record: str, field: str, kind: str, doc: str = "") -> dict:
-    """With one more nullable field, null by default."""
+def _refit(schema: dict, record: str, change: Callable[[list[dict]], list[dict]]) -> dict:
+    """A copy of the schema in which one record has the fields that change makes of its own."""
     out = copy.deepcopy(schema)
-    fields = _record(out, record)["fields"]
-    if any(f["name"] == field for f in fields):
-        raise SchemaError(f"{record} has {field} already")
-    fields.append({"name": field, "type": ["null", kind], "default": None} | ({"doc": doc} if doc else {}))
+    own = _record(out, record)
+    own["fields"] = change(own["fields"])
     return out
 
 
-def remove(schema: dict, record: str, field: str, force: bool = False) -> dict:
-    """Without a field; one that has no default only by force, as old readers need it."""
-    out = copy.deepcopy(schema)
-    own = _record(out, record)
-    gone = [f for f in own["fields"] if f["name"] == field]
-    if not gone:
+def _named(fields: list[dict], record: str, field: str) -> int:
+    at = [f["name"] for f in fields]
+    if field not in at:
         raise SchemaError(f"{record} has no {field}")
-    if "default" not in gone[0] and not force:
-        raise SchemaError(f"{record}.{field} has no default")
-    own["fields"] = [f for f in own["fields"] if f["name"] != field]
-    return out
+    return at.index(field)
+
+
+def add_optional(schema: dict, record: str, field: str, kind: str, doc: str = "") -> dict:
+    """With one more nullable field, null by default: old and new schema read each other's data."""
+    more = {"name": field, "type": ["null", kind], "default": None, **({"doc": doc} if doc else {})}
+
+    def change(fields: list[dict]) -> list[dict]:
+        if field in (f["name"] for f in fields):
+            raise SchemaError(f"{record} has {field} already")
+        return [*fields, more]
+
+    return _refit(schema, record, change)
+
+
+def remove(schema: dict, record: str, field: str, force: bool = False) -> dict:
+    """Without a field. The new schema reads old data; the old one reads new data only if the
+    field had a default, so that one without goes by force alone."""
+
+    def change(fields: list[dict]) -> list[dict]:
+        at = _named(fields, record, field)
+        if not force and "default" not in fields[at]:
+            raise SchemaError(f"{record}.{field} has no default")
+        return fields[:at] + fields[at + 1 :]
+
+    return _refit(schema, record, change)
 
 
 def promote(schema: dict, record: str, field: str, to: str) -> dict:
-    """With a field's type widened."""
-    out = copy.deepcopy(schema)
-    for f in _record(out, record)["fields"]:
-        if f["name"] == field:
-            kinds = f["type"] if isinstance(f["type"], list) else [f["type"]]
-            before = [k for k in kinds if k != "null"]
-            if len(before) != 1 or not isinstance(before[0], str) or to not in WIDER.get(before[0], ()):
-                raise SchemaError(f"{before} can't be widened to {to}")
-            f["type"] = [to if k == before[0] else k for k in kinds] if isinstance(f["type"], list) else to
-            return out
-    raise SchemaError(f"{record} has no {field}")
+    """With a field's type widened, its nullability kept: the new schema reads old data."""
+
+    def widened(kind):
+        if isinstance(kind, list):
+            return [k if k == "null" else widened(k) for k in kind]
+        if not isinstance(kind, str) or to not in WIDER.get(kind, ()):
+            raise SchemaError(f"{kind} can't be widened to {to}")
+        return to
+
+    def change(fields: list[dict]) -> list[dict]:
+        at = _named(fields, record, field)
+        return [*fields[:at], fields[at] | {"type": widened(fields[at]["type"])}, *fields[at + 1 :]]
+
+    return _refit(schema, record, change)
 
 
 def can_read(spark: SparkSession, reader: dict, writer: dict) -> bool:

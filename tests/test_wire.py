@@ -12,7 +12,7 @@ from freshet import __main__ as command
 from freshet.config import KafkaConfig, ValidatorConfig, WindowConfig
 from freshet.functions import evolution, scalars
 from freshet.operators import metrics, offline, online, validate, windows
-from freshet.plans import reports, serving
+from freshet.plans import drills, reports, runs, serving, sizing
 from freshet.schema import DLQ, DLQ_AVRO, EVENT_AVRO, FEATURE_AVRO, FEATURES, R5M, events_from_table
 from freshet.sources import avro, events, sinks
 from freshet.streaming import append
@@ -314,3 +314,37 @@ def test_jobs_of_the_command_line(spark, tmp_path):
     (tmp_path / "b.avsc").write_text(json.dumps(evolution.add_optional(EVENT_AVRO, "EcommerceEvent", "device", "string")))
     (tmp_path / "c.avsc").write_text(json.dumps(EVENT_AVRO | {"fields": [*EVENT_AVRO["fields"], {"name": "must", "type": "int"}]}))
     assert [run("register", at("a.avsc"), at(x)) for x in ("b.avsc", "c.avsc", "no.avsc")] == [0, 1, 2]
+
+
+# -- runs --
+
+
+def test_a_paced_load_is_consumed_until_nothing_is_left(spark, tmp_path):
+    class Flaky(sinks.Topic):
+        tries = 0
+
+        def write(self, messages, n=0):
+            self.tries += 1
+            if n == 2 or self.tries == 1:  # the first try of all, and one batch for good
+                raise OSError("full")
+            super().write(messages, n)
+
+    now, slept = [0.0], []
+    topic = Flaky(str(tmp_path / "t"))
+    out = runs.load(spark, topic, EVENT_AVRO, 100, NOW, sizing.TokenBucket(10, burst=30), batch=30, clock=lambda: now[0], sleep=slept.append)
+    assert tuple(runs.merged(out, 2.0).first()) == (70, 30, 35.0) and topic.tries == 1 + 1 + 1 + 3 + 1
+    assert slept == [0.0, 3.0, 6.0, 7.0] and {r["error"] for r in out.collect()} == {None, "OSError"}
+    spark.createDataFrame([(bytearray(b"k"), bytearray(b"junk"))], "key binary, value binary").write.parquet(str(tmp_path / "t/batch=9"))
+    batches, lag = runs.consume(spark, str(tmp_path / "t"), EVENT_AVRO, str(tmp_path / "c"), 1)
+    assert tuple(batches.agg(F.sum("consumed"), F.sum("deserialize_failures")).first()) == (70, 1)
+    assert lag.orderBy(F.desc("seq")).first()["lag"] == 0 and lag.count() == batches.count() > 1
+
+
+def test_drills_agree_with_what_decoding_says(spark):
+    rows = drills.run(spark).collect()
+    said = {r["change"]: (r["reads_old"], r["read_by_old"]) for r in rows}
+    assert said == {"add an optional field": (True, True), "remove a field with a default": (True, True), "widen a number": (True, False), "remove a field without a default": (True, False), "add a required field": (False, True)}
+    for r in rows:
+        want = {"BACKWARD": r["reads_old"], "FORWARD": r["read_by_old"], "FULL": r["reads_old"] and r["read_by_old"], "NONE": True}[r["rule"]]
+        assert r["accepted"] == want, r
+    assert "| widen a number | events-value | BACKWARD | True |" in reports.evolution_report(drills.run(spark))
