@@ -15,6 +15,9 @@ A window ``[end - size, end)`` has a record if any event, of whatever type, lies
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +60,26 @@ def merge_panes(parts: DataFrame, *by: str | Column) -> DataFrame:
     return parts.groupBy(*by).agg(*sums, *sets)
 
 
-def _product_panes(events: DataFrame, slide: int) -> DataFrame:
+@dataclass(frozen=True)
+class Feature:
+    """A feature beside those that are built in: the sum, the least or the greatest of a value of
+    the window's events, null values left out. Such aggregates merge in any order and grouping,
+    which shared panes need."""
+
+    name: str
+    value: Callable[[], Column]
+    how: str = "sum"
+    resolutions: tuple[str, ...] = tuple(r.value for r in RESOLUTIONS)
+
+    def __post_init__(self):
+        if self.how not in ("sum", "min", "max") or self.name in FEATURES:
+            raise ValueError(f"{self.name}: a sum, min or max under a name of its own")
+
+    def merge(self, value: Column) -> Column:
+        return {"sum": F.sum, "min": F.min, "max": F.max}[self.how](value).alias(self.name)
+
+
+def _product_panes(events: DataFrame, slide: int, more: Sequence[Feature] = ()) -> DataFrame:
     """user_id, pane, product (null for all but purchases) and the sums of their events."""
     bought = F.col("event_type") == PURCHASE
     return events.groupBy("user_id", pane_index(slide).alias("pane"), F.when(bought, F.col("product_id")).alias("product")).agg(
@@ -65,15 +87,18 @@ def _product_panes(events: DataFrame, slide: int) -> DataFrame:
         F.count_if(F.col("event_type") == PAGE_VIEW).alias("page_view_count"),
         F.count_if(bought).alias("purchase_count"),
         F.coalesce(F.sum(F.when(bought, F.col("price_cents") * F.col("quantity"))), F.lit(0)).alias("cents"),
+        *(f.merge(f.value()) for f in more),
     )
 
 
 _SUMS = ("click_count", "page_view_count", "purchase_count", "cents")
 
 
-def _records(events: DataFrame, resolutions: tuple[Resolution, ...]) -> DataFrame:
+def _records(events: DataFrame, resolutions: tuple[Resolution, ...], more: Sequence[Feature] = ()) -> DataFrame:
     slide = min(r.slide for r in resolutions)
-    parts = _product_panes(events, slide)
+    parts = _product_panes(events, slide, more)
+    values = (*_SUMS, *(f.name for f in more))
+    merges = [*(F.sum(c).alias(c) for c in _SUMS), *(f.merge(F.col(f.name)) for f in more)]
     begin = F.col("pane") * slide
     ends = [(begin - F.pmod(begin, F.lit(r.slide)) + F.lit(r.slide), begin - F.pmod(begin, F.lit(r.slide)) + F.lit(r.size)) for r in resolutions]
     first, last = [e[0] for e in ends], [e[1] for e in ends]
@@ -82,15 +107,15 @@ def _records(events: DataFrame, resolutions: tuple[Resolution, ...]) -> DataFram
     dealt = parts.select("*", F.explode(F.sequence(of(low), of(high))).alias("chunk")).repartition("user_id", "chunk")
     # panes of each resolution; its number stands for it
     own = F.explode(F.array(*(F.struct(F.lit(i).alias("res"), F.floor(begin / r.slide).alias("own")) for i, r in enumerate(resolutions)))).alias("x")
-    each = dealt.select("user_id", "chunk", "product", *_SUMS, own).select("user_id", "chunk", "product", *_SUMS, "x.res", "x.own")
-    panes_ = each.groupBy("user_id", "chunk", "res", "own", "product").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    each = dealt.select("user_id", "chunk", "product", *values, own).select("user_id", "chunk", "product", *values, "x.res", "x.own")
+    panes_ = each.groupBy("user_id", "chunk", "res", "own", "product").agg(*merges)
     number = lambda f: F.element_at(F.array(*(F.lit(f(r)) for r in resolutions)), F.col("res") + 1)
     following = F.lead("own").over(Window.partitionBy("user_id", "chunk", "res", "product").orderBy("own"))
     reach = F.when(F.col("product").isNotNull(), F.coalesce(following - F.col("own"), F.lit(2**31))).otherwise(F.lit(0))
-    spread = panes_.withColumn("reach", reach).select("user_id", "chunk", "res", "own", "reach", *_SUMS, F.explode(F.sequence(F.lit(1), number(lambda r: r.panes))).alias("k"))
+    spread = panes_.withColumn("reach", reach).select("user_id", "chunk", "res", "own", "reach", *values, F.explode(F.sequence(F.lit(1), number(lambda r: r.panes))).alias("k"))
     spread = spread.withColumn("end_s", (F.col("own") + F.col("k")) * number(lambda r: r.slide)).where(of(F.col("end_s")) == F.col("chunk"))
     distinct = F.sum(F.when(F.col("reach") >= F.col("k"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")).alias("distinct_products")
-    merged = spread.groupBy("user_id", "chunk", "res", "end_s").agg(*(F.sum(c).alias(c) for c in _SUMS), distinct)
+    merged = spread.groupBy("user_id", "chunk", "res", "end_s").agg(*merges, distinct)
     revenue = F.col("cents") / F.lit(100.0)
     value = {f: F.col(f) for f in ("click_count", "page_view_count", "purchase_count", "distinct_products")}
     value |= {"revenue": revenue, "avg_purchase_amount": F.when(F.col("purchase_count") > 0, revenue / F.col("purchase_count"))}
@@ -101,17 +126,19 @@ def _records(events: DataFrame, resolutions: tuple[Resolution, ...]) -> DataFram
         ((F.col("end_s") - number(lambda r: r.size)) * 1000).alias("window_start_ms"),
         (F.col("end_s") * 1000).alias("window_end_ms"),
         *(F.when(published(f), value[f]).cast(kind).alias(f) for f, kind in FEATURES.items()),
+        *(F.when(F.col("res").isin(*(i for i, r in enumerate(resolutions) if r.value in f.resolutions)), F.col(f.name)).alias(f.name) for f in more),
     )
 
 
-def sliding(events: DataFrame, r: Resolution) -> DataFrame:
-    """Feature records of one resolution; features it doesn't publish are null."""
-    return _records(events, (r,))
+def sliding(events: DataFrame, r: Resolution, more: Sequence[Feature] = ()) -> DataFrame:
+    """Feature records of one resolution; features it doesn't publish are null. more: features
+    of one's own, as further columns."""
+    return _records(events, (r,), more)
 
 
-def sliding_all(events: DataFrame) -> DataFrame:
+def sliding_all(events: DataFrame, more: Sequence[Feature] = ()) -> DataFrame:
     """All three resolutions by one scan and one shuffle of events, and one shuffle of panes."""
-    return _records(events, RESOLUTIONS)
+    return _records(events, RESOLUTIONS, more)
 
 
 def emission_keys(features: DataFrame, seq: Column | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.config import WindowConfig
 from freshet.operators import windows
@@ -128,3 +129,16 @@ def test_late_split_of_a_known_sequence(spark):
 def test_empty_events(spark):
     assert windows.sliding_all(frame(spark, [])).count() == 0
     assert R1H.panes == 12
+
+
+def test_features_of_ones_own(spark):
+    rows = [(str(i), "PURCHASE" if i % 2 else "CLICK", "u", "s", t * 1_000_000, f"p{i % 3}", 100 + i, 2, "USD") for i, t in enumerate([0, 10, 70, 200, 4000])]
+    df = spark.createDataFrame(rows, "event_id string, event_type string, user_id string, session_id string, event_us bigint, product_id string, price_cents bigint, quantity int, currency string")
+    more = [windows.Feature("dearest", lambda: F.when(F.col("event_type") == "PURCHASE", F.col("price_cents")), "max", ("1h",)), windows.Feature("pieces", lambda: F.col("quantity"))]
+    out = windows.sliding_all(df, more)
+    got = {(r["window_resolution"], r["window_end_ms"] // 1000): (r["dearest"], r["pieces"], r["click_count"]) for r in out.collect()}
+    assert got["1h", 300] == (103, 8, 2) and got["1h", 4200] == (None, 2, 1) and got["5m", 60] == (None, 4, 1) and got["24h", 7200][1] == 10
+    assert windows.sliding_all(df).exceptAll(out.drop("dearest", "pieces")).count() == 0
+    for bad in (("x", "avg"), ("revenue", "sum")):
+        with pytest.raises(ValueError):
+            windows.Feature(bad[0], lambda: F.lit(1), bad[1])
