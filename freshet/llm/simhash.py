@@ -35,6 +35,8 @@ SEED = 42
 SLICE = 1 << 22
 #: Texts to be looked at again that are told to all tasks; 16 bytes each.
 MOST_WANTED = 1_000_000
+#: Parity bits of a set of few shingles.
+LEAST_BITS = 512
 _ROW = ("bucket", "key", "node", "s0", "s1")
 
 
@@ -296,10 +298,20 @@ def _set_key(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the hashes that fall on it: two sets' differ in no more bits
-    than the sets have elements that the other lacks."""
-    return np.packbits(np.bincount(hashes.view(np.uint64) >> np.uint64(55), minlength=512).astype(np.uint8) & 1)
+def parity(hashes: np.ndarray) -> bytes:
+    """The parity of the hashes that fall on each of as many bits as the set has elements, rounded
+    up to a power of two, LEAST_BITS at least: two sets' differ in no more bits than the sets have
+    elements that the other lacks."""
+    size = max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    return np.packbits(np.bincount(hashes & (size - 1), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The parities on fewer bits, as words of 64."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 64 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -326,7 +338,7 @@ def _sketches(texts: DataFrame, words: int, similarity: float, common: list[int]
             flat = np.concatenate(sets)
             marks = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(common), np.cumsum([len(h) for h in sets])[:-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([_set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h).tobytes() for h in sets], pa.binary()), _lists([prefix(h, c, similarity) for h, c in zip(sets, marks, strict=True)])],
+                [batch.column(0), batch.column(1), pa.array([_set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(parity, sets)), pa.binary()), _lists([prefix(h, c, similarity) for h, c in zip(sets, marks, strict=True)])],
                 names=schema.names,
             )
 
@@ -382,11 +394,10 @@ def _meetings(nodes: DataFrame, similarity: float) -> DataFrame:
     return posts.repartition(spread(nodes.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema)
 
 
-def may_be_similar(n: np.ndarray, bits: np.ndarray, m: np.ndarray, own: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n elements may be as similar as that to sets of m elements, row by row;
-    false for none that is. bits, own: their parity bits."""
+def may_be_similar(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m elements whose parity bits differ in so many places may be as
+    similar as that; false for none that is."""
     low, high = np.minimum(n, m), np.maximum(n, m)
-    apart = np.bitwise_count(bits ^ own).sum(axis=-1, dtype=np.int64)
     return (low >= similarity * high - 1e-6) & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
 
 
@@ -395,12 +406,13 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 4096):
             n, m = (batch.column(i).to_numpy() for i in (2, 4))
-            bits, own = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (3, 5))
-            yield batch.filter(pa.array(may_be_similar(n, bits, m, own, similarity))).select(["a", "b"])
+            apart = np.zeros(len(n), dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                size = 8 * min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            yield batch.filter(pa.array(may_be_similar(n, m, apart, similarity))).select(["a", "b"])
 
     left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, schema)
@@ -408,8 +420,8 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
 def _left_pairs(posts: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that share a token, may be similar and aren't in one component yet. Tokens whose
-    nodes all are in one component are left out first; a node meets those of its token that are in
-    reach by size, block by block."""
+    nodes all are in one component are left out first; in order of size a node meets those before it
+    of its token that are in reach by size."""
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
     of = Window.partitionBy("token")
     rooted = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -417,25 +429,26 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, sketches: DataFrame, similar
     open_ = materialize(open_, "open-prefixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # blocks of one token that rows to come may still be similar to
-        for batch in slices(batches, 1024):
-            token, node, root, n = (batch.column(i).to_numpy() for i in range(4))
-            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, 8)
-            cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                block = tuple(x[lo:hi] for x in (token, node, root, n, bits))
-                held = [h for h in held if h[0][0] == token[lo] and h[3][-1] >= similarity * n[lo] - 1e-6]
-                held.append(block)
-                for other in held:
-                    for i in range(hi - lo):
-                        near = np.flatnonzero((other[2] != block[2][i]) & (other[3] >= similarity * block[3][i] - 1e-6))
-                        if other is block:
-                            near = near[near < i]
-                        if len(near):
-                            near = near[may_be_similar(other[3][near], other[4][near], block[3][i], block[4][i], similarity)]
-                        if len(near):
-                            a, b = other[1][near], np.full(len(near), block[1][i])
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=schema.names)
+        held: list[np.ndarray] = []  # rows of the last token that rows to come may still be similar to
+        for batch in slices(batches, 8192):
+            rows = [batch.column(i).to_numpy() for i in range(4)] + [np.stack([folded(x, LEAST_BITS) for x in batch.column(4).to_pylist()])]
+            before = len(held[0]) if held else 0
+            token, node, root, n, bits = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            i, back, found = np.arange(before, len(token)), 0, []
+            while len(i):  # with the row before, the one before that, ... as long as token and size fit
+                back += 1
+                i = i[i >= back]
+                j = i - back
+                i = i[(token[i] == token[j]) & (n[j] >= similarity * n[i] - 1e-6)]
+                x = i[root[i] != root[i - back]]
+                y = x - back
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                fits = may_be_similar(n[x], n[y], apart, similarity)
+                found.append(np.stack([np.minimum(node[x], node[y])[fits], np.maximum(node[x], node[y])[fits]], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=schema.names)
+            reach = (token == token[-1]) & (n >= similarity * n[-1] - 1e-6)
+            held = [x[reach] for x in rows]
 
     known = open_.join(sketches.select("node", "n", "bits"), "node").select("token", "node", "root", "n", "bits")
     return known.repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema).distinct()
@@ -479,7 +492,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("row"), whole.alias("text"))
-    every = max(1, docs.count() // 10_000)
+    every = max(1, min(16, docs.count() // 10_000))
     sample = texts.where(F.pmod("row", F.lit(every)) == 0).groupBy("row").agg(F.first("text").alias("text")).select(F.lit(0).cast("long").alias("doc_id"), "row", "text")
     seen = _sketches(sample, words, 1e-9, []).select(F.explode("tokens").alias("h"))  # of so low a similarity the prefix is the set
     common = [r["h"] for r in seen.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(100_000).collect()]
@@ -493,7 +506,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     pairs = met.where("token is null").select("a", "b").distinct()
     edges = _verified(_possible(pairs, nodes, similarity), nodes, texts, words, similarity)
     roots = materialize(components(edges), "roots")
-    more = _verified(_left_pairs(posts, roots, nodes, similarity), nodes, texts, words, similarity)
+    more = _verified(_possible(_left_pairs(posts, roots, nodes, similarity), nodes, similarity), nodes, texts, words, similarity)
     out = with_components(keys, "node", edges.union(more))
     for done in (nodes, met, roots):
         discard(done, spark)
