@@ -27,10 +27,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def _split(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), lambda w: w != "")
+
+
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased (and nothing else); those of null are none."""
     lowered = lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), lambda w: w != ""), lowered)
+    return F.transform(_split(text), lowered)
 
 
 def grams(h: Column, k: int) -> Column:
@@ -120,7 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     # documents without a hit never travel but for their id and number of words
-    total = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    total = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"), F.size(_split(F.col(text))).cast("long").alias("n_words"))
     joined = total.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     hit = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(s["from"], a["end"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")))
