@@ -147,15 +147,15 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, l2: float, fold: np.ndarray, columns=None) -> np.ndarray:
-    """For each row the prediction of a model that hasn't seen its fold; columns(fold): the inputs
-    that may be used for that fold (all, if not given)."""
+def out_of_fold(x: np.ndarray, y: np.ndarray, l2: float, fold: np.ndarray, inputs=None) -> np.ndarray:
+    """For each row the prediction of a model that hasn't seen its fold; inputs(fold): those that
+    may be used for that fold (x, if not given)."""
     p = np.zeros(len(y))
     for k in np.unique(fold).tolist():
-        own = x if columns is None else x[:, columns(k)]
+        own = x if inputs is None else inputs(k)
         seen = fold != k
         if seen.any():
-            p[~seen] = _predict(own[~seen], fit_logistic(own[seen].astype(float), y[seen], l2))
+            p[~seen] = _predict(own[~seen], fit_logistic(own[seen], y[seen], l2))
         else:
             p[~seen] = y.mean()
     return p
@@ -236,29 +236,30 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i + 2).cast(pa.int32()) for i in range(k + 1)), pa.array(active, pa.list_(pa.int32()))], names=["id", *categories, "_fold", "active"])
 
     schema = struct_of(("id", labelled.schema[id].dataType), *((c, T.IntegerType()) for c in (*categories, "_fold")), ("active", T.ArrayType(T.IntegerType())))
-    rows = labelled.mapInArrow(encode, schema).collect()  # at most sample rows of a few ids each
-    rows.sort(key=lambda r: (r["id"] is None, r["id"], r["active"]))
-    x = np.zeros((len(rows), len(names)), dtype=np.uint8)
-    for r, row in enumerate(rows):
-        x[r, row["active"]] = 1
-    fold = np.array([row["_fold"] for row in rows], dtype=np.int64)
-    chain, earlier = Chain(), np.zeros((len(rows), 0))
+    rows = labelled.mapInArrow(encode, schema).toArrow().sort_by("id").combine_chunks()  # at most sample rows of a few ids each
+    active = rows["active"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    x = np.zeros((rows.num_rows, len(names)), dtype=np.uint8)
+    x[np.repeat(np.arange(rows.num_rows), active.value_lengths().to_numpy()), active.flatten().to_numpy()] = 1
+    fold, labels = rows["_fold"].to_numpy(), {c: rows[c].to_pylist() for c in categories}
+    del rows, active
+    chain, earlier = Chain(), np.zeros((len(x), 0))
     for c in categories:
         own = [ids[f] for f in chosen[c, None]]
-        there = np.array([row[c] is not None for row in rows], dtype=bool)
-        y = np.array([row[c] or 0 for row in rows], dtype=float)
+        there = np.array([v is not None for v in labels[c]], dtype=bool)
+        y = np.array([v or 0 for v in labels[c]], dtype=float)
         if len(set(y[there])) < 2:
             sure = bool(there.any() and y[there][0])
             chain.links.append(Link(c, {}, [0.0] * earlier.shape[1], 40.0 if sure else -40.0))
-            earlier = np.hstack([earlier, np.full((len(rows), 1), float(sure))])
+            earlier = np.hstack([earlier, np.full((len(x), 1), float(sure))])
             continue
         inputs = np.hstack([x[:, own], earlier])
         w = fit_logistic(inputs[there], y[there], l2)
         chain.links.append(Link(c, {f: float(v) for f, v in zip(chosen[c, None], w, strict=False)}, [float(v) for v in w[len(own) : -1]], float(w[-1])))
         if len(chain.links) < k:  # a later model needs inputs as unreliable as those it will get
             p = _predict(inputs, w)
-            last = list(range(len(names), len(names) + earlier.shape[1]))
-            p[there] = out_of_fold(np.hstack([x, earlier])[there], y[there], l2, fold[there], lambda f, c=c: [ids[n] for n in chosen[c, f]] + last)  # noqa: B023
+            del inputs  # one float matrix at a time: the driver's memory is small
+            of_fold = lambda f, c=c, there=there, earlier=earlier: np.hstack([x[np.ix_(there, [ids[n] for n in chosen[c, f]])], earlier[there]])
+            p[there] = out_of_fold(x, y[there], l2, fold[there], of_fold)
             earlier = np.hstack([earlier, p[:, None]])
     return chain
 
