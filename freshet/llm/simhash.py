@@ -36,7 +36,9 @@ SLICE = 1 << 22
 #: Texts to be looked at again that are told to all tasks; 16 bytes each.
 MOST_WANTED = 1_000_000
 #: Parity bits of a set of few shingles.
-LEAST_BITS = 512
+LEAST_BITS, FEW_BITS = 512, 2048
+#: One in so many texts tells which hashes are common; of these so many at most, 8 bytes each.
+SAMPLED, MOST_COMMON = 4, 300_000
 _ROW = ("bucket", "key", "node", "s0", "s1")
 
 
@@ -326,21 +328,24 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
-def _sketches(texts: DataFrame, words: int, similarity: float, common: list[int]) -> DataFrame:
-    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, bits and tokens, the
-    set's prefix. The sets themselves aren't kept."""
-    schema = struct_of(("doc_id", T.LongType()), ("row", T.LongType()), ("node", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()), ("tokens", T.ArrayType(T.LongType())))
-    last = np.array(sorted(common) or [0], dtype=np.int64)
+def _sketches(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, bits (see parity),
+    few (the same on FEW_BITS at most) and tokens, the set's prefix, in which the common hashes
+    (sorted) come last. The sets themselves aren't kept."""
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.ArrayType(T.LongType()))
+    schema = struct_of(*zip(("doc_id", "row", "node", "n", "bits", "few", "tokens"), kinds, strict=True))
+    last = common if len(common) else np.zeros(1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(s.as_py(), words) for s in batch.column(2)]
             flat = np.concatenate(sets)
-            marks = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(common), np.cumsum([len(h) for h in sets])[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([_set_key(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(parity, sets)), pa.binary()), _lists([prefix(h, c, similarity) for h, c in zip(sets, marks, strict=True)])],
-                names=schema.names,
-            )
+            marks = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(len(common)), np.cumsum([len(h) for h in sets])[:-1])
+            bits = list(map(parity, sets))
+            numbers = [pa.array([f(h) for h in sets], pa.int64()) for f in (_set_key, len)]
+            sketches = [pa.array(x, pa.binary()) for x in (bits, [folded(x, FEW_BITS).tobytes() for x in bits])]
+            tokens = _lists([prefix(h, c, similarity) for h, c in zip(sets, marks, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *sketches, tokens], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -401,18 +406,22 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity:
     return (low >= similarity * high - 1e-6) & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
 
 
+def bits_fit(n: int, m: int, x: bytes, y: bytes, similarity: float) -> bool:
+    """may_be_similar for one pair and its parities on whatever numbers of bits."""
+    size = 8 * min(len(x), len(y))
+    apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    return bool(may_be_similar(n, m, apart, similarity))
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that sizes and parity bits don't rule out."""
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            n, m = (batch.column(i).to_numpy() for i in (2, 4))
-            apart = np.zeros(len(n), dtype=np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                size = 8 * min(len(x), len(y))
-                apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
-            yield batch.filter(pa.array(may_be_similar(n, m, apart, similarity))).select(["a", "b"])
+            n, x, m, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            fits = [bits_fit(*own, similarity) for own in zip(n, m, x, y, strict=True)]
+            yield batch.filter(pa.array(fits, pa.bool_())).select(["a", "b"])
 
     left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, schema)
@@ -431,9 +440,10 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, sketches: DataFrame, similar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last token that rows to come may still be similar to
         for batch in slices(batches, 8192):
-            rows = [batch.column(i).to_numpy() for i in range(4)] + [np.stack([folded(x, LEAST_BITS) for x in batch.column(4).to_pylist()])]
+            few = batch.column(4).to_pylist()
+            rows = [*(batch.column(i).to_numpy() for i in range(4)), np.stack([folded(x, LEAST_BITS) for x in few]), np.array([*few, None], dtype=object)[:-1]]
             before = len(held[0]) if held else 0
-            token, node, root, n, bits = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            token, node, root, n, bits, few = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
             i, back, found = np.arange(before, len(token)), 0, []
             while len(i):  # with the row before, the one before that, ... as long as token and size fit
                 back += 1
@@ -444,13 +454,15 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, sketches: DataFrame, similar
                 y = x - back
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 fits = may_be_similar(n[x], n[y], apart, similarity)
+                for k in np.flatnonzero(fits & (n[x] > LEAST_BITS)).tolist():  # long ones by more bits
+                    fits[k] = bits_fit(int(n[x[k]]), int(n[y[k]]), few[x[k]], few[y[k]], similarity)
                 found.append(np.stack([np.minimum(node[x], node[y])[fits], np.maximum(node[x], node[y])[fits]], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=schema.names)
             reach = (token == token[-1]) & (n >= similarity * n[-1] - 1e-6)
             held = [x[reach] for x in rows]
 
-    known = open_.join(sketches.select("node", "n", "bits"), "node").select("token", "node", "root", "n", "bits")
+    known = open_.join(sketches.select("node", "n", "few"), "node").select("token", "node", "root", "n", "few")
     return known.repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema).distinct()
 
 
@@ -486,19 +498,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     order, the prefix; of the pairs that do, those whose sizes or parity bits rule it out are left
     out, and the others are verified by their sets. Each hash's nodes are first compared with a few
     of each other, in order of size, then with all that they aren't connected to yet, so that no
-    pair is missed. The order puts hashes last that are common in a sample, which changes the
-    work, not the result. A set is never stored but for pairs that have to be verified.
+    pair is missed. The order puts hashes last that are common in a share of the texts, which
+    changes the work, not the result. A set is never stored but for pairs that have to be verified.
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("row"), whole.alias("text"))
-    every = max(1, min(16, docs.count() // 10_000))
-    sample = texts.where(F.pmod("row", F.lit(every)) == 0).groupBy("row").agg(F.first("text").alias("text")).select(F.lit(0).cast("long").alias("doc_id"), "row", "text")
-    seen = _sketches(sample, words, 1e-9, []).select(F.explode("tokens").alias("h"))  # of so low a similarity the prefix is the set
-    common = [r["h"] for r in seen.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(100_000).collect()]
+    sample = texts.where(F.pmod("row", F.lit(SAMPLED)) == 0).groupBy("row").agg(F.first("text").alias("text")).select(F.lit(0).cast("long").alias("doc_id"), "row", "text")
+    seen = _sketches(sample, words, 1e-9, np.zeros(0, np.int64)).select(F.explode("tokens").alias("h"))  # of so low a similarity the prefix is the set
+    often = seen.groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
+    common = np.sort(often.column(0).to_numpy())
     sketches = materialize(_sketches(texts, words, similarity, common), "sketches")
     keys = materialize(sketches.select("doc_id", "node"), "keys")
-    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "bits", "tokens"), "row").alias("s"))
+    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "bits", "few", "tokens"), "row").alias("s"))
     nodes = materialize(one.select("node", "s.*"), "set-classes")
     discard(sketches, spark)
     met = materialize(_meetings(nodes.where("n > 0"), similarity), "meetings")
