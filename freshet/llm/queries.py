@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, secrets, simhash, suffixes, tokens, topk, toxicity, url_rules, warc
+from . import changepoints, decontaminate, lexical, pieces, quality, secrets, simhash, suffixes, tokens, topk, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_change_points": changepoints.op11_change_points,
+    "op12_quality": quality.op12_quality,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op7_secrets": secrets.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_suffix_dedup": suffixes.OP9_SQL,
+    "op11_change_points": changepoints.OP11_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }
