@@ -10,6 +10,7 @@ from .operators import metrics, offline, online, validate, windows
 from .schema import EVENT_AVRO, EVENTS_SQL, R1H, R5M, R24H, RESOLUTIONS, events_from_table, online_fields
 from .sources import avro, sinks
 from .sources import events as sources
+from .streaming import replays
 
 #: 2024-01-31 00:00:00 UTC: "now" for the rule on time stamps; a price bound that rejects some.
 NOW_US = 1_706_659_200_000_000
@@ -376,6 +377,7 @@ QUERIES = {
         every_rule, model_violations, internal_errors, raw_events_dedup, avro_round_trip, raw_insert_counts, online_vector, online_lookup_zero_fill, online_ttl, online_strings, pit_join, online_offline_diff, freshness,
         partition_skew, latency_percentiles, batch_histogram, lag_ramp, delivery_counters, delivery_errors, merged_percentiles, sink_counters, mp_merge, total_lag,
         window_ends, retention, consume_counters, message_keys, emission_history,
+        replays.refired_windows, replays.warm_windows, replays.paned_windows,
     )
 }
 
@@ -449,5 +451,9 @@ FROM (SELECT *, CAST(event_id AS BIGINT) AS n, CAST(event_id AS BIGINT) % 50 <>
     "consume_counters": _with("SELECT * FROM (SELECT round(quantile_cont(quantity * 250.0::DOUBLE, 0.5) FILTER (quantity > 1), 6) AS p50, round(quantile_cont(quantity * 250.0::DOUBLE, 0.95) FILTER (quantity > 1), 6) AS p95, round(quantile_cont(quantity * 250.0::DOUBLE, 0.99) FILTER (quantity > 1), 6) AS p99, count(*) AS polled, count(*) FILTER (event_type = 'ERROR') AS deserialize_failures, count(*) FILTER (event_type <> 'ERROR') AS consumed FROM ev), (SELECT max(lag) AS max_lag, arg_max(lag, seq) AS end_lag FROM (SELECT event_us // 3600000000 AS seq, count(*) AS lag FROM ev GROUP BY 1))"),
     "message_keys": _with(f"SELECT event_id, 't:' || ({_PART}) || ':' || event_id AS dlq_key, regexp_replace(md5(event_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS uuid, true AS currency_ok FROM ev"),
     "emission_history": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS emission_seq FROM (SELECT *, unnest(range(1, CAST(window_end_ms / 300000 % 3 + 2 AS BIGINT))) AS n FROM r)", f"r AS ({_raw(R1H)})"),
+    "refired_windows": replays.REFIRED_SQL,
+    "warm_windows": replays.WARM_SQL,
+    # what the watermark has closed: the last event's time less the skew of five seconds
+    "paned_windows": _with(f"SELECT * FROM ({_ALL}) WHERE window_end_ms <= (SELECT max(event_us) // 1000 FROM ev) - 5000"),
     "total_lag": _with(f"SELECT CAST(count(*) FILTER (quantity <= 1) AS BIGINT) AS lag FROM ev WHERE ({_PART}) NOT IN (3, 5, 7)"),
 }

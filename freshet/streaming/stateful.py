@@ -1,7 +1,6 @@
 """The stateful path: windows that fire, fire again after late events, and a late output.
 
-Per user the operator keeps its panes, which windows it has fired and how often. With the
-watermark W of a batch:
+Per user the operator keeps its panes. With the watermark W of a batch:
 
 * an event before ``W - lateness`` goes to the late output as it came, and nowhere else;
 * any other event is folded into its pane of each resolution; closed windows that hold it and
@@ -11,22 +10,35 @@ watermark W of a batch:
   begins with the boundary at or before that, and windows that end earlier never fire;
 * panes and counters that no window can need any more go; users without panes go.
 
-The watermark is Spark's: it never goes back, and moves per batch.
+The watermark is Spark's: it never goes back, and moves per batch. ``UserWindows`` is that in plain
+Python over one user's events, for replays; ``refiring`` is the operator.
+
+State lies in maps of Spark's state store (RocksDB with a changelog): one of panes and one of
+repeated firings a resolution, and a few numbers a user. A batch adds its rows up per pane and
+reads and writes the panes that it changes; the panes of a resolution are only read where windows of it fire, and
+there are never more of them than a window's, the lateness's and those still open. A window is known to
+have fired by the user's last watermark: its end lies before that, and it had a pane. Timers wake users
+whose windows close, or whose panes are out of date, without a row of theirs.
+
+Spark drops rows behind the watermark before an operator whose input carries the column that the watermark is defined
+on. That column isn't passed on here, so that late rows arrive and can fire windows again.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import WindowConfig
+from ..operators import windows
 from ..schema import CLICK, FEATURES, PAGE_VIEW, PURCHASE, RESOLUTIONS
 
 OUTPUT = T.StructType([
@@ -35,7 +47,11 @@ OUTPUT = T.StructType([
     *(T.StructField(f, T.LongType() if k == "bigint" else T.DoubleType()) for f, k in FEATURES.items()),
     T.StructField("late_event", T.StringType()),
 ])
-STATE = T.StructType([T.StructField("state", T.StringType())])
+#: What the state operator needs of a session.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Plain pandas types: the state operator takes no Arrow-backed columns.
 KINDS = {"string": object, "bigint": "Int64", "int": "Int32", "double": "Float64"}
 _COUNT = {CLICK: 0, PAGE_VIEW: 1, PURCHASE: 2}
@@ -157,31 +173,299 @@ class Watermark:
         return self.value
 
 
-def refiring(events: DataFrame, config: WindowConfig | None = None) -> DataFrame:
-    """Rows of kind feature and late; events: flat streaming events with event_us."""
+NONE = -(2**62)
+_SUMS = ("click_count", "page_view_count", "purchase_count", "cents")
+#: A pane of a user as a row, for warm starts: which resolution, and up to which watermark it is known.
+PANE = "user_id string, window_resolution string, pane bigint, click_count bigint, page_view_count bigint, purchase_count bigint, cents bigint, products array<string>, mark_ms bigint"
+
+
+def folded(rows: pd.DataFrame) -> dict[int, tuple[list[int], set[str]]]:
+    """Rows (event_us, type, cents, product) by pane of the least slide: sums and products."""
+    slide = min(r.slide for r in RESOLUTIONS) * 1_000_000
+    pane, at = np.unique(rows["event_us"].to_numpy(np.int64) // slide, return_inverse=True)
+    kind, cents = rows["type"].to_numpy(np.int64), rows["cents"].to_numpy(np.int64)
+    sums = np.zeros((len(pane), 4), dtype=np.int64)
+    for i in range(3):
+        sums[:, i] = np.bincount(at[kind == i], minlength=len(pane))
+    np.add.at(sums[:, 3], at, cents)
+    out = {int(p): (sums[i].tolist(), set()) for i, p in enumerate(pane)}
+    bought = (kind == 2) & rows["product"].notna().to_numpy()
+    for p, x in set(zip(pane[at[bought]].tolist(), rows["product"].to_numpy()[bought].tolist(), strict=True)):
+        out[p][1].add(x)
+    return out
+
+
+class RefiringWindows(StatefulProcessor):
+    """The state of a user: panes and repeats of each resolution, and the clock: the last watermark,
+    the timer that is set, Spark's watermark when a row came or time was looked at last, and the first and last pane of each
+    resolution."""
+
+    def __init__(self, config: WindowConfig, idle: bool = False, least_mark_ms: int | None = None):
+        self.config, self.idle = config, idle
+        self.least = NONE if least_mark_ms is None else least_mark_ms
+        self.lateness, self.skew = int(config.lateness * 1000), int(config.skew * 1000)
+        start = config.first_watermark_ms
+        self.begin = {r.value: NONE if start is None else start // (r.slide * 1000) * r.slide * 1000 for r in RESOLUTIONS}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        pane = ", ".join(f"{c} bigint" for c in _SUMS) + ", products array<string>"
+        self.panes = {r.value: handle.getMapState(f"panes_{r.value}", "pane bigint", pane) for r in RESOLUTIONS}
+        self.repeats = {r.value: handle.getMapState(f"repeats_{r.value}", "end_ms bigint", "times int") for r in RESOLUTIONS}
+        spans = ", ".join(f"first_{r.value} bigint, last_{r.value} bigint" for r in RESOLUTIONS)
+        self.clock = handle.getValueState("clock", f"mark bigint, timer bigint, seen bigint, {spans}")
+
+    # -- the clock --
+
+    def _load(self) -> tuple[int, int, int, dict[str, tuple[int, int]]]:
+        held = self.clock.get()
+        if held is None:
+            return NONE, NONE, NONE, {}
+        own = {r.value: (held[3 + 2 * i], held[4 + 2 * i]) for i, r in enumerate(RESOLUTIONS)}
+        return held[0], held[1], held[2], {k: v for k, v in own.items() if v[0] != NONE}
+
+    def _save(self, mark: int, timer: int, seen: int, spans: dict[str, tuple[int, int]], now: int) -> None:
+        """Keeps the clock, and sets the next timer; a user without panes goes."""
+        wanted = NONE
+        if spans and self.idle:
+            wanted = now + int(self.config.idle * 1000)
+        elif spans:
+            wanted = min(self._next(r, mark, spans.get(r.value)) for r in RESOLUTIONS)
+            if wanted == -NONE:  # all windows have fired: when the last pane is out of date
+                wanted = max((spans[r.value][1] + 1) * r.slide * 1000 + r.size * 1000 + self.lateness for r in RESOLUTIONS if r.value in spans)
+        if timer not in (wanted, NONE):
+            self.handle.deleteTimer(timer)
+        if wanted not in (timer, NONE):
+            self.handle.registerTimer(wanted)
+        if spans:
+            self.clock.update((mark, wanted, seen, *(x for r in RESOLUTIONS for x in spans.get(r.value, (NONE, NONE)))))
+        elif timer != NONE or mark != NONE:
+            self.clock.clear()
+
+    def _next(self, r, mark: int, span: tuple[int, int] | None) -> int:
+        """The first end after the mark that may have a record."""
+        slide = r.slide * 1000
+        if span is None or (span[1] + r.panes) * slide <= mark:
+            return -NONE
+        after = self.begin[r.value] if mark == NONE else max((mark // slide + 1) * slide, self.begin[r.value])
+        end = max(after, (span[0] + 1) * slide)
+        return end if end <= (span[1] + r.panes) * slide else -NONE
+
+    # -- rows and timers --
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before, timer, _, spans = self._load()
+        seen = max(timerValues.getCurrentWatermarkInMs(), 0) or NONE
+        mark = max(before, seen, self.least)
+        fresh: dict[int, tuple[list[int], set[str]]] = {}
+        for frame in rows:
+            late, panes = self._taken(frame, mark)
+            if late:
+                yield _rows(key, [{"kind": "late", "late_event": x} for x in late])
+            for pane, (sums, products) in panes.items():
+                _add(fresh, pane, sums, products)
+        records = self._advance(fresh, before, mark, spans)
+        self._save(mark, timer, seen, spans, timerValues.getCurrentProcessingTimeInMs())
+        if records:
+            yield _rows(key, records)
+
+    def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[list[str], dict]:
+        """The very late rows as they came, and the panes of the others."""
+        late = frame["event_us"].to_numpy(np.int64) // 1000 < mark - self.lateness
+        if not late.any():
+            return [], folded(frame)
+        return frame["raw"][late].tolist(), {} if late.all() else folded(frame[~late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before, _, seen, spans = self._load()
+        spark, now = max(timerValues.getCurrentWatermarkInMs(), 0) or NONE, timerValues.getCurrentProcessingTimeInMs()
+        mark = max(before, spark, self.least)
+        if self.idle and spark == seen and mark != NONE:  # for as long as that nothing moved the watermark
+            mark = max(mark, now - self.skew)
+        records = self._advance({}, before, mark, spans)
+        self._save(mark, NONE, spark, spans, now)  # the timer is gone by itself
+        if records:
+            yield _rows(key, records)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        """Panes as rows (see PANE): as if the user's events up to mark_ms had come before."""
+        before, timer, seen, spans = self._load()
+        for row in initialState.itertuples(index=False):
+            r = row.window_resolution
+            self.panes[r].updateValue((int(row.pane),), (*(int(getattr(row, c)) for c in _SUMS), sorted(row.products)))
+            first, last = spans.get(r, (row.pane, row.pane))
+            spans[r] = int(min(first, row.pane)), int(max(last, row.pane))
+            before = max(before, int(row.mark_ms))
+        self._save(before, timer, seen, spans, timerValues.getCurrentProcessingTimeInMs())
+
+    # -- windows --
+
+    def _advance(self, fresh: dict, before: int, mark: int, spans: dict[str, tuple[int, int]]) -> list[dict]:
+        """Takes in fresh panes of the least slide; the records of windows that close between the
+        marks, then of those fired earlier that changed. ``spans`` is brought up to date."""
+        closed, again = [], []
+        for r in RESOLUTIONS:
+            slide, panes = r.slide * 1000, self.panes[r.value]
+            changed: dict[int, tuple[list[int], set[str]]] = {}
+            for pane, (sums, products) in fresh.items():
+                _add(changed, pane * min(x.slide for x in RESOLUTIONS) // r.slide, sums, products)
+            new = set()
+            for pane, own in changed.items():
+                held = panes.getValue((pane,))
+                if held is None:
+                    new.add(pane)
+                else:
+                    _add(changed, pane, held[:4], held[4] or ())
+                panes.updateValue((pane,), (*own[0], sorted(own[1])))
+            if changed:
+                first, last = spans.get(r.value, (min(changed), max(changed)))
+                spans[r.value] = min(first, *changed), max(last, *changed)
+            if mark == NONE or r.value not in spans:
+                continue
+            touched = {end for p in changed for end in range((p + 1) * slide, (p + r.panes + 1) * slide, slide) if max(self.begin[r.value], NONE) <= end <= mark}
+            if touched or self._next(r, before, spans[r.value]) <= mark:
+                live = {k[0]: v for k, v in panes.iterator()}
+                due = {end for p in live for end in range((p + 1) * slide, (p + r.panes + 1) * slide, slide) if end > before and self.begin[r.value] <= end <= mark}
+                for end in sorted(touched | due):
+                    inside = [p for p in range(end // slide - r.panes, end // slide) if p in live]
+                    seq = 0
+                    if end <= before and any(p not in new for p in inside):
+                        seq = ((self.repeats[r.value].getValue((end,)) or (0,))[0]) + 1
+                        self.repeats[r.value].updateValue((end,), (seq,))
+                    (again if seq else closed).append(_record(r, end, seq, [live[p] for p in inside]))
+            self._drop(r, mark, spans)
+        return closed + again
+
+    def _drop(self, r, mark: int, spans: dict[str, tuple[int, int]]) -> None:
+        """Panes and repeats that no window can need any more."""
+        slide, (first, last) = r.slide * 1000, spans[r.value]
+        oldest = mark - r.size * 1000 - self.lateness
+        keep = oldest // slide
+        if first >= keep:
+            return
+        if last < keep:
+            self.panes[r.value].clear()
+            self.repeats[r.value].clear()
+            del spans[r.value]
+            return
+        left = [k[0] for k in self.panes[r.value].keys()]  # noqa: SIM118
+        for p in left:
+            if p < keep:
+                self.panes[r.value].removeKey((p,))
+        for (end,) in [k for k in self.repeats[r.value].keys() if k[0] < oldest]:  # noqa: SIM118
+            self.repeats[r.value].removeKey((end,))
+        spans[r.value] = min(p for p in left if p >= keep), last
+
+
+class PanedWindows(RefiringWindows):
+    """The same over rows that are closed panes of the least slide; none of them is late."""
+
+    def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[list[str], dict]:
+        panes: dict = {}
+        sums = zip(*(frame[c].tolist() for c in _SUMS), strict=True)
+        for pane, own, products in zip(frame["pane"].tolist(), sums, frame["products"], strict=True):
+            _add(panes, pane, own, products)
+        return [], panes
+
+
+def _add(panes: dict, pane: int, sums: Iterable[int], products: Iterable[str]) -> None:
+    own = panes.setdefault(pane, ([0, 0, 0, 0], set()))
+    own[0][:] = [a + b for a, b in zip(own[0], sums, strict=True)]
+    own[1].update(products)
+
+
+def _record(r, end: int, seq: int, parts: list[tuple]) -> dict:
+    clicks, views, bought, cents = (sum(p[i] for p in parts) for i in range(4))
+    value = {
+        "click_count": clicks, "page_view_count": views, "purchase_count": bought, "revenue": cents / 100.0,
+        "distinct_products": len({x for p in parts for x in p[4] or ()}) if "distinct_products" in r.features else None,
+        "avg_purchase_amount": cents / 100.0 / bought if bought else None,
+    }
+    features = {f: value[f] if f in r.features else None for f in FEATURES}
+    return {"kind": "feature", "window_resolution": r.value, "window_start_ms": end - r.size * 1000, "window_end_ms": end, "emission_seq": seq} | features
+
+
+def _rows(key: tuple, rows: list[dict]) -> pd.DataFrame:
+    columns = {f.name: pd.Series([r.get(f.name) for r in rows], dtype=KINDS[f.dataType.simpleString()]) for f in OUTPUT.fields}
+    return pd.DataFrame(columns | {"user_id": pd.Series([key[0]] * len(rows), dtype=object)})[OUTPUT.names]
+
+
+def _set(spark: SparkSession) -> None:
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+
+
+def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application whose state lies in RocksDB, in so many partitions (this
+    can't be changed once a query has a checkpoint)."""
+    own = spark.newSession()
+    for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(k, spark.conf.get(k))
+    _set(own)
+    if partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return own
+
+
+def warm_panes(events: DataFrame, mark_ms: int, config: WindowConfig | None = None) -> DataFrame:
+    """The state to start with (see PANE), by users: the panes that windows may still need at that
+    watermark, of events that had come by then. Only events as young as that are read."""
+    config, parts = config or WindowConfig(), []
+    for r in RESOLUTIONS:
+        oldest = int(mark_ms - r.size * 1000 - config.lateness * 1000) // (r.slide * 1000)
+        own = windows.panes(events.where(F.col("event_us") >= oldest * r.slide * 1_000_000), r.slide)
+        parts.append(own.select("user_id", F.lit(r.value).alias("window_resolution"), "pane", *_SUMS, "products", F.lit(mark_ms).cast("bigint").alias("mark_ms")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def refiring(events: DataFrame, config: WindowConfig | None = None, idle: bool = False, warm: DataFrame | None = None, least_mark_ms: int | None = None) -> DataFrame:
+    """Rows of kind feature and late; events: flat streaming events with event_us. Events without time
+    are left out; a null user is a user. Their session gets SETTINGS; queries that run, or go on from
+    a checkpoint, keep the state store that they began with.
+
+    idle: timers go by the clock on the wall. A user's windows are looked at every ``config.idle``
+    seconds; where nothing moved the watermark for that long, the time less the skew is the mark
+    of that user from then on, so that a silent source doesn't hold windows open. The mark of a user never
+    goes back.
+
+    warm: panes to start with (see warm_panes), for a query without checkpoint; least_mark_ms: the
+    watermark they were made for, which holds for users without any, too.
+    """
     config = config or WindowConfig()
+    _set(events.sparkSession)
+    bought = F.col("event_type") == PURCHASE
+    kind = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(i)) for t, i in _COUNT.items()), F.lit(-1))
+    timed = events.where("event_us is not null").withColumn("ts", F.timestamp_micros("event_us")).withWatermark("ts", f"{int(config.skew * 1000)} milliseconds")
+    flat = timed.select(
+        "user_id", "event_us", kind.alias("type"), F.coalesce(F.when(bought, F.col("price_cents") * F.col("quantity")), F.lit(0)).cast("bigint").alias("cents"),
+        F.col("product_id").alias("product"), F.to_json(F.struct(*events.columns)).alias("raw"),
+    )
+    held = None if warm is None else warm.groupBy("user_id")
+    return flat.groupBy("user_id").transformWithStateInPandas(RefiringWindows(config, idle, least_mark_ms), OUTPUT, "Append", "ProcessingTime" if idle else "EventTime", held)
+
+
+def of_panes(events: DataFrame, config: WindowConfig | None = None) -> DataFrame:
+    """Records of closed windows of all resolutions, once each, by two stateful operators in a row.
 
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = UserWindows.load(state.get[0], config) if state.exists else UserWindows(config)
-        mark = state.getCurrentWatermarkMs()
-        mark = mark if mark > 0 else None
-        rows = []
-        for frame in frames if not state.hasTimedOut else ():
-            for e in frame.sort_values("event_us").itertuples(index=False):
-                cents = int(e.price_cents or 0) * int(e.quantity or 0) if e.event_type == PURCHASE else 0
-                if not own.fold(int(e.event_us) // 1000, e.event_type, cents, e.product_id, mark):
-                    rows.append({"kind": "late", "late_event": e.raw})
-        rows += [{"kind": "feature"} | r for r in own.fire(mark)]
-        if own.empty():
-            state.remove()
-        else:
-            state.update((own.dump(),))
-            end = own.next_end()
-            state.setTimeoutTimestamp(max(end if end is not None else (mark or 0) + 86_400_000, (mark or 0) + 1))
-        if rows:
-            rows = [r | {"user_id": key[0]} for r in rows]
-            yield pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=KINDS[f.dataType.simpleString()]) for f in OUTPUT.fields})
-
-    flat = events.withColumn("ts", F.timestamp_micros("event_us")).withWatermark("ts", f"{config.skew} seconds")
-    flat = flat.select("user_id", "ts", "event_us", "event_type", "price_cents", "quantity", "product_id", F.to_json(F.struct(*events.columns)).alias("raw"))
-    return flat.groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    Spark's own aggregation first makes panes of a minute (with partial aggregation, so a hot user is small before
+    it is dealt out) and passes them on when the watermark has closed them; the second operator
+    keeps panes, not windows, and fires windows by timers. What is kept is a row a pane, where windows kept
+    by themselves would be one for each of the up to 24 that a pane lies in.
+
+    A row behind the watermark whose pane was closed is dropped; use ``refiring`` where late rows
+    must count. events: as there.
+    """
+    config = config or WindowConfig()
+    _set(events.sparkSession)
+    slide = min(r.slide for r in RESOLUTIONS)
+    bought = F.col("event_type") == PURCHASE
+    timed = events.where("event_us is not null").withColumn("ts", F.timestamp_micros("event_us")).withWatermark("ts", f"{int(config.skew * 1000)} milliseconds")
+    panes = timed.groupBy("user_id", F.window("ts", f"{slide} seconds").alias("w")).agg(
+        F.count_if(F.col("event_type") == CLICK).alias("click_count"),
+        F.count_if(F.col("event_type") == PAGE_VIEW).alias("page_view_count"),
+        F.count_if(bought).alias("purchase_count"),
+        F.coalesce(F.sum(F.when(bought, F.col("price_cents") * F.col("quantity"))), F.lit(0)).cast("bigint").alias("cents"),
+        F.collect_set(F.when(bought, F.col("product_id"))).alias("products"),
+    )
+    rows = panes.select("user_id", F.floor(F.unix_seconds("w.start") / slide).alias("pane"), *_SUMS, "products")
+    return rows.groupBy("user_id").transformWithStateInPandas(PanedWindows(config), OUTPUT, "Append", "EventTime").drop("kind", "late_event", "emission_seq")
