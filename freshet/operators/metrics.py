@@ -59,8 +59,12 @@ def percentiles(samples: DataFrame, value: str, points=(0.5, 0.95, 0.99)) -> Dat
         got = F.percentile("v", F.array(*map(F.lit, points)))
         return own.agg(got.alias("p")).select(*(F.round(F.coalesce(F.col("p")[i], F.lit(0.0)), 6).alias(c) for i, c in enumerate(names)))
     at = [x * (n - 1) for x in points]
-    value_at = order_statistics(own, "v", sorted({f(x) for x in at for f in (math.floor, math.ceil)}))
-    got = [value_at[math.floor(x)] + (value_at[math.ceil(x)] - value_at[math.floor(x)]) * (x - math.floor(x)) for x in at]
+    ranks = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
+    finite = own.where(F.col("v") < math.inf)
+    ends = finite.count()  # infinite values come after all others
+    value_at = order_statistics(finite, "v", [r for r in ranks if r < ends]) | {r: math.inf for r in ranks if r >= ends}
+    between = lambda a, b, x: a if a == b else a + (b - a) * x
+    got = [between(value_at[math.floor(x)], value_at[math.ceil(x)], x - math.floor(x)) for x in at]
     return samples.sparkSession.range(1).select(*(F.round(F.lit(v), 6).alias(c) for v, c in zip(got, names, strict=True)))
 
 
@@ -151,9 +155,11 @@ def consume_counts(messages: DataFrame, lag: DataFrame) -> DataFrame:
 def sink_counts(flushes: DataFrame) -> DataFrame:
     """Counters of a sink: flushes (inserted, skipped, batch_size, latency_ms, and, if there, failed:
     rows of flushes that were given up)."""
-    p = lambda c, x: F.round(F.coalesce(F.percentile(c, F.lit(x)), F.lit(0.0)), 6)
     failed = [F.coalesce(F.sum("failed"), F.lit(0)).alias("failed")] if "failed" in flushes.columns else []
-    return flushes.agg(F.sum("inserted").alias("inserted"), F.sum("skipped").alias("skipped"), *failed, F.count("*").alias("batches"), p("batch_size", 0.5).alias("batch_p50"), p("batch_size", 0.99).alias("batch_p99"), p("latency_ms", 0.5).alias("flush_p50"), p("latency_ms", 0.95).alias("flush_p95"))
+    counts = flushes.agg(F.sum("inserted").alias("inserted"), F.sum("skipped").alias("skipped"), *failed, F.count("*").alias("batches"))
+    sizes = percentiles(flushes, "batch_size", (0.5, 0.99)).select(F.col("p50").alias("batch_p50"), F.col("p99").alias("batch_p99"))
+    times = percentiles(flushes, "latency_ms", (0.5, 0.95)).select(F.col("p50").alias("flush_p50"), F.col("p95").alias("flush_p95"))
+    return counts.crossJoin(sizes).crossJoin(times)  # one row each
 
 
 def merged(parts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..config import ValidatorConfig
 from ..operators import online, validate, windows
+from ..sources.sinks import OnlineTable
 
 
 def validate_and_route(events: DataFrame, now_us: int, config: ValidatorConfig | None = None, **bounds) -> tuple[DataFrame, DataFrame]:
@@ -23,12 +24,14 @@ def online_from(events: DataFrame) -> DataFrame:
     return online.vector(features(events))
 
 
-def user_features(table: DataFrame, user_id: str) -> dict:
-    """What the read interface answers: all 13 fields, zeros where nothing is stored."""
+def user_features(table: DataFrame | OnlineTable, user_id: str) -> dict:
+    """What the read interface answers: all 13 fields, zeros where nothing is stored. Of an OnlineTable
+    one file a version is opened; vectors given as a DataFrame are filtered."""
     from ..functions.scalars import valid_user_id
 
     if not valid_user_id(user_id):
         raise ValueError("not a user id")
-    asked = table.sparkSession.createDataFrame([(user_id,)], "user_id string")
-    row = online.lookup(asked, table.where(table["user_id"] == user_id)).first().asDict()
+    own = table.read_user(user_id) if isinstance(table, OnlineTable) else table.where(table["user_id"] == user_id)
+    asked = own.sparkSession.createDataFrame([(user_id,)], "user_id string")
+    row = online.lookup(asked, own).first().asDict()
     return {"user_id": row.pop("user_id"), "key_present": row.pop("key_present"), "features": row}

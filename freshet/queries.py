@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import evolution, scalars
 from .operators import metrics, offline, online, validate, windows
-from .schema import EVENT_AVRO, EVENTS_SQL, R1H, R5M, R24H, RESOLUTIONS, events_from_table, online_fields
-from .sources import avro, sinks
+from .schema import EVENTS_SQL, EVENT_AVRO, PAGE_VIEW, PURCHASE, R1H, R24H, R5M, RESOLUTIONS, events_from_table, online_fields
+from .sources import avro, commits, keyed, sinks
 from .sources import events as sources
+from .sources.folders import shared_folder
 from .streaming import replays
 
 #: 2024-01-31 00:00:00 UTC: "now" for the rule on time stamps; a price bound that rejects some.
@@ -114,6 +115,41 @@ def dlq_events(spark, d):
     return own.select(*(c for c in own.columns if not c.endswith("_bytes")), *text, F.concat_ws(":", "original_topic", "original_partition", "original_offset").alias("dlq_key"))
 
 
+def routed_outputs(spark, d):
+    """Each event in the output that it went to, both outputs written as one commit a batch."""
+    ledger = commits.Ledger(spark, shared_folder(spark, "routed"))
+    tagged = _tagged(spark, d).withColumn("timestamp_ms", F.expr("event_us div 1000")).withColumn("n", F.col("event_id").cast("bigint") % 3)
+    for n in range(3):
+        own = tagged.where(F.col("n") == n)
+        ledger.commit(n, {"validated": own.where("error is null").select("event_id"), "dead": own.where("error is not null").select("event_id", "error.error_class")})
+    ledger.roll()
+    valid = ledger.read("validated").select("event_id", F.lit("validated").alias("output"), F.lit(None).cast("string").alias("error_class"))
+    return valid.union(ledger.read("dead").select("event_id", F.lit("dead"), "error_class"))
+
+
+def keyed_inserts(spark, d):
+    """The batch that each event was inserted by: some arrive in two of four batches, and each batch is run twice."""
+    table = keyed.KeyedTable(spark, shared_folder(spark, "keyed"))
+    events = events_from_table(spark, d).select("event_id", "user_id", "event_us")
+    n = F.col("event_id").cast("bigint")
+    for i in range(4):
+        own = events.where((n % 4 == i) | ((n % 10 == 0) & ((n + 1) % 4 == i)))
+        table.append(own.withColumn("arrival", F.lit(i)).withColumn("batch", F.lit(i)), i)
+        table.append(own.withColumn("arrival", F.lit(i)).withColumn("batch", F.lit(-1)), i)  # run again: changes nothing
+    return table.read()
+
+
+def accumulated_features(spark, d):
+    """Features by accumulators beside the built-in ones; of so few values a window the sketches are exact."""
+    page, price = F.col("event_type") == PAGE_VIEW, F.when(F.col("event_type") == PURCHASE, F.col("price_cents"))
+    more = [
+        windows.Feature("pages", lambda: F.when(page, F.col("page_url")), "distinct"), windows.Feature("median_price", lambda: price, "median"),
+        windows.Feature("p95_price", lambda: price, "p95", ("24h",)), windows.Feature("top_price", lambda: price, "max"), windows.Feature("priced", lambda: price, "count"),
+    ]
+    own = windows.sliding_all(events_from_table(spark, d), more)
+    return own.select("user_id", "window_resolution", "window_end_ms", *(f.name for f in more))
+
+
 def _hard(spark: SparkSession, d: str) -> DataFrame:
     """Events changed so that every rule rejects some: each by the remainder of its id."""
     e = events_from_table(spark, d)
@@ -377,10 +413,21 @@ QUERIES = {
         every_rule, model_violations, internal_errors, raw_events_dedup, avro_round_trip, raw_insert_counts, online_vector, online_lookup_zero_fill, online_ttl, online_strings, pit_join, online_offline_diff, freshness,
         partition_skew, latency_percentiles, batch_histogram, lag_ramp, delivery_counters, delivery_errors, merged_percentiles, sink_counters, mp_merge, total_lag,
         window_ends, retention, consume_counters, message_keys, emission_history,
-        replays.refired_windows, replays.warm_windows, replays.paned_windows,
+        replays.refired_windows, replays.warm_windows, replays.paned_windows, routed_outputs, keyed_inserts, accumulated_features,
     )
 }
 
+
+def _accumulated_sql(r) -> str:
+    """Quantiles are the values at the rank rounded up."""
+    prices = "list_sort(list(price_cents) FILTER (event_type = 'PURCHASE' AND price_cents IS NOT NULL))"
+    p95 = f"{prices}[CAST(ceil(0.95 * len({prices})) AS BIGINT)]" if r is R24H else "NULL"
+    return f"""SELECT user_id, '{r.value}' AS window_resolution, e * 1000 AS window_end_ms, count(DISTINCT page_url) FILTER (event_type = 'PAGE_VIEW') AS pages,
+  CAST({prices}[CAST(ceil(0.5 * len({prices})) AS BIGINT)] AS DOUBLE) AS median_price, CAST({p95} AS DOUBLE) AS p95_price, max(price_cents) FILTER (event_type = 'PURCHASE') AS top_price,
+  count(price_cents) FILTER (event_type = 'PURCHASE') AS priced
+FROM (SELECT *, unnest([(CAST(floor(event_us / {r.slide * 1_000_000}) AS BIGINT) + k) * {r.slide} FOR k IN range(1, {r.panes + 1})]) AS e FROM ev) GROUP BY user_id, e"""
+
+
 _PART = "CAST(substr(user_id, 3, 6) AS INTEGER) % 12"
 ORACLE_SQL = {
     "sliding_5m": _with(_raw(R5M)),
@@ -451,6 +498,9 @@ FROM (SELECT *, CAST(event_id AS BIGINT) AS n, CAST(event_id AS BIGINT) % 50 <>
     "consume_counters": _with("SELECT * FROM (SELECT round(quantile_cont(quantity * 250.0::DOUBLE, 0.5) FILTER (quantity > 1), 6) AS p50, round(quantile_cont(quantity * 250.0::DOUBLE, 0.95) FILTER (quantity > 1), 6) AS p95, round(quantile_cont(quantity * 250.0::DOUBLE, 0.99) FILTER (quantity > 1), 6) AS p99, count(*) AS polled, count(*) FILTER (event_type = 'ERROR') AS deserialize_failures, count(*) FILTER (event_type <> 'ERROR') AS consumed FROM ev), (SELECT max(lag) AS max_lag, arg_max(lag, seq) AS end_lag FROM (SELECT event_us // 3600000000 AS seq, count(*) AS lag FROM ev GROUP BY 1))"),
     "message_keys": _with(f"SELECT event_id, 't:' || ({_PART}) || ':' || event_id AS dlq_key, regexp_replace(md5(event_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS uuid, true AS currency_ok FROM ev"),
     "emission_history": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS emission_seq FROM (SELECT *, unnest(range(1, CAST(window_end_ms / 300000 % 3 + 2 AS BIGINT))) AS n FROM r)", f"r AS ({_raw(R1H)})"),
+    "routed_outputs": _with("SELECT event_id, CASE WHEN error_class IS NULL THEN 'validated' ELSE 'dead' END AS output, error_class FROM tagged", _TAGGED),
+    "keyed_inserts": _with("SELECT event_id, user_id, event_us, b AS arrival, b AS batch FROM (SELECT *, CAST(CASE WHEN n % 10 = 0 THEN least(n % 4, (n + 1) % 4) ELSE n % 4 END AS INTEGER) AS b FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev))"),
+    "accumulated_features": _with(" UNION ALL ".join(_accumulated_sql(r) for r in RESOLUTIONS)),
     "refired_windows": replays.REFIRED_SQL,
     "warm_windows": replays.WARM_SQL,
     # what the watermark has closed: the last event's time less the skew of five seconds

@@ -10,6 +10,7 @@ from ..operators import offline, online
 from ..schema import RESOLUTIONS, online_fields
 from . import avro
 from .events import nested
+from .folders import file_system
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,8 +31,9 @@ class OfflineTable:
     def append(self, batch: DataFrame, n: int, arrival: str = "arrival") -> None:
         """Write batch n: the first row of each key that no other batch holds."""
         rows = offline.first_arrivals(batch, self.key, arrival)
-        if exists(self.spark, self.path):
-            others = self.spark.read.option("basePath", self.path).parquet(self.path).where(F.col("batch") != n)
+        stored = self._complete()
+        if stored:
+            others = self.spark.read.option("basePath", self.path).parquet(*stored).where(F.col("batch") != n)
             if self.since:
                 column, back = self.since
                 oldest = rows.agg(F.min(column)).first()[0]
@@ -40,7 +42,17 @@ class OfflineTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={n}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """The rows of all complete batches."""
+        return self.spark.read.option("basePath", self.path).parquet(*self._complete())
+
+    def _complete(self) -> list[str]:
+        """The folders of batches that were written to their end."""
+        folder, fs = file_system(self.spark, self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return [f"{self.path}/{x}" for x in sorted(names) if x.startswith("batch=") and exists(self.spark, f"{self.path}/{x}/_SUCCESS")]
+
+
+_STORED = "user_id string, " + ", ".join(f"{f} {kind}" for f, _, _, kind in online_fields()) + ", expires_at_ms bigint, bucket int"
 
 
 class OnlineTable:
@@ -52,10 +64,21 @@ class OnlineTable:
     and each user's last expiry. ``compact`` makes a new base of that, and a batch that a base
     holds already is skipped. All state is in the folders; they are complete once Spark's
     _SUCCESS file is there.
+
+    Each is cut into ``buckets`` by a hash of the user, a file each, sorted by user and with Bloom
+    filters of users, so that ``read_user`` opens one file a version and of that the row group
+    that may have the user.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _write(self, vectors: DataFrame, path: str) -> None:
+        dealt = vectors.withColumn("bucket", self._bucket(F.col("user_id"))).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "user_id")
+        dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#user_id", "true").parquet(path)
+
+    def _bucket(self, user):
+        return F.pmod(F.xxhash64(user), F.lit(self.buckets)).cast("int")
 
     def _versions(self, kind: str) -> list[int]:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
@@ -65,14 +88,24 @@ class OnlineTable:
 
     def upsert(self, features: DataFrame, n: int) -> None:
         if n > max(self._versions("base"), default=-1):
-            online.vector(features).write.mode("overwrite").parquet(f"{self.path}/delta/v={n}")
+            self._write(online.vector(features), f"{self.path}/delta/v={n}")
+
+    def read_user(self, user_id: str, upto: int | None = None) -> DataFrame:
+        """The vector of one user, if there is one: no other bucket is listed or opened."""
+        bucket = self.spark.sql("SELECT :user AS user_id", {"user": user_id}).select(self._bucket(F.col("user_id"))).first()[0]
+        return self.read(upto, bucket).where(F.col("user_id") == user_id)
 
-    def read(self, upto: int | None = None) -> DataFrame:
-        """The vectors after batch ``upto``, or the last one."""
+    def read(self, upto: int | None = None, bucket: int | None = None) -> DataFrame:
+        """The vectors after batch ``upto``, or the last one; of one bucket, if given."""
         held = lambda kind: [v for v in self._versions(kind) if upto is None or v <= upto]
         base = held("base")[-1:]
         rest = [v for v in held("delta") if v > max(base, default=-1)]
-        parts = [self.spark.read.parquet(f"{self.path}/{kind}/v={v}").withColumn("_v", F.lit(v)) for kind, some in (("base", base), ("delta", rest)) for v in some]
+        folders = [(f"{self.path}/{kind}/v={v}" + ("" if bucket is None else f"/bucket={bucket}"), v) for kind, some in (("base", base), ("delta", rest)) for v in some]
+        if bucket is not None and folders:  # not every version has users of it
+            folders = [x for x in folders if exists(self.spark, x[0])]
+            if not folders:
+                return self.spark.createDataFrame([], _STORED).drop("bucket")
+        parts = [self.spark.read.schema(_STORED).parquet(path).drop("bucket").withColumn("_v", F.lit(v)) for path, v in folders]
         if not parts:
             raise ValueError(f"nothing was written to {self.path}")
         if len(parts) == 1:
@@ -88,7 +121,7 @@ class OnlineTable:
         until ``vacuum``, for readers that are under way."""
         n = max(self._versions("delta") + self._versions("base"))
         if n not in self._versions("base"):
-            self.read().write.mode("overwrite").parquet(f"{self.path}/base/v={n}")
+            self._write(self.read(), f"{self.path}/base/v={n}")
         return n
 
     def vacuum(self) -> None:
