@@ -134,9 +134,19 @@ def _product_panes(events: DataFrame, slide: int, more: Sequence[Feature] = ())
 _SUMS = ("click_count", "page_view_count", "purchase_count", "cents")
 
 
+def product_panes(events: DataFrame, more: Sequence[Feature] = ()) -> DataFrame:
+    """Panes of the least slide, by product (null for all but purchases): what records are made of.
+    Those of parts of the events may be put together in any way, as a pane may have several rows."""
+    return _product_panes(events, min(r.slide for r in RESOLUTIONS), more)
+
+
 def _records(events: DataFrame, resolutions: tuple[Resolution, ...], more: Sequence[Feature] = ()) -> DataFrame:
+    return records_of(_product_panes(events, min(r.slide for r in resolutions), more), resolutions, more)
+
+
+def records_of(parts: DataFrame, resolutions: tuple[Resolution, ...] = RESOLUTIONS, more: Sequence[Feature] = ()) -> DataFrame:
+    """Feature records out of panes of the resolutions' least slide (see product_panes)."""
     slide = min(r.slide for r in resolutions)
-    parts = _product_panes(events, slide, more)
     values = (*_SUMS, *(f.name for f in more))
     merges = [*(F.sum(c).alias(c) for c in _SUMS), *(f.merge() for f in more)]
     begin = F.col("pane") * slide

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import evolution, scalars
 from .operators import metrics, offline, online, validate, windows
 from .schema import EVENTS_SQL, EVENT_AVRO, PAGE_VIEW, PURCHASE, R1H, R24H, R5M, RESOLUTIONS, events_from_table, online_fields
-from .sources import avro, commits, keyed, sinks
+from .sources import avro, commits, incremental, keyed, sinks
 from .sources import events as sources
 from .sources.folders import shared_folder
 from .streaming import replays
@@ -139,6 +139,16 @@ def keyed_inserts(spark, d):
     return table.read()
 
 
+def incremental_windows(spark, d):
+    """Records after four batches, of which each has events of all days: only windows that a batch
+    changes are worked out again."""
+    table = incremental.FeatureTable(spark, shared_folder(spark, "incremental"))
+    events = events_from_table(spark, d)
+    for n in range(4):
+        table.fold(events.where(F.pmod(F.crc32("event_id"), F.lit(7)) % 4 == n), n)
+    return table.read()
+
+
 def accumulated_features(spark, d):
     """Features by accumulators beside the built-in ones; of so few values a window the sketches are exact."""
     page, price = F.col("event_type") == PAGE_VIEW, F.when(F.col("event_type") == PURCHASE, F.col("price_cents"))
@@ -413,7 +423,7 @@ QUERIES = {
         every_rule, model_violations, internal_errors, raw_events_dedup, avro_round_trip, raw_insert_counts, online_vector, online_lookup_zero_fill, online_ttl, online_strings, pit_join, online_offline_diff, freshness,
         partition_skew, latency_percentiles, batch_histogram, lag_ramp, delivery_counters, delivery_errors, merged_percentiles, sink_counters, mp_merge, total_lag,
         window_ends, retention, consume_counters, message_keys, emission_history,
-        replays.refired_windows, replays.warm_windows, replays.paned_windows, routed_outputs, keyed_inserts, accumulated_features,
+        replays.refired_windows, replays.warm_windows, replays.paned_windows, routed_outputs, keyed_inserts, accumulated_features, incremental_windows,
     )
 }
 
@@ -500,6 +510,7 @@ FROM (SELECT *, CAST(event_id AS BIGINT) AS n, CAST(event_id AS BIGINT) % 50 <>
     "emission_history": _with("SELECT user_id || ':1h:' || window_end_ms || ':0' AS idempotency_key, CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS emission_seq FROM (SELECT *, unnest(range(1, CAST(window_end_ms / 300000 % 3 + 2 AS BIGINT))) AS n FROM r)", f"r AS ({_raw(R1H)})"),
     "routed_outputs": _with("SELECT event_id, CASE WHEN error_class IS NULL THEN 'validated' ELSE 'dead' END AS output, error_class FROM tagged", _TAGGED),
     "keyed_inserts": _with("SELECT event_id, user_id, event_us, b AS arrival, b AS batch FROM (SELECT *, CAST(CASE WHEN n % 10 = 0 THEN least(n % 4, (n + 1) % 4) ELSE n % 4 END AS INTEGER) AS b FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev))"),
+    "incremental_windows": _with(_ALL),
     "accumulated_features": _with(" UNION ALL ".join(_accumulated_sql(r) for r in RESOLUTIONS)),
     "refired_windows": replays.REFIRED_SQL,
     "warm_windows": replays.WARM_SQL,

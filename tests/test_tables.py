@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from freshet.operators import metrics, windows
 from freshet.plans import jobs
 from freshet.schema import events_from_table
-from freshet.sources import commits, keyed, sinks
+from freshet.sources import commits, incremental, keyed, sinks
 from freshet.streaming import append
 
 SF = "/root/testdata/sf0.001"
@@ -205,3 +205,20 @@ def test_half_written_batches_dont_count(spark, tmp_path):
     assert table.read().count() == 2
     table.append(rows.withColumn("event_id", F.lit("a2")), 2)
     assert {r["event_id"] for r in table.read().collect()} == {"a", "b", "a2"}
+
+
+def test_incremental_windows_in_any_order(spark, tmp_path):
+    events = events_from_table(spark, SF).withColumn("user_id", F.when(F.col("user_id") == "u-000003", None).otherwise(F.col("user_id")))
+    low = events.agg(F.min("event_us")).first()[0]
+    table = incremental.FeatureTable(spark, str(tmp_path))
+    part = F.pmod(F.crc32("event_id"), F.lit(3))
+    assert table.fold(events.where(part == 0), 7) and not table.fold(events.where(part == 1), 7)
+    late = events.where((part == 1) & (F.col("event_us") < low + 86_400_000_000))
+    assert table.fold(late, 3)
+    day = low // 86_400_000_000
+    assert set(table.days) <= set(range(day - 1, day + 4)) and len(table.days) <= 5  # of a month
+    rest = events.where((part == 2) | ((part == 1) & (F.col("event_us") >= low + 86_400_000_000)))
+    assert table.fold(rest, 5) and table.fold(events.limit(0), 6)
+    got, want = table.read(), windows.sliding_all(events)
+    got = got.select(want.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
