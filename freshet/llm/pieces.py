@@ -339,14 +339,15 @@ def _array(rows: list[bytes]) -> pa.Array:
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """Adds the ids of every row's text; null and empty texts have none. A column of docs with
-    the name of ids is replaced; repeated rows are encoded alike.
+    the name of ids (in whatever case) is replaced; repeated rows are encoded alike.
 
     round_trip: a column, if named, that says whether decoding the ids gives the text again
     (a null text counts as empty). It is found out where the ids are made, by the same codec, so
     that a task needs one worker with one model.
     """
     more = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(round_trip, T.BooleanType())] if round_trip else [])]
-    docs = docs.drop(*[f.name for f in more if f.name in docs.columns])
+    taken = {f.name.lower() for f in more}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in taken and c != text])
     schema = T.StructType([*docs.schema.fields, *more])
     at = docs.columns.index(text)
 
@@ -363,7 +364,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ro
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of every row's ids; null ids give a null text, no ids the empty one."""
-    rows = rows.drop(*[c for c in (text,) if c in rows.columns])
+    rows = rows.drop(*[c for c in rows.columns if c.lower() == text.lower() and c != ids])
     schema = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])
     at = rows.columns.index(ids)
 

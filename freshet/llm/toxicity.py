@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, spread, struct_of
+from .common import free_name, materialize, slices, spread, struct_of
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 PREFIXES = (3, 4, 5, 6)
@@ -266,9 +266,13 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], text: str = "text"
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """Adds p_<category> for every category; a null text is scored as the empty one. Columns
-    of docs with such names are replaced, all others are kept; every row is scored on its own."""
+    of docs with such names (in whatever case) are replaced, all others are kept; every row is scored on its own."""
     names = [f"p_{c}" for c in chain.categories]
-    docs = docs.drop(*[c for c in names if c in docs.columns])
+    taken = {n.lower() for n in names}
+    return _scored(docs.drop(*[c for c in docs.columns if c.lower() in taken and c != text]), chain, text, names)
+
+
+def _scored(docs: DataFrame, chain: Chain, text: str, names: Sequence[str]) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     at = docs.columns.index(text)
 
@@ -301,8 +305,11 @@ def fitted(spark, sf_dir: str) -> Chain:
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs that the last category of the chain doesn't reach."""
-    return score(docs, chain, text).where(F.col(f"p_{chain.categories[-1]}") < threshold).select(*docs.columns)
+    """The rows of docs that the last category of the chain doesn't reach, with all their columns,
+    whatever these are called. A null text is judged as the empty one, repeated rows are judged alike, an
+    empty table stays empty."""
+    names = [free_name(docs.columns, f"_p{i}") for i in range(len(chain.categories))]
+    return _scored(docs, chain, text, names).where(F.col(names[-1]) < threshold).select(*docs.columns)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from .common import free_name, struct_of
 
 TOKEN = "[A-Za-z0-9%]+"
 _TOKEN = re.compile(TOKEN)
-#: Where rules are joined: shares of a token's URLs, and rules that may be tried on all URLs.
+#: Where rules are joined: shares of a token's URLs, and rules without a token that are tried at a time.
 SHARES, MOST_LOOSE = 16, 10_000
 
 
@@ -63,6 +63,9 @@ def to_regex(pattern: str, end: str = r"\Z") -> str:
         head, body = "^", body[1:]
     if body.endswith("|"):
         tail, body = end, body[:-1]
+    # what is free at an end needn't be matched, which would take quadratic time on long texts
+    body = body.lstrip("*") if not head else body
+    body = body.rstrip("*") if not tail else body
     parts = {"*": r"[\s\S]*", "^": rf"(?:[^A-Za-z0-9%_.-]|{end})"}
     return head + "".join(parts.get(c) or (c if c.isalnum() and c.isascii() else re.escape(c)) for c in body) + tail
 
@@ -144,9 +147,10 @@ def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", default: str
 
     Null, empty and malformed URLs get empty host and path and are judged like any other;
     repeated rows are judged alike; an empty table gives an empty result. Columns of urls
-    named like an output column are replaced.
+    named like an output column (in whatever case) are replaced. Any number of rules is taken: up to
+    max_local_rules they go along with the tasks, more of them are joined.
     """
-    urls = urls.drop(*[c for c in ("host", "path", "rule", "tier", "verdict") if c in urls.columns])
+    urls = urls.drop(*[c for c in urls.columns if c.lower() in ("host", "path", "rule", "tier", "verdict") and c != url])
     subjects = with_subject(urls, url)
     counts = token_counts(subjects, {t for r in rules for t in usable_tokens(r.pattern)})
     index, rest = build_index(rules, counts)
@@ -180,11 +184,9 @@ def _judge_by_join(subjects: DataFrame, index: dict[str, list[Rule]], rest: list
     shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
     filed = table.where("token is not null").select("*", shares)
     found = looked.join(filed, ["token", "share"]).where(F.expr("s rlike regex")).drop("token", "share")
-    loose = table.where("token is null").drop("token")
-    if rest:  # rules without a token are few (they are tried on every subject) and checked to be
-        if len(rest) > MOST_LOOSE:
-            raise ValueError(f"{len(rest)} rules have no usable token; {MOST_LOOSE} at most can be tried on every URL")
-        found = found.unionByName(subject.join(F.broadcast(loose), F.expr("s rlike regex")))
+    for i in range(0, len(rest), MOST_LOOSE):  # rules without a token are tried on every subject, a block of bounded size at a time
+        block = spark.createDataFrame(listed[len(listed) - len(rest) + i :][:MOST_LOOSE], table.schema).drop("token")
+        found = found.unionByName(subject.join(F.broadcast(block), F.expr("s rlike regex")))
     # tier, then the longer name, block first, then the smaller name
     order = F.struct(-F.col("tier"), -F.col("size"), -F.col("blocks"), F.col("rule"))
     best = found.groupBy("s").agg(F.min_by(F.struct("rule", "tier", "verdict"), order).alias("won"))
