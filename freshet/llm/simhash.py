@@ -23,11 +23,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free_name, materialize, slices, spread, struct_of, with_minimum
+from .common import SALTS, discard, free_name, materialize, slices, spread, struct_of, with_minimum
 from .components import components
 
 SEED = 42
@@ -35,8 +35,10 @@ SEED = 42
 SLICE = 1 << 22
 #: Texts to be looked at again that are told to all tasks; 16 bytes each.
 MOST_WANTED = 1_000_000
-#: Parity bits of a set of few shingles.
-LEAST_BITS, FEW_BITS = 512, 2048
+#: Parity bits of a set of few shingles and of a part of a set; elements of a part, about, at most.
+LEAST_BITS, PART = 512, 512
+#: Rows of one token that are compared with each other in one task.
+BLOCK = 2048
 #: One in so many texts tells which hashes are common; of these so many at most, 8 bytes each.
 SAMPLED, MOST_COMMON = 4, 300_000
 _ROW = ("bucket", "key", "node", "s0", "s1")
@@ -316,11 +318,41 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return x
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first hashes of a set, those marked common being last in order: sets of that similarity
-    share one of them."""
-    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1 if len(hashes) else 0
-    return np.concatenate([hashes[~common], hashes[common]])[:n]
+def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Of how many elements of sets of n, the first in any common order, sets of that similarity
+    share one at least."""
+    return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+
+
+def levels(n: int, similarity: float) -> range:
+    """The ways a set of n elements is cut into parts (into 2 ** level of them, by the leading bits of
+    the hashes): the one that its size asks for, and those that a larger set as similar may ask for."""
+    level = lambda k: max(0, int(np.ceil(np.log2(k / PART))))
+    return range(level(n), level(n / similarity + 1) + 1) if n else range(0)
+
+
+def parts(hashes: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Of each part of the set (the parts of every level it is cut by): its key, its size, its parity
+    bits and, one after another, the prefixes of the parts, those marked common being last in order.
+
+    Where two sets are so similar, one of their parts at least is, as the parts' overlaps and
+    unions add up to the sets'. So one of the tokens of the prefixes is shared within such parts. A
+    token is a hash with the level in place of its last five bits, so parts of other levels don't meet.
+    """
+    keys, sizes, bits, tokens = [], [], [], []
+    for level in levels(len(hashes), similarity):
+        part = (hashes.view(np.uint64) >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(hashes), np.int64)
+        size = np.bincount(part, minlength=1 << level)
+        odd = np.bincount(part * LEAST_BITS + (hashes & (LEAST_BITS - 1)), minlength=LEAST_BITS << level) & 1
+        own = np.flatnonzero(size)
+        keys.append(own << 5 | level)
+        sizes.append(size[own])
+        bits.append(np.packbits(odd.astype(np.uint8).reshape(-1, LEAST_BITS), axis=1)[own])
+        order = np.argsort(part * 2 + common, kind="stable")
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+        tokens.append((hashes[order] & ~31 | level)[place < np.repeat(prefix_length(size, similarity), size)])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *keys]), np.concatenate([none, *sizes]), np.concatenate([np.zeros((0, LEAST_BITS // 8), np.uint8), *bits]), np.concatenate([none, *tokens])
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -328,29 +360,66 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
+def _sampled_hashes(texts: DataFrame, words: int) -> DataFrame:
+    """h: the distinct shingle hashes of every (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(s.as_py(), words) for s in batch.column(1)]))], names=["h"])
+
+    return texts.mapInArrow(run, struct_of(("h", T.LongType())))
+
+
 def _sketches(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, bits (see parity),
-    few (the same on FEW_BITS at most) and tokens, the set's prefix, in which the common hashes
-    (sorted) come last. The sets themselves aren't kept."""
-    kinds = (T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.ArrayType(T.LongType()))
-    schema = struct_of(*zip(("doc_id", "row", "node", "n", "bits", "few", "tokens"), kinds, strict=True))
+    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, bits (see parity) and
+    what parts tells: keys, sizes, marks (the parts' bits one after another), tokens. The common
+    hashes are sorted. The sets themselves aren't kept."""
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    schema = struct_of(*zip(("doc_id", "row", "node", "n", "bits", "marks", "keys", "sizes", "tokens"), (long,) * 4 + (T.BinaryType(),) * 2 + (longs,) * 3, strict=True))
     last = common if len(common) else np.zeros(1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(s.as_py(), words) for s in batch.column(2)]
             flat = np.concatenate(sets)
-            marks = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(len(common)), np.cumsum([len(h) for h in sets])[:-1])
-            bits = list(map(parity, sets))
+            marked = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(len(common)), np.cumsum([len(h) for h in sets])[:-1])
+            cut = [parts(h, c, similarity) for h, c in zip(sets, marked, strict=True)]
             numbers = [pa.array([f(h) for h in sets], pa.int64()) for f in (_set_key, len)]
-            sketches = [pa.array(x, pa.binary()) for x in (bits, [folded(x, FEW_BITS).tobytes() for x in bits])]
-            tokens = _lists([prefix(h, c, similarity) for h, c in zip(sets, marks, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *sketches, tokens], names=schema.names)
+            sketches = [pa.array(list(map(parity, sets)), pa.binary()), pa.array([x[2].tobytes() for x in cut], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *sketches, *(_lists([x[i] for x in cut]) for i in (0, 1, 3))], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
-def _meetings(nodes: DataFrame, similarity: float) -> DataFrame:
+def _tokens(nodes: DataFrame, similarity: float) -> DataFrame:
+    """token, node, n for every token of a part, n being the size of the part."""
+    schema = struct_of(("token", T.LongType()), ("node", T.LongType()), ("n", T.LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            node, sizes = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            each = prefix_length(sizes, similarity)
+            owner = np.repeat(node, batch.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(2).flatten(), pa.array(np.repeat(owner, each)), pa.array(np.repeat(sizes, each))], names=schema.names)
+
+    return nodes.select("node", "sizes", "tokens").mapInArrow(run, schema)
+
+
+def _parts(nodes: DataFrame) -> DataFrame:
+    """node, part (its key), n, bits for every part."""
+    schema = struct_of(("node", T.LongType()), ("part", T.LongType()), ("n", T.LongType()), ("bits", T.BinaryType()))
+    wide = LEAST_BITS // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owner = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            bits = [m[i : i + wide] for m in batch.column(3).to_pylist() for i in range(0, len(m), wide)]
+            yield pa.RecordBatch.from_arrays([pa.array(owner), batch.column(1).flatten(), batch.column(2).flatten(), pa.array(bits, pa.binary())], names=schema.names)
+
+    return nodes.select("node", "keys", "sizes", "marks").mapInArrow(run, schema)
+
+
+def _meetings(posts: DataFrame, similarity: float) -> DataFrame:
     """token, a, b, n: for each token that several nodes have, a row per node (b null, n its size),
     and rows (token null) for the pairs (a, b) that its nodes in order of size make with the first
     one of their size class and with the one before."""
@@ -395,8 +464,7 @@ def _meetings(nodes: DataFrame, similarity: float) -> DataFrame:
         if same:
             yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1]), pa.array([None], pa.int64()), pa.array(rest[2])], names=schema.names)
 
-    posts = nodes.select(F.explode("tokens").alias("token"), "node", "n")
-    return posts.repartition(spread(nodes.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema)
+    return posts.repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema)
 
 
 def may_be_similar(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
@@ -427,43 +495,49 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, schema)
 
 
-def _left_pairs(posts: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that share a token, may be similar and aren't in one component yet. Tokens whose
-    nodes all are in one component are left out first; in order of size a node meets those before it
-    of its token that are in reach by size."""
+def _left_pairs(posts: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that share a token, whose parts with that token may be similar, and that aren't in
+    one component yet. Tokens whose nodes all are in one component are left out first. A token's
+    rows are dealt out into blocks of about BLOCK rows, and every two blocks meet in a task of their
+    own (as does each with itself): there, in order of size, a row meets those before it that are
+    in reach by size."""
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
-    of = Window.partitionBy("token")
-    rooted = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low <> high").select("token", "node", "root")
-    open_ = materialize(open_, "open-prefixes")
+    rooted = posts.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    shares = rooted.groupBy("token", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+    open_tokens = shares.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.ceil(F.sum("rows") / BLOCK).cast("int").alias("blocks")).where("low <> high")
+    open_ = rooted.join(shares.select("token", "salt").join(open_tokens.select("token", "blocks"), "token"), ["token", "salt"])
+    open_ = materialize(open_.select("token", "node", "root", "blocks"), "open-prefixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last token that rows to come may still be similar to
+        held: list[np.ndarray] = []  # rows of the last cell that rows to come may still be similar to
         for batch in slices(batches, 8192):
-            few = batch.column(4).to_pylist()
-            rows = [*(batch.column(i).to_numpy() for i in range(4)), np.stack([folded(x, LEAST_BITS) for x in few]), np.array([*few, None], dtype=object)[:-1]]
+            rows = [*(batch.column(i).to_numpy() for i in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, LEAST_BITS // 64)]
             before = len(held[0]) if held else 0
-            token, node, root, n, bits, few = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            token, low, high, node, root, n, bits = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            cell, side = np.stack([token, np.minimum(low, high), np.maximum(low, high)]), low
             i, back, found = np.arange(before, len(token)), 0, []
-            while len(i):  # with the row before, the one before that, ... as long as token and size fit
+            while len(i):  # with the row before, the one before that, ... as long as cell and size fit
                 back += 1
                 i = i[i >= back]
                 j = i - back
-                i = i[(token[i] == token[j]) & (n[j] >= similarity * n[i] - 1e-6)]
-                x = i[root[i] != root[i - back]]
+                i = i[(cell[:, i] == cell[:, j]).all(axis=0) & (n[j] >= similarity * n[i] - 1e-6)]
+                x = i[(root[i] != root[i - back]) & ((side[i] != side[i - back]) | (low[i] == high[i]))]
                 y = x - back
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                fits = may_be_similar(n[x], n[y], apart, similarity)
-                for k in np.flatnonzero(fits & (n[x] > LEAST_BITS)).tolist():  # long ones by more bits
-                    fits[k] = bits_fit(int(n[x[k]]), int(n[y[k]]), few[x[k]], few[y[k]], similarity)
+                fits = may_be_similar(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), similarity)
                 found.append(np.stack([np.minimum(node[x], node[y])[fits], np.maximum(node[x], node[y])[fits]], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=schema.names)
-            reach = (token == token[-1]) & (n >= similarity * n[-1] - 1e-6)
+            reach = (cell == cell[:, -1:]).all(axis=0) & (n >= similarity * n[-1] - 1e-6)
             held = [x[reach] for x in rows]
 
-    known = open_.join(sketches.select("node", "n", "few"), "node").select("token", "node", "root", "n", "few")
-    return known.repartition(spread(posts.sparkSession), "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, schema).distinct()
+    part = F.expr("shiftleft(if((token & 31) = 0, 0L, shiftrightunsigned(token, int(64 - (token & 31)))), 5) | (token & 31)")
+    known = open_.withColumn("part", part).join(_parts(nodes), ["node", "part"])
+    # a row of block ``low`` is sent to the cells of its block and each other block, ``high``
+    dealt = known.withColumn("low", F.pmod(F.xxhash64("node"), "blocks").cast("long"))
+    dealt = dealt.withColumn("high", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    dealt = dealt.select("token", "low", "high", "node", "root", "n", "bits", F.least("low", "high").alias("c0"), F.greatest("low", "high").alias("c1"))
+    cells = dealt.repartition(spread(posts.sparkSession), "token", "c0", "c1").sortWithinPartitions("token", "c0", "c1", "n", "node")
+    return cells.select("token", "low", "high", "node", "root", "n", "bits").mapInArrow(run, schema).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -494,26 +568,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     """doc_id, component_id for every row: groups of documents whose shingles of ``words`` words
     have a Jaccard similarity of ``similarity`` or more, or that such documents connect.
 
-    Equal sets are one class. Sets so similar share one of the first few hashes in any common
-    order, the prefix; of the pairs that do, those whose sizes or parity bits rule it out are left
-    out, and the others are verified by their sets. Each hash's nodes are first compared with a few
-    of each other, in order of size, then with all that they aren't connected to yet, so that no
-    pair is missed. The order puts hashes last that are common in a share of the texts, which
+    Equal sets are one class. Long sets are cut into parts by the leading bits of the hashes; of sets
+    so similar one part at least is as similar, and shares one of the first few hashes in any common
+    order, the prefix. Of the pairs that do, those whose sizes or parity bits rule it out, the part's
+    and then the set's, are left out, and the others are verified by their sets. Each hash's nodes are
+    first compared with a few of each other, in order of size, then with all that they aren't
+    connected to yet, so that no pair is missed. The order puts hashes last that are common in a share of the texts, which
     changes the work, not the result. A set is never stored but for pairs that have to be verified.
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("row"), whole.alias("text"))
-    sample = texts.where(F.pmod("row", F.lit(SAMPLED)) == 0).groupBy("row").agg(F.first("text").alias("text")).select(F.lit(0).cast("long").alias("doc_id"), "row", "text")
-    seen = _sketches(sample, words, 1e-9, np.zeros(0, np.int64)).select(F.explode("tokens").alias("h"))  # of so low a similarity the prefix is the set
-    often = seen.groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
+    sample = texts.where(F.pmod("row", F.lit(SAMPLED)) == 0).groupBy("row").agg(F.first("text").alias("text"))
+    often = _sampled_hashes(sample.select("row", "text"), words).groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
     common = np.sort(often.column(0).to_numpy())
     sketches = materialize(_sketches(texts, words, similarity, common), "sketches")
     keys = materialize(sketches.select("doc_id", "node"), "keys")
-    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "bits", "few", "tokens"), "row").alias("s"))
+    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "bits", "marks", "keys", "sizes", "tokens"), "row").alias("s"))
     nodes = materialize(one.select("node", "s.*"), "set-classes")
     discard(sketches, spark)
-    met = materialize(_meetings(nodes.where("n > 0"), similarity), "meetings")
+    met = materialize(_meetings(_tokens(nodes, similarity), similarity), "meetings")
     posts = met.where("token is not null").select("token", F.col("a").alias("node"))
     pairs = met.where("token is null").select("a", "b").distinct()
     edges = _verified(_possible(pairs, nodes, similarity), nodes, texts, words, similarity)

@@ -305,6 +305,42 @@ def all_pairs(rows, words=5, similarity=0.8):
     return least
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_long_similar_texts_and_a_passage_in_many_others(spark, monkeypatch, block):
+    """Sets of sizes at which they are cut into 1 to 8 parts, with copies edited to both sides of 0.8
+    and copies longer by up to a quarter; and a passage of 60 words in 120 dissimilar texts,
+    of blocks that are met two by two."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared, rows = words(60), []
+    for n in (300, 420, 510, 530, 640, 900, 1030, 1300, 2050, 3300):
+        base = words(n)
+        for share in (0, 0.005, 0.015, 0.021, 0.024, 0.027, 0.04):
+            w = list(base)
+            for at in rng.choice(n, int(share * n), replace=False):
+                w[at] = "edited"
+            rows.append(w)
+        rows += [base + words(int(n * x)) for x in (0.18, 0.24, 0.26)]
+    rows += [words(40) + shared + words(int(n)) for n in rng.integers(40, 120, 120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = with_partitions(spark, 5, lambda: {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()})
+    assert got == {d: least for (d, _), least in zip(rows, all_pairs(rows))} and 30 < len({got[i] for i in range(100)}) < 90
+
+
+def test_parts_of_a_set():
+    """Every element falls in one part of each level, and levels overlap where sizes may."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 511, 512, 513, 5000):
+        h = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)).view(np.int64)
+        keys, sizes, bits, tokens = simhash.parts(h, h % 7 == 0, 0.8)
+        assert sizes.sum() == n * len(simhash.levels(n, 0.8)) and len(bits) == len(keys) == len(set(keys.tolist()))
+        assert len(tokens) == simhash.prefix_length(sizes, 0.8).sum()
+    for n in range(1, 5000, 7):
+        assert all(max(simhash.levels(m, 0.8)) >= min(simhash.levels(m, 0.8)) and min(simhash.levels(m, 0.8)) in simhash.levels(n, 0.8) for m in (n, int(n / 0.9), int(n / 0.8)))
+
+
 def test_the_pipeline_equals_plain_code(spark):
     """The whole run against plain Python, stage by stage, and what it leaves behind."""
     chain, model = toxicity.fitted(spark, SF), pieces.PieceModel(pieces.public_model()).library
