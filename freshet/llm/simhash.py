@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ SLICE = 1 << 22
 MOST_WANTED = 1_000_000
 #: Parity bits of a set of few shingles and of a part of a set; elements of a part, about, at most.
 LEAST_BITS, PART = 512, 512
-#: Rows of one token that are compared with each other in one task.
-BLOCK = 2048
+#: Rows of one token that are compared with each other in one task; tokens that a row remembers.
+BLOCK, BEFORE = 2048, 8
 #: One in so many texts tells which hashes are common; of these so many at most, 8 bytes each.
 SAMPLED, MOST_COMMON = 4, 300_000
 _ROW = ("bucket", "key", "node", "s0", "s1")
@@ -500,7 +500,9 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, nodes: DataFrame, similarity
     one component yet. Tokens whose nodes all are in one component are left out first. A token's
     rows are dealt out into blocks of about BLOCK rows, and every two blocks meet in a task of their
     own (as does each with itself): there, in order of size, a row meets those before it that are
-    in reach by size."""
+    in reach by size. A row knows the BEFORE open tokens that come before its own in its part: two
+    that have one of these in common meet there already. So a pair is always made at the first
+    token it shares, and hardly ever again."""
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
     rooted = posts.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
     shares = rooted.groupBy("token", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
@@ -512,8 +514,9 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, nodes: DataFrame, similarity
         held: list[np.ndarray] = []  # rows of the last cell that rows to come may still be similar to
         for batch in slices(batches, 8192):
             rows = [*(batch.column(i).to_numpy() for i in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, LEAST_BITS // 64)]
+            rows.append(np.array([*batch.column(7).to_pylist(), None], dtype=object)[:-1])
             before = len(held[0]) if held else 0
-            token, low, high, node, root, n, bits = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            token, low, high, node, root, n, bits, earlier = rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
             cell, side = np.stack([token, np.minimum(low, high), np.maximum(low, high)]), low
             i, back, found = np.arange(before, len(token)), 0, []
             while len(i):  # with the row before, the one before that, ... as long as cell and size fit
@@ -524,6 +527,8 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, nodes: DataFrame, similarity
                 x = i[(root[i] != root[i - back]) & ((side[i] != side[i - back]) | (low[i] == high[i]))]
                 y = x - back
                 fits = may_be_similar(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), similarity)
+                for k in np.flatnonzero(fits).tolist():
+                    fits[k] = set(earlier[x[k]]).isdisjoint(earlier[y[k]])
                 found.append(np.stack([np.minimum(node[x], node[y])[fits], np.maximum(node[x], node[y])[fits]], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=schema.names)
@@ -531,13 +536,14 @@ def _left_pairs(posts: DataFrame, roots: DataFrame, nodes: DataFrame, similarity
             held = [x[reach] for x in rows]
 
     part = F.expr("shiftleft(if((token & 31) = 0, 0L, shiftrightunsigned(token, int(64 - (token & 31)))), 5) | (token & 31)")
-    known = open_.withColumn("part", part).join(_parts(nodes), ["node", "part"])
+    before = Window.partitionBy("node", "part").orderBy("token").rowsBetween(-BEFORE, -1)
+    known = open_.withColumn("part", part).withColumn("earlier", F.collect_list("token").over(before)).join(_parts(nodes), ["node", "part"])
     # a row of block ``low`` is sent to the cells of its block and each other block, ``high``
     dealt = known.withColumn("low", F.pmod(F.xxhash64("node"), "blocks").cast("long"))
     dealt = dealt.withColumn("high", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    dealt = dealt.select("token", "low", "high", "node", "root", "n", "bits", F.least("low", "high").alias("c0"), F.greatest("low", "high").alias("c1"))
+    dealt = dealt.select("token", "low", "high", "node", "root", "n", "bits", "earlier", F.least("low", "high").alias("c0"), F.greatest("low", "high").alias("c1"))
     cells = dealt.repartition(spread(posts.sparkSession), "token", "c0", "c1").sortWithinPartitions("token", "c0", "c1", "n", "node")
-    return cells.select("token", "low", "high", "node", "root", "n", "bits").mapInArrow(run, schema).distinct()
+    return cells.select("token", "low", "high", "node", "root", "n", "bits", "earlier").mapInArrow(run, schema).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
