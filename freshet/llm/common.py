@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, name: str, **values) -> tuple[DataFrame, dict]:
+    """The same, and what the named aggregates give, worked out as the rows are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(v.alias(k) for k, v in values.items())), name)
+    return out, seen.get
+
+
 def discard(df_or_path: DataFrame | str, spark: SparkSession) -> None:
     """Delete a scratch table that nothing reads any more."""
     path = df_or_path if isinstance(df_or_path, str) else getattr(df_or_path, "_freshet_path", None)
@@ -98,15 +105,22 @@ def spread(spark: SparkSession) -> int:
 #: Shares of a group that are looked at on their own.
 SALTS = 64
 
+#: Up to so many groups' minima (two numbers each) are broadcast.
+FEW = 200_000
+
 
-def with_minimum(rows: DataFrame, by: str, value: str, name: str, salt: Sequence[str]) -> DataFrame:
+def with_minimum(rows: DataFrame, by: str, value: str, name: str, salt: Sequence[str], groups: int | None = None) -> DataFrame:
     """rows with the least value of their group, null where all are null; rows with a null group
-    are dropped.
+    are dropped. ``groups``: the most groups there can be, if the caller has counted; of up to FEW
+    the minima are broadcast.
 
     A group may hold a large share of all rows: it is dealt out over SALTS tasks by a hash of
     the columns of salt, both for its minimum and for handing that back, and what meets under the
     group alone is at most SALTS rows.
     """
+    if groups is not None and groups <= FEW:
+        own = rows.where(F.col(by).isNotNull())
+        return own.join(F.broadcast(own.groupBy(by).agg(F.min(value).alias(name))), by)
     dealt = rows.where(F.col(by).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
     shares = dealt.groupBy(by, "_salt").agg(F.min(value).alias("_least"))
     groups = shares.groupBy(by).agg(F.min("_least").alias(name))
