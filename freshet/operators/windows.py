@@ -27,6 +27,9 @@ SECOND_US = 1_000_000
 #: Seconds of window ends that are worked out together: four times the longest window, so that a
 #: pane goes to 1.25 chunks on average.
 CHUNK_S = 4 * 86_400
+#: Panes that are dealt to a task at most, on average: each becomes as many as 41 windows there, which
+#: are far more bytes than what was shuffled.
+PANES_A_TASK = 10_000
 
 
 def pane_index(slide: int, us: str = "event_us") -> Column:
@@ -141,11 +144,18 @@ def product_panes(events: DataFrame, more: Sequence[Feature] = ()) -> DataFrame:
 
 
 def _records(events: DataFrame, resolutions: tuple[Resolution, ...], more: Sequence[Feature] = ()) -> DataFrame:
-    return records_of(_product_panes(events, min(r.slide for r in resolutions), more), resolutions, more)
+    return records_of(_product_panes(events, min(r.slide for r in resolutions), more), resolutions, more, events.count())
 
 
-def records_of(parts: DataFrame, resolutions: tuple[Resolution, ...] = RESOLUTIONS, more: Sequence[Feature] = ()) -> DataFrame:
-    """Feature records out of panes of the resolutions' least slide (see product_panes)."""
+def dealt(rows: DataFrame, n: int, a_task: int, *by: str) -> DataFrame:
+    """rows dealt out by columns, so that of n rows a task gets ``a_task`` on average. The number of tasks is said,
+    as Spark would join small partitions by their bytes here, not by what they become later."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // a_task)), *by)
+
+
+def records_of(parts: DataFrame, resolutions: tuple[Resolution, ...] = RESOLUTIONS, more: Sequence[Feature] = (), rows: int | None = None) -> DataFrame:
+    """Feature records out of panes of the resolutions' least slide (see product_panes); rows: how many
+    there are at most, else they are counted."""
     slide = min(r.slide for r in resolutions)
     values = (*_SUMS, *(f.name for f in more))
     merges = [*(F.sum(c).alias(c) for c in _SUMS), *(f.merge() for f in more)]
@@ -154,10 +164,11 @@ def records_of(parts: DataFrame, resolutions: tuple[Resolution, ...] = RESOLUTIO
     first, last = [e[0] for e in ends], [e[1] for e in ends]
     of = lambda x: F.floor(x / CHUNK_S)
     low, high = (F.least(*first), F.greatest(*last)) if len(ends) > 1 else (first[0], last[0])
-    dealt = parts.select("*", F.explode(F.sequence(of(low), of(high))).alias("chunk")).repartition("user_id", "chunk")
+    chunks = parts.select("*", F.explode(F.sequence(of(low), of(high))).alias("chunk"))
+    own_chunks = dealt(chunks, parts.count() if rows is None else rows, PANES_A_TASK, "user_id", "chunk")
     # panes of each resolution; its number stands for it
     own = F.explode(F.array(*(F.struct(F.lit(i).alias("res"), F.floor(begin / r.slide).alias("own")) for i, r in enumerate(resolutions)))).alias("_own")
-    each = dealt.select("user_id", "chunk", "product", *values, own).select("user_id", "chunk", "product", *values, "_own.res", "_own.own")
+    each = own_chunks.select("user_id", "chunk", "product", *values, own).select("user_id", "chunk", "product", *values, "_own.res", "_own.own")
     panes_ = each.groupBy("user_id", "chunk", "res", "own", "product").agg(*merges)
     number = lambda f: F.element_at(F.array(*(F.lit(f(r)) for r in resolutions)), F.col("res") + 1)
     following = F.lead("own").over(Window.partitionBy("user_id", "chunk", "res", "product").orderBy("own"))
