@@ -12,10 +12,12 @@ from ..schema import RESOLUTIONS, online_fields
 def updates(features: DataFrame, order: Column | None = None) -> DataFrame:
     """Feature records as updates of single fields: the order in which they count decides.
 
-    By default a later window end wins, then a later emission; give the order of arrival to let
-    whatever came last win.
+    By default a later window end wins, then a later emission (if there are any); give the order of
+    arrival to let whatever came last win.
     """
-    by = F.struct("window_end_ms", F.col("emission_seq") if "emission_seq" in features.columns else F.lit(0)) if order is None else order
+    # a number where one does: what is kept of a struct can't be aggregated by hash, but needs all records sorted
+    default = F.struct("window_end_ms", "emission_seq") if "emission_seq" in features.columns else F.col("window_end_ms")
+    by = default if order is None else order
     return features.withColumn("_order", by)
 
 
@@ -24,8 +26,12 @@ def vector(features: DataFrame, order: Column | None = None, ttl_multiplier: flo
     never overwrites), and when the row expires, by the last record written."""
     rows = updates(features, order)
     own = [F.expr(f"max_by({f}, _order) FILTER (WHERE window_resolution = '{r}' AND {f} IS NOT NULL)").cast(kind).alias(field) for field, r, f, kind in online_fields()]
-    ttl = F.create_map(*(x for r in RESOLUTIONS for x in (F.lit(r.value), F.lit(r.ttl_seconds(ttl_multiplier) * 1000))))
-    last = F.max(F.struct("window_end_ms", "_order", F.element_at(ttl, F.col("window_resolution")).alias("ttl")))
+    ttls = {r.value: F.lit(r.ttl_seconds(ttl_multiplier) * 1000) for r in RESOLUTIONS}
+    if order is None and "emission_seq" not in features.columns:
+        last = F.greatest(*(F.struct(F.max(F.when(F.col("window_resolution") == r, F.col("window_end_ms"))).alias("window_end_ms"), ttl.alias("ttl")) for r, ttl in ttls.items()))
+    else:
+        ttl = F.element_at(F.create_map(*(x for r, t in ttls.items() for x in (F.lit(r), t))), F.col("window_resolution"))
+        last = F.max(F.struct("window_end_ms", "_order", ttl.alias("ttl")))
     return rows.groupBy("user_id").agg(*own, last.alias("_last")).withColumn("expires_at_ms", F.col("_last.window_end_ms") + F.col("_last.ttl")).drop("_last")
 
 
