@@ -2,27 +2,26 @@
 
 What is stored are panes (partial aggregates of a minute, by user and product), in a folder a batch and
 day, and records. A batch of events is added up to panes, which are stored beside the earlier ones: as
-sums of parts they needn't be merged with those. Then only windows that hold a changed pane are worked out again, from
-the stored panes of the users and days that such windows reach; all other days aren't read. Panes and
+sums of parts they needn't be merged with those. Then only windows that hold a changed pane are kept of those worked out
+from the stored panes of the users and days that such windows reach; all other days aren't read. Which these are is a mark
+that panes carry through their aggregation, not a table of windows to join with. Panes and
 records of a batch exist at once (see commits), and of the records of a window the last one counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import windows
-from ..schema import RESOLUTIONS, Resolution
+from ..schema import RESOLUTIONS
 from .commits import Ledger
 
 DAY_S = 86_400
 
 
-def _ends(r: Resolution, begin: Column) -> Column:
-    """The windows of a resolution that a pane which begins then (in seconds) lies in."""
-    end = lambda k: (F.floor(begin / r.slide) + k) * r.slide * 1000
-    return F.transform(F.sequence(F.lit(1), F.lit(r.panes)), lambda k: F.struct(F.lit(r.value).alias("_res"), end(k).alias("_end")))
+#: Beside a window's features: whether a pane of it comes from the batch at hand.
+CHANGED = windows.Feature("_changed", lambda: F.col("_changed"), "max")
 
 
 class FeatureTable:
@@ -39,26 +38,24 @@ class FeatureTable:
         After a failure the batch is to be run again; until then its windows are as they were."""
         slide = min(r.slide for r in RESOLUTIONS)
         day = F.floor(F.col("pane") * slide / DAY_S).cast("int")
-        self.panes.commit(n, {"panes": windows.product_panes(events.where("event_us is not null")).withColumn("day", day)}, by="day")
+        own = windows.product_panes(events.where("event_us is not null")).withColumn("day", day)
+        self.panes.commit(n, {"panes": own.hint("rebalance", "day")}, by="day")  # few files a day
         if self.records.committed(n):
             return False
-        stored = self.panes.read("panes", attempts=True)
-        own = stored.where(F.col("attempt").startswith(f"{n}-"))
-        touched = own.select("user_id", "pane").distinct()
+        stored = self.panes.read("panes", attempts=True).withColumn(CHANGED.name, F.col("attempt").startswith(f"{n}-").cast("int")).drop("attempt")
+        touched = stored.where(f"{CHANGED.name} = 1").select(F.col("user_id").alias("_user"), F.col("day").alias("_day")).distinct()
         longest = max(r.size for r in RESOLUTIONS) // DAY_S
-        changed = [r["day"] for r in own.select("day").distinct().collect()]  # a row a day
+        changed = [r[0] for r in touched.select("_day").distinct().collect()]  # a row a day
         self.days = sorted({d + k for d in changed for k in range(-longest, longest + 1)})
-        users = touched.select(F.col("user_id").alias("_user"), F.floor(F.col("pane") * slide / DAY_S).cast("int").alias("_day"))
-        near = users.select("_user", F.explode(F.sequence(F.col("_day") - longest, F.col("_day") + longest)).alias("_day")).distinct()
-        parts = stored.where(F.col("day").isin(self.days)).join(near, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("day") == F.col("_day")), "left_semi")
-        ends = F.concat(*(_ends(r, F.col("pane") * slide) for r in RESOLUTIONS))
-        due = touched.select(F.col("user_id").alias("_user"), F.inline(ends)).distinct()
-        whole = windows.records_of(parts.drop("attempt", "day"))
-        again = whole.join(due, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("window_resolution") == F.col("_res")) & (F.col("window_end_ms") == F.col("_end")), "left_semi")
+        read = stored.where(F.col("day").isin(self.days))
+        near = touched.select("_user", F.explode(F.sequence(F.col("_day") - longest, F.col("_day") + longest)).alias("_day")).distinct()
+        parts = read.join(near, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("day") == F.col("_day")), "left_semi")
+        again = windows.records_of(parts.drop("day"), more=[CHANGED], rows=read.count()).where(f"{CHANGED.name} = 1").drop(CHANGED.name)
         return self.records.commit(n, {"records": again.withColumn("version", F.lit(len(self.records.batches())))})
 
     def read(self) -> DataFrame:
         """The records as of the last batch (of the batches taken in, whatever their numbers)."""
         rows = self.records.read("records", attempts=True).drop("attempt")
         values = [c for c in rows.columns if c not in ("user_id", "window_resolution", "window_end_ms")]
-        return rows.groupBy("user_id", "window_resolution", "window_end_ms").agg(F.max_by(F.struct(*values), "version").alias("r")).select("user_id", "window_resolution", "window_end_ms", "r.*").drop("version")
+        # column by column: a struct couldn't be aggregated by hash
+        return rows.groupBy("user_id", "window_resolution", "window_end_ms").agg(*(F.max_by(c, "version").alias(c) for c in values if c != "version"))
