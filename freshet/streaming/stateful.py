@@ -13,10 +13,10 @@ Per user the operator keeps its panes. With the watermark W of a batch:
 The watermark is Spark's: it never goes back, and moves per batch. ``UserWindows`` is that in plain
 Python over one user's events, for replays; ``refiring`` is the operator.
 
-State lies in maps of Spark's state store (RocksDB with a changelog): one of panes and one of
-repeated firings a resolution, and a few numbers a user. A batch adds its rows up per pane and
-reads and writes the panes that it changes; the panes of a resolution are only read where windows of it fire, and
-there are never more of them than a window's, the lateness's and those still open. A window is known to
+State lies in lists of Spark's state store (RocksDB with a changelog): a row of panes a resolution, a row a
+repeated firing, and a few numbers a user. A batch adds its rows up per pane; a user's panes are read and written at
+once, as each call to the state store costs a round trip from Python, and
+there are never more of them than a window's, the lateness's and those still open. Windows are summed by arrays. A window is known to
 have fired by the user's last watermark: its end lies before that, and it had a pane. Timers wake users
 whose windows close, or whose panes are out of date, without a row of theirs.
 
@@ -174,6 +174,8 @@ class Watermark:
 
 
 NONE = -(2**62)
+#: Resolution -> pane -> (clicks, views, purchases, cents), products.
+Panes = dict[str, dict[int, tuple[list[int], set[str]]]]
 _SUMS = ("click_count", "page_view_count", "purchase_count", "cents")
 #: A pane of a user as a row, for warm starts: which resolution, and up to which watermark it is known.
 PANE = "user_id string, window_resolution string, pane bigint, click_count bigint, page_view_count bigint, purchase_count bigint, cents bigint, products array<string>, mark_ms bigint"
@@ -196,9 +198,8 @@ def folded(rows: pd.DataFrame) -> dict[int, tuple[list[int], set[str]]]:
 
 
 class RefiringWindows(StatefulProcessor):
-    """The state of a user: panes and repeats of each resolution, and the clock: the last watermark,
-    the timer that is set, Spark's watermark when a row came or time was looked at last, and the first and last pane of each
-    resolution."""
+    """The state of a user: a row of panes a resolution, repeats, and the clock: the last watermark, the timer that
+    is set, Spark's watermark when a row came or time was looked at last, and whether there are repeats."""
 
     def __init__(self, config: WindowConfig, idle: bool = False, least_mark_ms: int | None = None):
         self.config, self.idle = config, idle
@@ -209,23 +210,43 @@ class RefiringWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        pane = ", ".join(f"{c} bigint" for c in _SUMS) + ", products array<string>"
-        self.panes = {r.value: handle.getMapState(f"panes_{r.value}", "pane bigint", pane) for r in RESOLUTIONS}
-        self.repeats = {r.value: handle.getMapState(f"repeats_{r.value}", "end_ms bigint", "times int") for r in RESOLUTIONS}
-        spans = ", ".join(f"first_{r.value} bigint, last_{r.value} bigint" for r in RESOLUTIONS)
-        self.clock = handle.getValueState("clock", f"mark bigint, timer bigint, seen bigint, {spans}")
+        # the panes' numbers, their four sums one pane after another, how many products each has, and these
+        self.panes = handle.getListState("panes", "res int, pane array<bigint>, sums array<bigint>, many array<int>, products array<string>")
+        self.repeats = handle.getListState("repeats", "res int, end_ms bigint, times int")
+        self.clock = handle.getValueState("clock", "mark bigint, timer bigint, seen bigint, repeated boolean")
 
     # -- the clock --
 
-    def _load(self) -> tuple[int, int, int, dict[str, tuple[int, int]]]:
-        held = self.clock.get()
+    def _load(self) -> tuple[int, int, int, Panes]:
+        """The clock and the panes; ``self.times`` has the repeats."""
+        held, self.times, self.repeated = self.clock.get(), {}, False
+        panes: Panes = {r.value: {} for r in RESOLUTIONS}
         if held is None:
-            return NONE, NONE, NONE, {}
-        own = {r.value: (held[3 + 2 * i], held[4 + 2 * i]) for i, r in enumerate(RESOLUTIONS)}
-        return held[0], held[1], held[2], {k: v for k, v in own.items() if v[0] != NONE}
-
-    def _save(self, mark: int, timer: int, seen: int, spans: dict[str, tuple[int, int]], now: int) -> None:
-        """Keeps the clock, and sets the next timer; a user without panes goes."""
+            return NONE, NONE, NONE, panes
+        for i, pane, sums, many, products in self.panes.get():
+            own, at, products = panes[RESOLUTIONS[i].value], 0, list(products)
+            for k, (p, n) in enumerate(zip(pane, many, strict=True)):
+                own[int(p)] = [int(x) for x in sums[4 * k : 4 * k + 4]], set(products[at : at + n])
+                at += n
+        if held[3]:
+            self.times, self.repeated = {(RESOLUTIONS[i].value, end): n for i, end, n in self.repeats.get()}, True
+        return held[0], held[1], held[2], panes
+
+    def _save(self, mark: int, timer: int, seen: int, panes: Panes, now: int) -> None:
+        """Keeps panes, repeats and the clock, and sets the next timer; a user without panes goes."""
+        rows = []
+        for i, r in enumerate(RESOLUTIONS):
+            if own := panes[r.value]:
+                rows.append((i, list(own), [x for sums, _ in own.values() for x in sums], [len(x) for _, x in own.values()], [x for _, products in own.values() for x in sorted(products)]))
+        if rows:
+            self.panes.put(rows)
+        elif mark != NONE or timer != NONE:
+            self.panes.clear()
+        if self.times:
+            self.repeats.put([(i, end, n) for i, r in enumerate(RESOLUTIONS) for (value, end), n in self.times.items() if value == r.value])
+        elif self.repeated:
+            self.repeats.clear()
+        spans = {v: (min(own), max(own)) for v, own in panes.items() if own}
         wanted = NONE
         if spans and self.idle:
             wanted = now + int(self.config.idle * 1000)
@@ -238,7 +259,7 @@ class RefiringWindows(StatefulProcessor):
         if wanted not in (timer, NONE):
             self.handle.registerTimer(wanted)
         if spans:
-            self.clock.update((mark, wanted, seen, *(x for r in RESOLUTIONS for x in spans.get(r.value, (NONE, NONE)))))
+            self.clock.update((mark, wanted, seen, bool(self.times)))
         elif timer != NONE or mark != NONE:
             self.clock.clear()
 
@@ -254,20 +275,18 @@ class RefiringWindows(StatefulProcessor):
     # -- rows and timers --
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before, timer, _, spans = self._load()
+        before, timer, _, panes = self._load()
         seen = max(timerValues.getCurrentWatermarkInMs(), 0) or NONE
         mark = max(before, seen, self.least)
         fresh: dict[int, tuple[list[int], set[str]]] = {}
         for frame in rows:
-            late, panes = self._taken(frame, mark)
+            late, own = self._taken(frame, mark)
             if late:
-                yield _rows(key, [{"kind": "late", "late_event": x} for x in late])
-            for pane, (sums, products) in panes.items():
+                yield _frame(key, {"kind": ["late"] * len(late), "late_event": late}, len(late))
+            for pane, (sums, products) in own.items():
                 _add(fresh, pane, sums, products)
-        records = self._advance(fresh, before, mark, spans)
-        self._save(mark, timer, seen, spans, timerValues.getCurrentProcessingTimeInMs())
-        if records:
-            yield _rows(key, records)
+        yield from self._advance(key, fresh, before, mark, panes)
+        self._save(mark, timer, seen, panes, timerValues.getCurrentProcessingTimeInMs())
 
     def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[list[str], dict]:
         """The very late rows as they came, and the panes of the others."""
@@ -277,84 +296,67 @@ class RefiringWindows(StatefulProcessor):
         return frame["raw"][late].tolist(), {} if late.all() else folded(frame[~late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before, _, seen, spans = self._load()
+        before, _, seen, panes = self._load()
         spark, now = max(timerValues.getCurrentWatermarkInMs(), 0) or NONE, timerValues.getCurrentProcessingTimeInMs()
         mark = max(before, spark, self.least)
         if self.idle and spark == seen and mark != NONE:  # for as long as that nothing moved the watermark
             mark = max(mark, now - self.skew)
-        records = self._advance({}, before, mark, spans)
-        self._save(mark, NONE, spark, spans, now)  # the timer is gone by itself
-        if records:
-            yield _rows(key, records)
+        yield from self._advance(key, {}, before, mark, panes)
+        self._save(mark, NONE, spark, panes, now)  # the timer is gone by itself
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
         """Panes as rows (see PANE): as if the user's events up to mark_ms had come before."""
-        before, timer, seen, spans = self._load()
+        before, timer, seen, panes = self._load()
         for row in initialState.itertuples(index=False):
-            r = row.window_resolution
-            self.panes[r].updateValue((int(row.pane),), (*(int(getattr(row, c)) for c in _SUMS), sorted(row.products)))
-            first, last = spans.get(r, (row.pane, row.pane))
-            spans[r] = int(min(first, row.pane)), int(max(last, row.pane))
+            panes[row.window_resolution][int(row.pane)] = [int(getattr(row, c)) for c in _SUMS], set(row.products)
             before = max(before, int(row.mark_ms))
-        self._save(before, timer, seen, spans, timerValues.getCurrentProcessingTimeInMs())
+        self._save(before, timer, seen, panes, timerValues.getCurrentProcessingTimeInMs())
 
     # -- windows --
 
-    def _advance(self, fresh: dict, before: int, mark: int, spans: dict[str, tuple[int, int]]) -> list[dict]:
+    def _advance(self, key: tuple, fresh: dict, before: int, mark: int, panes: Panes) -> Iterator[pd.DataFrame]:
         """Takes in fresh panes of the least slide; the records of windows that close between the
-        marks, then of those fired earlier that changed. ``spans`` is brought up to date."""
-        closed, again = [], []
+        marks and of those fired earlier that changed. ``panes`` are brought up to date."""
+        least, made = min(r.slide for r in RESOLUTIONS), []
         for r in RESOLUTIONS:
-            slide, panes = r.slide * 1000, self.panes[r.value]
-            changed: dict[int, tuple[list[int], set[str]]] = {}
+            live, new, changed = panes[r.value], set(), set()
             for pane, (sums, products) in fresh.items():
-                _add(changed, pane * min(x.slide for x in RESOLUTIONS) // r.slide, sums, products)
-            new = set()
-            for pane, own in changed.items():
-                held = panes.getValue((pane,))
-                if held is None:
-                    new.add(pane)
-                else:
-                    _add(changed, pane, held[:4], held[4] or ())
-                panes.updateValue((pane,), (*own[0], sorted(own[1])))
-            if changed:
-                first, last = spans.get(r.value, (min(changed), max(changed)))
-                spans[r.value] = min(first, *changed), max(last, *changed)
-            if mark == NONE or r.value not in spans:
+                own = pane * least // r.slide
+                if own not in live:
+                    new.add(own)
+                changed.add(own)
+                _add(live, own, sums, products)
+            if mark == NONE or not live:
                 continue
-            touched = {end for p in changed for end in range((p + 1) * slide, (p + r.panes + 1) * slide, slide) if max(self.begin[r.value], NONE) <= end <= mark}
-            if touched or self._next(r, before, spans[r.value]) <= mark:
-                live = {k[0]: v for k, v in panes.iterator()}
-                due = {end for p in live for end in range((p + 1) * slide, (p + r.panes + 1) * slide, slide) if end > before and self.begin[r.value] <= end <= mark}
-                for end in sorted(touched | due):
-                    inside = [p for p in range(end // slide - r.panes, end // slide) if p in live]
-                    seq = 0
-                    if end <= before and any(p not in new for p in inside):
-                        seq = ((self.repeats[r.value].getValue((end,)) or (0,))[0]) + 1
-                        self.repeats[r.value].updateValue((end,), (seq,))
-                    (again if seq else closed).append(_record(r, end, seq, [live[p] for p in inside]))
-            self._drop(r, mark, spans)
-        return closed + again
-
-    def _drop(self, r, mark: int, spans: dict[str, tuple[int, int]]) -> None:
+            slide, first = r.slide * 1000, self.begin[r.value]
+            if changed and (min(changed) + 1) * slide <= mark or self._next(r, before, (min(live), max(live))) <= mark:
+                at = np.array(sorted(live), dtype=np.int64)
+                ends = np.unique(at[:, None] + np.arange(1, r.panes + 1))
+                ends = ends[(ends * slide >= first) & (ends * slide <= mark)]
+                low, high = np.searchsorted(at, ends - r.panes), np.searchsorted(at, ends)
+                within = lambda flags, low=low, high=high: (total := np.concatenate(([0], np.cumsum(flags))))[high] - total[low]
+                touched = within(np.isin(at, list(changed))) > 0
+                due = ends * slide > before
+                again = touched & ~due & (within(~np.isin(at, list(new))) > 0)  # had a pane, so it has fired
+                kept = touched | due
+                seq = np.zeros(len(ends), dtype=np.int64)
+                for i in np.flatnonzero(again).tolist():
+                    end = int(ends[i]) * slide
+                    seq[i] = self.times[r.value, end] = self.times.get((r.value, end), 0) + 1
+                sums = np.array([live[p][0] for p in at.tolist()], dtype=np.int64)
+                values = [within(sums[:, i])[kept] for i in range(4)]
+                made.append((r, ends[kept] * slide, seq[kept], values, _distinct(live, ends, r.panes)[kept] if "distinct_products" in r.features else None))
+            self._drop(r, mark, live)
+        if any(len(x[1]) for x in made):
+            yield _records(key, made)
+
+    def _drop(self, r, mark: int, live: dict) -> None:
         """Panes and repeats that no window can need any more."""
-        slide, (first, last) = r.slide * 1000, spans[r.value]
         oldest = mark - r.size * 1000 - self.lateness
-        keep = oldest // slide
-        if first >= keep:
-            return
-        if last < keep:
-            self.panes[r.value].clear()
-            self.repeats[r.value].clear()
-            del spans[r.value]
-            return
-        left = [k[0] for k in self.panes[r.value].keys()]  # noqa: SIM118
-        for p in left:
-            if p < keep:
-                self.panes[r.value].removeKey((p,))
-        for (end,) in [k for k in self.repeats[r.value].keys() if k[0] < oldest]:  # noqa: SIM118
-            self.repeats[r.value].removeKey((end,))
-        spans[r.value] = min(p for p in left if p >= keep), last
+        for p in [p for p in live if p < oldest // (r.slide * 1000)]:
+            del live[p]
+        for own in [x for x in self.times if x[0] == r.value and (x[1] < oldest or not live)]:
+            del self.times[own]
 
 
 class PanedWindows(RefiringWindows):
@@ -374,20 +376,56 @@ def _add(panes: dict, pane: int, sums: Iterable[int], products: Iterable[str]) -
     own[1].update(products)
 
 
-def _record(r, end: int, seq: int, parts: list[tuple]) -> dict:
-    clicks, views, bought, cents = (sum(p[i] for p in parts) for i in range(4))
-    value = {
-        "click_count": clicks, "page_view_count": views, "purchase_count": bought, "revenue": cents / 100.0,
-        "distinct_products": len({x for p in parts for x in p[4] or ()}) if "distinct_products" in r.features else None,
-        "avg_purchase_amount": cents / 100.0 / bought if bought else None,
-    }
-    features = {f: value[f] if f in r.features else None for f in FEATURES}
-    return {"kind": "feature", "window_resolution": r.value, "window_start_ms": end - r.size * 1000, "window_end_ms": end, "emission_seq": seq} | features
-
-
-def _rows(key: tuple, rows: list[dict]) -> pd.DataFrame:
-    columns = {f.name: pd.Series([r.get(f.name) for r in rows], dtype=KINDS[f.dataType.simpleString()]) for f in OUTPUT.fields}
-    return pd.DataFrame(columns | {"user_id": pd.Series([key[0]] * len(rows), dtype=object)})[OUTPUT.names]
+def _distinct(live: dict, ends: np.ndarray, panes: int) -> np.ndarray:
+    """Different products of the panes before each end (in panes, ascending): of a product's panes in a window the last one
+    counts, which a pane is in windows that end before the product's next pane does."""
+    out, last = np.zeros(len(ends) + 1, dtype=np.int64), {}
+    starts, stops = [], []
+    for p in sorted(live, reverse=True):
+        for x in live[p][1]:
+            starts.append(p + 1)
+            stops.append(min(p + panes, last.get(x, p + panes)))
+            last[x] = p
+    np.add.at(out, np.searchsorted(ends, starts), 1)
+    np.add.at(out, np.searchsorted(ends, stops, "right"), -1)
+    return np.cumsum(out)[:-1]
+
+
+def _records(key: tuple, made: list[tuple]) -> pd.DataFrame:
+    """One frame of (resolution, ends, sequence numbers, sums, distinct products) of all resolutions."""
+    columns: dict[str, list] = {f.name: [] for f in OUTPUT.fields}
+    for r, ends, seq, (clicks, views, bought, cents), distinct in made:
+        revenue = cents / 100.0
+        value = {
+            "window_start_ms": ends - r.size * 1000, "window_end_ms": ends, "emission_seq": seq, "click_count": clicks, "page_view_count": views, "purchase_count": bought,
+            "revenue": revenue, "distinct_products": distinct, "avg_purchase_amount": np.where(bought > 0, revenue / np.maximum(bought, 1), np.nan),
+        }
+        value |= {f: None for f in FEATURES if f not in r.features} | {"kind": "feature", "window_resolution": r.value}
+        for name, parts in columns.items():
+            x = value.get(name)
+            parts.append(x if isinstance(x, np.ndarray) else np.full(len(ends), x, dtype=object))
+    return _frame(key, {k: parts for k, parts in columns.items() if k not in ("user_id", "late_event")}, sum(len(x[1]) for x in made), joined=False)
+
+
+def _column(kind: str, parts: list) -> pd.Series:
+    """Arrays joined to a column; those of objects, where it is one of numbers, are nulls."""
+    if kind == "string":
+        return pd.Series(np.concatenate(parts), dtype=object)
+    own = np.float64 if kind == "double" else np.int32 if kind == "int" else np.int64
+    mask = np.concatenate([np.ones(len(x), dtype=bool) if x.dtype == object else np.isnan(x) if x.dtype.kind == "f" else np.zeros(len(x), dtype=bool) for x in parts])
+    values = np.concatenate([np.zeros(len(x), dtype=own) if x.dtype == object else np.nan_to_num(x).astype(own) if x.dtype.kind == "f" else x.astype(own) for x in parts])
+    return pd.Series((pd.arrays.FloatingArray if kind == "double" else pd.arrays.IntegerArray)(values, mask))
+
+
+def _frame(key: tuple, columns: dict, n: int, joined: bool = True) -> pd.DataFrame:
+    """n rows of a user; columns that aren't given are null. joined: they are lists of values, else lists of arrays."""
+    out = {}
+    for f in OUTPUT.fields:
+        if f.name in columns:
+            out[f.name] = pd.Series(columns[f.name], dtype=object) if joined else _column(f.dataType.simpleString(), columns[f.name])
+        else:
+            out[f.name] = pd.Series([key[0] if f.name == "user_id" else None] * n, dtype=KINDS[f.dataType.simpleString()])
+    return pd.DataFrame(out)
 
 
 def _set(spark: SparkSession) -> None:

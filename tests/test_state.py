@@ -117,3 +117,60 @@ def test_warm_panes_are_those_still_needed(spark):
     assert day.agg(F.min("pane")).first()[0] >= (mark - 86_400_000 - 240_000) // 3_600_000
     whole = windows.panes(events, 3600).where(F.col("pane") >= (mark - 86_400_000 - 240_000) // 3_600_000)
     assert day.select("user_id", "pane", "cents").exceptAll(whole.select("user_id", "pane", "cents")).count() == 0 and day.count() == whole.count()
+
+
+def test_a_user_costs_few_calls_of_the_state_store(monkeypatch):
+    """However many panes a batch brings, as each call is a round trip."""
+    import numpy as np
+    import pandas as pd
+
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def put(self, value):
+            calls.append("put")
+            self.value = value
+
+        update = put
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return Held()
+
+        getValueState = getMapState = getListState  # noqa: N815
+
+        def registerTimer(self, _):  # noqa: N802
+            calls.append("timer")
+
+        deleteTimer = registerTimer  # noqa: N815
+
+    class Times:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.mark
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return 0
+
+    op = stateful.RefiringWindows(CONFIG)
+    op.init(Handle())
+    at = BASE_US + np.arange(500) * 600_000_000
+    rows = pd.DataFrame({"event_us": at, "type": 2, "cents": 5, "product": [f"p{i % 3}" for i in range(500)], "raw": "x"})
+    assert list(op.handleInputRows(("u",), iter([rows]), Times(0))) == []
+    got = pd.concat(op.handleExpiredTimer(("u",), Times(int(at[-1]) // 1000 + 90_000_000), None))
+    assert len(calls) <= 10 and len(got[got["window_resolution"] == "5m"]) == 5 * 500
+    day = got[got["window_resolution"] == "24h"]
+    assert day["distinct_products"].max() == 3 and day["purchase_count"].max() == 144 and day["purchase_count"].sum() == 24 * 500
