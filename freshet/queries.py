@@ -412,7 +412,8 @@ def emission_history(spark, d):
     is delivered once to three times, by its window."""
     own = windows.emission_keys(sliding_1h(spark, d))
     times = F.sequence(F.lit(1), (F.col("window_end_ms") / 300_000 % 3 + 1).cast("int"))
-    return metrics.running(own.select("idempotency_key", F.explode(times).alias("n")), "idempotency_key", "n")
+    sent = own.select("idempotency_key", F.explode(times).alias("n"))
+    return metrics.running(windows.dealt(sent, events_from_table(spark, d).count() * R1H.panes * 2, 250_000, "idempotency_key"), "idempotency_key", "n")
 
 
 QUERIES = {

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from freshet import queries
 from freshet.operators import online, windows
 from freshet.schema import events_from_table
 from freshet.sources import incremental
@@ -36,3 +37,8 @@ def test_incremental_windows_sort_and_scatter_nothing(spark, tmp_path):
     assert "SortAggregate" not in final_plan(table.read())
     held = table.panes.read("panes")
     assert len(held.inputFiles()) == held.select("day").distinct().count()
+
+
+def test_the_history_of_keys_is_dealt_out_by_rows(spark):
+    plan = queries.emission_history(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(idempotency_key" in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines())
