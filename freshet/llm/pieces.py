@@ -10,7 +10,9 @@ What *best* means is up to the model's type. In a unigram model it is the greate
 pieces' scores. In a BPE model a path counts if its pieces are what the merges make of it: a
 sequence is the merges' result exactly if that holds for every two neighbours, and for each
 prefix of a text there is one such sequence; neighbours are judged by merging just the two
-(remembered per pair). Characters that no piece has become byte pieces, or the unknown id.
+(remembered per pair). Which pieces end at a position is read off an automaton of all pieces
+(Aho-Corasick), one step a character. Characters that no piece has become byte pieces, or the
+unknown id.
 
 Between two characters that stand side by side in no piece all paths meet, whatever else the
 text holds. These boundaries need no search: a whole text is committed at each of them, at spaces
@@ -23,8 +25,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,11 @@ from .common import slices, struct_of
 from .memo import TOGETHER, Recent
 
 SPACE = "▁"
-#: Bytes of each of the two memos of a worker, about; pairs of pieces that are remembered.
-MEMO, PAIRS = 40 << 20, 200_000
+#: Bytes of a worker's memo, about; pairs of pieces and steps of the automaton that are remembered.
+MEMO, PAIRS, STEPS = 80 << 20, 200_000, 200_000
+#: A state of the automaton maps a character to the next state. Two more keys: the pieces that end
+#: there with their lengths, the longest first, and the state of the longest shorter end.
+ENDS, SHORTER = "", None
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 UNKNOWN_SURFACE = " ⁇ "
@@ -62,10 +69,7 @@ class PieceModel:
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.unigram = is_unigram(sp.serialized_model_proto()) if unigram is None else unigram
         self.inside = {x[i : i + 2] for x in self.ids for i in range(len(x) - 1)}
-        self.tails: dict[str, int] = {}
-        for x in self.ids:
-            if len(x) > 2:
-                self.tails[x[-3:]] = max(len(x), self.tails.get(x[-3:], 0))
+        self.root, self.steps = self._automaton(), 0
         self.splits_at_space = not any(b[1] == SPACE and b[0] != SPACE for b in self.inside)
         self.splits_at_line = not any("\n" in b for b in self.inside)
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -76,6 +80,44 @@ class PieceModel:
         start = sp.encode("a")
         self.prefix = bool(start) and self.names[start[0]].startswith(SPACE)
 
+    # -- which pieces end where --
+
+    def _automaton(self) -> dict:
+        root: dict = {ENDS: ()}
+        for x in self.ids:
+            node = root
+            for c in x:
+                node = node.setdefault(c, {ENDS: ()})
+            node[ENDS] = ((x, len(x)),)
+        root[SHORTER] = root
+        open_ = deque([(root, root)])
+        while open_:
+            node, shorter = open_.popleft()
+            node[SHORTER] = shorter
+            for c, child in node.items():
+                if c:
+                    to = shorter
+                    while c not in to and to is not root:
+                        to = to[SHORTER]
+                    to = root if node is root else to.get(c, root)
+                    child[ENDS] += to[ENDS]
+                    if not child[ENDS] or child[ENDS][-1][1] > 1:  # a character stands for itself at least
+                        child[ENDS] += ((c, 1),)
+                    open_.append((child, to))
+        return root
+
+    def step(self, node: dict, c: str) -> dict:
+        """The state after a character that leads on to no longer piece."""
+        to = node
+        while (found := to.get(c)) is None:
+            if to is self.root:  # no piece begins with it
+                return {ENDS: ((c, 1),), SHORTER: self.root}
+            to = to[SHORTER]
+        if self.steps < STEPS:
+            self.steps += 1
+            node[c] = found
+        return found
+
     # -- the merges of a BPE model --
 
     def merge(self, text: str, watch=None) -> list[str]:
@@ -106,13 +148,13 @@ class PieceModel:
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the merges leave a and b side by side. They surely do if nothing that stands
-        last in a joins what stands first in b."""
+        last in a joins what stands first in b. An empty a is the begin of a text."""
         found = self.pairs.get((a, b))
         if found is None:
-            whole, _, last = self.sides(a)
+            whole, _, last = self.sides(a) if a else (True, (), ())
             also, first, _ = self.sides(b)
             found = whole and also
-            if found and a[-1] + b[0] in self.inside and any(x + y in self.ids for x in last for y in first):
+            if found and a and a[-1] + b[0] in self.inside and any(x + y in self.ids for x in last for y in first):
                 found = self.merge(a + b) == [a, b]
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
@@ -159,8 +201,8 @@ class Stream:
     def __init__(self, model: PieceModel):
         self.m = model
         self.text = ""  # since the last committed boundary
-        self.best: list[tuple[float, int, str] | None] = [(0.0, -1, "")]  # score, from, piece
-        self.before = ""  # the last committed piece
+        self.best: list[tuple[float, int, str] | None] = [(0.0, -1, "")]  # score, from, piece; first the last committed one
+        self.node = model.root  # of the automaton
         self.widest = 1  # characters held at most so far
         self.commits = 0  # boundaries up to which ids were committed while reading
 
@@ -168,52 +210,52 @@ class Stream:
         """Pieces committed while reading text."""
         step = self.m.longest
         for at in range(0, len(text), step):
-            begin = len(self.text)
-            self.text += text[at : at + step]
-            for end in range(begin + 1, len(self.text) + 1):
-                self.best.append(self._sum(end) if self.m.unigram else self._merged(end))
+            some = text[at : at + step]
+            self.text += some
+            if self.m.unigram:
+                self._sum(some)
+            else:
+                self._merged(some)
             self.widest = max(self.widest, len(self.text))
             if len(self.text) >= 2 * step:
                 yield from self._commit()
 
-    def _sum(self, end: int) -> tuple[float, int, str] | None:
-        """The best way to end by the sum of scores."""
-        scores, text, best, found = self.m.scores, self.text, self.best, None
-        for start in range(max(0, end - self.m.tails.get(text[end - 3 : end], 2)) if end > 2 else 0, end):
-            origin = best[start]
-            if origin is None:
-                continue
-            piece = text[start:end]
-            score = scores.get(piece)
-            if score is None:
-                if end - start > 1:
+    def _sum(self, some: str) -> None:
+        """For each character of some the best way to end there by the sum of scores."""
+        scores, best, node = self.m.scores, self.best, self.node
+        for c in some:
+            node = node.get(c) or self.m.step(node, c)
+            end, found = len(best), None
+            for piece, size in node[ENDS]:
+                origin = best[end - size] if size <= end else None
+                if origin is None:
                     continue
-                score = self.m.unknown_score
-            total = origin[0] + score
-            if found is None or total > found[0]:
-                found = (total, start, piece)
-        return found
-
-    def _merged(self, end: int) -> tuple[float, int, str] | None:
-        """The one way to end that the merges allow."""
-        ids, pairs, text, best = self.m.ids, self.m.pairs, self.text, self.best
-        for start in range(max(0, end - self.m.tails.get(text[end - 3 : end], 2)) if end > 2 else 0, end):
-            piece = text[start:end]
-            if piece not in ids and end - start > 1:
-                continue
-            origin = best[start]
-            if origin is None:
-                continue
-            last = origin[2] if start else self.before
-            if not last:
-                fits = self.m.sides(piece)[0]
-            else:
-                fits = pairs.get((last, piece))
+                total = origin[0] + scores.get(piece, self.m.unknown_score)
+                if found is None or total > found[0]:
+                    found = (total, end - size, piece)
+            best.append(found)
+        self.node = node
+
+    def _merged(self, some: str) -> None:
+        """For each character of some the one way to end there that the merges allow."""
+        best, node, known = self.best, self.node, self.m.pairs.get
+        end = len(best) - 1
+        for c in some:
+            node = node.get(c) or self.m.step(node, c)
+            end += 1
+            for piece, size in node[ENDS]:
+                origin = best[end - size] if size <= end else None
+                if origin is None:
+                    continue
+                fits = known((origin[2], piece))
                 if fits is None:
-                    fits = self.m.neighbours(last, piece)
-            if fits:
-                return (0.0, start, piece)
-        return None
+                    fits = self.m.neighbours(origin[2], piece)
+                if fits:
+                    best.append((0.0, end - size, piece))
+                    break
+            else:
+                best.append(None)
+        self.node = node
 
     def _path(self, end: int) -> list[int]:
         path = [end]
@@ -238,11 +280,10 @@ class Stream:
 
     def _take(self, end: int) -> Iterator[str]:
         path = self._path(end)[::-1]
-        pieces = [self.text[a:b] for a, b in zip(path, path[1:], strict=False)]
+        pieces = [self.best[i][2] for i in path[1:]]
         base = self.best[end][0]
-        self.before = pieces[-1] if pieces else self.before
         self.text = self.text[end:]
-        self.best = [(0.0, -1, ""), *((x and (x[0] - base, x[1] - end, x[2])) for x in self.best[end + 1 :])]
+        self.best = [(0.0, -1, self.best[end][2]), *((x and (x[0] - base, x[1] - end, x[2])) for x in self.best[end + 1 :])]
         yield from pieces
 
     def finish(self) -> Iterator[str]:
@@ -256,11 +297,12 @@ class Codec:
 
     def __init__(self, model: PieceModel):
         self.m = model
-        self.parts, self.atoms = Recent(MEMO), Recent(MEMO)
+        self.parts = Recent(MEMO)
+        self.codes = {x: i.to_bytes(4, "little") for x, i in model.ids.items()}
         line = "\n" if model.splits_at_line else ""
         self.cut = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if model.splits_at_space else None
 
-    def _ids(self, pieces: Iterator[str]) -> list[int]:
+    def _ids(self, pieces: Iterable[str]) -> list[int]:
         out, unknown = [], False
         for p in pieces:
             i = self.m.ids.get(p)
@@ -273,18 +315,26 @@ class Codec:
             unknown = i is None
         return out
 
-    def search(self, text: str) -> list[int]:
-        """Ids of a normalised text by one streaming search."""
+    def _pieces(self, text: str) -> list[str]:
         stream = Stream(self.m)
+        return [*stream.feed(text), *stream.finish()]
 
-        def pieces() -> Iterator[str]:
-            yield from stream.feed(text)
-            yield from stream.finish()
+    def search(self, text: str) -> list[int]:
+        """Ids of a normalised text by one streaming search."""
+        return self._ids(self._pieces(text))
 
-        return self._ids(pieces())
+    def _packed(self, text: str) -> bytes:
+        """The same as bytes."""
+        pieces = self._pieces(text)
+        try:
+            return b"".join(map(self.codes.__getitem__, pieces))
+        except KeyError:  # a character without a piece
+            return np.array(self._ids(pieces), dtype="<u4").tobytes()
 
     def _cuts(self, part: str) -> list[str]:
         inside, out, at = self.m.inside, [], 0
+        if inside.issuperset(map(add, part, part[1:])):
+            return [part]
         for i in range(1, len(part)):
             if part[i - 1 : i + 1] not in inside:
                 out.append(part[at:i])
@@ -302,21 +352,19 @@ class Codec:
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         normal = [self.m.library.normalize(t) if t else "" for t in texts]
-        packed = lambda p: np.array(self.search(p), dtype="<u4").tobytes()
         if self.cut is None or not self.m.bytes:
-            return [packed(t) for t in normal]
+            return [self._packed(t) for t in normal]
         parts = [self.cut.findall(t) for t in normal]
         distinct = set().union(*parts)
         own = self.parts.known(distinct)
         cuts = {p: self._cuts(p) for p in distinct - own.keys()}
         wanted = {a for c in cuts.values() for a in c}
-        atoms = self.atoms.known(wanted)
-        learnt = {a: packed(a) for a in wanted - atoms.keys()}
+        atoms = self.parts.known(wanted - cuts.keys())
+        learnt = {a: self._packed(a) for a in wanted - atoms.keys()}
         atoms.update(learnt)
         whole = {p: b"".join(map(atoms.__getitem__, c)) for p, c in cuts.items()}
         own.update(whole)
-        self.atoms.add(learnt)
-        self.parts.add(whole)
+        self.parts.add(learnt | whole)
         return [b"".join(map(own.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:

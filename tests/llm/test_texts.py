@@ -381,6 +381,17 @@ def test_encoding_equals_the_library(spark, codec):
     assert [codec.decode(x) for x in codec.encode(texts)] == texts
 
 
+def test_the_automaton_tells_the_pieces_that_end_at_each_character(codec):
+    """All of them, the longest first, by one step a character; a character without a piece stands for itself."""
+    m = codec.m
+    for text in (m.library.normalize("the unbelievable internationalisation of 12,500 naïve cafés\n\n    xylophones"), "▁\u0378\u0378▁the\u0378", "▁" * 40):
+        node = m.root
+        for end, c in enumerate(text, 1):
+            node = node.get(c) or m.step(node, c)
+            pieces_ = [text[i:end] for i in range(max(0, end - m.longest), end) if text[i:end] in m.ids or i == end - 1]
+            assert [(p, len(p)) for p in pieces_] == list(node[pieces.ENDS])
+
+
 def test_the_window_stays_small(codec):
     stream = pieces.Stream(codec.m)
     text = codec.m.library.normalize("the quick brown fox jumps over it " * 300)
