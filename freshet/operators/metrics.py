@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def partition_skew(counts: DataFrame, n: str = "n", limit: float = 2.0) -> DataF
     return counts.agg(F.round(F.coalesce(skew, F.lit(0.0)), 6).alias("skew")).withColumn("passes", F.col("skew") < limit)
 
 
-#: Samples up to which one task may hold all distinct values; bins of a pass beyond that.
+#: Distinct values up to which one task may hold all of them; bins of a pass beyond that.
 HELD, BINS = 1_000_000, 4096
 
 
@@ -48,38 +49,43 @@ def percentiles(samples: DataFrame, value: str, points=(0.5, 0.95, 0.99)) -> Dat
     """Exact percentiles with linear interpolation, 0 if there is no sample; negative values are
     unsampled ones. NaN counts as unsampled, too.
 
-    Up to HELD samples Spark's own aggregate does it, which holds all distinct values in a task.
-    Beyond, the values at the wanted ranks are narrowed down by histograms of BINS bins, a few
-    passes over the samples whatever their number.
+    The samples are read once: what is kept, on disk, is how often each value occurs. Of up to HELD
+    values Spark's own aggregate does the rest, which holds them in a task. Beyond, the values at the
+    wanted ranks are narrowed down by histograms of BINS bins, a few passes over the values
+    whatever their number.
     """
     own = samples.select(F.col(value).cast("double").alias("v")).where((F.col("v") >= 0) & ~F.isnan("v"))
     names = [f"p{round(x * 100)}" for x in points]
-    n = own.count()
-    if n <= HELD:
-        got = F.percentile("v", F.array(*map(F.lit, points)))
-        return own.agg(got.alias("p")).select(*(F.round(F.coalesce(F.col("p")[i], F.lit(0.0)), 6).alias(c) for i, c in enumerate(names)))
-    at = [x * (n - 1) for x in points]
-    ranks = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
-    finite = own.where(F.col("v") < math.inf)
-    ends = finite.count()  # infinite values come after all others
-    value_at = order_statistics(finite, "v", [r for r in ranks if r < ends]) | {r: math.inf for r in ranks if r >= ends}
-    between = lambda a, b, x: a if a == b else a + (b - a) * x
-    got = [between(value_at[math.floor(x)], value_at[math.ceil(x)], x - math.floor(x)) for x in at]
+    counts = own.groupBy("v").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
+    try:
+        n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        if distinct <= HELD:
+            got = counts.agg(F.percentile("v", F.array(*map(F.lit, points)), F.col("n"))).first()[0] or [0.0] * len(points)
+        else:
+            at = [x * (n - 1) for x in points]
+            ranks = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
+            finite = counts.where(F.col("v") < math.inf)
+            ends = finite.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # infinite values come after all others
+            value_at = order_statistics(finite, "v", [r for r in ranks if r < ends], weight="n") | {r: math.inf for r in ranks if r >= ends}
+            between = lambda a, b, x: a if a == b else a + (b - a) * x
+            got = [between(value_at[math.floor(x)], value_at[math.ceil(x)], x - math.floor(x)) for x in at]
+    finally:
+        counts.unpersist()
     return samples.sparkSession.range(1).select(*(F.round(F.lit(v), 6).alias(c) for v, c in zip(got, names, strict=True)))
 
 
-def order_statistics(samples: DataFrame, value: str, ranks: Sequence[int], held: int = 100_000) -> dict[int, float]:
-    """The value at each rank (from 0) among finite doubles. Each pass counts the values of the
-    bins of the ranges that are left, and keeps the bin that holds the rank; a range of few
+def order_statistics(samples: DataFrame, value: str, ranks: Sequence[int], held: int = 100_000, weight: str | None = None) -> dict[int, float]:
+    """The value at each rank (from 0) among finite doubles; weight: how often a row's value counts, else once. Each
+    pass counts the values of the bins of the ranges that are left, and keeps the bin that holds the rank; a range of few
     distinct values is then counted value by value."""
-    v = F.col(value)
+    v, times = F.col(value), F.lit(1) if weight is None else F.col(weight)
     low, high = samples.agg(F.min(v), F.max(v)).first()
     open_ = {r: (low, high, 0) for r in ranks}  # rank -> its range, and how many values lie below it
     found: dict[int, float] = {}
     while open_:
         spans = sorted({(a, b) for a, b, _ in open_.values()})
         which = F.array(*(F.struct(F.lit(i).alias("i"), F.least(F.lit(BINS - 1), F.floor((v - a) / (b - a) * BINS) if b > a else F.lit(0)).cast("int").alias("bin"), v.between(a, b).alias("there")) for i, (a, b) in enumerate(spans)))
-        bins = samples.select(v.alias("v"), F.inline(which)).where("there").groupBy("i", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        bins = samples.select(v.alias("v"), times.alias("times"), F.inline(which)).where("there").groupBy("i", "bin").agg(F.sum("times").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
         rows = sorted(map(tuple, bins.collect()))  # at most BINS a range
         for r, (a, b, below) in list(open_.items()):
             for i, _, n, x, y in rows:
@@ -90,7 +96,7 @@ def order_statistics(samples: DataFrame, value: str, ranks: Sequence[int], held:
                         found[r] = x
                         del open_[r]
                     elif n <= held:
-                        values = samples.where(v.between(x, y)).groupBy(v.alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()  # at most ``held``
+                        values = samples.where(v.between(x, y)).groupBy(v.alias("v")).agg(F.sum(times).alias("n")).orderBy("v").collect()  # at most ``held``
                         for q in values:
                             if r < below + q["n"]:
                                 found[r] = q["v"]

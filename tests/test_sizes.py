@@ -1,9 +1,10 @@
 """How work is dealt out as tables grow: by rows, not by how small they are when they are shuffled."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from freshet import queries
-from freshet.operators import online, windows
+from freshet.operators import metrics, online, windows
 from freshet.schema import events_from_table
 from freshet.sources import incremental
 
@@ -42,3 +43,17 @@ def test_incremental_windows_sort_and_scatter_nothing(spark, tmp_path):
 def test_the_history_of_keys_is_dealt_out_by_rows(spark):
     plan = queries.emission_history(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert any("hashpartitioning(idempotency_key" in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("held", [1_000_000, 50])
+def test_percentiles_read_the_samples_once(spark, monkeypatch, held):
+    monkeypatch.setattr(metrics, "HELD", held)
+    read = spark.sparkContext.accumulator(0)
+
+    def ms(n):
+        read.add(1)
+        return float(n % 300)
+
+    once = F.udf(ms, "double").asNondeterministic()  # else it is called again for the filter
+    got = metrics.percentiles(spark.range(0, 3000, 1, 4).select(once("id").alias("ms")), "ms", (0.5, 0.95))
+    assert tuple(got.first()) == (149.5, 284.05) and read.value == 3000
