@@ -302,6 +302,11 @@ def _set_key(hashes: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64 bits, as a signed long: bit i is set if set in over half the hashes of a set; 0 of none."""
+    return int(majority(hashes.view(np.uint8).reshape(-1, 8)).view(np.int64)[0]) if len(hashes) else 0
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """The parity of the hashes that fall on each of as many bits as the set has elements, rounded
     up to a power of two, LEAST_BITS at least: two sets' differ in no more bits than the sets have
@@ -371,11 +376,11 @@ def _sampled_hashes(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _sketches(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, bits (see parity) and
+    """For every (doc_id, row, text): doc_id, row, node (a hash of the set), n, fp (its fingerprint), bits (see parity) and
     what parts tells: keys, sizes, marks (the parts' bits one after another), tokens. The common
     hashes are sorted. The sets themselves aren't kept."""
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    schema = struct_of(*zip(("doc_id", "row", "node", "n", "bits", "marks", "keys", "sizes", "tokens"), (long,) * 4 + (T.BinaryType(),) * 2 + (longs,) * 3, strict=True))
+    schema = struct_of(*zip(("doc_id", "row", "node", "n", "fp", "bits", "marks", "keys", "sizes", "tokens"), (long,) * 5 + (T.BinaryType(),) * 2 + (longs,) * 3, strict=True))
     last = common if len(common) else np.zeros(1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +389,7 @@ def _sketches(texts: DataFrame, words: int, similarity: float, common: np.ndarra
             flat = np.concatenate(sets)
             marked = np.split((last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat) & bool(len(common)), np.cumsum([len(h) for h in sets])[:-1])
             cut = [parts(h, c, similarity) for h, c in zip(sets, marked, strict=True)]
-            numbers = [pa.array([f(h) for h in sets], pa.int64()) for f in (_set_key, len)]
+            numbers = [pa.array([f(h) for h in sets], pa.int64()) for f in (_set_key, len, set_fingerprint)]
             sketches = [pa.array(list(map(parity, sets)), pa.binary()), pa.array([x[2].tobytes() for x in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *sketches, *(_lists([x[i] for x in cut]) for i in (0, 1, 3))], names=schema.names)
 
@@ -481,6 +486,20 @@ def bits_fit(n: int, m: int, x: bytes, y: bytes, similarity: float) -> bool:
     return bool(may_be_similar(n, m, apart, similarity))
 
 
+def _fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp): each node and the smallest of its fingerprint, and the smallest ones of
+    fingerprints that the balls link, which differ by at most ``radius`` bits."""
+    least = with_minimum(nodes.select("node", "fp"), "fp", "node", "least", ["node"])
+    alike = least.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprint-classes")
+    edges = ball_edges(prints.select(F.col("fp").alias("node"), F.col("fp").alias("s0"), F.lit(0).cast("long").alias("s1")), 1, 64, radius // 2, radius)
+    x, y = (prints.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    near = edges.join(x, "a").join(y, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    pairs = materialize(alike.union(near), "fingerprint-pairs")
+    discard(prints, nodes.sparkSession)
+    return pairs
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that sizes and parity bits don't rule out."""
     schema = struct_of(("a", T.LongType()), ("b", T.LongType()))
@@ -570,11 +589,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     return out
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """doc_id, component_id for every row: groups of documents whose shingles of ``words`` words
     have a Jaccard similarity of ``similarity`` or more, or that such documents connect.
 
-    Equal sets are one class. Long sets are cut into parts by the leading bits of the hashes; of sets
+    Equal sets are one class. Each has a fingerprint; classes whose fingerprints are equal, or differ by at most ``radius``
+    bits (an even number; found by balls), are linked if their sets are as similar as that. As fingerprints of similar sets
+    may differ in more bits, what they leave is then looked for by shared hashes. Long sets are cut into parts by the leading bits of the hashes; of sets
     so similar one part at least is as similar, and shares one of the first few hashes in any common
     order, the prefix. Of the pairs that do, those whose sizes or parity bits rule it out, the part's
     and then the set's, are left out, and the others are verified by their sets. Each hash's nodes are
@@ -582,6 +603,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     connected to yet, so that no pair is missed. The order puts hashes last that are common in a share of the texts, which
     changes the work, not the result. A set is never stored but for pairs that have to be verified.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even")
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("row"), whole.alias("text"))
@@ -590,17 +613,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id:
     common = np.sort(often.column(0).to_numpy())
     sketches = materialize(_sketches(texts, words, similarity, common), "sketches")
     keys = materialize(sketches.select("doc_id", "node"), "keys")
-    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "bits", "marks", "keys", "sizes", "tokens"), "row").alias("s"))
+    one = sketches.groupBy("node").agg(F.min_by(F.struct("row", "n", "fp", "bits", "marks", "keys", "sizes", "tokens"), "row").alias("s"))
     nodes = materialize(one.select("node", "s.*"), "set-classes")
     discard(sketches, spark)
     met = materialize(_meetings(_tokens(nodes, similarity), similarity), "meetings")
     posts = met.where("token is not null").select("token", F.col("a").alias("node"))
-    pairs = met.where("token is null").select("a", "b").distinct()
+    linked = _fingerprint_pairs(nodes, radius)
+    pairs = linked.union(met.where("token is null").select("a", "b")).distinct()
     edges = _verified(_possible(pairs, nodes, similarity), nodes, texts, words, similarity)
     roots = materialize(components(edges), "roots")
     more = _verified(_possible(_left_pairs(posts, roots, nodes, similarity), nodes, similarity), nodes, texts, words, similarity)
     out = with_components(keys, "node", edges.union(more))
-    for done in (nodes, met, roots):
+    for done in (nodes, met, linked, roots):
         discard(done, spark)
     return out.select("doc_id", "component_id")
 

@@ -148,6 +148,27 @@ def test_similar_groups_equal_all_pairs(spark):
     assert got == {d: rows[r][0] for (d, _), r in zip(rows, root)}
 
 
+def test_fingerprints_alone_link_near_copies_and_their_sets_are_checked(spark, monkeypatch):
+    """Without the search by shared hashes: whoever is within 4 bits is linked, if similar; others aren't."""
+    rng = np.random.default_rng(8)
+    rows, prints = [], {}
+    for i in range(30):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join([*w[:300], "edited", *w[301:]]))]
+    for d, t in rows:
+        prints[d] = simhash.set_fingerprint(simhash.shingle_set(t, 5))
+    near = {d: bin((prints[d] ^ prints[d + 1]) & (2**64 - 1)).count("1") <= 4 for d in prints if d % 10 == 0}
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "_meetings", lambda posts, similarity: spark.createDataFrame([], "token long, a long, b long, n long"))
+    monkeypatch.setattr(simhash, "_left_pairs", lambda *given: none)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert got == {d: d - 1 if d % 10 and near[d - 1] else d for d in prints} and 10 < sum(near.values())
+    # as near by fingerprints, but not as similar as is asked for
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df.where("doc_id < 20"), radius=4, similarity=0.999).collect()}
+    assert got == {d: d for d in (0, 1, 10, 11)}
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd, simhash.similar_groups(odd))
     assert kept.columns == odd.columns
