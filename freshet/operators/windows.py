@@ -1,9 +1,9 @@
 """Sliding windows by shared panes.
 
-Events are aggregated once per user, product and pane (one slide long), so that a hot user
-shrinks by partial aggregation before anything is shuffled. These partial aggregates are then
-dealt out by user and *chunk*, a stretch of time that a window's end lies in; each goes to the
-one or two chunks that hold windows it counts in. From there on nothing is shuffled any more: all
+Events are dealt out by user, product and pane (one slide long), to more tasks the more events there
+are, and aggregated there; a hot user's events are in as many tasks as there are panes. These partial
+aggregates are then dealt out by user and *chunk*, a stretch of time that a window's end lies in; each
+goes to the one or two chunks that hold windows it counts in. From there on nothing is shuffled any more: all
 resolutions, the merge of panes and the windows themselves are worked out where the chunk is, and
 no user's history is ever in one task.
 
@@ -30,6 +30,9 @@ CHUNK_S = 4 * 86_400
 #: Panes that are dealt to a task at most, on average: each becomes as many as 41 windows there, which
 #: are far more bytes than what was shuffled.
 PANES_A_TASK = 10_000
+#: Events that are dealt to a task, on average, to be summed up to panes. Few enough for a task to hold a pane an
+#: event twice; up to 200 tasks, the writing side holds none (Spark writes to so few without sorting).
+EVENTS_A_TASK = 200_000
 
 
 def pane_index(slide: int, us: str = "event_us") -> Column:
@@ -122,10 +125,14 @@ class Feature:
         return ACCUMULATORS[self.how].result(F.col(self.name))
 
 
-def _product_panes(events: DataFrame, slide: int, more: Sequence[Feature] = ()) -> DataFrame:
-    """user_id, pane, product (null for all but purchases) and the sums of their events."""
+def _product_panes(events: DataFrame, slide: int, more: Sequence[Feature] = (), rows: int | None = None) -> DataFrame:
+    """user_id, pane, product (null for all but purchases) and the sums of their events; rows: how many events
+    there are, to deal them out by it, else they are summed up before they are shuffled, too."""
     bought = F.col("event_type") == PURCHASE
-    return events.groupBy("user_id", pane_index(slide).alias("pane"), F.when(bought, F.col("product_id")).alias("product")).agg(
+    keyed = events.withColumns({"_pane": pane_index(slide), "_product": F.when(bought, F.col("product_id"))})
+    if rows is not None:
+        keyed = dealt(keyed, rows, EVENTS_A_TASK, "user_id", "_pane", "_product")
+    return keyed.groupBy("user_id", F.col("_pane").alias("pane"), F.col("_product").alias("product")).agg(
         F.count_if(F.col("event_type") == CLICK).alias("click_count"),
         F.count_if(F.col("event_type") == PAGE_VIEW).alias("page_view_count"),
         F.count_if(bought).alias("purchase_count"),
@@ -144,7 +151,8 @@ def product_panes(events: DataFrame, more: Sequence[Feature] = ()) -> DataFrame:
 
 
 def _records(events: DataFrame, resolutions: tuple[Resolution, ...], more: Sequence[Feature] = ()) -> DataFrame:
-    return records_of(_product_panes(events, min(r.slide for r in resolutions), more), resolutions, more, events.count())
+    rows = events.count()
+    return records_of(_product_panes(events, min(r.slide for r in resolutions), more, rows), resolutions, more, rows)
 
 
 def dealt(rows: DataFrame, n: int, a_task: int, *by: str) -> DataFrame:

@@ -24,6 +24,25 @@ def test_windows_of_few_panes_a_task(spark, monkeypatch):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+def test_events_are_summed_up_in_more_tasks_the_more_there_are(spark, monkeypatch):
+    events = events_from_table(spark, SF)
+    want = windows.sliding_all(events)
+    monkeypatch.setattr(windows, "EVENTS_A_TASK", 50, raising=False)
+    got = windows.sliding_all(events)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    got.collect()
+    summed = [line for line in final_plan(got).splitlines() if "Exchange hashpartitioning(user_id" in line and "_product" in line]
+    assert len(summed) == 1 and f", {-(-events.count() // 50)}), REPARTITION_BY_NUM" in summed[0]
+
+
+def test_a_feature_reads_the_events_own_columns(spark):
+    events = events_from_table(spark, SF).withColumns({"pane": F.lit(7), "product": F.lit(8)})
+    more = [windows.Feature(c, lambda c=c: F.col(c), "max") for c in ("dearest", "least")]
+    own = windows.sliding_all(events.withColumnsRenamed({"pane": "dearest", "product": "least"}), more)
+    both = windows.sliding_all(events, [windows.Feature("dearest", lambda: F.col("pane"), "max"), windows.Feature("least", lambda: F.col("product"), "max")])
+    assert own.exceptAll(both).count() == both.exceptAll(own).count() == 0
+
+
 def test_the_online_vector_sorts_no_records(spark):
     features = windows.sliding_all(events_from_table(spark, SF))
     got = online.vector(features)
