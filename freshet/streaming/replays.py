@@ -18,6 +18,9 @@ from . import append, stateful
 #: 2024-01-01, from which times are hurried; seconds of arrivals a batch; the settings.
 BASE_US, HURRY, BATCH_S = 1_704_067_200_000_000, 100, 7200
 CONFIG = WindowConfig(lateness=240)
+#: Events that users are dealt by to a part and to a partition of the state, on average over all batches: few enough for one's windows to
+#: be arrays in Python, and for a partition's rows to be sorted in a task, however much the input.
+EVENTS_A_PART, EVENTS_A_PARTITION = 15_000, 500_000
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +30,12 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("batch", F.floor((F.col("event_us") + delay - BASE_US) / (BATCH_S * 1_000_000)).cast("int"))
 
 
-def run(spark: SparkSession, batches: DataFrame, numbers, folder: str, config: WindowConfig = CONFIG, operator=stateful.refiring, **start) -> DataFrame:
+def run(
+    spark: SparkSession, batches: DataFrame, numbers, folder: str, config: WindowConfig = CONFIG, operator=stateful.refiring, partitions: int | None = None, **start
+) -> DataFrame:
     """What the state operator emits, with the number of the batch: each of numbers is added to the
     source's folder and a query started on one checkpoint, which ends when there is nothing left to do."""
-    own = stateful.state_session(spark)
+    own = stateful.state_session(spark, partitions)
     for n in numbers:
         some = batches.where(F.col("batch") == n).drop("batch")
         some.write.mode("append").parquet(f"{folder}/in")
@@ -43,6 +48,13 @@ def run(spark: SparkSession, batches: DataFrame, numbers, folder: str, config: W
     return spark.read.parquet(*(f"{folder}/out/run={n}/part=*" for n in numbers))
 
 
+def _dealing(spark: SparkSession, events: DataFrame) -> dict[str, int]:
+    """Parts and partitions for so many events."""
+    rows, least = events.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, -(-rows // EVENTS_A_PARTITION))
+    return {"partitions": partitions, "parts": max(2 * partitions, -(-rows // EVENTS_A_PART))}
+
+
 def _numbers(batches: DataFrame) -> list[int]:
     low, high = batches.agg(F.min("batch"), F.max("batch")).first()
     return [0] if low is None else list(range(low, high + 1))
@@ -56,7 +68,7 @@ def _shown(emitted: DataFrame) -> DataFrame:
 def refired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records, repeats and very late events of a stream over the whole table."""
     batches = arrivals(spark, sf_dir)
-    return _shown(run(spark, batches, _numbers(batches), shared_folder(spark, "refired")))
+    return _shown(run(spark, batches, _numbers(batches), shared_folder(spark, "refired"), **_dealing(spark, batches)))
 
 
 def warm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +79,7 @@ def warm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = batches.where(F.col("batch") < numbers[0]).agg(F.max(F.expr("event_us div 1000"))).first()[0]
     mark = None if last is None else last - int(CONFIG.skew * 1000)
     warm = None if mark is None else stateful.warm_panes(in_time(batches, numbers[0]), mark, CONFIG)
-    return _shown(run(spark, batches, numbers, shared_folder(spark, "warm"), warm=warm, least_mark_ms=mark))
+    return _shown(run(spark, batches, numbers, shared_folder(spark, "warm"), warm=warm, least_mark_ms=mark, **_dealing(spark, batches)))
 
 
 def paned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

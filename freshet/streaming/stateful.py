@@ -1,6 +1,6 @@
 """The stateful path: windows that fire, fire again after late events, and a late output.
 
-Per user the operator keeps its panes. With the watermark W of a batch:
+Per user the operator keeps panes. With the watermark W of a batch:
 
 * an event before ``W - lateness`` goes to the late output as it came, and nowhere else;
 * any other event is folded into its pane of each resolution; closed windows that hold it and
@@ -13,12 +13,12 @@ Per user the operator keeps its panes. With the watermark W of a batch:
 The watermark is Spark's: it never goes back, and moves per batch. ``UserWindows`` is that in plain
 Python over one user's events, for replays; ``refiring`` is the operator.
 
-State lies in lists of Spark's state store (RocksDB with a changelog): a row of panes a resolution, a row a
-repeated firing, and a few numbers a user. A batch adds its rows up per pane; a user's panes are read and written at
-once, as each call to the state store costs a round trip from Python, and
-there are never more of them than a window's, the lateness's and those still open. Windows are summed by arrays. A window is known to
-have fired by the user's last watermark: its end lies before that, and it had a pane. Timers wake users
-whose windows close, or whose panes are out of date, without a row of theirs.
+Users are dealt to *parts* by a hash, and a part is what Spark groups by: each call of the operator and of the state store
+costs milliseconds from Python, which users of a part share. State lies in Spark's state store (RocksDB with a changelog):
+a value a part, of the panes of its users, of repeated firings, and a few numbers. There are never more panes of a user than a window's,
+the lateness's and those still open. A batch adds its rows up per user and pane; windows of all users of a part are summed by arrays. A window
+is known to have fired by the part's last watermark: its end lies before that, and it had a pane. Timers wake parts
+with windows that close, or whose panes are out of date, without a row of theirs.
 
 Spark drops rows behind the watermark before an operator whose input carries the column that the watermark is defined
 on. That column isn't passed on here, so that late rows arrive and can fire windows again.
@@ -29,10 +29,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -174,32 +175,62 @@ class Watermark:
 
 
 NONE = -(2**62)
-#: Resolution -> pane -> (clicks, views, purchases, cents), products.
-Panes = dict[str, dict[int, tuple[list[int], set[str]]]]
 _SUMS = ("click_count", "page_view_count", "purchase_count", "cents")
 #: A pane of a user as a row, for warm starts: which resolution, and up to which watermark it is known.
 PANE = "user_id string, window_resolution string, pane bigint, click_count bigint, page_view_count bigint, purchase_count bigint, cents bigint, products array<string>, mark_ms bigint"
+#: The state of a part: the clock (the last watermark, the timer that is set, Spark's watermark when a row came or time was
+#: looked at last), the users and products that are numbered, and three tables of numbers, eight bytes each, which
+#: ``Held`` names: elements of arrays would be converted one by one.
+STATE = "mark bigint, timer bigint, seen bigint, users array<string>, names array<string>, panes binary, products binary, repeats binary"
+#: Parts that users are dealt to, unless told otherwise.
+PARTS = 256
 
 
-def folded(rows: pd.DataFrame) -> dict[int, tuple[list[int], set[str]]]:
-    """Rows (event_us, type, cents, product) by pane of the least slide: sums and products."""
-    slide = min(r.slide for r in RESOLUTIONS) * 1_000_000
-    pane, at = np.unique(rows["event_us"].to_numpy(np.int64) // slide, return_inverse=True)
-    kind, cents = rows["type"].to_numpy(np.int64), rows["cents"].to_numpy(np.int64)
-    sums = np.zeros((len(pane), 4), dtype=np.int64)
-    for i in range(3):
-        sums[:, i] = np.bincount(at[kind == i], minlength=len(pane))
-    np.add.at(sums[:, 3], at, cents)
-    out = {int(p): (sums[i].tolist(), set()) for i, p in enumerate(pane)}
-    bought = (kind == 2) & rows["product"].notna().to_numpy()
-    for p, x in set(zip(pane[at[bought]].tolist(), rows["product"].to_numpy()[bought].tolist(), strict=True)):
-        out[p][1].add(x)
-    return out
+class Numbered:
+    """Texts by number, in the order in which they came; null is one of them."""
+
+    def __init__(self, values: Iterable[str | None] = ()):
+        self.values = list(values)
+        self.number = {x: i for i, x in enumerate(self.values)}
+
+    def __call__(self, column: Iterable) -> np.ndarray:
+        own, seen = pd.factorize(np.asarray(column, dtype=object), use_na_sentinel=False)
+        known = [self.number.setdefault(None if pd.isna(x) else x, len(self.number)) for x in seen]
+        self.values.extend(list(self.number)[len(self.values) :])
+        return np.array(known, dtype=np.int64)[own] if known else np.zeros(0, dtype=np.int64)
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array(self.values, dtype=object)[numbers]
+
+
+@dataclass
+class Held:
+    """Users' panes, as rows of numbers, for each resolution: panes (user, pane, clicks, views, purchases, cents), the
+    products bought in them (user, pane, product), and repeated firings (user, end in slides, times)."""
+
+    users: Numbered = field(default_factory=Numbered)
+    names: Numbered = field(default_factory=Numbered)
+    panes: list[np.ndarray] = field(default_factory=lambda: [_rows(6) for _ in RESOLUTIONS])
+    products: list[np.ndarray] = field(default_factory=lambda: [_rows(3) for _ in RESOLUTIONS])
+    repeats: list[np.ndarray] = field(default_factory=lambda: [_rows(3) for _ in RESOLUTIONS])
+
+    def dump(self) -> tuple:
+        """What STATE has after the clock; users and products are numbered anew, as some are gone."""
+        own, used = np.unique(np.concatenate([x[:, 0] for x in self.panes]), return_inverse=True)
+        bought, sold = np.unique(np.concatenate([x[:, 2] for x in self.products]), return_inverse=True)
+        panes, products, repeats = _joined(self.panes), _joined(self.products), _joined(self.repeats)
+        panes[:, 1] = used
+        products[:, 1], products[:, 3] = np.searchsorted(own, products[:, 1]), sold
+        repeats[:, 1] = np.searchsorted(own, repeats[:, 1])
+        return self.users.take(own).tolist(), self.names.take(bought).tolist(), panes.tobytes(), products.tobytes(), repeats.tobytes()
+
+    @classmethod
+    def load(cls, users: Iterable, names: Iterable, panes: bytes, products: bytes, repeats: bytes) -> Held:
+        return cls(Numbered(users), Numbered(names), *(_parted(x, width) for x, width in ((panes, 6), (products, 3), (repeats, 3))))
 
 
 class RefiringWindows(StatefulProcessor):
-    """The state of a user: a row of panes a resolution, repeats, and the clock: the last watermark, the timer that
-    is set, Spark's watermark when a row came or time was looked at last, and whether there are repeats."""
+    """The windows of the users of a part (or of one user, where the rows have no ``user_id``: the key is the user then)."""
 
     def __init__(self, config: WindowConfig, idle: bool = False, least_mark_ms: int | None = None):
         self.config, self.idle = config, idle
@@ -210,191 +241,217 @@ class RefiringWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # the panes' numbers, their four sums one pane after another, how many products each has, and these
-        self.panes = handle.getListState("panes", "res int, pane array<bigint>, sums array<bigint>, many array<int>, products array<string>")
-        self.repeats = handle.getListState("repeats", "res int, end_ms bigint, times int")
-        self.clock = handle.getValueState("clock", "mark bigint, timer bigint, seen bigint, repeated boolean")
+        self.state = handle.getValueState("state", STATE)
 
     # -- the clock --
 
-    def _load(self) -> tuple[int, int, int, Panes]:
-        """The clock and the panes; ``self.times`` has the repeats."""
-        held, self.times, self.repeated = self.clock.get(), {}, False
-        panes: Panes = {r.value: {} for r in RESOLUTIONS}
-        if held is None:
-            return NONE, NONE, NONE, panes
-        for i, pane, sums, many, products in self.panes.get():
-            own, at, products = panes[RESOLUTIONS[i].value], 0, list(products)
-            for k, (p, n) in enumerate(zip(pane, many, strict=True)):
-                own[int(p)] = [int(x) for x in sums[4 * k : 4 * k + 4]], set(products[at : at + n])
-                at += n
-        if held[3]:
-            self.times, self.repeated = {(RESOLUTIONS[i].value, end): n for i, end, n in self.repeats.get()}, True
-        return held[0], held[1], held[2], panes
-
-    def _save(self, mark: int, timer: int, seen: int, panes: Panes, now: int) -> None:
-        """Keeps panes, repeats and the clock, and sets the next timer; a user without panes goes."""
-        rows = []
-        for i, r in enumerate(RESOLUTIONS):
-            if own := panes[r.value]:
-                rows.append((i, list(own), [x for sums, _ in own.values() for x in sums], [len(x) for _, x in own.values()], [x for _, products in own.values() for x in sorted(products)]))
-        if rows:
-            self.panes.put(rows)
-        elif mark != NONE or timer != NONE:
-            self.panes.clear()
-        if self.times:
-            self.repeats.put([(i, end, n) for i, r in enumerate(RESOLUTIONS) for (value, end), n in self.times.items() if value == r.value])
-        elif self.repeated:
-            self.repeats.clear()
-        spans = {v: (min(own), max(own)) for v, own in panes.items() if own}
-        wanted = NONE
-        if spans and self.idle:
+    def _load(self) -> tuple[int, int, int, Held]:
+        """The clock and the panes."""
+        held = self.state.get()
+        return (NONE, NONE, NONE, Held()) if held is None else (*held[:3], Held.load(*held[3:]))
+
+    def _save(self, mark: int, timer: int, seen: int, held: Held, now: int) -> None:
+        """Keeps panes, repeats and the clock, and sets the next timer; a part without panes goes."""
+        kept, wanted = any(len(x) for x in held.panes), NONE
+        if kept and self.idle:
             wanted = now + int(self.config.idle * 1000)
-        elif spans:
-            wanted = min(self._next(r, mark, spans.get(r.value)) for r in RESOLUTIONS)
+        elif kept:
+            wanted = min(self._next(r, mark, panes[:, 1]) for r, panes in zip(RESOLUTIONS, held.panes, strict=True))
             if wanted == -NONE:  # all windows have fired: when the last pane is out of date
-                wanted = max((spans[r.value][1] + 1) * r.slide * 1000 + r.size * 1000 + self.lateness for r in RESOLUTIONS if r.value in spans)
+                wanted = max((int(panes[:, 1].max()) + 1) * r.slide * 1000 + r.size * 1000 + self.lateness for r, panes in zip(RESOLUTIONS, held.panes, strict=True) if len(panes))
         if timer not in (wanted, NONE):
             self.handle.deleteTimer(timer)
         if wanted not in (timer, NONE):
             self.handle.registerTimer(wanted)
-        if spans:
-            self.clock.update((mark, wanted, seen, bool(self.times)))
+        if kept:
+            self.state.update((mark, wanted, seen, *held.dump()))
         elif timer != NONE or mark != NONE:
-            self.clock.clear()
+            self.state.clear()
 
-    def _next(self, r, mark: int, span: tuple[int, int] | None) -> int:
-        """The first end after the mark that may have a record."""
+    def _next(self, r, mark: int, panes: np.ndarray) -> int:
+        """The first end after the mark that has a record."""
         slide = r.slide * 1000
-        if span is None or (span[1] + r.panes) * slide <= mark:
-            return -NONE
         after = self.begin[r.value] if mark == NONE else max((mark // slide + 1) * slide, self.begin[r.value])
-        end = max(after, (span[0] + 1) * slide)
-        return end if end <= (span[1] + r.panes) * slide else -NONE
+        ends = np.maximum((panes + 1) * slide, after)
+        return int(ends[ends <= (panes + r.panes) * slide].min(initial=-NONE))
 
     # -- rows and timers --
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before, timer, _, panes = self._load()
+        before, timer, _, held = self._load()
         seen = max(timerValues.getCurrentWatermarkInMs(), 0) or NONE
         mark = max(before, seen, self.least)
-        fresh: dict[int, tuple[list[int], set[str]]] = {}
+        sums, products = [], []
         for frame in rows:
+            frame = frame if "user_id" in frame else frame.assign(user_id=key[0])
             late, own = self._taken(frame, mark)
-            if late:
-                yield _frame(key, {"kind": ["late"] * len(late), "late_event": late}, len(late))
-            for pane, (sums, products) in own.items():
-                _add(fresh, pane, sums, products)
-        yield from self._advance(key, fresh, before, mark, panes)
-        self._save(mark, timer, seen, panes, timerValues.getCurrentProcessingTimeInMs())
-
-    def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[list[str], dict]:
-        """The very late rows as they came, and the panes of the others."""
+            if len(late):
+                yield _frame(late["user_id"].to_numpy(object), {"kind": ["late"] * len(late), "late_event": late["raw"].tolist()})
+            for all_, some in zip((sums, products), self._folded(own, held), strict=True):
+                all_.append(some)
+            if len(sums) == 64:  # a user's panes are few, however many the events
+                sums, products = [_summed(np.concatenate(sums))], [_different(np.concatenate(products))]
+        yield from self._advance((np.concatenate(sums), np.concatenate(products)) if sums else None, before, mark, held)
+        self._save(mark, timer, seen, held, timerValues.getCurrentProcessingTimeInMs())
+
+    def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The very late rows, and the others."""
         late = frame["event_us"].to_numpy(np.int64) // 1000 < mark - self.lateness
-        if not late.any():
-            return [], folded(frame)
-        return frame["raw"][late].tolist(), {} if late.all() else folded(frame[~late])
+        return frame[late], frame[~late] if late.any() else frame
+
+    def _folded(self, frame: pd.DataFrame, held: Held) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of panes of the least slide and of products bought (see Held)."""
+        kind, sums = frame["type"].to_numpy(np.int64), np.zeros((len(frame), 6), dtype=np.int64)
+        sums[:, 0] = held.users(frame["user_id"])
+        sums[:, 1] = frame["event_us"].to_numpy(np.int64) // (min(r.slide for r in RESOLUTIONS) * 1_000_000)
+        for i in range(3):
+            sums[:, 2 + i] = kind == i
+        sums[:, 5] = frame["cents"].to_numpy(np.int64)
+        bought = (kind == 2) & frame["product"].notna().to_numpy()
+        products = np.column_stack((sums[bought, :2], held.names(frame["product"][bought])))
+        return _summed(sums), _different(products)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before, _, seen, panes = self._load()
+        before, _, seen, held = self._load()
         spark, now = max(timerValues.getCurrentWatermarkInMs(), 0) or NONE, timerValues.getCurrentProcessingTimeInMs()
         mark = max(before, spark, self.least)
         if self.idle and spark == seen and mark != NONE:  # for as long as that nothing moved the watermark
             mark = max(mark, now - self.skew)
-        yield from self._advance(key, {}, before, mark, panes)
-        self._save(mark, NONE, spark, panes, now)  # the timer is gone by itself
+        yield from self._advance(None, before, mark, held)
+        self._save(mark, NONE, spark, held, now)  # the timer is gone by itself
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        """Panes as rows (see PANE): as if the user's events up to mark_ms had come before."""
-        before, timer, seen, panes = self._load()
-        for row in initialState.itertuples(index=False):
-            panes[row.window_resolution][int(row.pane)] = [int(getattr(row, c)) for c in _SUMS], set(row.products)
-            before = max(before, int(row.mark_ms))
-        self._save(before, timer, seen, panes, timerValues.getCurrentProcessingTimeInMs())
+        """Panes as rows (see PANE): as if the users' events up to mark_ms had come before."""
+        before, timer, seen, held = self._load()
+        for i, r in enumerate(RESOLUTIONS):
+            sums, products = _of_panes(initialState[(initialState["window_resolution"] == r.value).to_numpy()], held)
+            held.panes[i], held.products[i] = _summed(np.concatenate((held.panes[i], sums))), _different(np.concatenate((held.products[i], products)))
+        mark = max(before, int(initialState["mark_ms"].max()))
+        self._save(mark, timer, seen, held, timerValues.getCurrentProcessingTimeInMs())
 
     # -- windows --
 
-    def _advance(self, key: tuple, fresh: dict, before: int, mark: int, panes: Panes) -> Iterator[pd.DataFrame]:
-        """Takes in fresh panes of the least slide; the records of windows that close between the
-        marks and of those fired earlier that changed. ``panes`` are brought up to date."""
+    def _advance(self, fresh: tuple[np.ndarray, np.ndarray] | None, before: int, mark: int, held: Held) -> Iterator[pd.DataFrame]:
+        """Takes in fresh panes of the least slide and their products; the records of windows that close between the marks
+        and of those fired earlier that changed. ``held`` is brought up to date."""
         least, made = min(r.slide for r in RESOLUTIONS), []
-        for r in RESOLUTIONS:
-            live, new, changed = panes[r.value], set(), set()
-            for pane, (sums, products) in fresh.items():
-                own = pane * least // r.slide
-                if own not in live:
-                    new.add(own)
-                changed.add(own)
-                _add(live, own, sums, products)
-            if mark == NONE or not live:
-                continue
-            slide, first = r.slide * 1000, self.begin[r.value]
-            if changed and (min(changed) + 1) * slide <= mark or self._next(r, before, (min(live), max(live))) <= mark:
-                at = np.array(sorted(live), dtype=np.int64)
-                ends = np.unique(at[:, None] + np.arange(1, r.panes + 1))
-                ends = ends[(ends * slide >= first) & (ends * slide <= mark)]
-                low, high = np.searchsorted(at, ends - r.panes), np.searchsorted(at, ends)
-                within = lambda flags, low=low, high=high: (total := np.concatenate(([0], np.cumsum(flags))))[high] - total[low]
-                touched = within(np.isin(at, list(changed))) > 0
-                due = ends * slide > before
-                again = touched & ~due & (within(~np.isin(at, list(new))) > 0)  # had a pane, so it has fired
-                kept = touched | due
-                seq = np.zeros(len(ends), dtype=np.int64)
-                for i in np.flatnonzero(again).tolist():
-                    end = int(ends[i]) * slide
-                    seq[i] = self.times[r.value, end] = self.times.get((r.value, end), 0) + 1
-                sums = np.array([live[p][0] for p in at.tolist()], dtype=np.int64)
-                values = [within(sums[:, i])[kept] for i in range(4)]
-                made.append((r, ends[kept] * slide, seq[kept], values, _distinct(live, ends, r.panes)[kept] if "distinct_products" in r.features else None))
-            self._drop(r, mark, live)
+        sums, products = fresh or (_rows(6), _rows(3))
+        for i, r in enumerate(RESOLUTIONS):
+            # beside the sums: how many rows were there before, and how many are fresh
+            live = _summed(np.concatenate((_beside(held.panes[i], 1, 0), _beside(_coarser(sums, least, r.slide), 0, 1))))
+            bought = _different(np.concatenate((held.products[i], _coarser(products, least, r.slide))))
+            if mark != NONE and len(live):
+                made.append((r, *self._fired(i, r, live, bought, before, mark, held)))
+                oldest = (mark - r.size * 1000 - self.lateness) // (r.slide * 1000)  # what no window can need any more
+                live, bought = live[live[:, 1] >= oldest], bought[bought[:, 1] >= oldest]
+                times = held.repeats[i]
+                held.repeats[i] = times[(times[:, 1] * r.slide * 1000 >= mark - r.size * 1000 - self.lateness) & np.isin(times[:, 0], live[:, 0])]
+            held.panes[i], held.products[i] = live[:, :6], bought
         if any(len(x[1]) for x in made):
-            yield _records(key, made)
-
-    def _drop(self, r, mark: int, live: dict) -> None:
-        """Panes and repeats that no window can need any more."""
-        oldest = mark - r.size * 1000 - self.lateness
-        for p in [p for p in live if p < oldest // (r.slide * 1000)]:
-            del live[p]
-        for own in [x for x in self.times if x[0] == r.value and (x[1] < oldest or not live)]:
-            del self.times[own]
+            yield _records(held.users, made)
+
+    def _fired(self, i: int, r, live: np.ndarray, bought: np.ndarray, before: int, mark: int, held: Held) -> tuple:
+        """Of the windows of a resolution that fire: users, ends, sequence numbers, the sums and distinct products."""
+        slide, pane = r.slide * 1000, live[:, 1]
+        base = int(pane.min())
+        width = int(pane.max()) - base + r.panes + 1  # so that windows of one user hold no panes of another
+        keys, k = _keys(live, base, width), np.arange(1, r.panes + 1)
+        end = (pane[:, None] + k) * slide
+        ends = np.unique((keys[:, None] + k)[(end >= self.begin[r.value]) & (end <= mark) & ((end > before) | (live[:, 7:] > 0))])
+        low, high = np.searchsorted(keys, ends - r.panes), np.searchsorted(keys, ends)
+        within = lambda flags: (total := np.concatenate(([0], np.cumsum(flags))))[high] - total[low]
+        user, end = ends // width, ends % width + base
+        again = (end * slide <= before) & (within(live[:, 6] > 0) > 0)  # had a pane, so it has fired
+        seq = np.zeros(len(ends), dtype=np.int64)
+        if again.any():
+            more = np.column_stack((user, end, np.ones(len(ends), dtype=np.int64)))[again]
+            held.repeats[i] = times = _summed(np.concatenate((held.repeats[i], more)))
+            low_end, span = int(times[:, 1].min()), int(np.ptp(times[:, 1])) + 1
+            seq[again] = times[np.searchsorted(_keys(times, low_end, span), _keys(more, low_end, span)), 2]
+        distinct = _distinct(bought, ends, r.panes, base, width) if "distinct_products" in r.features else None
+        return user, end * slide, seq, [within(live[:, 2 + j]) for j in range(4)], distinct
 
 
 class PanedWindows(RefiringWindows):
     """The same over rows that are closed panes of the least slide; none of them is late."""
 
-    def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[list[str], dict]:
-        panes: dict = {}
-        sums = zip(*(frame[c].tolist() for c in _SUMS), strict=True)
-        for pane, own, products in zip(frame["pane"].tolist(), sums, frame["products"], strict=True):
-            _add(panes, pane, own, products)
-        return [], panes
+    def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return frame[:0], frame
+
+    def _folded(self, frame: pd.DataFrame, held: Held) -> tuple[np.ndarray, np.ndarray]:
+        sums, products = _of_panes(frame, held)
+        return _summed(sums), _different(products)
+
+
+def _rows(width: int) -> np.ndarray:
+    return np.zeros((0, width), dtype=np.int64)
+
 
+def _joined(tables: list[np.ndarray]) -> np.ndarray:
+    """Tables of all resolutions as one, its first column the resolution's number."""
+    return np.concatenate([np.column_stack((np.full(len(x), i, dtype=np.int64), x)) for i, x in enumerate(tables)])
 
-def _add(panes: dict, pane: int, sums: Iterable[int], products: Iterable[str]) -> None:
-    own = panes.setdefault(pane, ([0, 0, 0, 0], set()))
-    own[0][:] = [a + b for a, b in zip(own[0], sums, strict=True)]
-    own[1].update(products)
 
+def _parted(raw: bytes, width: int) -> list[np.ndarray]:
+    rows = np.frombuffer(raw, dtype=np.int64).reshape(-1, width + 1)
+    return [rows[rows[:, 0] == i, 1:] for i in range(len(RESOLUTIONS))]
 
-def _distinct(live: dict, ends: np.ndarray, panes: int) -> np.ndarray:
-    """Different products of the panes before each end (in panes, ascending): of a product's panes in a window the last one
+
+def _beside(panes: np.ndarray, *flags: int) -> np.ndarray:
+    return np.column_stack((panes, *(np.full(len(panes), x, dtype=np.int64) for x in flags)))
+
+
+def _coarser(rows: np.ndarray, slide: int, other: int) -> np.ndarray:
+    """Rows of (user, pane, ...) by panes of another slide."""
+    rows = rows.copy()
+    rows[:, 1] = rows[:, 1] * slide // other
+    return rows
+
+
+def _keys(rows: np.ndarray, base: int, width: int) -> np.ndarray:
+    """One number for (user, pane), in the same order."""
+    return rows[:, 0] * width + (rows[:, 1] - base)
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows of (user, pane, sums), one of each user and pane, in their order."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+    return np.column_stack((rows[first, :2], np.add.reduceat(rows[:, 2:], first, axis=0)))
+
+
+def _different(rows: np.ndarray) -> np.ndarray:
+    """Different rows of (user, pane, product), by user, product and pane."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))] if len(rows) else rows
+
+
+def _of_panes(frame: pd.DataFrame, held: Held) -> tuple[np.ndarray, np.ndarray]:
+    """Panes that are rows of a frame, and their products, as Held has them."""
+    user = held.users(frame["user_id"])
+    sums = np.column_stack((user, *(frame[c].to_numpy(np.int64) for c in ("pane", *_SUMS))))
+    many = np.fromiter(map(len, frame["products"]), dtype=np.int64, count=len(frame))
+    products = list(chain.from_iterable(frame["products"]))
+    return sums, np.column_stack((np.repeat(sums[:, :2], many, axis=0), held.names(products)))
+
+
+def _distinct(bought: np.ndarray, ends: np.ndarray, panes: int, base: int, width: int) -> np.ndarray:
+    """Different products of the panes before each end (as keys, ascending): of a product's panes in a window the last one
     counts, which a pane is in windows that end before the product's next pane does."""
-    out, last = np.zeros(len(ends) + 1, dtype=np.int64), {}
-    starts, stops = [], []
-    for p in sorted(live, reverse=True):
-        for x in live[p][1]:
-            starts.append(p + 1)
-            stops.append(min(p + panes, last.get(x, p + panes)))
-            last[x] = p
-    np.add.at(out, np.searchsorted(ends, starts), 1)
-    np.add.at(out, np.searchsorted(ends, stops, "right"), -1)
-    return np.cumsum(out)[:-1]
-
-
-def _records(key: tuple, made: list[tuple]) -> pd.DataFrame:
-    """One frame of (resolution, ends, sequence numbers, sums, distinct products) of all resolutions."""
+    keys = _keys(bought, base, width)
+    stops = keys + panes
+    same = (bought[1:, 0] == bought[:-1, 0]) & (bought[1:, 2] == bought[:-1, 2])
+    stops[:-1][same] = np.minimum(stops[:-1], keys[1:])[same]
+    count = lambda at: np.bincount(at, minlength=len(ends) + 1)
+    return np.cumsum(count(np.searchsorted(ends, keys + 1)) - count(np.searchsorted(ends, stops, "right")))[:-1]
+
+
+def _records(users: Numbered, made: list[tuple]) -> pd.DataFrame:
+    """One frame of (resolution, users, ends, sequence numbers, sums, distinct products) of all resolutions."""
     columns: dict[str, list] = {f.name: [] for f in OUTPUT.fields}
-    for r, ends, seq, (clicks, views, bought, cents), distinct in made:
+    for r, _, ends, seq, (clicks, views, bought, cents), distinct in made:
         revenue = cents / 100.0
         value = {
             "window_start_ms": ends - r.size * 1000, "window_end_ms": ends, "emission_seq": seq, "click_count": clicks, "page_view_count": views, "purchase_count": bought,
@@ -404,7 +461,8 @@ def _records(key: tuple, made: list[tuple]) -> pd.DataFrame:
         for name, parts in columns.items():
             x = value.get(name)
             parts.append(x if isinstance(x, np.ndarray) else np.full(len(ends), x, dtype=object))
-    return _frame(key, {k: parts for k, parts in columns.items() if k not in ("user_id", "late_event")}, sum(len(x[1]) for x in made), joined=False)
+    own = users.take(np.concatenate([x[1] for x in made]))
+    return _frame(own, {k: parts for k, parts in columns.items() if k not in ("user_id", "late_event")}, joined=False)
 
 
 def _column(kind: str, parts: list) -> pd.Series:
@@ -417,14 +475,14 @@ def _column(kind: str, parts: list) -> pd.Series:
     return pd.Series((pd.arrays.FloatingArray if kind == "double" else pd.arrays.IntegerArray)(values, mask))
 
 
-def _frame(key: tuple, columns: dict, n: int, joined: bool = True) -> pd.DataFrame:
-    """n rows of a user; columns that aren't given are null. joined: they are lists of values, else lists of arrays."""
+def _frame(users: np.ndarray, columns: dict, joined: bool = True) -> pd.DataFrame:
+    """A row a user given; columns that aren't given are null. joined: they are lists of values, else lists of arrays."""
     out = {}
     for f in OUTPUT.fields:
         if f.name in columns:
             out[f.name] = pd.Series(columns[f.name], dtype=object) if joined else _column(f.dataType.simpleString(), columns[f.name])
         else:
-            out[f.name] = pd.Series([key[0] if f.name == "user_id" else None] * n, dtype=KINDS[f.dataType.simpleString()])
+            out[f.name] = pd.Series(users if f.name == "user_id" else [None] * len(users), dtype=KINDS[f.dataType.simpleString()])
     return pd.DataFrame(out)
 
 
@@ -456,7 +514,14 @@ def warm_panes(events: DataFrame, mark_ms: int, config: WindowConfig | None = No
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def refiring(events: DataFrame, config: WindowConfig | None = None, idle: bool = False, warm: DataFrame | None = None, least_mark_ms: int | None = None) -> DataFrame:
+def part(parts: int) -> Column:
+    """Which part a user is dealt to."""
+    return F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")
+
+
+def refiring(
+    events: DataFrame, config: WindowConfig | None = None, idle: bool = False, warm: DataFrame | None = None, least_mark_ms: int | None = None, parts: int = PARTS
+) -> DataFrame:
     """Rows of kind feature and late; events: flat streaming events with event_us. Events without time
     are left out; a null user is a user. Their session gets SETTINGS; queries that run, or go on from
     a checkpoint, keep the state store that they began with.
@@ -464,22 +529,26 @@ def refiring(events: DataFrame, config: WindowConfig | None = None, idle: bool =
     idle: timers go by the clock on the wall. A user's windows are looked at every ``config.idle``
     seconds; where nothing moved the watermark for that long, the time less the skew is the mark
     of that user from then on, so that a silent source doesn't hold windows open. The mark of a user never
-    goes back.
+    goes back. Every user is a part then, whatever ``parts``.
 
     warm: panes to start with (see warm_panes), for a query without checkpoint; least_mark_ms: the
     watermark they were made for, which holds for users without any, too.
+
+    parts: how many the users are dealt to; can't be changed once a query has a checkpoint. A part costs
+    about as much a batch as thousands of its events.
     """
     config = config or WindowConfig()
     _set(events.sparkSession)
     bought = F.col("event_type") == PURCHASE
     kind = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(i)) for t, i in _COUNT.items()), F.lit(-1))
     timed = events.where("event_us is not null").withColumn("ts", F.timestamp_micros("event_us")).withWatermark("ts", f"{int(config.skew * 1000)} milliseconds")
+    key = (F.col("user_id") if idle else part(parts)).alias("part")
     flat = timed.select(
-        "user_id", "event_us", kind.alias("type"), F.coalesce(F.when(bought, F.col("price_cents") * F.col("quantity")), F.lit(0)).cast("bigint").alias("cents"),
+        key, "user_id", "event_us", kind.alias("type"), F.coalesce(F.when(bought, F.col("price_cents") * F.col("quantity")), F.lit(0)).cast("bigint").alias("cents"),
         F.col("product_id").alias("product"), F.to_json(F.struct(*events.columns)).alias("raw"),
     )
-    held = None if warm is None else warm.groupBy("user_id")
-    return flat.groupBy("user_id").transformWithStateInPandas(RefiringWindows(config, idle, least_mark_ms), OUTPUT, "Append", "ProcessingTime" if idle else "EventTime", held)
+    held = None if warm is None else warm.select(key, "*").groupBy("part")
+    return flat.groupBy("part").transformWithStateInPandas(RefiringWindows(config, idle, least_mark_ms), OUTPUT, "Append", "ProcessingTime" if idle else "EventTime", held)
 
 
 def of_panes(events: DataFrame, config: WindowConfig | None = None) -> DataFrame:

@@ -174,3 +174,17 @@ def test_a_user_costs_few_calls_of_the_state_store(monkeypatch):
     assert len(calls) <= 10 and len(got[got["window_resolution"] == "5m"]) == 5 * 500
     day = got[got["window_resolution"] == "24h"]
     assert day["distinct_products"].max() == 3 and day["purchase_count"].max() == 144 and day["purchase_count"].sum() == 24 * 500
+
+
+def test_users_of_a_part_share_calls_and_state(spark, tmp_path):
+    """What a batch costs follows its rows and the parts, not its users; their records are as for each of them alone."""
+    rows = stream_rows(spark, 9000, users=450).where("product_id is not null").cache()
+    progress = progress_of(spark, rows, tmp_path, lambda e: stateful.refiring(e, CONFIG, parts=3))
+    assert progress["stateOperators"][0]["numRowsTotal"] <= 3 * 4  # a value, and a timer with its indexes
+    want, late = replayed(rows.collect(), CONFIG)
+    got = replays.run(spark, rows, range(3), str(tmp_path / "b"), CONFIG, partitions=2, parts=3).collect()
+    names = ["window_resolution", "window_end_ms", "emission_seq", "purchase_count", "revenue", "distinct_products"]
+    mine = sorted(str((r["batch"], r["user_id"], *(r[c] for c in names))) for r in got if r["kind"] == "feature")
+    assert mine == sorted(str((b, u, *(r[c] for c in names))) for b, u, r in want)
+    assert sorted((r["late_event"].split('"event_id":"')[1].split('"')[0], r["user_id"]) for r in got if r["kind"] == "late") == sorted((x, f"u-{int(x) % 450}") for x in late)
+    assert {r["user_id"] for r in got if r["emission_seq"]} and late
