@@ -105,10 +105,12 @@ def epoch_us(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def events_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_from_table(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """The driver's events as flat e-commerce events: ids, type, times and the fields of all
-    payloads (product, quantity, price, currency; element, page; referrer)."""
+    payloads (product, quantity, price, currency; element, page; referrer). tasks: rows are dealt out to so many before they are
+    parsed, but after filters by time or id, as a table in order of time has a batch's in a few places."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    raw = raw if tasks is None else raw.repartition(tasks, "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "click", CLICK).when(F.col("event_type") == "view", PAGE_VIEW).when(F.col("event_type") == "purchase", PURCHASE).otherwise(F.upper("event_type"))
     user = F.lpad(F.col("user_id").cast("string"), 6, "0")

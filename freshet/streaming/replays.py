@@ -23,9 +23,9 @@ CONFIG = WindowConfig(lateness=240)
 EVENTS_A_PART, EVENTS_A_PARTITION = 15_000, 500_000
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with hurried times and the number of their batch."""
-    events = events_from_table(spark, sf_dir).withColumn("event_us", F.expr(f"{BASE_US} + (event_us - {BASE_US}) div {HURRY}"))
+def arrivals(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Events with hurried times and the number of their batch; tasks: see events_from_table."""
+    events = events_from_table(spark, sf_dir, tasks).withColumn("event_us", F.expr(f"{BASE_US} + (event_us - {BASE_US}) div {HURRY}"))
     delay = F.pmod(F.col("event_id").cast("bigint"), F.lit(7)) * 60_000_000
     return events.withColumn("batch", F.floor((F.col("event_us") + delay - BASE_US) / (BATCH_S * 1_000_000)).cast("int"))
 
@@ -33,18 +33,23 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run(
     spark: SparkSession, batches: DataFrame, numbers, folder: str, config: WindowConfig = CONFIG, operator=stateful.refiring, partitions: int | None = None, **start
 ) -> DataFrame:
-    """What the state operator emits, with the number of the batch: each of numbers is added to the
-    source's folder and a query started on one checkpoint, which ends when there is nothing left to do."""
-    own = stateful.state_session(spark, partitions)
-    for n in numbers:
-        some = batches.where(F.col("batch") == n).drop("batch")
-        some.write.mode("append").parquet(f"{folder}/in")
-        rows = operator(append.read_events(own, f"{folder}/in", some.schema), config, **start)
-
-        def write(batch: DataFrame, i: int, n: int = n) -> None:
-            batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/run={n}/part={i}")
-
-        rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    """What the state operator emits, with the number of the batch: each of numbers is added to the source's folder of a
+    running query, which does what there is to do before the next one. Run again, with further numbers, it goes on from its checkpoint."""
+    own, schema, query = stateful.state_session(spark, partitions), batches.drop("batch").schema, None
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/run={n}/part={i}")
+
+    try:
+        for n in numbers:  # noqa: B007 (read by write)
+            batches.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{folder}/in")
+            if query is None:
+                rows = operator(append.read_events(own, f"{folder}/in", schema), config, **start)
+                query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").start()
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
     return spark.read.parquet(*(f"{folder}/out/run={n}/part=*" for n in numbers))
 
 
@@ -68,7 +73,8 @@ def _shown(emitted: DataFrame) -> DataFrame:
 def refired_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records, repeats and very late events of a stream over the whole table."""
     batches = arrivals(spark, sf_dir)
-    return _shown(run(spark, batches, _numbers(batches), shared_folder(spark, "refired"), **_dealing(spark, batches)))
+    dealt = arrivals(spark, sf_dir, spark.sparkContext.defaultParallelism)
+    return _shown(run(spark, dealt, _numbers(batches), shared_folder(spark, "refired"), **_dealing(spark, batches)))
 
 
 def warm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +85,15 @@ def warm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = batches.where(F.col("batch") < numbers[0]).agg(F.max(F.expr("event_us div 1000"))).first()[0]
     mark = None if last is None else last - int(CONFIG.skew * 1000)
     warm = None if mark is None else stateful.warm_panes(in_time(batches, numbers[0]), mark, CONFIG)
-    return _shown(run(spark, batches, numbers, shared_folder(spark, "warm"), warm=warm, least_mark_ms=mark, **_dealing(spark, batches)))
+    dealt = arrivals(spark, sf_dir, spark.sparkContext.defaultParallelism)
+    return _shown(run(spark, dealt, numbers, shared_folder(spark, "warm"), warm=warm, least_mark_ms=mark, **_dealing(spark, batches)))
 
 
 def paned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All closed windows of a stream over the whole table in order of time, ten days a batch, by way of panes."""
-    events = events_from_table(spark, sf_dir)
-    batches = events.withColumn("batch", F.floor(F.col("event_us") / 864_000_000_000).cast("int"))
-    return run(spark, batches, _numbers(batches), shared_folder(spark, "paned"), operator=stateful.of_panes).drop("batch")
+    by_days = lambda events: events.withColumn("batch", F.floor(F.col("event_us") / 864_000_000_000).cast("int"))
+    batches, dealt = by_days(events_from_table(spark, sf_dir)), by_days(events_from_table(spark, sf_dir, spark.sparkContext.defaultParallelism))
+    return run(spark, dealt, _numbers(batches), shared_folder(spark, "paned"), operator=stateful.of_panes, **_dealing(spark, batches)).drop("batch")
 
 
 def in_time(batches: DataFrame, before: int) -> DataFrame:

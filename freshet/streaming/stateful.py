@@ -48,13 +48,15 @@ OUTPUT = T.StructType([
     *(T.StructField(f, T.LongType() if k == "bigint" else T.DoubleType()) for f, k in FEATURES.items()),
     T.StructField("late_event", T.StringType()),
 ])
+#: Of windows that fire once.
+CLOSED = T.StructType([f for f in OUTPUT.fields if f.name not in ("kind", "emission_seq", "late_event")])
 #: What the state operator needs of a session.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: Plain pandas types: the state operator takes no Arrow-backed columns.
-KINDS = {"string": object, "bigint": "Int64", "int": "Int32", "double": "Float64"}
+#: Plain arrays: the state operator takes no Arrow-backed columns.
+KINDS = {"string": object, "bigint": np.int64, "int": np.int32, "double": np.float64}
 _COUNT = {CLICK: 0, PAGE_VIEW: 1, PURCHASE: 2}
 
 
@@ -232,6 +234,8 @@ class Held:
 class RefiringWindows(StatefulProcessor):
     """The windows of the users of a part (or of one user, where the rows have no ``user_id``: the key is the user then)."""
 
+    output = OUTPUT
+
     def __init__(self, config: WindowConfig, idle: bool = False, least_mark_ms: int | None = None):
         self.config, self.idle = config, idle
         self.least = NONE if least_mark_ms is None else least_mark_ms
@@ -286,7 +290,7 @@ class RefiringWindows(StatefulProcessor):
             frame = frame if "user_id" in frame else frame.assign(user_id=key[0])
             late, own = self._taken(frame, mark)
             if len(late):
-                yield _frame(late["user_id"].to_numpy(object), {"kind": ["late"] * len(late), "late_event": late["raw"].tolist()})
+                yield _frame(OUTPUT, len(late), {"kind": ["late"], "user_id": [late["user_id"].to_numpy(object)], "late_event": [late["raw"].to_numpy(object)]}, [len(late)])
             for all_, some in zip((sums, products), self._folded(own, held), strict=True):
                 all_.append(some)
             if len(sums) == 64:  # a user's panes are few, however many the events
@@ -348,7 +352,7 @@ class RefiringWindows(StatefulProcessor):
                 held.repeats[i] = times[(times[:, 1] * r.slide * 1000 >= mark - r.size * 1000 - self.lateness) & np.isin(times[:, 0], live[:, 0])]
             held.panes[i], held.products[i] = live[:, :6], bought
         if any(len(x[1]) for x in made):
-            yield _records(held.users, made)
+            yield _records(self.output, held.users, made)
 
     def _fired(self, i: int, r, live: np.ndarray, bought: np.ndarray, before: int, mark: int, held: Held) -> tuple:
         """Of the windows of a resolution that fire: users, ends, sequence numbers, the sums and distinct products."""
@@ -373,7 +377,9 @@ class RefiringWindows(StatefulProcessor):
 
 
 class PanedWindows(RefiringWindows):
-    """The same over rows that are closed panes of the least slide; none of them is late."""
+    """The same over rows that are closed panes of the least slide; none of them is late, and windows fire once."""
+
+    output = CLOSED
 
     def _taken(self, frame: pd.DataFrame, mark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
         return frame[:0], frame
@@ -448,42 +454,39 @@ def _distinct(bought: np.ndarray, ends: np.ndarray, panes: int, base: int, width
     return np.cumsum(count(np.searchsorted(ends, keys + 1)) - count(np.searchsorted(ends, stops, "right")))[:-1]
 
 
-def _records(users: Numbered, made: list[tuple]) -> pd.DataFrame:
+def _records(output: T.StructType, users: Numbered, made: list[tuple]) -> pd.DataFrame:
     """One frame of (resolution, users, ends, sequence numbers, sums, distinct products) of all resolutions."""
-    columns: dict[str, list] = {f.name: [] for f in OUTPUT.fields}
-    for r, _, ends, seq, (clicks, views, bought, cents), distinct in made:
+    columns: dict[str, list] = {f.name: [] for f in output.fields if f.name != "late_event"}
+    for r, user, ends, seq, (clicks, views, bought, cents), distinct in made:
         revenue = cents / 100.0
         value = {
-            "window_start_ms": ends - r.size * 1000, "window_end_ms": ends, "emission_seq": seq, "click_count": clicks, "page_view_count": views, "purchase_count": bought,
-            "revenue": revenue, "distinct_products": distinct, "avg_purchase_amount": np.where(bought > 0, revenue / np.maximum(bought, 1), np.nan),
+            "kind": "feature", "user_id": users.take(user), "window_resolution": r.value, "window_start_ms": ends - r.size * 1000, "window_end_ms": ends, "emission_seq": seq,
+            "click_count": clicks, "page_view_count": views, "purchase_count": bought, "revenue": revenue, "distinct_products": distinct,
+            "avg_purchase_amount": np.ma.array(revenue / np.maximum(bought, 1), mask=bought == 0),
         }
-        value |= {f: None for f in FEATURES if f not in r.features} | {"kind": "feature", "window_resolution": r.value}
         for name, parts in columns.items():
-            x = value.get(name)
-            parts.append(x if isinstance(x, np.ndarray) else np.full(len(ends), x, dtype=object))
-    own = users.take(np.concatenate([x[1] for x in made]))
-    return _frame(own, {k: parts for k, parts in columns.items() if k not in ("user_id", "late_event")}, joined=False)
-
-
-def _column(kind: str, parts: list) -> pd.Series:
-    """Arrays joined to a column; those of objects, where it is one of numbers, are nulls."""
-    if kind == "string":
-        return pd.Series(np.concatenate(parts), dtype=object)
-    own = np.float64 if kind == "double" else np.int32 if kind == "int" else np.int64
-    mask = np.concatenate([np.ones(len(x), dtype=bool) if x.dtype == object else np.isnan(x) if x.dtype.kind == "f" else np.zeros(len(x), dtype=bool) for x in parts])
-    values = np.concatenate([np.zeros(len(x), dtype=own) if x.dtype == object else np.nan_to_num(x).astype(own) if x.dtype.kind == "f" else x.astype(own) for x in parts])
-    return pd.Series((pd.arrays.FloatingArray if kind == "double" else pd.arrays.IntegerArray)(values, mask))
+            parts.append(value[name] if name not in FEATURES or name in r.features else None)
+    many = [len(x[1]) for x in made]
+    return _frame(output, sum(many), columns, many)
 
 
-def _frame(users: np.ndarray, columns: dict, joined: bool = True) -> pd.DataFrame:
-    """A row a user given; columns that aren't given are null. joined: they are lists of values, else lists of arrays."""
+def _frame(output: T.StructType, n: int, columns: dict[str, list], many: list[int]) -> pd.DataFrame:
+    """n rows of parts, of so many rows each: a column has an array a part, or one value for it (None: null); columns that aren't
+    given are null."""
     out = {}
-    for f in OUTPUT.fields:
-        if f.name in columns:
-            out[f.name] = pd.Series(columns[f.name], dtype=object) if joined else _column(f.dataType.simpleString(), columns[f.name])
-        else:
-            out[f.name] = pd.Series(users if f.name == "user_id" else [None] * len(users), dtype=KINDS[f.dataType.simpleString()])
-    return pd.DataFrame(out)
+    for f in output.fields:
+        kind, at = KINDS[f.dataType.simpleString()], 0
+        values, null = np.empty(n, dtype=kind) if kind is object else np.zeros(n, dtype=kind), np.zeros(n, dtype=bool)
+        for x, own in zip(columns.get(f.name, [None] * len(many)), many, strict=True):
+            if x is None and kind is not object:
+                null[at : at + own] = True
+            else:
+                values[at : at + own] = x
+                null[at : at + own] = np.ma.getmask(x)
+            at += own
+        # nulls of objects are None
+        out[f.name] = values if kind is object else (pd.arrays.FloatingArray if kind is np.float64 else pd.arrays.IntegerArray)(values, null)
+    return pd.DataFrame(out, copy=False)
 
 
 def _set(spark: SparkSession) -> None:
@@ -551,7 +554,7 @@ def refiring(
     return flat.groupBy("part").transformWithStateInPandas(RefiringWindows(config, idle, least_mark_ms), OUTPUT, "Append", "ProcessingTime" if idle else "EventTime", held)
 
 
-def of_panes(events: DataFrame, config: WindowConfig | None = None) -> DataFrame:
+def of_panes(events: DataFrame, config: WindowConfig | None = None, parts: int = PARTS) -> DataFrame:
     """Records of closed windows of all resolutions, once each, by two stateful operators in a row.
 
     Spark's own aggregation first makes panes of a minute (with partial aggregation, so a hot user is small before
@@ -560,7 +563,7 @@ def of_panes(events: DataFrame, config: WindowConfig | None = None) -> DataFrame
     by themselves would be one for each of the up to 24 that a pane lies in.
 
     A row behind the watermark whose pane was closed is dropped; use ``refiring`` where late rows
-    must count. events: as there.
+    must count. events, parts: as there.
     """
     config = config or WindowConfig()
     _set(events.sparkSession)
@@ -574,5 +577,5 @@ def of_panes(events: DataFrame, config: WindowConfig | None = None) -> DataFrame
         F.coalesce(F.sum(F.when(bought, F.col("price_cents") * F.col("quantity"))), F.lit(0)).cast("bigint").alias("cents"),
         F.collect_set(F.when(bought, F.col("product_id"))).alias("products"),
     )
-    rows = panes.select("user_id", F.floor(F.unix_seconds("w.start") / slide).alias("pane"), *_SUMS, "products")
-    return rows.groupBy("user_id").transformWithStateInPandas(PanedWindows(config), OUTPUT, "Append", "EventTime").drop("kind", "late_event", "emission_seq")
+    rows = panes.select(part(parts).alias("part"), "user_id", F.floor(F.unix_seconds("w.start") / slide).alias("pane"), *_SUMS, "products")
+    return rows.groupBy("part").transformWithStateInPandas(PanedWindows(config), CLOSED, "Append", "EventTime")

@@ -188,3 +188,24 @@ def test_users_of_a_part_share_calls_and_state(spark, tmp_path):
     assert mine == sorted(str((b, u, *(r[c] for c in names))) for b, u, r in want)
     assert sorted((r["late_event"].split('"event_id":"')[1].split('"')[0], r["user_id"]) for r in got if r["kind"] == "late") == sorted((x, f"u-{int(x) % 450}") for x in late)
     assert {r["user_id"] for r in got if r["emission_seq"]} and late
+
+
+def test_windows_of_panes_by_parts(spark, tmp_path):
+    rows = stream_rows(spark, 6000, users=300, seconds=6 * 3600).cache()
+    progress = progress_of(spark, rows, tmp_path, lambda e: stateful.of_panes(e, CONFIG, parts=3))
+    assert progress["stateOperators"][0]["numRowsTotal"] <= 3 * 4
+    batches = rows.withColumn("batch", F.floor((F.col("event_us") - BASE_US) / 7_200_000_000).cast("int"))  # in order of time
+    got = replays.run(spark, batches, range(-1, 3), str(tmp_path / "b"), CONFIG, operator=stateful.of_panes, partitions=2, parts=3)
+    mark = rows.agg(F.max("event_us")).first()[0] // 1000 - int(CONFIG.skew * 1000)
+    want = windows.sliding_all(rows).where(F.col("window_end_ms") <= mark)
+    names = [c for c in want.columns if c != "avg_purchase_amount"]
+    assert got.select(names).exceptAll(want.select(names)).count() == 0 and got.count() == want.count() > 0
+
+
+def test_a_run_goes_on_from_its_checkpoint(spark, tmp_path):
+    rows = stream_rows(spark, 2000, users=20).cache()
+    whole = replays.run(spark, rows, range(3), str(tmp_path / "a"), CONFIG, partitions=2, parts=5)
+    first = replays.run(spark, rows, [0, 1], str(tmp_path / "b"), CONFIG, partitions=2, parts=5)
+    rest = replays.run(spark, rows, [2], str(tmp_path / "b"), CONFIG, partitions=2, parts=5)
+    text = lambda *parts: sorted(str(r) for p in parts for r in p.collect())
+    assert text(first, rest) == text(whole) and rest.where("emission_seq > 0").count()
