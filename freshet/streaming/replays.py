@@ -33,23 +33,19 @@ def arrivals(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> Data
 def run(
     spark: SparkSession, batches: DataFrame, numbers, folder: str, config: WindowConfig = CONFIG, operator=stateful.refiring, partitions: int | None = None, **start
 ) -> DataFrame:
-    """What the state operator emits, with the number of the batch: each of numbers is added to the source's folder of a
-    running query, which does what there is to do before the next one. Run again, with further numbers, it goes on from its checkpoint."""
-    own, schema, query = stateful.state_session(spark, partitions), batches.drop("batch").schema, None
-
-    def write(batch: DataFrame, i: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/run={n}/part={i}")
-
-    try:
-        for n in numbers:  # noqa: B007 (read by write)
-            batches.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{folder}/in")
-            if query is None:
-                rows = operator(append.read_events(own, f"{folder}/in", schema), config, **start)
-                query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").start()
-            query.processAllAvailable()
-    finally:
-        if query is not None:
-            query.stop()
+    """What the state operator emits, with the number of the batch: each of numbers is added to the
+    source's folder and a query started on one checkpoint, which ends when there is nothing left to do. (A query that runs
+    while files are added may take some of a batch's before the others, and those are late then.)"""
+    own = stateful.state_session(spark, partitions)
+    for n in numbers:
+        some = batches.where(F.col("batch") == n).drop("batch")
+        some.write.mode("append").parquet(f"{folder}/in")
+        rows = operator(append.read_events(own, f"{folder}/in", some.schema), config, **start)
+
+        def write(batch: DataFrame, i: int, n: int = n) -> None:
+            batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/run={n}/part={i}")
+
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(*(f"{folder}/out/run={n}/part=*" for n in numbers))
 
 
